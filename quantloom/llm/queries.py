@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quantloom.llm import exact_dedup, mixing, pii, secrets, token_counts, token_output
+from quantloom.llm import exact_dedup, minhash, mixing, pii, secrets, token_counts, token_output
 
 QUERIES = {
     "op2_token_output": token_output.op2_token_output,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_personal_data": pii.op4_personal_data,
+    "op5_near_dedup": minhash.op5_near_dedup,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op10_secrets": secrets.op10_secrets,
