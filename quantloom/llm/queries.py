@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontam, exact_dedup, minhash, mixing, pii, secrets, token_counts, token_output
+from quantloom.llm import decontam, exact_dedup, minhash, mixing, pii, quality, secrets, token_counts, token_output
 
 QUERIES = {
     "op2_token_output": token_output.op2_token_output,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_decontamination": decontam.op8_decontamination,
+    "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
 }
 ORACLES = {
