@@ -8,13 +8,15 @@ ASCII or with the special string, and pieces of over 64 bytes, go to the library
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
 SPECIAL = b"<|endoftext|>"
 LONGEST = 64
-SLOT_BITS = 22
-MOST_PIECES = 1_500_000
+SLOT_BITS = 21
+MOST_PIECES = 800_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -37,7 +39,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text_index: int, most: int = 8_000_000):
+def slices(batch: pa.RecordBatch, text_index: int, most: int = 1_500_000):
     """Cut a batch so that each part holds about ``most`` bytes of text (one row at least)."""
     raw, offsets = text_bytes(batch.column(text_index))
     a = 0
@@ -64,6 +66,21 @@ def odd_texts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return odd
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out, n = {b: chr(b) for b in plain}, 0
+    for b in range(256):
+        if b not in out:
+            out[b], n = chr(256 + n), n + 1
+    return out
+
+
+_LETTERS = byte_letters()
+#: One blank at most, then letters of Latin-1 in UTF-8: a single pre-token.
+_ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
 class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -100,11 +117,20 @@ class ChunkEncoder:
             self.values[slot[mine]] = values[mine]
             keys, values, slot = keys[~mine], values[~mine], (slot[~mine] + 1) & ((1 << SLOT_BITS) - 1)
 
-    def _encode(self, pieces: list[str]) -> np.ndarray:
+    def _library(self, pieces: list[bytes]) -> list[list[int]]:
+        """Ids of each piece; one pre-token of letters goes to the library's merge model without an Encoding around it."""
+        tokenize, plain = self.tokenizer.model.tokenize, _ONE_WORD.fullmatch
+        out = [[t.id for t in tokenize(p.decode("latin-1").translate(_LETTERS))] if plain(p) else None for p in pieces]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
+    def _encode(self, pieces: list[bytes]) -> np.ndarray:
         """Encode the pieces and keep their ids; their numbers."""
         first = self.pieces
         for a in range(0, len(pieces), 50_000):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[a : a + 50_000], add_special_tokens=False)]
+            found = self._library(pieces[a : a + 50_000])
             lengths = np.fromiter(map(len, found), np.int32, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum()))
             for name, need in (("start", self.pieces + len(found)), ("length", self.pieces + len(found)), ("pool", self.used + len(flat))):
@@ -145,13 +171,13 @@ class ChunkEncoder:
         new = plain[index[plain] < 0]
         if len(new):
             keys, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
-            pieces = [text[a : a + k].decode() for a, k in zip(starts[new[first]].tolist(), lengths[new[first]].tolist(), strict=True)]
+            pieces = [text[a : a + k] for a, k in zip(starts[new[first]].tolist(), lengths[new[first]].tolist(), strict=True)]
             numbers = self._encode(pieces)
             self._put(keys, numbers)
             index[new] = numbers[back]
         lone = np.flatnonzero(alone)
         if len(lone):
-            index[lone] = self._encode([text[a : a + k].decode() for a, k in zip(starts[lone].tolist(), lengths[lone].tolist(), strict=True)])
+            index[lone] = self._encode([text[a : a + k] for a, k in zip(starts[lone].tolist(), lengths[lone].tolist(), strict=True)])
         counts = self.length[index].astype(np.int64)
         ends = np.cumsum(counts)
         ids = self.pool[np.repeat(self.start[index] - (ends - counts), counts) + np.arange(ends[-1])]

@@ -19,6 +19,7 @@ input row gives one output row; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.chunk_encoder import SPECIAL, slices, text_bytes
+from quantloom.llm.chunk_encoder import SPECIAL, byte_letters, slices, text_bytes
 from quantloom.llm.token_output import default_tokenizer
 
 CHUNK = 256
 LIMIT = 512
-MOST_STATES = 150_000
+#: Beyond so many states the machine starts afresh, which bounds its memory.
+MOST_STATES = 250_000
 
 # Character classes of the boundary machine.
 BLANK, SPACE, DIGIT, QUOTE, OTHER, LETTER, ST, R, V, L, E = range(11)
@@ -131,7 +133,11 @@ class BoundaryMachine:
 
 
 class MergeMachine:
-    """BPE over the bytes of one pre-token, compiled to a transducer state by state."""
+    """BPE over the bytes of one pre-token, compiled to a transducer state by state.
+
+    A state is a tuple of (suffix, token before it, tokens since then); suffixes that no token can complete
+    any more are left out. Transitions stand in an open-addressing table of plain arrays.
+    """
 
     def __init__(self, vocabulary: dict[str, int], merges: list):
         base = byte_letters()
@@ -139,42 +145,58 @@ class MergeMachine:
         decode = lambda token: bytes(back[c] for c in token)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.rank = {(decode(a), decode(b)): i for i, (a, b) in enumerate(pairs)}
+        self.halves = {a + b: (i, a, b) for (a, b), i in self.rank.items()}
         self.tokens = {decode(t) for t in vocabulary if all(c in back for c in t)}
+        self.ordered = sorted(self.tokens)
         self.growing = {t[:k] for t in self.tokens for k in range(1, len(t))}
-        self.fits = lru_cache(1 << 18)(self._fits)
+        self.fits = lru_cache(1 << 17)(self._fits)
+        self.open = lru_cache(1 << 18)(self._open)
         self.reset()
 
     def reset(self) -> None:
         self.known: dict = {}
         self.meaning: list = []
-        self.following = np.full((1 << 12, 256), -1, np.int32)
-        self.emits = np.zeros((1 << 12, 256), np.int8)
+        self.transitions, self.bits = 0, 16
+        self._allot()
         self.state(((b"", None, 0),))
 
+    def _allot(self) -> None:
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.goes, self.emits = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int8)
+
     def state(self, meaning) -> int:
-        number = self.known.get(meaning)
-        if number is None:
-            number = self.known[meaning] = len(self.meaning)
+        number = self.known.setdefault(meaning, len(self.meaning))
+        if number == len(self.meaning):
             self.meaning.append(meaning)
-            if number == len(self.following):
-                self.following = np.concatenate([self.following, np.full_like(self.following, -1)])
-                self.emits = np.concatenate([self.emits, np.zeros_like(self.emits)])
         return number
 
-    def encode(self, data: bytes) -> list[bytes]:
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.rank.get((parts[i], parts[i + 1]), 1 << 30), i) for i in range(len(parts) - 1))
-            if rank == 1 << 30:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
     def _fits(self, before: bytes | None, token: bytes) -> bool:
-        return self.encode(token) == [token] if before is None else self.encode(before + token) == [before, token]
-
-    def compile(self, state: int, byte: int) -> None:
-        """Add the transition from ``state`` on ``byte``."""
+        """Whether the two are neighbours in an encoding: no merge joins their touching parts before both are whole."""
+        if before is None:
+            return len(token) == 1 or token in self.halves
+        none, limit = (-1, b"", b""), 1 << 30
+        while True:
+            if self.rank.get((before, token), limit) < limit:
+                return False
+            left, right = self.halves.get(before, none), self.halves.get(token, none)
+            if left[0] < 0 and right[0] < 0:
+                return True
+            if left[0] > right[0]:
+                limit, before = left[0], left[2]
+            else:
+                limit, token = right[0] + 1, right[1]
+
+    def _open(self, before: bytes | None, suffix: bytes) -> bool:
+        """Whether some longer token that starts with ``suffix`` can follow ``before``."""
+        i = bisect_right(self.ordered, suffix)
+        while i < len(self.ordered) and self.ordered[i].startswith(suffix):
+            if self._fits(before, self.ordered[i]):
+                return True
+            i += 1
+        return False
+
+    def compile(self, state: int, byte: int) -> tuple[int, int]:
+        """The transition from ``state`` on ``byte``: the next state and the change in emitted tokens."""
         c = bytes([byte])
         last = grown = None
         kept = []
@@ -182,12 +204,46 @@ class MergeMachine:
             longer = suffix + c
             if last is None and longer in self.tokens and self.fits(before, longer):
                 last, grown = longer, 1 - behind
-            if longer in self.growing:
+            if longer in self.growing and self.open(before, longer):
                 kept.append((longer, before, behind))
-        # behind: tokens up to now less tokens before the suffix; it grows by what this step emits
-        meaning = tuple((s, b, d + grown) for s, b, d in kept) + ((b"", last, 0),)
-        target = self.state(meaning)
-        self.following[state, byte], self.emits[state, byte] = target, grown
+        return self.state((*((s, b, d + grown) for s, b, d in kept), (b"", last, 0))), grown
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def _put(self, keys: np.ndarray, goes: np.ndarray, emits: np.ndarray) -> None:
+        slot = self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            mine = self.keys[slot] == keys
+            self.goes[slot[mine]], self.emits[slot[mine]] = goes[mine], emits[mine]
+            keys, goes, emits, slot = keys[~mine], goes[~mine], emits[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of the transitions, -1 where they are not compiled yet."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        rest = np.flatnonzero(there != keys)
+        while len(rest):
+            empty = there[rest] < 0
+            slot[rest[empty]] = -1
+            rest = rest[~empty]
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+            there[rest] = self.keys[slot[rest]]
+            rest = rest[there[rest] != keys[rest]]
+        return slot
+
+    def _add(self, keys: np.ndarray) -> None:
+        made = np.array([self.compile(k >> 8, k & 255) for k in keys.tolist()], np.int64).reshape(-1, 2)
+        self.transitions += len(keys)
+        if self.transitions * 4 > 1 << self.bits:
+            held, goes, emits = (x[self.keys >= 0] for x in (self.keys, self.goes, self.emits))
+            while self.transitions * 4 > 1 << self.bits:
+                self.bits += 1
+            self._allot()
+            self._put(held, goes, emits)
+        self._put(keys, made[:, 0], made[:, 1])
 
     def count(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Tokens of each pre-token raw[starts : starts + lengths]."""
@@ -198,31 +254,19 @@ class MergeMachine:
         totals, state = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         alive = len(order) - np.searchsorted(left[::-1], np.arange(int(left[0]) if len(left) else 0), "right")
         for k, n in enumerate(alive.tolist()):
-            byte = raw[at[:n] + k].astype(np.int64)
-            now = state[:n]
-            goes = self.following[now, byte]
-            missing = np.flatnonzero(goes < 0)
-            if len(missing):
-                for pair in np.unique(now[missing] * 256 + byte[missing]).tolist():
-                    self.compile(pair >> 8, pair & 255)
-                goes = self.following[now, byte]
-            totals[:n] += self.emits[now, byte]
-            state[:n] = goes
+            keys = state[:n] * 256 + raw[at[:n] + k]
+            slot = self._find(keys)
+            missing = slot < 0
+            if missing.any():
+                self._add(np.unique(keys[missing]))
+                slot = self._find(keys)
+            totals[:n] += self.emits[slot]
+            state[:n] = self.goes[slot]
         out = np.empty_like(totals)
         out[order] = totals
         return out
 
 
-def byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    out, n = {b: chr(b) for b in plain}, 0
-    for b in range(256):
-        if b not in out:
-            out[b], n = chr(256 + n), n + 1
-    return out
-
-
 class TokenCounter:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -280,7 +324,7 @@ def token_counts(docs: DataFrame, id_col="doc_id", text_col="text", tokenizer: s
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, 1, 4_000_000):
+            for part in slices(batch, 1, 1_500_000):
                 raw, offsets = text_bytes(part.column(1))
                 tokens = counter(path).count(raw, offsets)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
