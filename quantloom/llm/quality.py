@@ -77,6 +77,7 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = np.zeros(len(body), bool)
     first[at] = True
     before[first] = _BYTE[32]
+    after[at[1:] - 1] = _BYTE[32]
     gram = before * _GRAM[0] + key * _GRAM[1] + after * _GRAM[2]
     gram, owner = gram[inside], np.repeat(document, spans)[inside]
     buckets = [_bucket(whole), _bucket(shape.astype(np.uint64) + np.uint64(1 << 40)), np.full(int(same.sum()), _bucket(np.array([1 << 41], np.uint64))[0]), _bucket(gram)]
@@ -96,13 +97,15 @@ def counted(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.n
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
     """Vectors, output layer and bias by stochastic gradient descent; folded to (a number per bucket, bias)."""
+    if not rows:
+        return np.zeros(1 << BITS), 0.0
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.1, (1 << BITS, WIDTH)).astype(np.float32)
     output, bias = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
     squares = np.full(1 << BITS, 1e-6, np.float32)
     ones = sum(r[2] for r in rows)
     balance = np.array([len(rows) / max(1, 2 * (len(rows) - ones)), len(rows) / max(1, 2 * ones)], np.float32)
-    for epoch in range(epochs if rows else 0):
+    for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(rows))
         for a in range(0, len(order), BATCH):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontam, exact_dedup, minhash, mixing, pii, quality, secrets, token_counts, token_output
+from quantloom.llm import decontam, exact_dedup, lm_scoring, minhash, mixing, pii, quality, secrets, token_counts, token_output
 
 QUERIES = {
+    "op1_pseudo_likelihood": lm_scoring.op1_pseudo_likelihood,
     "op2_token_output": token_output.op2_token_output,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_personal_data": pii.op4_personal_data,
