@@ -1 +1 @@
-
+"""Column helpers shared by the operators."""

@@ -1 +1 @@
-
+"""Operators on bars, events, grids and ledgers."""

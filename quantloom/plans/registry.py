@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quantloom.plans import study
+
+BOOKS = [study.book]
+
+QUERIES = {name: query for b in BOOKS for name, query in b.queries.items()}
+ORACLES = {name: sql for b in BOOKS for name, sql in b.oracles.items()}

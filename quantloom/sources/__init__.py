@@ -1 +1 @@
-
+"""Readers, writers and the bar builders."""
