@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantloom.plans import study
+from quantloom.plans import research, study
 
-BOOKS = [study.book]
+BOOKS = [study.book, research.book]
 
 QUERIES = {name: query for b in BOOKS for name, query in b.queries.items()}
 ORACLES = {name: sql for b in BOOKS for name, sql in b.oracles.items()}
