@@ -98,3 +98,20 @@ def fixed_definitions(recommended: DataFrame) -> DataFrame:
     weak, block = F.col("simplifications").contains("DROP_WEAK_TREND_GATE"), F.col("simplifications").contains("DROP_BREAKOUT_BLOCK")
     suffix = F.concat(F.when(weak, F.lit("_NW")).otherwise(""), F.when(block, F.lit("_NB")).otherwise(""))
     return recommended.withColumns({"fixed_candidate_id": F.concat("candidate_id", suffix), "use_weak_trend": F.col("use_weak_trend") & ~weak, "use_breakout_block": F.col("use_breakout_block") & ~block, "is_original": suffix == ""})
+
+
+def experiment_matrix(manifest: DataFrame, exits: tuple, fees: tuple, key: str = "candidate_id") -> DataFrame:
+    """Candidates x exits x fees with a class name each; ``collides`` where a name of another candidate and exit is the same."""
+    rows = manifest.select(key).withColumn("exit_mode", F.explode(F.array(*map(F.lit, exits)))).withColumn("fee", F.explode(F.array(*(F.lit(float(f)) for f in fees))))
+    rows = rows.withColumn("class_name", F.concat(F.lit("Flush"), F.replace(F.col(key), F.lit("_"), F.lit("")), F.initcap("exit_mode")))
+    members = rows.select("class_name", key, "exit_mode").distinct().groupBy("class_name").agg((F.count("*") > 1).alias("collides"))
+    return rows.join(members, "class_name")
+
+
+def promotion_rows(trades: DataFrame, keys: list[str], cutoff: str, least: int) -> DataFrame:
+    """Trades before ``cutoff`` select, later ones are the holdout: counts, profit and a verdict per key."""
+    late = F.col("open_date") >= F.lit(cutoff).cast("timestamp")
+    part = lambda side, test: [F.count(F.when(test, 1)).alias(f"{side}_trades"), F.sum(F.when(test, F.col("profit_abs")).otherwise(0.0)).alias(f"{side}_profit")]
+    out = trades.groupBy(*keys).agg(*part("selection", ~late), *part("holdout", late))
+    verdict = F.when((F.col("selection_trades") < least) | (F.col("holdout_trades") < least), "insufficient").when(F.col("selection_profit") <= 0, "rejected_in_selection").when(F.col("holdout_profit") <= 0, "fails_holdout").otherwise("stable")
+    return out.withColumn("verdict", verdict)
