@@ -54,3 +54,16 @@ def line_matches(df: DataFrame, id_col: str, text_col: str, rules: list[tuple[st
     lines = df.where(F.col(text_col).rlike(any_rule)).select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(n).alias("rule"), F.col("line").rlike(ok).alias("allowed"))) for n, p, ok in rules)))
     return lines.withColumn("h", F.explode(hits)).select(id_col, "h.rule", (F.col("pos") + 1).alias("line_no"), "h.allowed")
+
+
+def warmup_variance(bars: DataFrame, warmups: tuple, compute: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """How far the last row's values move when only the last ``n`` bars are known; one job for all warm-ups.
+    ``bars`` needs bar_idx. Per warm-up: pairs compared and the largest absolute difference of each column."""
+    ends = bars.groupBy("pair").agg(F.max("bar_idx").alias("_end"))
+    last = F.col("bar_idx") == F.col("_end")
+    full = compute(bars).join(ends, "pair").where(last).select("pair", *columns)
+    rows = bars.join(ends, "pair").withColumn("warmup", F.explode(F.array(*map(F.lit, warmups)))).where("bar_idx > _end - warmup").drop("_end")
+    short = compute(rows.withColumn("pair", F.concat_ws("@", "pair", "warmup")).drop("warmup"))
+    short = short.join(ends.select(F.col("pair").alias("_p"), "_end"), (F.substring_index("pair", "@", 1) == F.col("_p")) & last)
+    short = short.select(F.col("_p").alias("pair"), F.substring_index("pair", "@", -1).cast("int").alias("warmup"), *(F.col(c).alias(f"short_{c}") for c in columns))
+    return short.join(full, "pair").groupBy("warmup").agg(F.count("*").alias("pairs"), *(F.max(F.abs(F.col(c) - F.col(f"short_{c}"))).alias(f"max_{c}") for c in columns))

@@ -22,3 +22,13 @@ def regime_summary(rows: DataFrame, features: list[str], columns: list[str]) ->
     """Per feature and bucket: rows and mean of each column; features are stacked first, so one shuffle serves all."""
     stacked = rows.withColumn("f", F.explode(F.array(*(F.struct(F.lit(name).alias("feature"), F.coalesce(F.col(name).cast("string"), F.lit("missing")).alias("bucket")) for name in features))))
     return stacked.groupBy("f.feature", "f.bucket").agg(F.count("*").alias("rows"), *(F.avg(c).alias(f"mean_{c}") for c in columns))
+
+
+def with_context(df: DataFrame, context: DataFrame, ts: str = "ts") -> DataFrame:
+    """Signals or trades with the market context of their timestamp, null where there is none."""
+    return df.join(context, ts, "left")
+
+
+def signal_quality(rows: DataFrame, label: str, column: str) -> DataFrame:
+    """Per label (signal, or the first gate that failed): rows, complete rows, mean and good share of a return."""
+    return rows.groupBy(label).agg(F.count("*").alias("rows"), F.count(column).alias("complete"), F.avg(column).alias(f"mean_{column}"), F.avg(F.when(F.col(column).isNotNull(), (F.col(column) > 0).cast("double"))).alias("good_share"))
