@@ -107,10 +107,18 @@ book.add(
     f"""{WITH}, lagged AS (SELECT *, lag(coalesce(volume > 0 AND active_pair AND weak_trend_regime AND NOT breakout_block_long AND close < bb_lower AND rsi < 50.0 AND price_z < -{P.price_z}, false)) OVER v AS flushed, lag(rsi) OVER v AS r1, lag(price_z) OVER v AS z1 FROM feat WINDOW v AS (PARTITION BY pair ORDER BY ts))
     SELECT pair, {TS} AS ts, 'delayed_confirm_long' AS enter_tag FROM lagged WHERE flushed AND volume > 0 AND close > open AND close > c1 AND close > bb_lower AND close < bb_mid AND rsi > r1 AND price_z > z1""",
 )
-VWAP = "(SELECT *, (high + low + close) / 3 * volume / nullif(volume, 0) AS vwap FROM feat)"  # one bar a day: the session is the bar
+EXIT_INPUTS = ("close", "bb_mid", "ema20", "vwap", "price_z", "rsi")
+
+
+def nine_places(df):
+    """Bars of one tick have close equal to vwap; the last bit must not decide."""
+    return df.withColumns({c: F.round(c, 9) for c in EXIT_INPUTS})
+
+
+VWAP = f"(SELECT * REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in EXIT_INPUTS)}) FROM (SELECT *, (high + low + close) / 3 * volume / nullif(volume, 0) AS vwap FROM feat))"  # one bar a day: the session is the bar
 book.add(
     "exit_signals",
-    lambda s, d: out(signals.exit_signals(indicators.session_vwap(rows.own(frames.features(s, d))), P), "exit_long", "exit_short", "exit_tag"),
+    lambda s, d: out(signals.exit_signals(nine_places(indicators.session_vwap(rows.own(frames.features(s, d)))), P), "exit_long", "exit_short", "exit_tag"),
     f"""{WITH}, x AS (SELECT *, coalesce(close >= bb_mid, false) OR coalesce(close >= ema20, false) OR coalesce(close >= vwap, false) OR coalesce(price_z > {P.exit_z_long}, false) OR coalesce(rsi > {P.exit_rsi_long}, false) AS lh,
       coalesce(close <= bb_mid, false) OR coalesce(close <= ema20, false) OR coalesce(close <= vwap, false) OR coalesce(price_z < {P.exit_z_short}, false) OR coalesce(rsi < {P.exit_rsi_short}, false) AS sh FROM {VWAP}),
     y AS (SELECT *, CASE WHEN lh THEN 'mean_hit' WHEN trend_expand_against_long THEN 'trend_expand' WHEN NOT active_pair THEN 'vol_decay' ELSE '' END AS lr,
