@@ -2,8 +2,8 @@
 
 1. Texts become sets of five-word shingles; each set gets 125 hash minima. Texts with equal sets form a
    class, of which one row goes on.
-2. Classes that share a band of five minima meet in a bucket (a pair at similarity 0.85 misses all 25
-   bands once in two million). In every bucket each member is held against the smallest one: first the
+2. Classes that share a band of five minima meet in a bucket (a pair misses all 25 bands once in two
+   million at similarity 0.85, once in twenty thousand at 0.8). In every bucket each member is held against the smallest one: first the
    signatures, then the full sets. Large-star and small-star turn the links into components.
 3. Buckets whose members still lie in several components are compared fully, block against block, but only
    across components, and only a spanning forest of confirmed links leaves a block. So a bucket of any
@@ -30,9 +30,8 @@ from quantloom.llm.components import connected_components
 from quantloom.llm.shingles import mix, overlap, shingle_sets
 
 BANDS, ROWS = 25, 5
-PERCENT = 85
-#: Signatures that agree less than this are not confirmed: five standard errors below the threshold.
-SLACK = 0.16
+#: Least similarity of a link: the default of operators on shingles, and that of the registered query.
+PERCENT, QUERY_PERCENT = 80, 85
 BLOCK = 256
 
 _rng = np.random.default_rng(17)
@@ -98,30 +97,32 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(split, "bucket long, node long")
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=-1) >= PERCENT / 100 - SLACK
+def agreement(percent: int) -> float:
+    """Signatures that agree less are not confirmed: five standard errors below the threshold."""
+    p = percent / 100
+    return p - 5 * (p * (1 - p) / (BANDS * ROWS)) ** 0.5
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     same, union = overlap(a, b)
-    return 100 * same >= PERCENT * union > 0
+    return 100 * same >= percent * union > 0
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (u, v) that are links: signatures first, then full sets. ``nodes``: (node, signature, text)."""
 
     def compare_signatures(batches):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (2, 3))
-                yield batch.filter(pa.array(_alike(a, b))).select([0, 1])
+                yield batch.filter(pa.array((a == b).mean(axis=-1) >= agreement(percent))).select([0, 1])
 
     def compare_sets(batches):
         for batch in batches:
             for part in slices(batch, 2, 1_000_000):
                 first = shingle_sets(*text_bytes(part.column(2)))
                 second = shingle_sets(*text_bytes(part.column(3)))
-                yield part.filter(pa.array([linked(a, b) for a, b in zip(first, second, strict=True)], pa.bool_())).select([0, 1])
+                yield part.filter(pa.array([linked(a, b, percent) for a, b in zip(first, second, strict=True)], pa.bool_())).select([0, 1])
 
     def both(pairs, column):
         left = nodes.select(F.col("node").alias("u"), F.col(column).alias("a"))
@@ -132,7 +133,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return materialize(both(likely, "text").mapInArrow(compare_sets, "u long, v long"), "near-links")
 
 
-def forest(held: list[tuple]) -> list[tuple[int, int]]:
+def forest(held: list[tuple], percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of confirmed links between members (node, component, signature, set) of different components."""
     parent: dict = {}
 
@@ -147,16 +148,16 @@ def forest(held: list[tuple]) -> list[tuple[int, int]]:
     out = []
     for i in range(len(held)):
         near = (signs[i + 1 :] == signs[i]).mean(axis=1)
-        room = np.minimum(sizes[i + 1 :], sizes[i]) * 100 >= PERCENT * np.maximum(sizes[i + 1 :], sizes[i])
-        for j in (i + 1 + np.flatnonzero((near >= PERCENT / 100 - SLACK) & room)).tolist():
+        room = np.minimum(sizes[i + 1 :], sizes[i]) * 100 >= percent * np.maximum(sizes[i + 1 :], sizes[i])
+        for j in (i + 1 + np.flatnonzero((near >= agreement(percent)) & room)).tolist():
             a, b = root(held[i][1]), root(held[j][1])
-            if a != b and linked(held[i][3], held[j][3]):
+            if a != b and linked(held[i][3], held[j][3], percent):
                 parent[a] = b
                 out.append((held[i][0], held[j][0]))
     return out
 
 
-def cross_links(members: DataFrame, nodes: DataFrame, component: DataFrame) -> DataFrame:
+def cross_links(members: DataFrame, nodes: DataFrame, component: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links between components inside the same bucket. members: (bucket, node); component: (node, component)."""
     placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "near-placed")
@@ -176,12 +177,12 @@ def cross_links(members: DataFrame, nodes: DataFrame, component: DataFrame) -> D
         frame = frame.sort_values("node")
         sets = shingle_sets(*text_bytes(pa.array(frame["text"], pa.string())))
         held = [(n, c, np.frombuffer(s, np.uint32), x) for n, c, s, x in zip(frame["node"], frame["component"], frame["signature"], sets, strict=True)]
-        return pd.DataFrame(forest(held), columns=["u", "v"], dtype="int64")
+        return pd.DataFrame(forest(held, percent), columns=["u", "v"], dtype="int64")
 
     return materialize(rows.groupBy("bucket", "p", "q").applyInPandas(compare, "u long, v long"), "near-cross")
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept, and first: whether the row is the one that stays."""
     signed = materialize(signatures(docs, id_col, text_col), "near-signatures")
     # classes of equal sets: the first row stands for the class
@@ -203,9 +204,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     nodes = wanted.select("node", "signature").join(texts, "node")
     nodes = materialize(nodes, "near-members-text")
 
-    links = confirm(pairs, nodes)
+    links = confirm(pairs, nodes, percent)
     component = materialize(connected_components(links), "near-components")
-    more = cross_links(members.select("bucket", "node"), nodes, component)
+    more = cross_links(members.select("bucket", "node"), nodes, component, percent)
     if not more.isEmpty():
         component = materialize(connected_components(links.union(more)), "near-components")
 
@@ -221,15 +222,15 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("least_id").alias("component_id"), F.col("id").eqNullSafe(F.col("least_id")).alias("kept"), (F.col("row") == F.col("least_row")).alias("first"))
 
 
-def near_dedup_documents(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def near_dedup_documents(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each component, all columns kept."""
     names = docs.columns
     numbered = materialize(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), F.monotonically_increasing_id().alias("at")), "near-documents")
     keyed = numbered.select(F.struct(F.col(f"doc.`{id_col}`").alias("id"), F.col("at")).alias("key"), F.col(f"doc.`{text_col}`").alias("text"))
-    gone = near_duplicates(keyed, "key", "text").where("not first").select(F.col("key.at").alias("at"))
+    gone = near_duplicates(keyed, "key", "text", percent).where("not first").select(F.col("key.at").alias("at"))
     gone = materialize(gone, "near-gone")
     return numbered.join(small_side(gone, 2_000_000), "at", "left_anti").select("doc.*")
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=QUERY_PERCENT)

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from quantloom.llm import minhash
 from quantloom.llm.components import connected_components
 
@@ -16,7 +18,7 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
 
 
-def brute(rows):
+def brute(rows, percent=80):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -27,7 +29,7 @@ def brute(rows):
 
     for i, a in enumerate(sets):
         for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
                 parent[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(rows):
@@ -50,11 +52,12 @@ def corpus(seed, groups, most):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("percent", [80, 85])
+def test_against_brute_force(spark, percent):
     rows = corpus(3, 60, 9) + [(9001, None), (9002, ""), (9003, " \n"), (9004, "one two"), (9005, "ONE two"), (9006, "word " * 30_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
-    assert found == brute(rows)
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, percent=percent).collect()}
+    assert found == brute(rows, percent)
 
 
 def test_large_group_in_blocks(spark, monkeypatch):
