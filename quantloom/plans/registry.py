@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quantloom.plans import accounts, market, more, research, study
+from quantloom.plans import accounts, live, market, more, research, study
 
-BOOKS = [study.book, research.book, accounts.book, market.book, more.book]
+BOOKS = [study.book, research.book, accounts.book, market.book, more.book, live.book]
 
 QUERIES = {name: query for b in BOOKS for name, query in b.queries.items()}
 ORACLES = {name: sql for b in BOOKS for name, sql in b.oracles.items()}

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from quantloom.functions.tables import shared_path
+
 STATE = "closes array<double>, volumes array<double>, seen long, last_close double, ups double, downs double, tr double, ema double, rest array<double>"
 
 
@@ -75,3 +77,12 @@ def run_available(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def emitted(stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there into files below spark.checkpoint.dir and return what it emitted."""
+    spark = stream.sparkSession
+    path = shared_path(spark, name)
+    query = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
