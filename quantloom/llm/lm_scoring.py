@@ -3,9 +3,10 @@
 Every word is predicted from the two words before it and the two after it. The vocabulary is counted over
 the whole corpus: its most frequent words have numbers of their own, all others share hashed ones, so no
 word is dropped. The network (embeddings, one hidden layer, a softmax over word classes and one within the
-class) is trained in numpy on every partition at once: each task descends on its own windows, every
-document giving a share of its positions, and the parameters are averaged between rounds. A document's
-score is the sum of the log-probabilities of all its words.
+class) is trained in numpy on every partition at once: each task descends on its own windows and the
+parameters are averaged between rounds. The rounds share out the positions of every document, so each word
+of the corpus is a training target once. A document's score is the sum of the log-probabilities of all its
+words.
 
 What is moved: one count per distinct word and task, and one parameter update per task, both in step with
 the input. What the driver holds is bounded by the vocabulary and the network.
@@ -31,11 +32,12 @@ WORDS = CLASSES * MEMBERS
 #: Numbers that the rarer words share.
 SHARED = 512
 SIDE, WIDTH, HIDDEN = 2, 16, 16
-#: Of every STRIDE positions one is a training window, another one in each round.
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 1024, 0.25
+ROUNDS, BATCH, RATE = 2, 1024, 0.25
 SEED = 11
-#: A task's update counts by its windows, up to this many batches.
+#: Updates are summed in steps of 1 / POINT, times the task's windows: updates of up to 8 over 2**40 windows fit.
 POINT = 1 << 20
+#: Words of the texts that are shuffled together.
+MIXED = 200_000
 
 
 def vocabulary(docs: DataFrame, text_col="text") -> np.ndarray:
@@ -108,11 +110,15 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(targets, contexts) of every position of every document; places outside a document hold the edge's number."""
+def windows(words: list[bytes], turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(targets, contexts) of every position of every document, or of every ``turns``-th from ``turn`` on; places
+    outside a document hold the edge's number."""
     edge = np.full(SIDE, WORDS, np.uint16).tobytes()
     line = np.frombuffer(edge + edge.join(words) + edge, np.uint16)
     at = np.flatnonzero(line != WORDS)
+    if turns > 1:
+        counts = np.array([len(w) // 2 for w in words], np.int64)
+        at = at[(np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)) % turns == turn]
     sides = [k for k in range(-SIDE, SIDE + 1) if k]
     return line[at].astype(np.int64), np.stack([line[at + k] for k in sides], axis=1).astype(np.int64)
 
@@ -140,30 +146,39 @@ def log_probabilities(net: dict, target: np.ndarray, context: np.ndarray) -> np.
     return out
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(axis=1, keepdims=True))
+    return x / x.sum(axis=1, keepdims=True)
+
+
 def descend(net: dict, target: np.ndarray, context: np.ndarray, rate: float = RATE) -> None:
     """One pass of minibatch gradient descent over the windows, in place. What every window touches takes
-    the mean gradient; a member or an embedding takes the sum over the few windows that hold it."""
-    for a in range(0, len(target) - BATCH + 1, BATCH):
+    the mean gradient; a member or an embedding takes the sum over the few windows that hold it. A last
+    batch of fewer windows takes a step that is shorter in proportion."""
+    for a in range(0, len(target), BATCH):
         t, c = target[a : a + BATCH], context[a : a + BATCH]
         order = np.argsort(t, kind="stable")
         t, c = t[order], c[order]
-        x = net["embed"][c].reshape(BATCH, -1)
+        n = len(t)
+        x = net["embed"][c].reshape(n, -1)
         h = np.tanh(x @ net["hidden"] + net["hidden_bias"])
         group, member = t // MEMBERS, t % MEMBERS
-        pull = np.exp(_log_softmax(h @ net["of_class"] + net["class_bias"]))
-        pull[np.arange(BATCH), group] -= 1
+        pull = _softmax(h @ net["of_class"] + net["class_bias"])
+        pull[np.arange(n), group] -= 1
         dh = pull @ net["of_class"].T
         step, mean = rate / 16, 16 * rate / BATCH
         cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
-        for g in range(CLASSES):
-            p, q = cuts[g], cuts[g + 1]
-            if p < q:
-                weights, part = net["of_member"][g], h[p:q]
-                inner = np.exp(_log_softmax(part @ weights + net["member_bias"][g]))
-                inner[np.arange(q - p), member[p:q]] -= 1
-                dh[p:q] += inner @ weights.T
-                weights -= step * (part.T @ inner)
-                net["member_bias"][g] -= step * inner.sum(axis=0)
+        held = [(g, p, q) for g, p, q in zip(range(CLASSES), cuts, cuts[1:], strict=False) if p < q]
+        inner = net["member_bias"][group]
+        for g, p, q in held:
+            inner[p:q] += h[p:q] @ net["of_member"][g]
+        inner = _softmax(inner)
+        inner[np.arange(n), member] -= 1
+        for g, p, q in held:
+            weights, part = net["of_member"][g], inner[p:q]
+            dh[p:q] += part @ weights.T
+            weights -= step * (h[p:q].T @ part)
+        net["member_bias"][[g for g, _, _ in held]] -= step * np.add.reduceat(inner, [p for _, p, _ in held])
         dz = dh * (1 - h * h)
         dx = (dz @ net["hidden"].T).reshape(-1, WIDTH)
         net["of_class"] -= mean * h.T @ pull
@@ -173,6 +188,23 @@ def descend(net: dict, target: np.ndarray, context: np.ndarray, rate: float = RA
         np.subtract.at(net["embed"], c.ravel(), step * dx)
 
 
+def training_windows(batches, turn: int, turns: int):
+    """The windows of one round of a task in shuffled pieces of whole batches; what is left over goes on to the
+    next texts, and only the last piece may end in part of a batch."""
+    rng, held = np.random.default_rng(SEED + turn), windows([])
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        group = np.cumsum([len(t) // 2 for t in texts]) // MIXED
+        for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)], cuts[1:], strict=False):
+            target, context = windows(texts[a:b], turn, turns)
+            order = rng.permutation(len(target))
+            target, context = np.concatenate([held[0], target[order]]), np.concatenate([held[1], context[order]])
+            whole = len(target) // BATCH * BATCH
+            held = target[whole:], context[whole:]
+            yield target[:whole], context[:whole]
+    yield held
+
+
 BLOCKS = 32
 
 
@@ -183,16 +215,10 @@ def train(words: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
         sent = spark.sparkContext.broadcast(flat(net))
 
         def descend_here(batches, sent=sent, turn=turn):
-            net, seen = unflat(sent.value), 0
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for a in range(0, len(texts), 500):
-                    target, context = windows(texts[a : a + 500])
-                    target, context = target[turn::STRIDE], context[turn::STRIDE]
-                    order = np.random.default_rng(SEED + turn).permutation(len(target))
-                    descend(net, target[order], context[order])
-                    seen += len(target)
-            weight = min(seen // BATCH, 1 << 12)
+            net, weight = unflat(sent.value), 0
+            for target, context in training_windows(batches, turn, rounds):
+                descend(net, target, context)
+                weight += len(target)
             update = np.round((flat(net).astype(np.float64) - sent.value) * POINT).astype(np.int64) * weight
             if weight and np.isfinite(flat(net)).all():
                 parts = np.array_split(update, BLOCKS)
@@ -211,7 +237,7 @@ def train(words: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
         rows = words.select("words").mapInArrow(descend_here, schema).repartition("block").mapInArrow(add, schema).collect()  # BLOCKS rows
         if rows:
             rows.sort(key=lambda r: r.block)
-            mean = np.concatenate([np.frombuffer(r.update, np.int64) / (r.weight * POINT) for r in rows])
+            mean = np.concatenate([np.frombuffer(r.update, np.int64) / (float(r.weight) * POINT) for r in rows])
             net = unflat(flat(net) + mean)
     return net
 

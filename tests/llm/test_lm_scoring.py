@@ -1,6 +1,7 @@
 """Pseudo-likelihood: the batched network against a plain loop, gradients, and learning."""
 
 import numpy as np
+import pyarrow as pa
 
 from quantloom.llm import lm_scoring as lm
 
@@ -43,3 +44,31 @@ def test_awkward_rows(spark):
     assert set(rows) == {(1, 0), (None, 20_000), (4, 2)}
     assert rows[1, 0].log_prob == 0 and rows[1, 0].mean_log_prob is None
     assert lm.pseudo_likelihood(docs.limit(0)).count() == 0
+
+
+def test_every_position_is_a_target(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, lm.WORDS, n).astype(np.uint16).tobytes() for n in (0, 1, 2, 5, 3000, 17, 0, 1, 900)]
+    texts += [rng.integers(0, lm.WORDS, 3).astype(np.uint16).tobytes() for _ in range(600)]
+    monkeypatch.setattr(lm, "MIXED", 1500)
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a:b], pa.binary())], ["words"]) for a, b in ((0, 5), (5, 300), (300, len(texts)))]
+    pieces = [list(lm.training_windows(batches, turn, lm.ROUNDS)) for turn in range(lm.ROUNDS)]
+    assert all(len(t) % lm.BATCH == 0 for round_ in pieces for t, _ in round_[:-1])
+    line = lambda parts: np.concatenate([np.column_stack([t, c]) for t, c in parts])
+    seen, every = line([p for round_ in pieces for p in round_]), line([lm.windows(texts)])
+    assert sorted(map(tuple, seen)) == sorted(map(tuple, every))
+
+
+def test_a_corpus_of_short_documents_learns(spark):
+    docs = spark.createDataFrame([(i, "red green blue" if i % 2 else "one two") for i in range(300)], "doc_id long, text string").coalesce(2)
+    words = lm.numbered(docs, lm.vocabulary(docs)).cache()
+    total = lambda net: lm.score(words, net).selectExpr("sum(log_prob)").first()[0]
+    assert total(lm.train(words)) > total(lm.initial()) * 0.98
+
+
+def test_tasks_weigh_by_their_windows(spark):
+    """Two tasks of different size: the average is that of their own updates, by windows."""
+    a, b = np.arange(40, dtype=np.uint16).tobytes(), np.arange(500, 520, dtype=np.uint16).tobytes()
+    rows = lambda *texts: spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), len(texts)), "id long, words binary")
+    both, one, two = (lm.flat(lm.train(rows(*texts), 1)) for texts in ((a, b), (a,), (b,)))
+    assert np.abs(one - two).max() > 1e-3 and np.allclose(both, (one * 40 + two * 20) / 60, atol=1e-5)
