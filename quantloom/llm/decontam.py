@@ -2,7 +2,9 @@
 
 Numbers, units after numbers and capitalised names inside sentences become typed placeholders that carry
 their values (``0n12``, ``0ukm``, ``0pmary``); without the values the text is a template. Every window of
-eight template words of every document is joined by hash with the benchmark's windows. Matching windows
+eight template words of every document is joined by hash with the benchmark's windows. As capitals tell the
+names, a window with names is also joined with them as plain words, so that copies match whatever their case
+and line breaks. Matching windows
 are aligned by the distance of their positions, and an alignment counts only if its slots are consistent:
 one value of the benchmark always stands for one value of the document. So verbatim copies match, and so
 do re-parameterised questions, but not a text that merely shares the shape of a phrase.
@@ -30,9 +32,10 @@ UNITS = "km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|m
 
 def valued(text: Column) -> Column:
     """Lower-cased words with placeholders that carry their values, one blank apart."""
+    text = F.regexp_replace(text, r"\x20*+[\s\p{Z}&&[^\x20]][\s\p{Z}]*+|\x20{2,}+", " ")
     text = F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", "q")
     text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])([0-9]+(?:q[0-9]+)*+)", " 0n$1 ")
-    text = F.regexp_replace(text, rf"(0n[0-9q]++ )\s*+({UNITS})(?!\p{{L}})", "$1 0u$2 ")
+    text = F.regexp_replace(text, rf"(0n[0-9q]++ )\s*+((?i:{UNITS}))(?!\p{{L}})", "$1 0u$2 ")
     text = F.regexp_replace(text, r"(?<=[\p{Ll},;]\x20)(\p{Lu}\p{Ll}++)", "0p$1")
     return F.lower(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))
 
@@ -42,11 +45,19 @@ def template(words: Column) -> Column:
     return F.when(words.contains("0"), F.regexp_replace(words, r"(?<![^ ])0([nup])[^ ]*", "0$1")).otherwise(words)
 
 
+def plain(words: Column) -> Column:
+    """A window with its names as words."""
+    return F.when(words.contains("0p"), F.regexp_replace(words, r"(?<![^ ])0p", "")).otherwise(words)
+
+
 def windows(rows: DataFrame, size: int) -> DataFrame:
-    """Explode ``words`` into all windows of ``size`` words: adds pos, window and the hash of its template."""
+    """Explode ``words`` into all windows of ``size`` words: adds pos, window and the hash of its template; a
+    window with names has a second row, with the hash of the template in which they are words."""
     every = F.regexp_extract_all("words", F.lit(rf"(?<![^ ])(?=((?:[^ ]++ ){{{size - 1}}}[^ ]++))"), F.lit(1))
     rows = rows.select(*(c for c in rows.columns if c != "words"), F.posexplode(every).alias("pos", "window"))
-    return rows.withColumn("hash", F.xxhash64(template(F.col("window"))))
+    window = F.col("window")
+    one, other = F.xxhash64(template(window)), F.xxhash64(template(plain(window)))
+    return rows.withColumn("hash", F.explode(F.when(window.contains("0p"), F.array(one, other)).otherwise(F.array(one))))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -61,8 +72,11 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> Dat
     return materialize(out.select("size", "item_row", "item", "n_windows", F.col("pos").alias("item_pos"), F.col("window").alias("item_window"), "hash"), "leak-windows")
 
 
-def slots(window: Column) -> Column:
-    return F.filter(F.split(window, " "), lambda w: w.rlike("^0[nup]"))
+def slots(window: Column, item_window: Column) -> Column:
+    """(theirs, ours) of every slot of the benchmark's window."""
+    pairs = F.arrays_zip(F.split(item_window, " ").alias("theirs"), F.split(window, " ").alias("ours"))
+    pairs = F.filter(pairs, lambda v: v["theirs"].rlike("^0[nup]"))
+    return F.transform(pairs, lambda v: F.struct(plain(v["theirs"]).alias("theirs"), plain(v["ours"]).alias("ours")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
@@ -73,7 +87,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     found = None
     for size in sorted(sizes):
         part = windows(rows, size).join(small_side(known.where(F.col("size") == size), BROADCAST_WINDOWS), "hash")
-        part = part.where(template(F.col("window")) == template(F.col("item_window")))
+        ours, theirs = F.col("window"), F.col("item_window")
+        part = part.where((template(ours) == template(theirs)) | (template(plain(ours)) == template(plain(theirs))))
         part = part.select("row", "id", "item_row", "item", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "window", "item_window")
         found = part if found is None else found.union(part)
     if found is None:  # no item has words
@@ -82,8 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     found = materialize(found, "leak-matches")
 
     key = ["row", "item_row", "shift"]
-    values = found.where(F.size(slots(F.col("window"))) > 0)
-    values = values.select(*key, F.explode(F.arrays_zip(slots(F.col("item_window")).alias("theirs"), slots(F.col("window")).alias("ours"))).alias("v"))
+    values = found.select(*key, F.explode(slots(F.col("window"), F.col("item_window"))).alias("v"))
     values = values.groupBy(*key, "v.theirs").agg(F.min("v.ours").alias("a"), F.max("v.ours").alias("b"))
     values = values.groupBy(*key).agg(F.count("*").alias("slots"), F.max((F.col("a") != F.col("b")).cast("int")).alias("clash"))
     aligned = found.groupBy(*key, "id", "item", "n_windows").agg(F.collect_set("item_pos").alias("places"))

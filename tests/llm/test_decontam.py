@@ -63,3 +63,11 @@ def test_empty_and_clashing(spark):
     assert kept.columns == docs.columns and kept.count() == 2
     assert decontam.drop_contaminated(docs, bench.limit(0)).count() == 3
     assert decontam.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_names_in_any_case_and_layout(spark):
+    items = [ITEMS[0], (7, "we saw Bob and Eve near Rome with Ann from Oslo and Jim with Kim at Nice"), (9, "he ran 12 km and then 7 miles before he took a rest of 20 minutes"), (10, "they told that tom and anna went to paris with karl and zoe from berlin")]
+    forms = [str, str.lower, str.upper, str.title, lambda t: t.replace(" ", "\n"), lambda t: t.replace(" ", "  "), lambda t: t.replace(" ", "\u00a0\t ")]
+    texts = [form(t) for _, t in items for form in forms] + ["they told that Tom and Anna went to Paris with Karl and Zoe from Berlin"]
+    expected = {(k, items[k // len(forms)][0]) for k in range(len(items) * len(forms))} | {(len(texts) - 1, 10)}
+    assert found(spark, texts, items) == expected
