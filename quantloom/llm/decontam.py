@@ -5,9 +5,10 @@ their values (``0n12``, ``0ukm``, ``0pmary``); without the values the text is a
 eight template words of every document is joined by hash with the benchmark's windows. As capitals tell the
 names, a window with names is also joined with them as plain words, so that copies match whatever their case
 and line breaks. Matching windows
-are aligned by the distance of their positions, and an alignment counts only if its slots are consistent:
-one value of the benchmark always stands for one value of the document. So verbatim copies match, and so
-do re-parameterised questions, but not a text that merely shares the shape of a phrase.
+are aligned by the distance of their positions. A window with the benchmark's own values counts as it is; one
+that matches by template alone counts only if the alignment's slots are consistent: one value of the benchmark
+always stands for one value of the document. So verbatim copies match, and so do re-parameterised questions,
+but not a text that merely shares the shape of a phrase.
 
 Defined cases: null and empty texts match nothing; items shorter than a window are matched as one window
 of their own length; items without words are left out; repeated items match each on its own; every
@@ -100,8 +101,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     values = found.select(*key, F.explode(slots(F.col("window"), F.col("item_window"))).alias("v"))
     values = values.groupBy(*key, "v.theirs").agg(F.min("v.ours").alias("a"), F.max("v.ours").alias("b"))
     values = values.groupBy(*key).agg(F.count("*").alias("slots"), F.max((F.col("a") != F.col("b")).cast("int")).alias("clash"))
-    aligned = found.groupBy(*key, "id", "item", "n_windows").agg(F.collect_set("item_pos").alias("places"))
-    aligned = aligned.join(values, key, "left").where("coalesce(clash, 0) = 0")
+    same = plain(F.col("window")) == plain(F.col("item_window"))
+    aligned = found.groupBy(*key, "id", "item", "n_windows").agg(F.collect_set("item_pos").alias("places"), F.collect_set(F.when(same, F.col("item_pos"))).alias("verbatim"))
+    aligned = aligned.join(values, key, "left").withColumn("places", F.when(F.coalesce("clash", F.lit(0)) == 0, F.col("places")).otherwise(F.col("verbatim")))
     places = aligned.groupBy("row", "id", "item_row", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.coalesce(F.max("slots"), F.lit(0)).alias("n_slots"))
     need = F.least(F.ceil(F.col("n_windows") * SHARE), F.lit(ENOUGH))
     return places.where(F.col("n_matched") >= need).select("row", F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("n_windows").cast("long"), "n_matched", "n_slots")

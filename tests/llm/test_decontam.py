@@ -71,3 +71,13 @@ def test_names_in_any_case_and_layout(spark):
     texts = [form(t) for _, t in items for form in forms] + ["they told that Tom and Anna went to Paris with Karl and Zoe from Berlin"]
     expected = {(k, items[k // len(forms)][0]) for k in range(len(items) * len(forms))} | {(len(texts) - 1, 10)}
     assert found(spark, texts, items) == expected
+
+
+def test_a_clash_leaves_verbatim_windows(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    items = [(1, " ".join(words[:100]) + " take 12 more " + " ".join(words[100:]) + " and 12 again")]
+    one_off = items[0][1].replace("and 12 again", "and 13 again")
+    shape_only = "we take 12 and then 12 plus 7 and so 12 again for 12"
+    shared = "we take 30 and then 31 plus 7 and so 32 again for 33"
+    assert found(spark, [one_off, shared], [*items, (2, shape_only)]) == {(0, 1)}
