@@ -1,8 +1,10 @@
 """Secrets, told apart by how widely their values are spread over repositories and owners.
 
 Patterns propose candidates; the hash of each candidate's value is counted over the whole corpus by
-distinct owners and distinct repositories. A value that several owners hold is a copied example; a
-value of one owner, seen in few of its repositories, is live-looking. Base spans stay either way.
+distinct owners and distinct repositories. A value that several owners hold, or that many repositories
+hold, whoever owns them, is a copied example; a value of few owners, seen in few of their repositories,
+is live-looking. Base spans stay either way. ``spread`` gives "owners:repositories" of each span's value,
+in the order of ``spans``.
 
 Defined cases: null text counts as empty; a null owner or repository counts as one of its own; every
 input row gives one output row; ties in start are ordered by kind; an empty table gives an empty result.
@@ -24,6 +26,8 @@ PEM = r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"
 HOST_TOKEN = r"(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"
 #: From this many owners on, a value counts as a copied example.
 EXAMPLE_OWNERS = 3
+#: And from this many repositories on, of one owner or of several.
+EXAMPLE_REPOSITORIES = 10
 
 
 def value_of(hit: Column) -> Column:
@@ -57,15 +61,20 @@ def secret_spans(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="s
     return spans.select("row", F.col("id.id").alias("id"), "kind", "start", "stop", "valid", F.when(F.col("valid"), F.sha2(value_of(F.col("hit")).cast("binary"), 256)).alias("value"), F.col("id.owner").alias("owner"), F.col("id.repository").alias("repository"))
 
 
-def secrets(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repository_col="doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row per document: counts, base_sha256, spans, n_live, n_example."""
+def secrets(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repository_col="doc_id", example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES) -> DataFrame:
+    """One row per document: counts, base_sha256, spans, n_live, n_example, spread."""
     spans = materialize(secret_spans(docs, id_col, text_col, owner_col, repository_col), "secret-spans")
-    shared = ownership(spans.where("valid")).where(F.col("owners") >= example_owners)
-    shared = materialize(shared.select(F.col("value").alias("shared"), "owners"), "secret-owners")
+    # values of one repository need no row: their counts are 1 and 1
+    shared = ownership(spans.where("valid")).where(F.col("repositories") > 1)
+    shared = materialize(shared.select(F.col("value").alias("shared"), "owners", "repositories"), "secret-owners")
     spans = spans.join(small_side(shared), F.col("value") == F.col("shared"), "left")
-    live = F.count(F.when(F.col("valid") & F.col("shared").isNull(), 1)).alias("n_live")
-    example = F.count("shared").alias("n_example")
-    return span_digest(spans, rules(), id_col, [live, example])
+    owners, repositories = F.coalesce("owners", F.lit(1)), F.coalesce("repositories", F.lit(1))
+    copied = (owners >= example_owners) | (repositories >= example_repositories)
+    live = F.count(F.when(F.col("valid") & ~copied, 1)).alias("n_live")
+    example = F.count(F.when(F.col("valid") & copied, 1)).alias("n_example")
+    entry = F.struct("start", "kind", F.concat_ws(":", owners.cast("string"), repositories.cast("string")).alias("label"))
+    spread = F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.when(F.col("valid"), entry))), lambda x: x["label"])).alias("spread")
+    return span_digest(spans, rules(), id_col, [live, example, spread])
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:

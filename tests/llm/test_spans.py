@@ -84,3 +84,11 @@ def test_ownership_separates_examples(spark):
     rows = [f"password = example123 {i}" for i in range(8)] + ["password = onlyhere1"]
     found = secrets.secrets(frame(spark, rows)).orderBy("doc_id").collect()
     assert [(r.n_live, r.n_example) for r in found] == [(0, 1)] * 8 + [(1, 0)]
+
+
+def test_repositories_separate_examples_too(spark):
+    most = secrets.EXAMPLE_REPOSITORIES
+    rows = [("hot", "password = onesource1")] * most + [("hot", "password = fewplaces1")] * (most - 1) + [(f"s{i % 2}", "password = twosource1") for i in range(most)] + [("hot", "password = alone11 token = onesource1")]
+    docs = spark.createDataFrame([(i, t, "en", s, 1) for i, (s, t) in enumerate(rows)], SCHEMA)
+    found = [(r.n_live, r.n_example, r.spread) for r in secrets.secrets(docs).orderBy("doc_id").collect()]
+    assert found == [(0, 1, f"1:{most + 1}")] * most + [(1, 0, f"1:{most - 1}")] * (most - 1) + [(0, 1, f"2:{most}")] * most + [(1, 1, f"1:1,1:{most + 1}")]
