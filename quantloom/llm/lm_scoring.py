@@ -3,17 +3,20 @@
 Every word is predicted from the two words before it and the two after it. The vocabulary is counted over
 the whole corpus: its most frequent words have numbers of their own, all others share hashed ones, so no
 word is dropped. The network (embeddings, one hidden layer, a softmax over word classes and one within the
-class) is trained in numpy on every partition at once: each task descends on its own windows and the
-parameters are averaged between rounds. The rounds share out the positions of every document, so each word
-of the corpus is a training target once. A document's score is the sum of the log-probabilities of all its
-words.
-
-What is moved: one count per distinct word and task, and one parameter update per task, both in step with
-the input. What the driver holds is bounded by the vocabulary and the network.
-
-Defined cases: null and empty texts have no words and score 0 (their mean is null); every input row gives one
-output row; ties in the vocabulary are broken by the word's hash; updates are summed as integers, so the
-order of tasks changes nothing; an empty table gives an empty result; other columns are ignored.
+class) starts at the corpus's word frequencies and is trained in numpy. Documents are dealt to shards of a
+fixed number of words, whatever the partitions of the input; every shard descends on its own windows and the
+parameters are averaged between rounds, weighed by windows. The rounds share out the positions of every
+document, so each word of the corpus is a training target once. A document's score is the sum of the
+log-probabilities of all its words. As the network has seen the document itself, ``n_own`` says how many
+distinct words of it no other document holds: words whose probability nothing else in the corpus supports.
+
+What is moved: one count per distinct word and task, the word numbers once, and one parameter update per
+shard and round, all in step with the input. What the driver holds is bounded by the vocabulary and the network.
+
+Defined cases: null and empty texts have no words and score 0 (their mean is null); very long texts are read
+whole, in pieces of bounded memory; every input row gives one output row; rows of one id and one text count as
+the same document for ``n_own``; ties in the vocabulary are broken by the word's hash; updates are added in the
+order of shards; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,71 +34,137 @@ CLASSES, MEMBERS = 64, 64
 WORDS = CLASSES * MEMBERS
 #: Numbers that the rarer words share.
 SHARED = 512
-SIDE, WIDTH, HIDDEN = 2, 16, 16
-ROUNDS, BATCH, RATE = 2, 1024, 0.25
+SIDE, WIDTH, HIDDEN = 2, 16, 32
+ROUNDS, BATCH = 2, 2048
+#: Rates of the summed gradients of embeddings and members, and of the mean gradients of what every window touches.
+RATES = {"embed": 0.1, "of_member": 0.1, "hidden": 1.6, "of_class": 6.4}
 SEED = 11
-#: Updates are summed in steps of 1 / POINT, times the task's windows: updates of up to 8 over 2**40 windows fit.
-POINT = 1 << 20
-#: Words of the texts that are shuffled together.
-MIXED = 200_000
+#: Words of a shard, and windows that are shuffled together.
+SHARD_WORDS, MIXED = 2_000_000, 1_000_000
+#: Shards whose updates are added in one step, and parts that an update is cut into.
+FAN, BLOCKS = 64, 32
+
+
+def _text(name: str):
+    return F.coalesce(F.col(name).cast("string"), F.lit("")).alias("text")
 
 
-def vocabulary(docs: DataFrame, text_col="text") -> np.ndarray:
-    """Hashes of the most frequent words, most frequent first, counted over all texts."""
+def _handle(id_col: str, text_col: str):
+    """One number for an id and its text."""
+    return F.xxhash64(F.col(id_col), _text(text_col)).alias("handle")
+
+
+def word_counts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(word, times, low, high) of every distinct word's hash; low and high are the least and the greatest handle of its documents."""
 
     def count(batches):
         for batch in batches:
-            for part in slices(batch, 0, 8_000_000):
-                words, times = np.unique(word_hashes(*text_bytes(part.column(0)))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(times.astype(np.int64))], ["word", "times"])
+            for part in slices(batch, 1, 8_000_000):
+                hashes, sizes = word_hashes(*text_bytes(part.column(1)))
+                if not len(hashes):
+                    continue
+                order = np.argsort(hashes)
+                words, holder = hashes[order], np.repeat(np.asarray(part.column(0)), sizes)[order]
+                at = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+                columns = [words[at].view(np.int64), np.diff(at, append=len(words)), np.minimum.reduceat(holder, at), np.maximum.reduceat(holder, at)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "times", "low", "high"])
+
+    counts = docs.select(_handle(id_col, text_col), _text(text_col)).mapInArrow(count, "word long, times long, low long, high long")
+    return counts.groupBy("word").agg(F.sum("times").alias("times"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def head(counts: DataFrame, most: int) -> list:
+    """The most frequent words of a written table. Heads of FAN partitions at a time are merged, so that no task reads all of them."""
+
+    def first(batches):
+        held = pa.table({"word": pa.array([], pa.int64()), "times": pa.array([], pa.int64())})
+        for batch in batches:
+            both = pa.concat_tables([held, pa.Table.from_batches([batch])])
+            held = both.sort_by([("times", "descending"), ("word", "ascending")]).slice(0, most)
+        yield from held.combine_chunks().to_batches()
+
+    rows, parts = counts.select("word", "times"), counts.rdd.getNumPartitions()
+    rows = rows.mapInArrow(first, "word long, times long")
+    while parts > FAN:
+        parts = -(-parts // FAN)
+        rows = rows.repartition(parts).mapInArrow(first, "word long, times long")
+    return rows.orderBy(F.desc("times"), "word").limit(most).collect()  # bounded by ``most``
+
+
+class Vocabulary:
+    """Hashes of the most frequent words, most frequent first; how often each word number occurs; and all words."""
+
+    def __init__(self, counts: DataFrame):
+        rows = head(counts, WORDS - SHARED)
+        self.frequent = np.array([r.word for r in rows], np.int64).view(np.uint64)
+        by_number, rare = np.zeros(WORDS, np.int64), np.zeros(SHARED, np.int64)
+        for r in counts.groupBy(F.col("word").bitwiseAND(SHARED - 1).alias("low")).agg(F.sum("times").alias("n")).collect():  # SHARED rows
+            rare[r.low] = r.n
+        self.total = int(rare.sum())
+        times = np.array([r.times for r in rows], np.int64)
+        np.subtract.at(rare, (self.frequent % np.uint64(SHARED)).astype(np.int64), times)
+        by_number[: len(times)], by_number[WORDS - SHARED :] = times, rare
+        self.counts = np.zeros(WORDS, np.int64)
+        self.counts[dealt(np.arange(WORDS))] = by_number
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    counts = docs.select(text.alias("text")).mapInArrow(count, "word long, times long").groupBy("word").agg(F.sum("times").alias("times"))
-    # the executors merge their heads into one list; the driver reads that list alone, bounded by the vocabulary
-    top = materialize(counts.orderBy(F.desc("times"), "word").limit(WORDS - SHARED), "lm-vocabulary").collect()
-    return np.array([r.word for r in sorted(top, key=lambda r: (-r.times, r.word))], np.int64).view(np.uint64)
+
+def dealt(number: np.ndarray) -> np.ndarray:
+    """Deal the numbers over the classes, so that classes weigh alike."""
+    return number % CLASSES * MEMBERS + number // CLASSES
 
 
 class Numbering:
-    """Word hashes to word numbers; frequent words are dealt over the classes so that classes weigh alike."""
+    """Word hashes to word numbers."""
 
     def __init__(self, frequent: np.ndarray):
         order = np.argsort(frequent)
         self.known, self.number = frequent[order], order.astype(np.int64)
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        rare = (WORDS - SHARED + (hashes % np.uint64(SHARED)).astype(np.int64)).astype(np.int64)
-        if not len(self.known):
-            number = rare
-        else:
+        number = WORDS - SHARED + (hashes % np.uint64(SHARED)).astype(np.int64)
+        if len(self.known):
             at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            number = np.where(self.known[at] == hashes, self.number[at], rare)
-        return (number % CLASSES * MEMBERS + number // CLASSES).astype(np.uint16)
+            number = np.where(self.known[at] == hashes, self.number[at], number)
+        return dealt(number).astype(np.uint16)
 
 
-def numbered(docs: DataFrame, frequent: np.ndarray, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, words): the word numbers of every text, two bytes each."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def numbered(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(shard, row, id, handle, words): the word numbers of every text, two bytes each, ordered by shard and row."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary.frequent)
+    shards = shard_count(vocabulary, shard_words)
 
     def number(batches):
         give = Numbering(sent.value)
         for batch in batches:
-            for part in slices(batch, 1):
-                hashes, counts = word_hashes(*text_bytes(part.column(1)))
+            for part in slices(batch, 3):
+                hashes, counts = word_hashes(*text_bytes(part.column(3)))
                 words, ends = give(hashes).tobytes(), np.cumsum(counts) * 2
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([words[a:b] for a, b in zip(ends - counts * 2, ends, strict=True)], pa.binary())], ["id", "words"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([words[a:b] for a, b in zip(ends - counts * 2, ends, strict=True)], pa.binary())], ["row", "id", "handle", "words"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _handle(id_col, text_col), _text(text_col))
+    rows = rows.mapInArrow(number, f"row long, id {docs.schema[id_col].dataType.simpleString()}, handle long, words binary")
+    rows = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), "row", "id", "handle", "words")
+    return rows.repartition(max(min(shards, 1000), -(-shards // FAN)), "shard").sortWithinPartitions("shard", "row")
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    return rows.mapInArrow(number, f"id {docs.schema[id_col].dataType.simpleString()}, words binary")
 
+def shard_count(vocabulary: Vocabulary, shard_words: int = SHARD_WORDS) -> int:
+    return max(1, -(-vocabulary.total // shard_words))
 
-SHAPES = {"embed": (WORDS + 1, WIDTH), "hidden": (2 * SIDE * WIDTH, HIDDEN), "hidden_bias": (HIDDEN,), "of_class": (HIDDEN, CLASSES), "class_bias": (CLASSES,), "of_member": (CLASSES, HIDDEN, MEMBERS), "member_bias": (CLASSES, MEMBERS)}
 
+#: The last hidden unit is always on, at this value: its weights are the biases of the output layers.
+ON = np.float32(0.5)
+SHAPES = {"embed": (WORDS + 1, WIDTH), "hidden": (2 * SIDE * WIDTH, HIDDEN), "of_class": (HIDDEN + 1, CLASSES), "of_member": (CLASSES, HIDDEN + 1, MEMBERS)}
+_ONES = np.ones(max(CLASSES, MEMBERS), np.float32)
 
-def initial(seed: int = SEED) -> dict[str, np.ndarray]:
+
+def initial(counts: np.ndarray, seed: int = SEED) -> dict[str, np.ndarray]:
+    """Small random weights, and biases that give every word number its frequency (plus one) in the corpus."""
     rng = np.random.default_rng(seed)
-    return {k: np.zeros(s, np.float32) if "bias" in k else rng.normal(0, 0.1 if k == "embed" else 0.15, s).astype(np.float32) for k, s in SHAPES.items()}
+    net = {k: rng.normal(0, 0.1 if k == "embed" else 0.15, s).astype(np.float32) for k, s in SHAPES.items()}
+    often = (counts + 1.0).reshape(CLASSES, MEMBERS)
+    net["of_class"][-1] = np.log(often.sum(axis=1) / often.sum()) / ON
+    net["of_member"][:, -1] = np.log(often / often.sum(axis=1, keepdims=True)) / ON
+    return net
 
 
 def flat(net: dict[str, np.ndarray]) -> np.ndarray:
@@ -110,140 +179,139 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(words: list[bytes], turn: int = 0, turns: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(targets, contexts) of every position of every document, or of every ``turns``-th from ``turn`` on; places
-    outside a document hold the edge's number."""
+def windows(words: list[bytes], turn: int = 0, turns: int = 1, most: int = MIXED):
+    """(targets, contexts) in pieces of about ``most``: every position of every document, or every ``turns``-th from
+    ``turn`` on; places outside a document hold the edge's number."""
     edge = np.full(SIDE, WORDS, np.uint16).tobytes()
     line = np.frombuffer(edge + edge.join(words) + edge, np.uint16)
-    at = np.flatnonzero(line != WORDS)
-    if turns > 1:
-        counts = np.array([len(w) // 2 for w in words], np.int64)
-        at = at[(np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)) % turns == turn]
     sides = [k for k in range(-SIDE, SIDE + 1) if k]
-    return line[at].astype(np.int64), np.stack([line[at + k] for k in sides], axis=1).astype(np.int64)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    for a in range(0, len(line), most * turns):
+        at = a + np.flatnonzero(line[a : a + most * turns] != WORDS)
+        at = at[at % turns == turn]
+        if len(at):
+            yield line[at], np.stack([line[at + k] for k in sides], axis=1)
+
+
+def _hidden(net: dict, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The input of every window and the hidden units, the last of which is always on."""
+    x = net["embed"].take(context.ravel(), axis=0).reshape(len(context), -1)
+    h = np.full((len(context), HIDDEN + 1), ON, np.float32)
+    np.tanh(x @ net["hidden"], out=h[:, :-1])
+    return x, h
+
+
+def _by_class(net: dict, target: np.ndarray, context: np.ndarray) -> tuple:
+    """Windows in the order of their targets: order, input, hidden, class, member, class's outputs, member's outputs, and
+    (class, first, end) of every class that occurs."""
+    order = np.argsort(target, kind="stable")
+    x, h = _hidden(net, context[order])
+    group, member = np.divmod(target[order].astype(np.int64), MEMBERS)
+    cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
+    held = [(g, a, b) for g, a, b in zip(range(CLASSES), cuts, cuts[1:], strict=False) if a < b]
+    inner = np.empty((len(target), MEMBERS), np.float32)
+    for g, a, b in held:
+        np.matmul(h[a:b], net["of_member"][g], out=inner[a:b])
+    return order, x, h, group, member, h @ net["of_class"], inner, held
 
 
 def log_probabilities(net: dict, target: np.ndarray, context: np.ndarray) -> np.ndarray:
     """The log-probability of each target, given its context."""
     out = np.empty(len(target), np.float32)
-    for a in range(0, len(target), 16_384):
-        t, c = target[a : a + 16_384], context[a : a + 16_384]
-        h = np.tanh(net["embed"][c].reshape(len(t), -1) @ net["hidden"] + net["hidden_bias"])
-        group = t // MEMBERS
-        p = _log_softmax(h @ net["of_class"] + net["class_bias"])[np.arange(len(t)), group]
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            rows = order[cuts[g] : cuts[g + 1]]
-            if len(rows):
-                p[rows] += _log_softmax(h[rows] @ net["of_member"][g] + net["member_bias"][g])[np.arange(len(rows)), t[rows] % MEMBERS]
-        out[a : a + 16_384] = p
+    for a in range(0, len(target), 2 * BATCH):
+        order, _, _, group, member, outer, inner, _ = _by_class(net, target[a : a + 2 * BATCH], context[a : a + 2 * BATCH])
+        at = np.arange(len(order))
+        out[a + order] = outer[at, group] - np.log(np.exp(outer) @ _ONES[:CLASSES]) + inner[at, member] - np.log(np.exp(inner) @ _ONES[:MEMBERS])
     return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+def _missed(outputs: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Softmax less the truth, in place."""
+    np.exp(outputs, out=outputs)
+    outputs /= (outputs @ _ONES[: outputs.shape[1]])[:, None]
+    outputs[np.arange(len(truth)), truth] -= 1
+    return outputs
+
+
+def gradients(net: dict, target: np.ndarray, context: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradients of the negative sum of the windows' log-probabilities."""
+    order, x, h, group, member, outer, inner, held = _by_class(net, target, context)
+    outer, inner = _missed(outer, group), _missed(inner, member)
+    out = {k: np.zeros(SHAPES[k], np.float32) for k in ("embed", "of_member")}
+    dh = outer @ net["of_class"].T
+    for g, a, b in held:
+        dh[a:b] += inner[a:b] @ net["of_member"][g].T
+        np.matmul(h[a:b].T, inner[a:b], out=out["of_member"][g])
+    dz = dh[:, :-1] * (1 - h[:, :-1] ** 2)
+    out["of_class"], out["hidden"] = h.T @ outer, x.T @ dz
+    place = context[order].astype(np.int64).reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+    np.add.at(out["embed"].reshape(-1), place.ravel(), (dz @ net["hidden"].T).ravel())
+    return out
 
 
-def descend(net: dict, target: np.ndarray, context: np.ndarray, rate: float = RATE) -> None:
+def descend(net: dict, target: np.ndarray, context: np.ndarray) -> None:
     """One pass of minibatch gradient descent over the windows, in place. What every window touches takes
     the mean gradient; a member or an embedding takes the sum over the few windows that hold it. A last
     batch of fewer windows takes a step that is shorter in proportion."""
     for a in range(0, len(target), BATCH):
-        t, c = target[a : a + BATCH], context[a : a + BATCH]
-        order = np.argsort(t, kind="stable")
-        t, c = t[order], c[order]
-        n = len(t)
-        x = net["embed"][c].reshape(n, -1)
-        h = np.tanh(x @ net["hidden"] + net["hidden_bias"])
-        group, member = t // MEMBERS, t % MEMBERS
-        pull = _softmax(h @ net["of_class"] + net["class_bias"])
-        pull[np.arange(n), group] -= 1
-        dh = pull @ net["of_class"].T
-        step, mean = rate / 16, 16 * rate / BATCH
-        cuts = np.searchsorted(group, np.arange(CLASSES + 1)).tolist()
-        held = [(g, p, q) for g, p, q in zip(range(CLASSES), cuts, cuts[1:], strict=False) if p < q]
-        inner = net["member_bias"][group]
-        for g, p, q in held:
-            inner[p:q] += h[p:q] @ net["of_member"][g]
-        inner = _softmax(inner)
-        inner[np.arange(n), member] -= 1
-        for g, p, q in held:
-            weights, part = net["of_member"][g], inner[p:q]
-            dh[p:q] += part @ weights.T
-            weights -= step * (h[p:q].T @ part)
-        net["member_bias"][[g for g, _, _ in held]] -= step * np.add.reduceat(inner, [p for _, p, _ in held])
-        dz = dh * (1 - h * h)
-        dx = (dz @ net["hidden"].T).reshape(-1, WIDTH)
-        net["of_class"] -= mean * h.T @ pull
-        net["class_bias"] -= mean * pull.sum(axis=0)
-        net["hidden"] -= mean * x.T @ dz / 4
-        net["hidden_bias"] -= mean * dz.sum(axis=0) / 4
-        np.subtract.at(net["embed"], c.ravel(), step * dx)
-
-
-def training_windows(batches, turn: int, turns: int):
-    """The windows of one round of a task in shuffled pieces of whole batches; what is left over goes on to the
-    next texts, and only the last piece may end in part of a batch."""
-    rng, held = np.random.default_rng(SEED + turn), windows([])
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        group = np.cumsum([len(t) // 2 for t in texts]) // MIXED
-        for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)], cuts[1:], strict=False):
-            target, context = windows(texts[a:b], turn, turns)
-            order = rng.permutation(len(target))
-            target, context = np.concatenate([held[0], target[order]]), np.concatenate([held[1], context[order]])
-            whole = len(target) // BATCH * BATCH
-            held = target[whole:], context[whole:]
-            yield target[:whole], context[:whole]
-    yield held
-
+        found = gradients(net, target[a : a + BATCH], context[a : a + BATCH])
+        for k, rate in RATES.items():
+            net[k] -= np.float32(rate / (1 if k in ("embed", "of_member") else BATCH)) * found[k]
 
-BLOCKS = 32
 
-
-def train(words: DataFrame, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Rounds of local descent on every partition of (id, words), with the parameters averaged after each."""
-    spark, net = words.sparkSession, initial()
+def shards_of(batches):
+    """(shard, texts) one after another, from batches of (shard, words) that are ordered by shard."""
+    held, texts = None, []
+    for batch in batches:
+        for shard, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if shard != held:
+                if texts:
+                    yield held, texts
+                held, texts = shard, []
+            texts.append(words)
+    if texts:
+        yield held, texts
+
+
+def _mean_updates(updates: pa.Table) -> pa.Table:
+    """The mean of updates of one block by weight, added in the order of shards."""
+    rows = sorted(zip(*(updates.column(k).to_pylist() for k in ("shard", "weight", "update", "block", "parent")), strict=True))
+    weight = sum(r[1] for r in rows)
+    mean = sum(w * np.frombuffer(u, np.float32).astype(np.float64) for _, w, u, _, _ in rows) / weight
+    return pa.table({"block": pa.array([rows[0][3]], pa.int32()), "shard": pa.array([rows[0][4]], pa.int64()), "weight": pa.array([weight], pa.int64()), "update": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+
+def train(words: DataFrame, net: dict[str, np.ndarray], shards: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Rounds of local descent on every shard of (shard, words), with the parameters averaged after each."""
+    spark, schema = words.sparkSession, "block int, shard long, weight long, update binary"
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(flat(net))
 
         def descend_here(batches, sent=sent, turn=turn):
-            net, weight = unflat(sent.value), 0
-            for target, context in training_windows(batches, turn, rounds):
-                descend(net, target, context)
-                weight += len(target)
-            update = np.round((flat(net).astype(np.float64) - sent.value) * POINT).astype(np.int64) * weight
-            if weight and np.isfinite(flat(net)).all():
-                parts = np.array_split(update, BLOCKS)
-                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([weight] * BLOCKS, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "weight", "update"])
-
-        def add(batches):
-            total: dict[int, list] = {}
-            for batch in batches:
-                for block, weight, update in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    held = total.setdefault(block, [0, 0])
-                    held[0] += weight
-                    held[1] = held[1] + np.frombuffer(update, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([w for w, _ in total.values()], pa.int64()), pa.array([u.tobytes() for _, u in total.values()], pa.binary())], ["block", "weight", "update"])
-
-        schema = "block int, weight long, update binary"
-        rows = words.select("words").mapInArrow(descend_here, schema).repartition("block").mapInArrow(add, schema).collect()  # BLOCKS rows
+            for shard, texts in shards_of(batches):
+                net, weight, rng = unflat(sent.value), 0, np.random.default_rng([SEED, turn, shard])
+                for target, context in windows(texts, turn, rounds):
+                    order = rng.permutation(len(target))
+                    descend(net, target[order], context[order])
+                    weight += len(target)
+                update = flat(net) - sent.value
+                if weight and np.isfinite(update).all():
+                    parts = [p.tobytes() for p in np.array_split(update, BLOCKS)]
+                    yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([shard] * BLOCKS, pa.int64()), pa.array([weight] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], ["block", "shard", "weight", "update"])
+
+        updates, left = words.select("shard", "words").mapInArrow(descend_here, schema), shards
+        while True:
+            updates = updates.withColumn("parent", F.floor(F.col("shard") / FAN)).groupBy("block", "parent").applyInArrow(_mean_updates, schema)
+            left = -(-left // FAN)
+            if left == 1:
+                break
+        rows = sorted(updates.collect(), key=lambda r: r.block)  # BLOCKS rows
         if rows:
-            rows.sort(key=lambda r: r.block)
-            mean = np.concatenate([np.frombuffer(r.update, np.int64) / (float(r.weight) * POINT) for r in rows])
-            net = unflat(flat(net) + mean)
+            net = unflat(flat(net) + np.concatenate([np.frombuffer(r.update, np.float32) for r in rows]))
     return net
 
 
 def score(words: DataFrame, net: dict[str, np.ndarray]) -> DataFrame:
-    """(id, n_words, log_prob) of every row of (id, words)."""
+    """(id, handle, n_words, log_prob) of every row of (id, handle, words)."""
     sent = words.sparkSession.sparkContext.broadcast(flat(net))
 
     def score_here(batches):
@@ -251,21 +319,24 @@ def score(words: DataFrame, net: dict[str, np.ndarray]) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                texts = part.column(1).to_pylist()
-                counts = np.array([len(t) // 2 for t in texts])
-                p = log_probabilities(net, *windows(texts)).astype(np.float64)
-                sums = np.bincount(np.repeat(np.arange(len(texts)), counts), p, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(sums.astype(np.float64))], ["id", "n_words", "log_prob"])
-
-    return words.mapInArrow(score_here, f"id {words.schema['id'].dataType.simpleString()}, n_words long, log_prob double")
-
-
-def pseudo_likelihood(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row per document: id, n_words, log_prob, mean_log_prob."""
-    words = materialize(numbered(docs, vocabulary(docs, text_col), id_col, text_col), "lm-words")
-    rows = score(words, train(words))
+                texts = part.column(2).to_pylist()
+                counts = np.array([len(t) // 2 for t in texts], np.int64)
+                p = [log_probabilities(net, *piece).astype(np.float64) for piece in windows(texts)]
+                sums = np.bincount(np.repeat(np.arange(len(texts)), counts), np.concatenate([np.zeros(0), *p]), len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(counts), pa.array(sums.astype(np.float64))], ["id", "handle", "n_words", "log_prob"])
+
+    return words.select("id", "handle", "words").mapInArrow(score_here, f"id {words.schema['id'].dataType.simpleString()}, handle long, n_words long, log_prob double")
+
+
+def pseudo_likelihood(docs: DataFrame, id_col="doc_id", text_col="text", shard_words: int = SHARD_WORDS) -> DataFrame:
+    """One row per document: id, n_words, n_own, log_prob, mean_log_prob."""
+    counts = materialize(word_counts(docs, id_col, text_col), "lm-counts")
+    vocabulary = Vocabulary(counts)
+    words = materialize(numbered(docs, vocabulary, id_col, text_col, shard_words), "lm-words")
+    net = train(words, initial(vocabulary.counts), shard_count(vocabulary, shard_words))
+    own = counts.where("low = high").groupBy(F.col("low").alias("handle")).agg(F.count("*").alias("n_own"))
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
-    return rows.select(F.col("id").alias(id_col), "n_words", "log_prob", mean.alias("mean_log_prob"))
+    return score(words, net).join(own, "handle", "left").select(F.col("id").alias(id_col), "n_words", F.coalesce("n_own", F.lit(0)).alias("n_own"), "log_prob", mean.alias("mean_log_prob"))
 
 
 def op1_pseudo_likelihood(spark, sf_dir: str) -> DataFrame:

@@ -1,74 +1,134 @@
-"""Pseudo-likelihood: the batched network against a plain loop, gradients, and learning."""
+"""Pseudo-likelihood: the batched network against a plain loop, gradients against differences, and learning."""
 
 import numpy as np
-import pyarrow as pa
+import pytest
 
 from quantloom.llm import lm_scoring as lm
 
 SF = "/root/testdata/sf0.01"
 
 
+def some_net(seed=1):
+    rng = np.random.default_rng(seed)
+    return {k: rng.normal(0, 0.5, s).astype(np.float32) for k, s in lm.SHAPES.items()}
+
+
+def some_texts(seed, sizes):
+    rng = np.random.default_rng(seed)
+    return [rng.integers(0, lm.WORDS, n).astype(np.uint16).tobytes() for n in sizes]
+
+
+def every(texts, *turns, **most):
+    pieces = list(lm.windows(texts, *turns, **most))
+    return tuple(np.concatenate([p[k] for p in pieces]) for k in (0, 1))
+
+
 def plain(net, words, i):
     ids = np.frombuffer(words, np.uint16).astype(int).tolist()
     line = [lm.WORDS] * lm.SIDE + ids + [lm.WORDS] * lm.SIDE
     near = line[i : i + lm.SIDE] + line[i + lm.SIDE + 1 : i + 2 * lm.SIDE + 1]
-    h = np.tanh(np.concatenate([net["embed"][w] for w in near]) @ net["hidden"] + net["hidden_bias"])
+    h = np.append(np.tanh(np.concatenate([net["embed"][w] for w in near]) @ net["hidden"]), lm.ON)
     group, member = divmod(ids[i], lm.MEMBERS)
-    a, b = h @ net["of_class"] + net["class_bias"], h @ net["of_member"][group] + net["member_bias"][group]
+    a, b = h @ net["of_class"], h @ net["of_member"][group]
     return a[group] - np.log(np.exp(a).sum()) + b[member] - np.log(np.exp(b).sum())
 
 
 def test_batches_against_plain_loop():
-    rng = np.random.default_rng(1)
-    net = {k: rng.normal(0, 0.5, s).astype(np.float32) for k, s in lm.SHAPES.items()}
-    texts = [rng.integers(0, lm.WORDS, n).astype(np.uint16).tobytes() for n in (0, 1, 2, 7, 40, 0)]
-    got = lm.log_probabilities(net, *lm.windows(texts))
-    assert np.allclose(got, [plain(net, t, i) for t in texts for i in range(len(t) // 2)], atol=1e-3)
+    net, texts = some_net(), some_texts(1, (0, 1, 2, 7, 40, 0))
+    expected = [plain(net, t, i) for t in texts for i in range(len(t) // 2)]
+    assert np.allclose(lm.log_probabilities(net, *every(texts)), expected, atol=1e-3)
+    assert np.allclose(lm.log_probabilities(net, *every(texts, most=3)), expected, atol=1e-3)
+
+
+def test_gradients_against_differences():
+    """The loss is taken in double precision, one parameter moved at a time."""
+    net, texts = some_net(2), some_texts(2, (30, 3))
+    found = lm.gradients(net, *every(texts))
+    net = {k: v.astype(np.float64) for k, v in net.items()}
+    loss = lambda: -sum(plain(net, t, i) for t in texts for i in range(len(t) // 2))
+    rng, moved = np.random.default_rng(5), 1e-4
+    for k, value in net.items():
+        touched = np.argwhere(found[k])
+        for at in map(tuple, touched[rng.choice(len(touched), 8, replace=False)]):
+            old = value[at]
+            value[at] = old + moved
+            high = loss()
+            value[at] = old - moved
+            low = loss()
+            value[at] = old
+            assert found[k][at] == pytest.approx((high - low) / (2 * moved), rel=1e-2, abs=1e-3), (k, at)
+
+
+def test_every_position_is_a_target_once():
+    texts = some_texts(3, [0, 1, 2, 5, 3000, 17, 0, 1, 900, *[3] * 600])
+    line = lambda t, c: sorted(map(tuple, np.column_stack([t, c])))
+    parts = [every(texts, turn, lm.ROUNDS, most=700) for turn in range(lm.ROUNDS)]
+    assert line(*(np.concatenate([p[k] for p in parts]) for k in (0, 1))) == line(*every(texts))
+
+
+def trained(docs, shard_words=lm.SHARD_WORDS):
+    vocabulary = lm.Vocabulary(lm.materialize(lm.word_counts(docs), "t"))
+    words = lm.materialize(lm.numbered(docs, vocabulary, shard_words=shard_words), "t")
+    return vocabulary, words, lm.train(words, lm.initial(vocabulary.counts), lm.shard_count(vocabulary, shard_words))
+
+
+@pytest.mark.parametrize("parts", [4, 24, 211])
+def test_learns_more_than_frequencies_whatever_the_partitions(spark, parts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").repartition(parts)
+    rows = lm.pseudo_likelihood(docs).collect()
+    n = sum(r.n_words for r in rows)
+    vocabulary = lm.Vocabulary(lm.materialize(lm.word_counts(docs), "t"))
+    share = vocabulary.counts[vocabulary.counts > 0] / n
+    unigram = (share * np.log(share)).sum()
+    assert vocabulary.total == n and sum(r.log_prob for r in rows) / n > unigram + 0.6
 
 
-def test_scores_learn_and_cover_everything(spark):
+def test_many_shards_learn_too(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    vocabulary, words, net = trained(docs, 4000)  # about 100 shards: two steps of adding
+    assert lm.shard_count(vocabulary, 4000) > lm.FAN
+    total = lambda net: lm.score(words, net).selectExpr("sum(log_prob) / sum(n_words)").first()[0]
+    assert total(net) > total(lm.initial(vocabulary.counts)) + 0.03
+
+
+def test_scores_cover_everything_and_repeat(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    words = lm.numbered(docs, lm.vocabulary(docs)).cache()
-    untrained = lm.score(words, lm.initial()).selectExpr("sum(log_prob)").first()[0]
     rows = lm.pseudo_likelihood(docs).collect()
-    assert sum(r.log_prob for r in rows) > untrained * 0.97
+    texts = {r.doc_id: set((r.text or "").translate(LOWER).split()) for r in docs.collect()}
     sizes = {r.doc_id: len((r.text or "").split()) for r in docs.collect()}
+    holders = {}
+    for d, words in texts.items():
+        for w in words:
+            holders[w] = holders.get(w, 0) + 1
     assert all(r.n_words == sizes[r.doc_id] for r in rows)
+    assert all(r.n_own == sum(holders[w] == 1 for w in texts[r.doc_id]) for r in rows)
     again = {r.doc_id: r.log_prob for r in lm.pseudo_likelihood(docs).collect()}
     assert all(r.log_prob == again[r.doc_id] for r in rows)
 
 
-def test_awkward_rows(spark):
-    docs = spark.createDataFrame([(1, None, 1), (1, "", 2), (None, "word " * 20_000, 3), (4, "a b", 4)], "doc_id long, text string, words long")
-    rows = {(r.doc_id, r.n_words): r for r in lm.pseudo_likelihood(docs).collect()}
-    assert set(rows) == {(1, 0), (None, 20_000), (4, 2)}
-    assert rows[1, 0].log_prob == 0 and rows[1, 0].mean_log_prob is None
-    assert lm.pseudo_likelihood(docs.limit(0)).count() == 0
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
-def test_every_position_is_a_target(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    texts = [rng.integers(0, lm.WORDS, n).astype(np.uint16).tobytes() for n in (0, 1, 2, 5, 3000, 17, 0, 1, 900)]
-    texts += [rng.integers(0, lm.WORDS, 3).astype(np.uint16).tobytes() for _ in range(600)]
-    monkeypatch.setattr(lm, "MIXED", 1500)
-    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a:b], pa.binary())], ["words"]) for a, b in ((0, 5), (5, 300), (300, len(texts)))]
-    pieces = [list(lm.training_windows(batches, turn, lm.ROUNDS)) for turn in range(lm.ROUNDS)]
-    assert all(len(t) % lm.BATCH == 0 for round_ in pieces for t, _ in round_[:-1])
-    line = lambda parts: np.concatenate([np.column_stack([t, c]) for t, c in parts])
-    seen, every = line([p for round_ in pieces for p in round_]), line([lm.windows(texts)])
-    assert sorted(map(tuple, seen)) == sorted(map(tuple, every))
+def test_awkward_rows(spark):
+    docs = spark.createDataFrame([(1, None, 1), (1, "", 2), (None, "word " * 20_000, 3), (4, "a b", 4), (4, "a b", 5), (5, "B c", 6)], "doc_id long, text string, words long")
+    found = sorted((r.doc_id or 0, r.n_words, r.n_own) for r in lm.pseudo_likelihood(docs).collect())
+    assert found == [(0, 20_000, 1), (1, 0, 0), (1, 0, 0), (4, 2, 1), (4, 2, 1), (5, 2, 1)]
+    empty = [r for r in lm.pseudo_likelihood(docs).collect() if r.doc_id == 1]
+    assert all(r.log_prob == 0 and r.mean_log_prob is None for r in empty)
+    assert lm.pseudo_likelihood(docs.limit(0)).count() == 0
 
 
-def test_a_corpus_of_short_documents_learns(spark):
-    docs = spark.createDataFrame([(i, "red green blue" if i % 2 else "one two") for i in range(300)], "doc_id long, text string").coalesce(2)
-    words = lm.numbered(docs, lm.vocabulary(docs)).cache()
-    total = lambda net: lm.score(words, net).selectExpr("sum(log_prob)").first()[0]
-    assert total(lm.train(words)) > total(lm.initial()) * 0.98
+def test_the_head_is_merged_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FAN", 3)
+    counts = lm.materialize(spark.range(0, 1000, 1, 40).selectExpr("id as word", "id % 17 as times"), "t")
+    expected = sorted(((r % 17, -r) for r in range(1000)), reverse=True)[:60]
+    assert [(r.times, -r.word) for r in lm.head(counts, 60)] == expected
 
 
-def test_tasks_weigh_by_their_windows(spark):
-    """Two tasks of different size: the average is that of their own updates, by windows."""
+def test_shards_weigh_by_their_windows(spark):
+    """Two shards of different size: the average is that of their own updates, by windows."""
     a, b = np.arange(40, dtype=np.uint16).tobytes(), np.arange(500, 520, dtype=np.uint16).tobytes()
-    rows = lambda *texts: spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), len(texts)), "id long, words binary")
-    both, one, two = (lm.flat(lm.train(rows(*texts), 1)) for texts in ((a, b), (a,), (b,)))
+    rows = lambda *texts: spark.createDataFrame(list(texts), "shard long, words binary").coalesce(1)
+    start = lm.initial(np.zeros(lm.WORDS))
+    both, one, two = (lm.flat(lm.train(rows(*texts), start, 2, 1)) for texts in (((0, a), (1, b)), ((0, a),), ((1, b),)))
     assert np.abs(one - two).max() > 1e-3 and np.allclose(both, (one * 40 + two * 20) / 60, atol=1e-5)
