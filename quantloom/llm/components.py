@@ -2,7 +2,8 @@
 
 Edges are pairs of long node numbers. Every step groups by node with partial minima and joins them back;
 nothing is gathered per node, so a hub of any degree is spread by Spark's skew join. The loop ends when
-a round leaves the edges as they were; every edge then points at its component's smallest node.
+a round leaves the edges as they were; every edge then points at its component's smallest node. A round's
+tables are deleted when the next one has been written.
 """
 
 from __future__ import annotations
@@ -10,20 +11,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import materialize
+from quantloom.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select("v", "u"))
     least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "star-least")
-    return both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    out = materialize(both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star-large")
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = materialize(down.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")), "star-least")
     near = down.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return near.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+    out = materialize(near.union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct(), "star-small")
+    discard(least)
+    return out
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,15 +36,18 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (u, v); component is its smallest node. Loops and repeats are harmless."""
+    """A written table (node, component) of every node of ``edges`` (u, v); component is its smallest node. Loops and repeats are harmless."""
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star-edges")
     before = _mark(edges)
     while before[0]:
-        large = materialize(_large_star(edges), "star-large")
-        edges = materialize(_small_star(large), "star-small")
-        after = _mark(edges)
+        large = _large_star(edges)
+        small = _small_star(large)
+        discard(edges, large)
+        edges, after = small, _mark(small)
         if after == before:
             break
         before = after
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(edges.select(F.col("v"), F.col("v")).distinct())
+    out = materialize(nodes.union(edges.select(F.col("v"), F.col("v")).distinct()), "star-components")
+    discard(edges)
+    return out
