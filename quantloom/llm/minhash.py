@@ -5,13 +5,16 @@
 2. Classes that share a band of five minima meet in a bucket (a pair misses all 25 bands once in two
    million at similarity 0.85, once in twenty thousand at 0.8). In every bucket each member is held against the smallest one: first the
    signatures, then the full sets. Large-star and small-star turn the links into components.
-3. Buckets whose members still lie in several components are compared fully, block against block, but only
-   across components, and only a spanning forest of confirmed links leaves a block. So a bucket of any
-   size costs bounded memory, nobody emits its pairs, and no link between components is lost.
-
-Defined cases: null and empty texts have no shingles and are linked with nothing; rows with equal sets are
-linked whatever their ids; null ids sort last; an empty table gives an empty result; other columns are
-ignored by ``near_duplicates`` and kept by ``near_dedup_documents``.
+3. Buckets whose members still lie in several components are compared fully, but only across components, and
+   only a spanning forest of confirmed links leaves a comparison. A bucket of more than ``BLOCK`` members (texts
+   that share a passage, say) is first cut finer, without losing a link: two sets of the wanted similarity always
+   share one of the rarest shingles of each, so its members meet again by those. What has its frequent shingles
+   in common and no rare one is never compared. Only if more than a block of texts in different components
+   share a rare shingle are they compared block against block; no task holds more than two blocks.
+
+Defined cases: null and empty texts have no shingles and are linked with nothing; very long texts are read
+whole, their sets in pieces; rows with equal sets are linked whatever their ids; null ids sort last; an empty
+table gives an empty result; other columns are ignored by ``near_duplicates`` and kept by ``near_dedup_documents``.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.chunk_encoder import slices, text_bytes
-from quantloom.llm.common import materialize, small_side
+from quantloom.llm.common import discard, materialize, small_side
 from quantloom.llm.components import connected_components
 from quantloom.llm.shingles import mix, overlap, shingle_sets
 
@@ -33,6 +36,10 @@ BANDS, ROWS = 25, 5
 #: Least similarity of a link: the default of operators on shingles, and that of the registered query.
 PERCENT, QUERY_PERCENT = 80, 85
 BLOCK = 256
+#: Pairs whose full sets are compared in one task's group.
+CELL = 64
+#: A shingle counts as frequent from so many texts on, and so many frequent shingles are told to the tasks at most.
+FREQUENT, MOST_FREQUENT = 64, 200_000
 
 _rng = np.random.default_rng(17)
 _FACTOR = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,7 +116,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) that are links: signatures first, then full sets. ``nodes``: (node, signature, text)."""
+    """The pairs (u, v) that are links: signatures first, then full sets. ``nodes``: (node, signature, text).
+    A text u that is in many pairs is sent once for every ``CELL`` of them."""
 
     def compare_signatures(batches):
         for batch in batches:
@@ -117,20 +125,31 @@ def confirm(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataF
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (2, 3))
                 yield batch.filter(pa.array((a == b).mean(axis=-1) >= agreement(percent))).select([0, 1])
 
-    def compare_sets(batches):
-        for batch in batches:
+    def compare_sets(first: pa.Table, second: pa.Table) -> pa.Table:
+        left, out = {}, []
+        for batch in first.combine_chunks().to_batches():
             for part in slices(batch, 2, 1_000_000):
-                first = shingle_sets(*text_bytes(part.column(2)))
-                second = shingle_sets(*text_bytes(part.column(3)))
-                yield part.filter(pa.array([linked(a, b, percent) for a, b in zip(first, second, strict=True)], pa.bool_())).select([0, 1])
-
-    def both(pairs, column):
-        left = nodes.select(F.col("node").alias("u"), F.col(column).alias("a"))
-        right = nodes.select(F.col("node").alias("v"), F.col(column).alias("b"))
-        return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-
-    likely = materialize(both(pairs, "signature").mapInArrow(compare_signatures, "u long, v long"), "near-likely")
-    return materialize(both(likely, "text").mapInArrow(compare_sets, "u long, v long"), "near-links")
+                left |= dict(zip(part.column(1).to_pylist(), shingle_sets(*text_bytes(part.column(2))), strict=True))
+        for batch in second.combine_chunks().to_batches():
+            for part in slices(batch, 3, 1_000_000):
+                sets = shingle_sets(*text_bytes(part.column(3)))
+                out += [(u, v) for u, v, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), sets, strict=True) if linked(left[u], x, percent)]
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    left = nodes.select(F.col("node").alias("u"), F.col("signature").alias("a"))
+    right = nodes.select(F.col("node").alias("v"), F.col("signature").alias("b"))
+    likely = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
+    likely = materialize(likely.mapInArrow(compare_signatures, "u long, v long"), "near-likely")
+    cells = max(1, likely.count() // CELL)
+    parts = likely.groupBy("u").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    placed = likely.join(parts, "u").withColumn("cell", F.pmod(F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("parts"))), F.lit(cells)))
+    placed = materialize(placed.select("cell", "u", "v"), "near-cells")
+    text = nodes.select("node", "text")
+    first = placed.select("cell", "u").distinct().join(text.withColumnRenamed("node", "u"), "u").select("cell", "u", "text").toDF("cell", "u", "text")
+    second = placed.join(text.withColumnRenamed("node", "v"), "v").select("cell", "u", "v", "text").toDF("cell", "u", "v", "text")
+    links = materialize(first.groupBy("cell").cogroup(second.groupBy("cell")).applyInArrow(compare_sets, "u long, v long"), "near-links")
+    discard(likely, placed)
+    return links
 
 
 def forest(held: list[tuple], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -157,17 +176,17 @@ def forest(held: list[tuple], percent: int = PERCENT) -> list[tuple[int, int]]:
     return out
 
 
-def cross_links(members: DataFrame, nodes: DataFrame, component: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between components inside the same bucket. members: (bucket, node); component: (node, component)."""
-    placed = members.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialize(placed, "near-placed")
+def mixed_buckets(placed: DataFrame) -> DataFrame:
+    """(bucket, size) of the buckets of (bucket, node, component) that lie in several components, one for each set of members."""
     fingerprint = F.xxhash64("node")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"), F.sum(F.shiftright(fingerprint, 20)).alias("f1"), F.bit_xor(fingerprint).alias("f2")).where("a <> b")
-    # buckets with the same members need one comparison
     mixed = mixed.groupBy("size", "f1", "f2").agg(F.min("bucket").alias("bucket"))
-    mixed = materialize(mixed.select("bucket", "size"), "near-mixed")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = placed.join(mixed, "bucket").withColumn("blocks", blocks)
+    return materialize(mixed.select("bucket", "size"), "near-mixed")
+
+
+def compared(placed: DataFrame, mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links across components inside the buckets ``mixed``, block against block."""
+    rows = placed.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "component")
@@ -182,6 +201,80 @@ def cross_links(members: DataFrame, nodes: DataFrame, component: DataFrame, perc
     return materialize(rows.groupBy("bucket", "p", "q").applyInPandas(compare, "u long, v long"), "near-cross")
 
 
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, number of texts) of the most frequent shingles of (node, text), by shingle. Leaving some out costs time, never a link."""
+
+    def count(batches):
+        for batch in batches:
+            for part in slices(batch, 1, 4_000_000):
+                found, n = np.unique(np.concatenate(shingle_sets(*text_bytes(part.column(1)))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+    counts = texts.select("node", "text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = materialize(counts.where(F.col("n") >= FREQUENT), "near-frequent")
+    # the powers of two a count can reach, at most 64 rows
+    least, total = FREQUENT, 0
+    for r in sorted(counts.groupBy((F.length(F.bin("n")) - 1).alias("power")).count().collect(), key=lambda r: -r.power):
+        total += r["count"]
+        if total > MOST_FREQUENT:
+            least = 2 << r.power
+            break
+    rows = counts.where(F.col("n") >= least).collect()  # at most MOST_FREQUENT
+    discard(counts)
+    found = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r.n for r in rows], np.int64)[order]
+
+
+def rarest(shingles: np.ndarray, frequent: np.ndarray, times: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set in the order (frequency, hash), as many as one of which any set of the wanted similarity must share."""
+    if not len(shingles):
+        return shingles
+    often = np.zeros(len(shingles), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        often = np.where(frequent[at] == shingles, times[at], 0)
+    need = -(-percent * len(shingles) // 100)
+    return shingles[np.lexsort((shingles, often))[: len(shingles) - need + 1]]
+
+
+def by_rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
+    """(bucket, node): every text of (node, text) under each of its rarest shingles."""
+    sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+
+    def give(batches):
+        for batch in batches:
+            for part in slices(batch, 1, 1_000_000):
+                rare = [rarest(x, *sent.value, percent) for x in shingle_sets(*text_bytes(part.column(1)))]
+                columns = [np.concatenate([np.zeros(0, np.uint64), *rare]).view(np.int64), np.repeat(np.asarray(part.column(0)), [len(x) for x in rare])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "node"])
+
+    return texts.select("node", "text").mapInArrow(give, "bucket long, node long")
+
+
+def cross_links(members: DataFrame, nodes: DataFrame, component: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links between components inside the same bucket. members: (bucket, node); component: (node, component)."""
+
+    def place(rows):
+        rows = rows.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return materialize(rows.select("bucket", "node", "component"), "near-placed")
+
+    placed = place(members)
+    mixed = mixed_buckets(placed)
+    links = compared(placed, mixed.where(F.col("size") <= BLOCK), nodes, percent)
+    large = mixed.where(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        crowd = placed.join(large.select("bucket"), "bucket").select("node").distinct()
+        texts = materialize(nodes.select("node", "text").join(crowd, "node", "left_semi"), "near-crowd")
+        finer = place(by_rare_shingles(texts, percent))
+        smaller = mixed_buckets(finer)
+        more = compared(finer, smaller, nodes, percent)
+        discard(texts, finer, smaller)
+        links = links.union(more)
+    discard(placed, mixed)
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept, and first: whether the row is the one that stays."""
     signed = materialize(signatures(docs, id_col, text_col), "near-signatures")
@@ -205,14 +298,16 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent:
     nodes = materialize(nodes, "near-members-text")
 
     links = confirm(pairs, nodes, percent)
-    component = materialize(connected_components(links), "near-components")
+    component = connected_components(links)
     more = cross_links(members.select("bucket", "node"), nodes, component, percent)
     if not more.isEmpty():
-        component = materialize(connected_components(links.union(more)), "near-components")
+        discard(component)
+        component = connected_components(links.union(more))
 
     placed = signed.select("row", "id", "n").join(copies.withColumnRenamed("node", "copy_of"), "row", "left").withColumn("node", F.coalesce("copy_of", "row"))
     placed = placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "copy_of"))
     placed = materialize(placed.select("row", "id", "n", "component"), "near-rows")
+    discard(signed, classes, copies, one_each, banded, shared, members, pairs, wanted, texts, nodes, links, component)
     order = F.struct(F.col("id").isNull().alias("missing"), F.col("id"), F.col("row"))
     least = placed.where("component is not null").groupBy("component").agg(F.min(order).alias("m"))
     least = materialize(least.select("component", F.col("m.id").alias("least_id"), F.col("m.row").alias("least_row")), "near-least")

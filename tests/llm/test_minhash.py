@@ -68,6 +68,59 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert found == brute(rows)
 
 
+def crowd(seed, n, groups):
+    """Texts that share a passage of three fifths of their words, so that many of them meet in the same buckets; some are near copies."""
+    rng = random.Random(seed)
+    passage = " ".join(f"common{k}" for k in range(60))
+    own = lambda k, size=40: " ".join(f"w{k}x{j}" for j in range(size))
+    rows = [f"{passage} {own(k)}" for k in range(n)]
+    expected = list(range(n))
+    for k in range(groups):  # one word of the last changed: similar beyond the passage
+        rows.append(rows[k].rsplit(" ", 1)[0] + f" changed{k}")
+        expected.append(k)
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    where = {old: new for new, old in enumerate(order)}
+    least = {}
+    for old, group in enumerate(expected):
+        least[group] = min(least.get(group, len(rows)), where[old])
+    return [(where[old], text) for old, text in enumerate(rows)], {where[old]: least[group] for old, group in enumerate(expected)}
+
+
+def test_crowded_buckets_are_cut_by_rare_shingles(spark, monkeypatch):
+    """20,000 texts in mixed buckets far beyond a block: the known components, and few comparisons."""
+    rows, expected = crowd(4, 20_000, 300)
+    sizes, plain = [], minhash.compared
+
+    def counting(placed, mixed, nodes, percent):
+        sizes.append(mixed.selectExpr("coalesce(max(size), 0)").first()[0])
+        return plain(placed, mixed, nodes, percent)
+
+    monkeypatch.setattr(minhash, "compared", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert found == expected
+    assert len(sizes) == 2 and max(sizes) <= minhash.BLOCK
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rare_shingles_lose_no_link(spark, monkeypatch, percent):
+    """Every bucket of two or more counts as crowded, shingles as frequent from two texts on."""
+    for name, value in (("BLOCK", 1), ("FREQUENT", 2), ("MOST_FREQUENT", 40)):
+        monkeypatch.setattr(minhash, name, value)
+    rows = corpus(12, 25, 12) + [(9001, None), (9002, "one two"), (9003, "ONE two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = minhash.materialize(docs.where("text is not null").selectExpr("doc_id as node", "text"), "t")
+    pairs = set()
+    for r in minhash.by_rare_shingles(nodes, percent).groupBy("bucket").agg({"node": "collect_set"}).collect():
+        pairs |= {(a, b) for a in r[1] for b in r[1] if a < b}
+    sets = {d: shingles(t) for d, t in rows if t}
+    similar = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert similar <= pairs
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, percent=percent).collect()}
+    assert found == brute(rows, percent)
+
+
 def test_documents_keep_columns_and_one_row_each(spark):
     rows = [(1, "a b c d e f", 5, "x"), (1, "a b c d e f", 5, "x"), (2, "A b c d e f", 6, None), (None, "z z z", 7, "y"), (4, None, 8, "y"), (5, "", 8, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, first long, `row` string")
