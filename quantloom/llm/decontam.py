@@ -8,12 +8,14 @@ and line breaks. Matching windows
 are aligned by the distance of their positions. A window with the benchmark's own values counts as it is; one
 that matches by template alone counts only if the alignment's slots are consistent: one value of the benchmark
 always stands for one value of the document. So verbatim copies match, and so do re-parameterised questions,
-but not a text that merely shares the shape of a phrase.
-
-Defined cases: null and empty texts match nothing; items shorter than a window are matched as one window
-of their own length; items without words are left out; repeated items match each on its own; every
-matching row of a repeated document is reported once; an empty table gives an empty result; other columns
-are ignored by ``contamination`` and kept by ``drop_contaminated``.
+but not a text that merely shares the shape of a phrase. A window of placeholders alone (a table of numbers)
+has no phrase to share: it counts with the benchmark's own values only. Windows that need no alignment, these
+and the ones without slots, are joined once for each distinct window of an item, however often it repeats.
+
+Defined cases: null and empty texts match nothing; very long texts are read whole; items shorter than a window
+are matched as one window of their own length; items without words are left out; repeated items match each on
+its own; every matching row of a repeated document is reported once; an empty table gives an empty result;
+other columns are ignored by ``contamination`` and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -51,26 +53,40 @@ def plain(words: Column) -> Column:
     return F.when(words.contains("0p"), F.regexp_replace(words, r"(?<![^ ])0p", "")).otherwise(words)
 
 
-def windows(rows: DataFrame, size: int) -> DataFrame:
-    """Explode ``words`` into all windows of ``size`` words: adds pos, window and the hash of its template; a
-    window with names has a second row, with the hash of the template in which they are words."""
-    every = F.regexp_extract_all("words", F.lit(rf"(?<![^ ])(?=((?:[^ ]++ ){{{size - 1}}}[^ ]++))"), F.lit(1))
-    rows = rows.select(*(c for c in rows.columns if c != "words"), F.posexplode(every).alias("pos", "window"))
-    window = F.col("window")
-    one, other = F.xxhash64(template(window)), F.xxhash64(template(plain(window)))
-    return rows.withColumn("hash", F.explode(F.when(window.contains("0p"), F.array(one, other)).otherwise(F.array(one))))
+SLOT = r"(?<![^ ])0[nup](?![^ ])"
+LITERAL = r"(?<![^ ])(?!0[nup](?![^ ]))[^ ]"
+
+
+def forms(window: Column) -> Column:
+    """What a window is joined on: (form, aligned). Its template if that has both slots and words; else its own words
+    and values, which need no alignment. A window with names has a second form, with the names as words."""
+
+    def form(words: Column) -> Column:
+        shape = template(words)
+        aligned = F.when(words.contains("0"), shape.rlike(SLOT) & shape.rlike(LITERAL)).otherwise(False)
+        return F.struct(F.when(aligned, shape).otherwise(words).alias("form"), aligned.alias("aligned"))
+
+    return F.when(window.contains("0p"), F.array(form(window), form(plain(window)))).otherwise(F.array(form(window)))
+
+
+def windows(rows: DataFrame, size: Column) -> DataFrame:
+    """Explode ``words`` into all windows of ``size`` words: adds pos, window, form, aligned and the hash of both."""
+    pattern = F.concat(F.lit(r"(?<![^ ])(?=((?:[^ ]++ ){"), (size - 1).cast("string"), F.lit(r"}[^ ]++))"))
+    rows = rows.select(*(c for c in rows.columns if c != "words"), F.posexplode(F.regexp_extract_all("words", pattern, F.lit(1))).alias("pos", "window"))
+    rows = rows.withColumn("f", F.explode(forms(F.col("window")))).select(*rows.columns, "f.form", "f.aligned")
+    return rows.withColumn("hash", F.xxhash64("form", "aligned"))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(size, item, n_windows, item_pos, item_window, hash) of every item."""
+    """(item_row, item, size, n_windows, hash, item_form, item_aligned, item_window, places): windows to align one by one, the others once for each item with all their places."""
     items = benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col(item_col).alias("item"), valued(text_of(text_col)).alias("words")).where("words <> ''")
     n = F.size(F.split("words", " "))
-    items = materialize(items.withColumn("size", F.least(n, F.lit(WINDOW))).withColumn("n_windows", F.greatest(n - WINDOW + 1, F.lit(1))), "leak-items")
-    out = None
-    for size in range(1, WINDOW + 1):
-        part = windows(items.where(F.col("size") == size), size)
-        out = part if out is None else out.union(part)
-    return materialize(out.select("size", "item_row", "item", "n_windows", F.col("pos").alias("item_pos"), F.col("window").alias("item_window"), "hash"), "leak-windows")
+    items = items.withColumn("size", F.least(n, F.lit(WINDOW))).withColumn("n_windows", F.greatest(n - WINDOW + 1, F.lit(1)))
+    every = windows(items, F.col("size"))
+    which = F.when(F.col("aligned"), F.col("pos")).otherwise(-1)
+    held = every.groupBy("item_row", "item", "size", "n_windows", "hash", F.col("form").alias("item_form"), F.col("aligned").alias("item_aligned"), which.alias("which"))
+    known = held.agg(F.min("window").alias("item_window"), F.array_sort(F.collect_set("pos")).alias("places"))
+    return materialize(known.drop("which"), "leak-windows")
 
 
 def slots(window: Column, item_window: Column) -> Column:
@@ -83,28 +99,32 @@ def slots(window: Column, item_window: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text") -> DataFrame:
     """One row per (document, item) found: id, item, n_windows, n_matched, n_slots; and ``row``, the document's number in ``docs``."""
     known = benchmark_windows(benchmark, item_col, item_text_col)
-    sizes = [r["size"] for r in known.select("size").distinct().collect()]  # at most WINDOW values
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), valued(text_of(text_col)).alias("words"))
-    found = None
-    for size in sorted(sizes):
-        part = windows(rows, size).join(small_side(known.where(F.col("size") == size), BROADCAST_WINDOWS), "hash")
-        ours, theirs = F.col("window"), F.col("item_window")
-        part = part.where((template(ours) == template(theirs)) | (template(plain(ours)) == template(plain(theirs))))
-        part = part.select("row", "id", "item_row", "item", "n_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "window", "item_window")
-        found = part if found is None else found.union(part)
-    if found is None:  # no item has words
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most WINDOW values
+    if not sizes:  # no item has words
         nothing = docs.select(F.lit(0).cast("long").alias("row"), F.col(id_col), F.lit(None).cast(benchmark.schema[item_col].dataType).alias(item_col))
         return nothing.select("*", *(F.lit(0).cast("long").alias(c) for c in ("n_windows", "n_matched", "n_slots"))).limit(0)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), valued(text_of(text_col)).alias("words"))
+    rows = rows.withColumn("length", F.explode(F.array(*map(F.lit, sizes))))
+    item = ["item_row", "item", "n_windows"]
+    keys = known.select(*item, "hash", "item_form", "item_aligned", "item_window", F.col("places")[0].alias("item_pos"))
+    keys = F.broadcast(keys) if known.count() <= BROADCAST_WINDOWS else keys
+    found = windows(rows, F.col("length")).join(keys, "hash").where("form = item_form and aligned = item_aligned")
+    lined_only = {"item_pos": F.col("item_pos"), "shift": F.col("pos") - F.col("item_pos"), "window": F.col("window"), "item_window": F.col("item_window")}
+    found = found.select("row", "id", *item, "aligned", "hash", *(F.when(F.col("aligned"), c).alias(n) for n, c in lined_only.items()))
     found = materialize(found, "leak-matches")
 
     key = ["row", "item_row", "shift"]
-    values = found.select(*key, F.explode(slots(F.col("window"), F.col("item_window"))).alias("v"))
+    lined = found.where("aligned")
+    values = lined.select(*key, F.explode(slots(F.col("window"), F.col("item_window"))).alias("v"))
     values = values.groupBy(*key, "v.theirs").agg(F.min("v.ours").alias("a"), F.max("v.ours").alias("b"))
     values = values.groupBy(*key).agg(F.count("*").alias("slots"), F.max((F.col("a") != F.col("b")).cast("int")).alias("clash"))
     same = plain(F.col("window")) == plain(F.col("item_window"))
-    aligned = found.groupBy(*key, "id", "item", "n_windows").agg(F.collect_set("item_pos").alias("places"), F.collect_set(F.when(same, F.col("item_pos"))).alias("verbatim"))
-    aligned = aligned.join(values, key, "left").withColumn("places", F.when(F.coalesce("clash", F.lit(0)) == 0, F.col("places")).otherwise(F.col("verbatim")))
-    places = aligned.groupBy("row", "id", "item_row", "item", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.coalesce(F.max("slots"), F.lit(0)).alias("n_slots"))
+    lined = lined.groupBy("id", *item, *(k for k in key if k not in item)).agg(F.collect_set("item_pos").alias("all"), F.collect_set(F.when(same, F.col("item_pos"))).alias("verbatim"))
+    lined = lined.join(values, key, "left").withColumn("places", F.when(F.coalesce("clash", F.lit(0)) == 0, F.col("all")).otherwise(F.col("verbatim")))
+    single = found.where("not aligned").select("row", "id", *item, "hash").distinct()
+    single = single.join(small_side(known.where("not item_aligned").select("item_row", "hash", "places"), BROADCAST_WINDOWS), ["item_row", "hash"])
+    places = lined.select("row", "id", *item, "places", "slots").union(single.select("row", "id", *item, "places", F.lit(0).cast("long")))
+    places = places.groupBy("row", "id", *item).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.coalesce(F.max("slots"), F.lit(0)).alias("n_slots"))
     need = F.least(F.ceil(F.col("n_windows") * SHARE), F.lit(ENOUGH))
     return places.where(F.col("n_matched") >= need).select("row", F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("n_windows").cast("long"), "n_matched", "n_slots")
 

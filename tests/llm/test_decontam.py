@@ -81,3 +81,67 @@ def test_a_clash_leaves_verbatim_windows(spark):
     shape_only = "we take 12 and then 12 plus 7 and so 12 again for 12"
     shared = "we take 30 and then 31 plus 7 and so 32 again for 33"
     assert found(spark, [one_off, shared], [*items, (2, shape_only)]) == {(0, 1)}
+
+
+def brute(texts, items):
+    """(doc, item) by plain loops over windows: the rules of the module's first lines, stated again."""
+
+    def words(text):
+        text = re.sub(r"\s+", " ", text or "")
+        text = re.sub(r"(?<![^\W_])([0-9]+)(?![0-9])", r" 0n\1 ", text)
+        text = re.sub(r"(?<=[a-z,;] )([A-Z][a-z]+)", r"0p\1", text)
+        return re.sub(r"[\W_]+", " ", text).strip().lower().split()
+
+    slot = lambda w: w[:2] if w[:2] in ("0n", "0p") else w
+    bare = lambda w: w.removeprefix("0p")
+    found = set()
+    for d, text in enumerate(texts):
+        ours = words(text)
+        for i, item in items:
+            theirs, places, lined = words(item), set(), {}
+            size = min(8, len(theirs))
+            n = max(1, len(theirs) - 7) if theirs else 0
+            for p in range(len(ours) - size + 1 if size else 0):
+                for q in range(n):
+                    a, b = ours[p : p + size], theirs[q : q + size]
+                    for x, y in ((a, b), ([bare(w) for w in a], [bare(w) for w in b]), (a, [bare(w) for w in b]), ([bare(w) for w in a], b)):
+                        shape = [slot(w) for w in x]
+                        if shape != [slot(w) for w in y]:
+                            continue
+                        some = any(w in ("0n", "0p") for w in shape)
+                        if some and any(w not in ("0n", "0p") for w in shape):
+                            lined.setdefault(p - q, {})[q] = (a, b)
+                        elif x == y:
+                            places.add(q)
+            for hits in lined.values():
+                values, clash = {}, False
+                for a, b in hits.values():
+                    for x, y in zip(a, b, strict=True):
+                        if y[:2] in ("0n", "0p"):
+                            clash |= values.setdefault(bare(y), bare(x)) != bare(x)
+                places |= {q for q, (a, b) in hits.items() if not clash or [bare(w) for w in a] == [bare(w) for w in b]}
+            if n and len(places) >= min(-(-n // 2), 6):
+                found.add((d, i))
+    return found
+
+
+def test_number_tables_against_brute_force(spark):
+    """Tables of numbers: only the same numbers count, and repeats cost no pairs of positions."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(str(rng.randrange(10, 99)) for _ in range(n))
+    table = line(40)
+    items = [(1, table), (2, "0 " * 30), (3, "total of " + line(12) + " units for Anna and Bob in all"), (4, "word " * 50), (5, line(5)), (6, ITEMS[0][1])]
+    texts = [line(200), "see " + table + " here", "0 " * 300, "1 " * 300, "total of " + line(12) + " units for Karl and Zoe in all", "word " * 400, table[:30], items[4][1], "a " + items[2][1].lower(), ITEMS[0][1].replace("12", "77"), "", None]
+    texts += [line(rng.randrange(0, 60)) + rng.choice([" then ", " "]) + rng.choice(items)[1] + " " + line(9) for _ in range(40)]
+    expected = brute(texts, items)
+    assert found(spark, texts, items) == expected
+    assert {(1, 1), (2, 2), (4, 3), (5, 4), (7, 5), (8, 3), (9, 6)} <= expected and not {(0, 1), (3, 2), (6, 1)} & expected
+
+
+def test_long_tables_stay_small(spark):
+    """50,000 numbers against an item of 5,000: one row for each matching position, not one for each pair."""
+    docs = spark.createDataFrame([(1, "7 " * 50_000), (2, " ".join(str(k % 89) for k in range(50_000)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "7 " * 5000), (2, " ".join(str(k % 83) for k in range(5000)))], "item_id long, text string")
+    known = decontam.benchmark_windows(bench, "item_id", "text")
+    assert known.count() <= 1 + 83
+    assert {(r.doc_id, r.item_id) for r in decontam.contamination(docs, bench).collect()} == {(1, 1), (2, 2)}
