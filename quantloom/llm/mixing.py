@@ -4,13 +4,14 @@ Targets: every source asks for its weight's share of the total; a source is clam
 times its own size, and what it cannot take is reshared among the others by weight, again and again
 until no source is above its cap. Sampling: a source with target e * size is repeated floor(e) times
 whole, and the remaining fraction is a seeded sample without replacement: documents in the order of
-a seeded hash, up to the wanted number of words. The cut is found from a histogram of hash ranges
-first, so no source, however hot, is ever ordered as a whole.
-
-Defined cases: null text counts as empty (size 0); null sources form one source, last in order; equal
-rows are separate documents and share their hash, so they are taken together; sources without words
-get target 0; an empty table gives an empty result; other columns are kept by ``mix_documents`` and
-ignored by ``mix_plan``.
+a seeded hash of the id, up to the wanted number of words. The cut is found from a histogram of hash
+ranges first, so no source, however hot, is ever ordered as a whole. Rows that share an id, or have none,
+share that hash; where the cut falls among them, a second histogram over a hash of the row decides.
+
+Defined cases: null text counts as empty (size 0); very long texts are documents like others, counted whole;
+null sources form one source, last in order; rows of equal or null ids are documents of their own; sources
+without words get target 0; an empty table gives an empty result; other columns are kept by
+``mix_documents`` and ignored by ``mix_plan``.
 """
 
 from __future__ import annotations
@@ -35,6 +36,11 @@ def seeded_hash(id_column: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(id_column.cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def row_hash() -> Column:
+    """60 bits of a hash of the row's place in the table, a non-negative long."""
+    return F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - HASH_BITS)
+
+
 def source_key(name: str) -> Column:
     """A key that is never null: null and the text of any source stay apart."""
     return F.coalesce(F.concat(F.lit("s"), F.col(name).cast("string")), F.lit("n"))
@@ -66,42 +72,60 @@ def mix_sources(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS)
     sources = sources.withColumn("whole", whole).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
     sources = materialize(sources, "mix-targets")
 
-    shift = HASH_BITS - BUCKET_BITS
-    bucket = F.shiftright("h", shift)
-    histogram = sized.groupBy("skey", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-    histogram = histogram.withColumn("after", F.sum("words").over(Window.partitionBy("skey").orderBy("bucket")))
-    edge = histogram.join(sources.select("skey", "part"), "skey").where("after > part and part > 0").groupBy("skey", "part").agg(F.min_by(F.struct("bucket", (F.col("after") - F.col("words")).alias("before")), "bucket").alias("e"))
-    edge = materialize(edge.select("skey", "part", "e.bucket", "e.before"), "mix-edges")
-    inside = sized.withColumn("bucket", bucket).join(small_side(edge), ["skey", "bucket"])
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("skey").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("upto", upto).where(F.col("upto") * 2 - F.col("size") <= F.col("part") * 2)
-    cuts = inside.groupBy("skey").agg(F.max("h").alias("inner"))
-    low = F.shiftleft("bucket", shift) - 1
-    cuts = edge.join(cuts, "skey", "left").select("skey", F.coalesce("inner", low).alias("cut"))
-    everything = F.lit(1 << HASH_BITS).cast("long")
-    none = F.when(F.col("part") > 0, everything).otherwise(F.lit(-1).cast("long"))
-    return materialize(sources.join(cuts, "skey", "left").withColumn("cut", F.coalesce("cut", none)).select("skey", "source_size", "target", "whole", "cut"), "mix-cuts")
+    part = sources.where("part > 0").select("skey", "part", F.lit(0).cast("long").alias("before"))
+    edge = first_above(sized, part, "h", HASH_BITS - BUCKET_BITS)  # the range of hashes in which the cut falls
+    inside = sized.withColumn("bucket", F.shiftright("h", HASH_BITS - BUCKET_BITS)).join(small_side(edge), ["skey", "bucket"])
+    edge = first_above(inside.select("skey", "h", "size"), edge.drop("bucket"), "h", 0)  # the hash at the cut, as "bucket"
+    tied = materialize(sized.join(small_side(edge), (sized.skey == edge.skey) & (sized.h == edge.bucket)).select(sized.skey, "g", "size"), "mix-tied")
+    within = first_above(tied, edge.drop("bucket"), "g", HASH_BITS - BUCKET_BITS)
+    ends = tied.groupBy("skey").agg(F.min("g").alias("first"), F.max("g").alias("end"))
+    tied = tied.withColumn("bucket", F.shiftright("g", HASH_BITS - BUCKET_BITS)).join(small_side(within), ["skey", "bucket"])
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy("skey").orderBy("g").rowsBetween(Window.unboundedPreceding, 0))
+    last = tied.withColumn("upto", upto).where(F.col("upto") * 2 - F.col("size") <= F.col("part") * 2).groupBy("skey").agg(F.max("g").alias("inner"))
+    low = F.shiftleft(within["bucket"], HASH_BITS - BUCKET_BITS) - 1
+    everything, none = F.lit(1 << HASH_BITS).cast("long"), F.lit(-1).cast("long")
+    cuts = edge.select("skey", F.col("bucket").alias("cut")).join(within.select("skey", low.alias("low")), "skey").join(ends, "skey").join(last, "skey", "left")
+    # a row that shares its hash with no other is taken or not, whatever its place in the table
+    tie = F.coalesce("inner", "low")
+    cuts = cuts.select("skey", "cut", F.when(tie == F.col("end"), everything).when(tie < F.col("first"), none).otherwise(tie).alias("tie"))
+    cut = F.coalesce("cut", F.when(F.col("part") > 0, everything).otherwise(none))
+    return materialize(sources.join(cuts, "skey", "left").select("skey", "source_size", "target", "whole", cut.alias("cut"), F.coalesce("tie", none).alias("tie")), "mix-cuts")
+
+
+def first_above(rows: DataFrame, wanted: DataFrame, column: str, shift: int) -> DataFrame:
+    """Per source of ``wanted`` (skey, part, before): the first range of ``column``, 2**shift wide, up to whose end there are
+    more than ``part`` words, counted from ``before``; with the words before it. As (skey, part, bucket, before)."""
+    ranges = rows.groupBy("skey", F.shiftright(column, shift).alias("bucket")).agg(F.sum("size").alias("words"))
+    ranges = ranges.withColumn("after", F.sum("words").over(Window.partitionBy("skey").orderBy("bucket"))).join(small_side(wanted), "skey")
+    edge = ranges.where("before + after > part").groupBy("skey", "part").agg(F.min_by(F.struct("bucket", (F.col("before") + F.col("after") - F.col("words")).alias("before")), "bucket").alias("e"))
+    return materialize(edge.select("skey", "part", "e.bucket", "e.before"), "mix-edges")
+
+
+def sampled(whole: str, cut: str, tie: str, h: Column, g: Column) -> Column:
+    """How often a document of hashes h and g is taken."""
+    once = (h < F.col(cut)) | ((h == F.col(cut)) & (g <= F.col(tie)))
+    return F.col(whole) + once.cast("long")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     size = word_count(text_of(text_col))
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), source_key(source_col).alias("skey"), size.alias("size"), seeded_hash(F.col(id_col), seed).alias("h"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), source_key(source_col).alias("skey"), size.alias("size"), seeded_hash(F.col(id_col), seed).alias("h"), row_hash().alias("g"))
 
 
 def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, times."""
     sized = materialize(_sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
     sources = mix_sources(sized, weights, max_epochs)
-    times = F.col("whole") + (F.col("h") <= F.col("cut")).cast("long")
+    times = sampled("whole", "cut", "tie", F.col("h"), F.col("g"))
     return sized.join(small_side(sources), "skey").select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
 
 
 def mix_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed=SEED) -> DataFrame:
     """The mix itself: every document as often as the plan takes it, with the columns of ``docs``."""
     sources = mix_sources(materialize(_sized(docs, id_col, text_col, source_col, seed), "mix-sizes"), weights, max_epochs)
-    sources = sources.select(F.col("skey").alias("_mix_key"), F.col("whole").alias("_mix_whole"), F.col("cut").alias("_mix_cut"))
-    joined = docs.join(small_side(sources), source_key(source_col) == F.col("_mix_key"))
-    times = (F.col("_mix_whole") + (seeded_hash(F.col(id_col), seed) <= F.col("_mix_cut")).cast("long")).cast("int")
+    sources = sources.select(F.col("skey").alias("_mix_key"), F.col("whole").alias("_mix_whole"), F.col("cut").alias("_mix_cut"), F.col("tie").alias("_mix_tie"))
+    joined = docs.withColumn("_mix_row", row_hash()).join(small_side(sources), source_key(source_col) == F.col("_mix_key"))
+    times = sampled("_mix_whole", "_mix_cut", "_mix_tie", seeded_hash(F.col(id_col), seed), F.col("_mix_row")).cast("int")
     repeated = joined.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), times)))
     return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))
 
