@@ -7,8 +7,9 @@ bounded sample of labelled documents (``most`` documents, chosen by a hash of th
 output layer into one number per bucket and runs over all documents on the executors. The id decides only
 which fold a labelled row is in; labels, language, source and id are no inputs of a score.
 
-Defined cases: null and empty texts have no features and get the score of the output bias; every input row
-gives one output row; labels that are null or repeated: nulls are left out, of repeats the smallest counts;
+Defined cases: null and empty texts have no features and get the score of the output bias; very long texts are scored whole; every input row
+gives one output row; labels that are null or repeated: nulls are left out, of repeats the smallest counts; of
+labelled rows with one id the smallest text is learned from;
 without any labelled rows every score is 0.5; other columns are ignored.
 """
 
@@ -137,6 +138,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
     sample = known.orderBy(F.xxhash64("known"), "known").limit(most)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("known"), text.alias("text")).where(F.octet_length("text") <= LONGEST).join(F.broadcast(sample), "known")
+    rows = rows.groupBy("known", "y").agg(F.min("text").alias("text"))  # one row an id, however often it repeats
 
     def count(batches):
         for batch in batches:
