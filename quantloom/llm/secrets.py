@@ -6,8 +6,10 @@ hold, whoever owns them, is a copied example; a value of few owners, seen in few
 is live-looking. Base spans stay either way. ``spread`` gives "owners:repositories" of each span's value,
 in the order of ``spans``.
 
-Defined cases: null text counts as empty; a null owner or repository counts as one of its own; every
-input row gives one output row; ties in start are ordered by kind; an empty table gives an empty result.
+Defined cases: null text counts as empty; very long texts are scanned whole; all rows with a null owner count as
+one owner that no other value equals, also not the empty string, and so do null repositories; repeated rows give
+a row each and count as one repository; ties in start are ordered by kind; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -54,9 +56,14 @@ def ownership(spans: DataFrame) -> DataFrame:
     return pairs.groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.sum("n").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
 
 
+def named(column: str) -> Column:
+    """A key that is never null: null and every text stay apart."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(column).cast("string")), F.lit("n"))
+
+
 def secret_spans(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repository_col="doc_id") -> DataFrame:
     """(row, id, kind, start, stop, valid, value, owner, repository): one row per candidate or a null kind."""
-    packed = docs.select(F.struct(F.col(id_col).alias("id"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"), F.coalesce(F.col(repository_col).cast("string"), F.lit("")).alias("repository")).alias("who"), F.col(text_col).alias("text"))
+    packed = docs.select(F.struct(F.col(id_col).alias("id"), named(owner_col).alias("owner"), named(repository_col).alias("repository")).alias("who"), F.col(text_col).alias("text"))
     spans = find_spans(packed, rules(), "who", "text")
     return spans.select("row", F.col("id.id").alias("id"), "kind", "start", "stop", "valid", F.when(F.col("valid"), F.sha2(value_of(F.col("hit")).cast("binary"), 256)).alias("value"), F.col("id.owner").alias("owner"), F.col("id.repository").alias("repository"))
 

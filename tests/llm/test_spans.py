@@ -92,3 +92,20 @@ def test_repositories_separate_examples_too(spark):
     docs = spark.createDataFrame([(i, t, "en", s, 1) for i, (s, t) in enumerate(rows)], SCHEMA)
     found = [(r.n_live, r.n_example, r.spread) for r in secrets.secrets(docs).orderBy("doc_id").collect()]
     assert found == [(0, 1, f"1:{most + 1}")] * most + [(1, 0, f"1:{most - 1}")] * (most - 1) + [(0, 1, f"2:{most}")] * most + [(1, 1, f"1:1,1:{most + 1}")]
+
+
+def test_null_owners_and_repositories_stay_apart(spark):
+    """A null owner is one owner, not the empty one; three owners make an example."""
+    rows = [(1, "password = threeown1", None), (2, "password = threeown1", ""), (3, "password = threeown1", "s"), (4, "password = nullonly1", None), (5, "password = nullonly1", None), (None, "password = nullrepo1", "s"), (None, "password = nullrepo1", "s"), (6, "password = nullrepo1", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = sorted((r.doc_id or 0, r.n_live, r.n_example, r.spread) for r in secrets.secrets(docs).collect())
+    assert found == [(0, 1, 0, "1:2"), (0, 1, 0, "1:2"), (1, 0, 1, "3:3"), (2, 0, 1, "3:3"), (3, 0, 1, "3:3"), (4, 1, 0, "1:2"), (5, 1, 0, "1:2"), (6, 1, 0, "1:2")]
+
+
+def test_secrets_on_awkward_tables(spark):
+    """Repeated rows count as one repository each id; columns with the operator's own names are ignored."""
+    rows = [(1, "token = abcdef1", "s", 1, "x")] * 12 + [(2, None, None, 2, None), (3, "", "s", 3, "y"), (4, "x" * 200_000 + " token = tailend1", "s", 4, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row long, kind string").selectExpr("*", "row as start", "kind as owner", "kind as value", "row as shared", "kind as hit")
+    found = sorted((r.doc_id, r.n_assign, r.n_live, r.spread) for r in secrets.secrets(docs).collect())
+    assert found == [(1, 1, 1, "1:1")] * 12 + [(2, 0, 0, ""), (3, 0, 0, ""), (4, 1, 1, "1:1")]
+    assert secrets.secrets(docs.limit(0)).count() == 0
