@@ -6,7 +6,7 @@ segment on the executors. Pass two asks the merged "seen again" bitmap: a digest
 seen only once is unique and passes straight through; only the others are grouped by digest. False
 positives cost a little shuffling and change no result.
 
-Defined cases: null text counts as empty; rows with equal texts and equal ids keep the first row; a
+Defined cases: null text counts as empty; very long texts are hashed whole; rows with equal texts and equal ids keep the first row; a
 null id sorts after every other id; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -3,7 +3,7 @@
 Base kinds (email, ip, card, phone) are kept whenever their own test holds. Added kinds need more: an
 IBAN must pass mod-97, a social security number needs a context word. Built-in functions only.
 
-Defined cases: null text counts as empty (no spans); every input row gives one output row, also where
+Defined cases: null text counts as empty (no spans); very long texts are scanned whole; every input row gives one output row, also where
 ids repeat or are null; ties in start are ordered by kind; an empty table gives an empty result; other
 columns are ignored.
 """

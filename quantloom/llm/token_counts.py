@@ -12,7 +12,7 @@ Two deterministic machines share the work.
    a state need only hold, for each suffix that can still grow into a token, the last token before it and
    the count relative to now.
 
-Defined cases: null text counts as empty (no tokens); the special string counts as one token; every
+Defined cases: null text counts as empty (no tokens); very long texts are counted whole, chunk by chunk; the special string counts as one token; every
 input row gives one output row; an empty table gives an empty result; other columns are ignored.
 """
 

@@ -5,7 +5,7 @@ its integer run-length encoding; stripes can be read in parallel, and the row in
 ``doc_id`` let a reader skip row groups. Each row also carries its shard number and its offset within
 the shard, so the global start of every document needs only one total per shard.
 
-Defined cases: null text counts as empty (the end id alone); null ids sort first; equal ids keep an
+Defined cases: null text counts as empty (the end id alone); very long texts are encoded whole; null ids sort first; equal ids keep an
 arbitrary but fixed order; an empty table gives an empty result; other columns are not written.
 """
 

@@ -46,6 +46,14 @@ def test_exact_duplicates_small_filter_stays_exact(spark, monkeypatch):
     assert rows.where("group_size = 2").count() == 20_000
 
 
+def test_exact_duplicates_of_nothing_and_of_clashing_columns(docs):
+    assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
+    names = ["row", "id", "sha", "maybe", "g_sha", "n", "keep_id", "kept"]
+    clash = docs.select("*", *(docs.n_chars.alias(n) for n in names))
+    plain = sorted(map(str, exact_dedup.exact_duplicates(docs).collect()))
+    assert sorted(map(str, exact_dedup.exact_duplicates(clash).collect())) == plain
+
+
 def brute_targets(sizes, weights, most=3):
     total, full = sum(sizes), [s == 0 for s in sizes]
     while True:
@@ -76,6 +84,21 @@ def test_mix_against_brute_force(spark):
     assert again.count() == sum(r.times for r in found)
 
 
+def test_mix_of_null_and_repeated_ids(spark):
+    """Rows that share a hash are taken one by one: every source comes near its target, in the plan and in the mix."""
+    rng = random.Random(5)
+    rows = [(None, "w " * rng.randrange(1, 30), "en", "a", 0) for _ in range(2000)] + [(7, "w " * 10, "en", "b", 0)] * 3000 + [(i, "w " * 8, "en", "c", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    docs = mixing.materialize(docs, "t")
+    names = ["a", "b", "c"]
+    sizes = [sum(r[1].count("w") for r in rows if r[3] == n) for n in names]
+    targets = dict(zip(names, brute_targets(sizes, [5, 2, 1]), strict=True))
+    taken = {r.source: r.n for r in mixing.mix_documents(docs).selectExpr("source", "size(split(trim(text), ' ')) as n").groupBy("source").sum("n").toDF("source", "n").collect()}
+    assert all(abs(taken[n] - targets[n]) <= 60 for n in names)
+    plan = mixing.mix_plan(docs).collect()
+    assert abs(sum(r.taken for r in plan if r.doc_id == 7) - targets["b"]) <= 60 and abs(sum(r.taken for r in plan if r.doc_id is None) - targets["a"]) <= 60
+
+
 def test_mix_awkward(docs, spark):
     rows = mixing.mix_plan(docs).collect()
     assert len(rows) == len(AWKWARD) and all(r.target <= 3 * r.source_size for r in rows)
@@ -101,6 +124,8 @@ def test_token_output_round_trip(docs):
         assert row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert token_output.token_output(docs.limit(0)).count() == 0
+    clash = docs.select("*", *(docs.n_chars.alias(n) for n in ("shard", "shard_start", "ids", "start", "n_tokens")))
+    assert token_output.token_output(clash).orderBy("start").collect() == rows
 
 
 def test_token_files_prune(spark, tmp_path):

@@ -63,3 +63,5 @@ def test_query_on_awkward_rows(spark):
     assert sorted(r.n_tokens for r in found) == sorted(expected)
     assert all(r.over_limit == (r.n_tokens > 512) for r in found)
     assert token_counts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    clash = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_tokens int, n_bytes string")
+    assert sorted(r.n_tokens for r in token_counts(clash).collect()) == sorted(expected)
