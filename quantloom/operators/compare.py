@@ -2,59 +2,55 @@
 
 from __future__ import annotations
 
-import zlib
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.columns import flag, median
+from quantloom.functions.columns import flag, md5_number, median
+from quantloom.functions.tables import written
+from quantloom.operators.rows import positions
 
 RESAMPLES = 1000
 
 
-def _medians(values: np.ndarray, n: int, rng, block: int = 100) -> np.ndarray:
-    """Medians of n resamples, in blocks, so that memory stays small."""
-    return np.concatenate([np.median(values[rng.integers(0, len(values), (min(block, n - a), len(values)))], axis=1) for a in range(0, n, block)])
-
-
-def _rng(key, seed: int):
-    return np.random.default_rng([seed, zlib.crc32("|".join(map(str, key)).encode())])
+def resampled_medians(df: DataFrame, keys: list[str], column: str, n: int = RESAMPLES, seed: str = "boot-1", order: tuple = ("ts", "pair")) -> DataFrame:
+    """(keys, draw, resampled): the median of each of n resamples of a group, as large as the group and with replacement.
+    The k-th value of a resample is that at a hashed position of the group, so draws depend on the seed, the keys and the
+    rows' order alone. Equal positions are counted before medians are taken; no group is gathered in one task."""
+    known = df.where(F.col(column).isNotNull()).select(*dict.fromkeys([*keys, *order]), F.col(column).cast("double").alias("_value"))
+    placed = written(positions(known, keys, order, "_place", "_size").select(*keys, "_place", "_size", "_value"), "boot-places")
+    draws = placed.select(*keys, "_place", "_size", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
+    slot = md5_number(F.lit(seed), *(F.col(k).cast("string") for k in keys), F.col("draw").cast("string"), F.col("_place").cast("string")) % F.col("_size")
+    times = draws.groupBy(*keys, "draw", slot.alias("_place")).agg(F.count("*").alias("_times"))
+    values = times.join(placed.select(*keys, "_place", "_value"), [*keys, "_place"])
+    return values.groupBy(*keys, "draw").agg(F.percentile("_value", F.lit(0.5), F.col("_times")).alias("resampled"))
 
 
-def bootstrap_median_ci(df: DataFrame, keys: list[str], column: str, n: int = RESAMPLES, seed: int = 7, order: list[str] = ("ts",)) -> DataFrame:
-    """Per group: median and its 95% interval. Draws depend on the group's key and the rows' order alone."""
+def interval(drawn: DataFrame, keys: list[str], column: str = "resampled", prefix: str = "") -> DataFrame:
+    """The 95% interval of ``column`` over the draws of each group."""
+    return drawn.groupBy(*keys).agg(F.percentile(column, F.lit(0.025)).alias(f"{prefix}ci_low"), F.percentile(column, F.lit(0.975)).alias(f"{prefix}ci_high"))
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        values = frame.sort_values(list(order))[column].dropna().to_numpy(float)
-        low, mid, high = (np.nan,) * 3
-        if len(values):
-            drawn = _medians(values, n, _rng(key, seed))
-            low, mid, high = np.quantile(drawn, 0.025), np.median(values), np.quantile(drawn, 0.975)
-        return pd.DataFrame([(*key, len(values), mid, low, high)])
 
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n long, median double, ci_low double, ci_high double"
-    return df.select(*dict.fromkeys([*keys, *order, column])).groupBy(*keys).applyInPandas(run, schema)
+def bootstrap_median_ci(df: DataFrame, keys: list[str], column: str, n: int = RESAMPLES, seed: str = "boot-1", order: tuple = ("ts", "pair")) -> DataFrame:
+    """Per group: rows with a value, their median and its 95% interval; null where there is no value."""
+    whole = df.groupBy(*keys).agg(F.count(column).alias("n"), median(column).alias("median"))
+    return whole.join(interval(resampled_medians(df, keys, column, n, seed, order), keys), keys, "left")
 
 
-def bootstrap_delta_ci(df: DataFrame, keys: list[str], side: str, column: str, n: int = RESAMPLES, seed: int = 7, order: list[str] = ("ts",)) -> DataFrame:
-    """Per group: difference of the medians of side "a" and side "b", with its 95% interval."""
+def delta_intervals(drawn: DataFrame, key: str, pairs: DataFrame, prefix: str = "delta_") -> DataFrame:
+    """For ``pairs`` of groups (a, b) of (key, draw, resampled): the 95% interval of the difference of their medians."""
+    left, right = (drawn.select(F.col(key).alias(side), "draw", F.col("resampled").alias(f"_{side}")) for side in ("a", "b"))
+    both = pairs.select("a", "b").distinct().join(left, "a").join(right, ["b", "draw"])
+    return interval(both.withColumn("_delta", F.col("_a") - F.col("_b")), ["a", "b"], "_delta", prefix)
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order))
-        a, b = (frame.loc[frame[side] == s, column].dropna().to_numpy(float) for s in ("a", "b"))
-        delta = low = high = np.nan
-        if len(a) and len(b):
-            rng = _rng(key, seed)
-            drawn = _medians(a, n, rng) - _medians(b, n, rng)
-            delta, low, high = np.median(a) - np.median(b), np.quantile(drawn, 0.025), np.quantile(drawn, 0.975)
-        return pd.DataFrame([(*key, len(a), len(b), delta, low, high)])
 
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n_a long, n_b long, delta double, ci_low double, ci_high double"
-    return df.select(*dict.fromkeys([*keys, side, *order, column])).groupBy(*keys).applyInPandas(run, schema)
+def bootstrap_delta_ci(df: DataFrame, keys: list[str], side: str, column: str, n: int = RESAMPLES, seed: str = "boot-1", order: tuple = ("ts", "pair")) -> DataFrame:
+    """Per group: difference of the medians of side "a" and side "b", with its 95% interval; null where a side has no value."""
+    part = lambda s: F.when(F.col(side) == s, F.col(column))
+    whole = df.groupBy(*keys).agg(F.count(part("a")).alias("n_a"), F.count(part("b")).alias("n_b"), (median(part("a")) - median(part("b"))).alias("delta"))
+    drawn = written(resampled_medians(df, [*keys, side], column, n, seed, order), "boot-draws")
+    a, b = (drawn.where(F.col(side) == s).select(*keys, "draw", F.col("resampled").alias(f"_{s}")) for s in ("a", "b"))
+    deltas = a.join(b, [*keys, "draw"]).withColumn("_delta", F.col("_a") - F.col("_b"))
+    return whole.join(interval(deltas, keys, "_delta"), keys, "left")
 
 
 def cost_stress_clusters(firsts: DataFrame, keys: list[str], far: str, split: str, bps: tuple = (0, 10, 20, 40), least: int = 200) -> DataFrame:
@@ -76,6 +72,23 @@ def grouped_concentration(firsts: DataFrame, column: str, far: str, n: int = 8)
     return groups.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("clusters"), column))).where(F.col("rank") <= n)
 
 
+def removal_concentration(firsts: DataFrame, keys: list[str], far: str, split: str) -> DataFrame:
+    """Per key: what is left of its clusters without its busiest pair, three busiest pairs or busiest month, and whether the edge survives."""
+    late = F.col("ts") >= F.lit(split).cast("timestamp")
+    parts = None
+    for column in ("pair", "month"):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_n"), column))
+        counts = firsts.groupBy(*keys, column).agg(F.count("*").alias("_n")).withColumn("_r", rank).drop("_n")
+        ranked = firsts.join(counts, [*keys, column]).select(*keys, "ts", f"excess_{far}", F.lit(column).alias("_by"), "_r")
+        parts = ranked if parts is None else parts.union(ranked)
+    cases = [("remove_top_1_pair", "pair", 1), ("remove_top_3_pairs", "pair", 3), ("remove_top_1_month", "month", 1)]
+    cases = F.array_compact(F.array(*(F.when(F.col("_by") == c, F.struct(F.lit(a).alias("analysis"), (F.col("_r") > n).alias("keep"))) for a, c, n in cases)))
+    rows = parts.withColumn("_case", F.explode(cases)).select("*", "_case.*")
+    kept = lambda value, test=F.lit(True): F.when(F.col("keep") & test, value)
+    out = rows.groupBy(*keys, "analysis").agg(F.count(kept(F.lit(1))).alias("clusters"), (F.count(kept(F.lit(1))) / F.count("*")).alias("cluster_share"), median(kept(F.col(f"excess_{far}"))).alias("excess_median"), median(kept(F.col(f"excess_{far}"), late)).alias("validation_median"))
+    return out.withColumn("decision", F.when(flag((F.col("excess_median") > 0) & (F.col("validation_median") > 0)), "survives").otherwise("weakens"))
+
+
 def canonical_manifest(candidates: DataFrame) -> DataFrame:
     """One fixed candidate per signal set: the original first, then the larger excess, then the id."""
     order = F.struct((~F.col("is_original")).cast("int").alias("a"), (-F.col("excess_far")).alias("b"), F.col("candidate_id"))

@@ -94,7 +94,7 @@ def classify_fixed(least: int = 200) -> Column:
             (c("clusters") < least, "REJECT_LOW_DENSITY"),
             (c("excess_ci_low") <= 0, "REJECT_CI_FRAGILITY"),
             (c("validation_ci_low") <= 0, "RESEARCH_ADVANCE_VALIDATION_WATCH"),
-            ((c("top_pair_share") > 0.30) | (c("top_year_share") > 0.40), "RESEARCH_ADVANCE_CONCENTRATION_WATCH"),
+            ((c("top_pair_cluster_share") > 0.30) | (c("top_year_cluster_share") > 0.40), "RESEARCH_ADVANCE_CONCENTRATION_WATCH"),
             (c("net_excess_20") <= 0, "RESEARCH_ADVANCE_COST_WATCH"),
         ],
         "FIXED_RESEARCH_CANDIDATE",
@@ -128,6 +128,49 @@ def resilience(profit: Column, trades: Column, base_profit: Column, base_trades:
     return ladder([((trades <= 0) | (profit <= 0), "collapses"), ((share(profit, base_profit) < 0.5) | (share(trades, base_trades) < 0.6), "weakens materially")], "survives")
 
 
+#: Fixed minima and limits of the strict gate.
+STRICT = {"trades": 120, "windows": 4, "latest_positive": 2, "drawdown_pct": 10.0, "profit_factor": 1.15, "month_share": 0.35, "pair_share": 0.25}
+
+
+def strict_checks(limits: dict = STRICT, allow_missing: bool = False) -> list[tuple[str, Column]]:
+    """The nine checks of the strict gate over the columns of ``ledger.strict_gate``, in order."""
+    c = F.col
+    return [
+        ("no_missing_snapshots", (c("missing_windows") == 0) | F.lit(allow_missing)),
+        ("total_trades", c("total_trades") >= limits["trades"]),
+        ("usable_windows", c("usable_windows") >= limits["windows"]),
+        ("latest_positive_windows", c("latest_positive_windows") >= limits["latest_positive"]),
+        ("max_drawdown_pct", c("max_drawdown_pct") <= limits["drawdown_pct"]),
+        ("profit_factor", c("profit_factor_stressed") >= limits["profit_factor"]),
+        ("avg_stressed_trade", c("avg_stressed_trade") > 0),
+        ("month_concentration", c("max_month_profit_share") <= limits["month_share"]),
+        ("pair_concentration", c("max_pair_profit_share") <= limits["pair_share"]),
+    ]
+
+
+def strict_decision(limits: dict = STRICT, allow_missing: bool = False) -> Column:
+    return F.when(failed_checks(strict_checks(limits, allow_missing)) == "", "PROMOTE_PENDING_BIAS").otherwise("PARK")
+
+
+def time_stress_status(profit: Column, trades: Column, least_trades: int = 10, least_profit: float = 100.0) -> Column:
+    return ladder([((trades <= 0) | (profit <= 0), "collapses"), ((trades < least_trades) | (profit < least_profit), "weakens materially")], "survives")
+
+
+def stability(profiles: DataFrame, key: str, label: str = "label", least: int = 5, share: float = 0.6) -> DataFrame:
+    """One row per key: whether profiles around the one labelled "baseline" keep its profit and trades. Columns trades, profit."""
+    c = F.col
+    base = profiles.where(c(label) == "baseline").select(key, c("trades").alias("base_trades"), c("profit").alias("base_profit"))
+    rows = profiles.where(c(label) != "baseline").join(base, key)
+    bad = (c("profit") <= 0) | (c("trades") < F.greatest(F.lit(least), F.floor(c("base_trades") * share))) | (c("profit") < c("base_profit") * share)
+    found = rows.groupBy(key).agg(F.count("*").alias("profiles"), F.count(F.when(bad, 1)).alias("weak_profiles"))
+    out = base.select(key).join(found, key, "left").na.fill(0, ["profiles", "weak_profiles"])
+    return out.withColumn("verdict", ladder([(c("profiles") == 0, "insufficient_data"), (c("weak_profiles") > 0, "fragile")], "stable"))
+
+
+def lookahead(signals: Column, biased_entries: Column, biased_exits: Column) -> Column:
+    return ladder([(signals <= 0, "LOOKAHEAD_NO_SIGNALS_VERIFIED"), ((biased_entries > 0) | (biased_exits > 0), "LOOKAHEAD_BIAS_DETECTED")], "LOOKAHEAD_CLEAN")
+
+
 def readout(near: str, far: str) -> Column:
     """How far a strategy summary supports its signal."""
     c = F.col

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import flag, safe_div
-from quantloom.operators.rows import KEYS
+from quantloom.operators.rows import KEYS, value_positions
 
 
 def last_rows(n: int, keys=KEYS):
@@ -79,23 +79,24 @@ def gates(df: DataFrame, p) -> DataFrame:
 
 def quantile_bucket(df: DataFrame, column: str, out: str, q: int = 5, keys=("pair",)) -> DataFrame:
     """Quantile bucket of each row within its key, ties by time; invalid rows get -1. It ranks over all loaded
-    rows, later ones too: a stratifier, not a signal. The key is a whole pair, so rows are ranked as one group."""
-    valid = F.col(column).isNotNull()
-    r = F.row_number().over(Window.partitionBy(*keys, valid).orderBy(column, "ts"))
-    n = F.count("*").over(Window.partitionBy(*keys, valid))
-    buckets = F.least(n, F.lit(q))
-    number = F.when(n == 1, F.lit(0)).otherwise(F.greatest(F.ceil((r - 1) * buckets / (n - 1)), F.lit(1)) - 1)
-    return df.withColumn(out, F.when(valid, number).otherwise(-1).cast("int"))
+    rows, later ones too: a stratifier, not a signal."""
+    ranked = value_positions(df.where(F.col(column).isNotNull()), keys, column, "ts", "_r", "_size")
+    buckets = F.least("_size", F.lit(q))
+    number = F.when(F.col("_size") == 1, F.lit(0)).otherwise(F.greatest(F.ceil(F.col("_r") * buckets / (F.col("_size") - 1)), F.lit(1)) - 1)
+    ranked = ranked.withColumn(out, number.cast("int")).drop("_r", "_size")
+    return ranked.unionByName(df.where(F.col(column).isNull()).withColumn(out, F.lit(-1)))
 
 
 def bucket_three(df: DataFrame, column: str, out: str, keys: tuple = (), order: str = "ts") -> DataFrame:
     """Terciles low, mid and high by rank; with fewer than three distinct values, high above the median."""
-    valid = F.col(column).isNotNull()
-    group = Window.partitionBy(*keys, valid)
-    r = F.row_number().over(group.orderBy(column, order))
-    n = F.count("*").over(group)
-    distinct = F.size(F.collect_set(column).over(group))
-    third = F.least(F.floor((r - 1) * 3 / F.greatest(n - 1, F.lit(1))), F.lit(2))
+    known = df.where(F.col(column).isNotNull())
+    ends = known.withColumn("_all", F.lit(1)).groupBy(*keys, "_all").agg(F.min(column).alias("_low"), F.max(column).alias("_high"), F.percentile(column, F.lit(0.5)).alias("_median"))
+    ranked = value_positions(known, keys, column, order, "_r", "_size").withColumn("_all", F.lit(1))
+    ranked = ranked.join(ends, [*keys, "_all"])
+    inner = ranked.where((F.col(column) > F.col("_low")) & (F.col(column) < F.col("_high"))).groupBy(*keys, "_all").agg(F.lit(True).alias("_inner"))
+    ranked = ranked.join(inner, [*keys, "_all"], "left")
+    third = F.least(F.floor(F.col("_r") * 3 / F.greatest(F.col("_size") - 1, F.lit(1))), F.lit(2))
     by_rank = F.element_at(F.array(*map(F.lit, ("low", "mid", "high"))), (third + 1).cast("int"))
-    half = F.when(F.col(column) > F.percentile(column, F.lit(0.5)).over(group), "high").otherwise("low")
-    return df.withColumn(out, F.when(valid, F.when(distinct < 3, half).otherwise(by_rank)))
+    half = F.when(F.col(column) > F.col("_median"), "high").otherwise("low")
+    ranked = ranked.withColumn(out, F.when(flag(F.col("_inner")), by_rank).otherwise(half)).drop("_r", "_size", "_all", "_low", "_high", "_median", "_inner")
+    return ranked.unionByName(df.where(F.col(column).isNull()).withColumn(out, F.lit(None).cast("string")))

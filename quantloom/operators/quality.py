@@ -7,24 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.operators.gates import lookahead
+
 #: Invisible and direction-changing code points that are reported (fixed values).
 HIDDEN = (0x00AD, 0x061C, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0x2066, 0x2067, 0x2068, 0x2069, 0xFEFF)
 
 
-def causality_check(bars: DataFrame, cuts: DataFrame, compute: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
-    """Recompute ``compute`` on history that ends at each cut and compare the last row with the full run.
-    ``cuts``: (cut). Per cut: rows compared and rows that differ in any column. A cut's copy of the bars gets its
-    own pair name, so all cuts run in one job."""
-    full = compute(bars).select("pair", "ts", *columns)
-    copies = bars.join(F.broadcast(cuts), F.col("ts") <= F.col("cut"))
-    short = compute(copies.withColumn("pair", F.concat_ws("@", "pair", F.date_format("cut", "yyyyMMddHHmmss"))).drop("cut"))
-    short = short.withColumns({"cut": F.to_timestamp(F.substring_index("pair", "@", -1), "yyyyMMddHHmmss").cast("timestamp_ntz"), "pair": F.substring_index("pair", "@", 1)})
-    short = short.select("pair", "ts", "cut", *(F.col(c).alias(f"short_{c}") for c in columns))
-    both = short.where(F.col("ts") > F.col("cut") - F.expr("INTERVAL 7 DAYS")).join(full, ["pair", "ts"])
-    differs = F.lit(False)
-    for c in columns:
-        differs = differs | ~F.col(c).eqNullSafe(F.col(f"short_{c}"))
-    return both.groupBy("cut").agg(F.count("*").alias("compared"), F.count(F.when(differs, 1)).alias("biased"))
+def causality_check(bars: DataFrame, cuts: DataFrame, compute: Callable[[DataFrame], DataFrame], entries: list[str], exits: list[str], days: int = 60) -> DataFrame:
+    """Recompute entry and exit flags on history that ends at each cut and compare them with the full run.
+    ``cuts``: (cut). Per cut, over its last ``days`` days: rows compared, entry signals of the full run, rows whose entries or
+    exits differ, and the decision. A cut's copy of the bars gets its own pair name, so all cuts run in one job."""
+    flags = [*entries, *exits]
+    full = compute(bars).select("pair", "ts", *flags)
+    ends = F.sort_array(F.lit([r.cut for r in cuts.collect()]))  # a few dates
+    copies = bars.withColumn("cut", F.explode(F.filter(ends, lambda c: c >= F.col("ts"))))
+    short = compute(copies.withColumn("pair", F.concat_ws("@", "pair", F.date_format("cut", "yyyyMMdd"))).drop("cut"))
+    short = short.withColumns({"cut": F.to_date(F.substring_index("pair", "@", -1), "yyyyMMdd").cast("timestamp_ntz"), "pair": F.substring_index("pair", "@", 1)})
+    short = short.select("pair", "ts", "cut", *(F.col(c).alias(f"short_{c}") for c in flags))
+    both = short.where(F.col("ts") > F.col("cut") - F.expr(f"INTERVAL {days} DAYS")).join(full, ["pair", "ts"])
+
+    def differs(columns):
+        out = F.lit(False)
+        for c in columns:
+            out = out | ~F.col(c).eqNullSafe(F.col(f"short_{c}"))
+        return out
+
+    entered = F.greatest(F.lit(0), *(F.col(c).cast("int") for c in entries)) > 0
+    out = both.groupBy("cut").agg(F.count("*").alias("compared"), F.count(F.when(entered, 1)).alias("signals"), F.count(F.when(differs(entries), 1)).alias("biased_entries"), F.count(F.when(differs(exits), 1)).alias("biased_exits"))
+    return out.withColumn("decision", lookahead(F.col("signals"), F.col("biased_entries"), F.col("biased_exits")))
 
 
 def verify_matrix(df: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:

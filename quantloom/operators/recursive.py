@@ -16,13 +16,26 @@ from quantloom.operators.rows import KEYS
 WARM_UP = 2_400
 
 
+BLOCK = 128
+
+
+def decayed(x: np.ndarray, q: float, before: float) -> np.ndarray:
+    """y[i] = q * y[i - 1] + x[i] with ``before`` ahead of the first. Blocks are weighed by powers of q at once; the
+    blocks' ends follow the same rule with the power of a block's length."""
+    n = min(BLOCK, max(1, len(x)))
+    step = np.arange(n)
+    inside = np.where(step[:, None] >= step, q ** np.maximum(step[:, None] - step, 0.0), 0.0)
+    local = np.pad(x, (0, -len(x) % n)).reshape(-1, n) @ inside.T
+    ends = np.array([before]) if len(local) <= 1 else np.append(before, decayed(local[:-1, -1], q**n, before))
+    return (local + ends[:, None] * q ** (step + 1.0)).ravel()[: len(x)]
+
+
 def ema(x: np.ndarray, n: int) -> np.ndarray:
     """Exponential average, seeded with the mean of the first n values."""
     out = np.full(len(x), np.nan)
     if len(x) >= n:
         out[n - 1] = x[:n].mean()
-        for i in range(n, len(x)):
-            out[i] = out[i - 1] + (x[i] - out[i - 1]) * 2 / (n + 1)
+        out[n:] = decayed(x[n:] * 2 / (n + 1), (n - 1) / (n + 1), out[n - 1])
     return out
 
 
@@ -31,8 +44,7 @@ def wilder(x: np.ndarray, n: int) -> np.ndarray:
     out = np.full(len(x), np.nan)
     if len(x) > n:
         out[n] = x[1 : n + 1].mean()
-        for i in range(n + 1, len(x)):
-            out[i] = out[i - 1] + (x[i] - out[i - 1]) / n
+        out[n + 1 :] = decayed(x[n + 1 :] / n, (n - 1) / n, out[n])
     return out
 
 
@@ -55,9 +67,7 @@ def adx(high, low, close, n: int = 14) -> np.ndarray:
     def total(x):  # a running sum that sheds an n-th at each step
         out = np.full(len(x), np.nan)
         if len(x) > n:
-            held = x[1:n].sum()
-            for i in range(n, len(x)):
-                held = out[i] = held - held / n + x[i]
+            out[n:] = decayed(x[n:], (n - 1) / n, x[1:n].sum())
         return out
 
     rng, p, m = total(true_range(high, low, close)), total(plus), total(minus)
@@ -67,8 +77,7 @@ def adx(high, low, close, n: int = 14) -> np.ndarray:
     out = np.full(len(close), np.nan)
     if len(close) >= 2 * n:
         out[2 * n - 1] = dx[n : 2 * n].mean()
-        for i in range(2 * n, len(close)):
-            out[i] = (out[i - 1] * (n - 1) + dx[i]) / n
+        out[2 * n :] = decayed(dx[2 * n :] / n, (n - 1) / n, out[2 * n - 1])
     return out
 
 

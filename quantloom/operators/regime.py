@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.columns import flag
+from quantloom.operators.asof import asof_join
+from quantloom.operators.ledger import max_drawdown
+
 
 def breadth(df: DataFrame, flags: list[str], ts: str = "ts") -> DataFrame:
     """Per timestamp: share of pairs with each flag, and the number of pairs."""
@@ -32,3 +36,26 @@ def with_context(df: DataFrame, context: DataFrame, ts: str = "ts") -> DataFrame
 def signal_quality(rows: DataFrame, label: str, column: str) -> DataFrame:
     """Per label (signal, or the first gate that failed): rows, complete rows, mean and good share of a return."""
     return rows.groupBy(label).agg(F.count("*").alias("rows"), F.count(column).alias("complete"), F.avg(column).alias(f"mean_{column}"), F.avg(F.when(F.col(column).isNotNull(), (F.col(column) > 0).cast("double"))).alias("good_share"))
+
+
+def market_trend(bars: DataFrame) -> DataFrame:
+    """(ts, market_trend) of one market's bars with ema50, ema200 and ema50_slope: up and down need the order and the slope."""
+    c = F.col
+    up, down = (c("ema50") > c("ema200")) & (c("ema50_slope") > 0), (c("ema50") < c("ema200")) & (c("ema50_slope") < 0)
+    return bars.select("ts", F.when(flag(up), "market_up").when(flag(down), "market_down").otherwise("market_neutral").alias("market_trend"))
+
+
+def market_context(context: DataFrame, trend: DataFrame, vol: DataFrame, period: str = "month") -> DataFrame:
+    """``context`` (ts, ...) with the last known market trend and realized volatility; no key, rows in order per period only."""
+    out = asof_join(context, trend, "ts", (), ("market_trend",), period=period)
+    return asof_join(out, vol, "ts", (), ("realized_vol",), period=period)
+
+
+def attribution(signals: DataFrame, trades: DataFrame, bucket: str, returns: list[str]) -> DataFrame:
+    """Per bucket: signals and their mean returns, trades, win rate, profit and drawdown; 0 where a bucket has no trades."""
+    entered = signals.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("signals"), *(F.avg(c).alias(f"mean_{c}") for c in returns))
+    keyed = trades.withColumn("bucket", F.col(bucket))
+    won = keyed.groupBy("bucket").agg(F.count("*").alias("trades"), F.avg((F.col("profit_abs") > 0).cast("double")).alias("win_rate"), F.sum("profit_abs").alias("profit"))
+    fall = max_drawdown(keyed.withColumn("profit_abs", F.round("profit_abs", 2).cast("decimal(18,2)")), ["bucket"]).select("bucket", F.col("max_drawdown").cast("double").alias("drawdown"))
+    out = entered.join(won, "bucket", "left").join(fall, "bucket", "left")
+    return out.na.fill(0, ["trades", "win_rate", "profit", "drawdown"])

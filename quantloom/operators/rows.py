@@ -17,6 +17,32 @@ def bar_index(bars: DataFrame, period: str = "month") -> DataFrame:
     return parts.withColumn("_place", place).join(offsets, ["pair", "_part"]).withColumn("bar_idx", (F.col("_before") + F.col("_place")).cast("long")).drop("_part", "_place", "_before")
 
 
+def positions(df: DataFrame, keys: list[str], order: tuple = ("ts",), place: str = "place", size: str = "size", period: str = "month") -> DataFrame:
+    """The position of each row in its group, from 0, and the group's size. Counted per period of the first column
+    of ``order``, then summed over periods, so that no group is ordered as a whole."""
+    parts = df.withColumn("_part", F.date_trunc(period, order[0]))
+    group = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).select(*keys, "_part", before.alias("_before"), F.sum("_n").over(group).alias(size))
+    at = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    return parts.withColumn(place, at).join(offsets, [*keys, "_part"]).withColumn(place, F.col("_before") + F.col(place)).drop("_part", "_before")
+
+
+def value_positions(df: DataFrame, keys: tuple, column: str, tie: str, place: str = "place", size: str = "size", parts: int = 64) -> DataFrame:
+    """The position of each row in its group by (column, tie), from 0, and the group's size. Rows are counted per range
+    between approximate quantiles and ranked inside a range, so that no group is ordered as a whole."""
+    whole = [*keys, "_all"]
+    df = df.withColumn("_all", F.lit(1))
+    cuts = df.groupBy(*whole).agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 1000).alias("_cuts"))
+    df = df.join(F.broadcast(cuts), whole) if not keys else df.join(cuts, whole)
+    df = df.withColumn("_part", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(column)))).drop("_cuts")
+    group = Window.partitionBy(*whole)
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = df.groupBy(*whole, "_part").agg(F.count("*").alias("_n")).select(*whole, "_part", before.alias("_before"), F.sum("_n").over(group).alias(size))
+    at = F.row_number().over(Window.partitionBy(*whole, "_part").orderBy(column, tie)) - 1
+    return df.withColumn(place, at).join(offsets, [*whole, "_part"]).withColumn(place, F.col("_before") + F.col(place)).drop("_all", "_part", "_before")
+
+
 def chunked(indexed: DataFrame, rows: int = CHUNK_ROWS, before: int = 0, after: int = 0) -> DataFrame:
     """``chunk`` of each bar and ``own``; a chunk also holds copies of the ``before`` bars that precede it and the
     ``after`` bars that follow it (own = false). Windows over (pair, chunk) that reach no further are exact."""

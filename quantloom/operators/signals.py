@@ -123,21 +123,19 @@ def token(x: float) -> str:
     return f"{x:g}".replace("-", "m").replace(".", "p")
 
 
-def baseline_specs(f: Flush) -> list[tuple[str, Column]]:
+def baseline_names(f: Flush) -> list[str]:
     """Seven simple rules that a candidate has to beat, named after their levels."""
+    z, r = f"price_z_lt_m{token(f.price_z)}", f"rsi_lt_{token(f.rsi)}"
+    below = "close_below_bb_lower"
+    return [z, r, f"{z}_and_{r}", below, f"{below}_and_{r}", f"vol_z_gt_{token(f.vol_z_min)}_and_{z}", f"bb_width_gt_{token(f.bb_width_min)}_and_{z}"]
+
+
+def baseline_specs(f: Flush) -> list[tuple[str, Column]]:
+    """The seven rules by name."""
     c = F.col
-    z, r = c("price_z") < -f.price_z, c("rsi") < f.rsi
-    below = c("close") < c("bb_lower")
-    out = [
-        (f"price_z_lt_m{token(f.price_z)}", z),
-        (f"rsi_lt_{token(f.rsi)}", r),
-        (f"price_z_lt_m{token(f.price_z)}_and_rsi_lt_{token(f.rsi)}", z & r),
-        ("close_below_bb_lower", below),
-        (f"close_below_bb_lower_and_rsi_lt_{token(f.rsi)}", below & r),
-        (f"vol_z_gt_{token(f.vol_z_min)}_and_price_z_lt_m{token(f.price_z)}", (c("vol_z") > f.vol_z_min) & z),
-        (f"bb_width_gt_{token(f.bb_width_min)}_and_price_z_lt_m{token(f.price_z)}", (c("bb_width") > f.bb_width_min) & z),
-    ]
-    return [(name, flag(mask)) for name, mask in out]
+    z, r, below = c("price_z") < -f.price_z, c("rsi") < f.rsi, c("close") < c("bb_lower")
+    masks = [z, r, z & r, below, below & r, (c("vol_z") > f.vol_z_min) & z, (c("bb_width") > f.bb_width_min) & z]
+    return [(name, flag(mask)) for name, mask in zip(baseline_names(f), masks, strict=True)]
 
 
 def component_masks(f: Flush) -> list[tuple[str, Column]]:
@@ -156,18 +154,23 @@ def masks_to_rows(df: DataFrame, specs: list[tuple[str, Column]], name: str = "c
     return df.withColumn(name, F.explode(hits))
 
 
-def rebound_events(df: DataFrame, most: int = 3, keys=KEYS) -> DataFrame:
-    """Flush rows (``flush``) with the first of the next ``most`` bars that closes up and above the lower band:
-    delay, entry price at the open after it, and the move missed against entering at once."""
+def confirmations(df: DataFrame, most: int = 3, keys=KEYS) -> DataFrame:
+    """Per row the first of the next ``most`` bars that closes up and above the lower band: confirm_delay and confirm_ts,
+    the price at the open after it, and the move missed against entering at once."""
     w = line(keys)
     up = flag((F.col("close") > F.col("open")) & (F.col("close") > F.col("bb_lower")))
     df = df.withColumn("_up", up).withColumn("next_open", F.lead("open", 1).over(w))
-    delay = F.coalesce(*(F.when(flag(F.lead("_up", k).over(w)), F.lit(k)) for k in range(1, most + 1)))
-    price = F.coalesce(*(F.when(flag(F.lead("_up", k).over(w)), F.lead("open", k + 1).over(w)) for k in range(1, most + 1)))
-    df = df.withColumns({"confirm_delay": delay, "confirm_price": price}).where(flag(F.col("flush")))
+    first = lambda value: F.coalesce(*(F.when(flag(F.lead("_up", k).over(w)), value(k)) for k in range(1, most + 1)))
+    found = {"confirm_delay": first(F.lit), "confirm_ts": first(lambda k: F.lead("ts", k).over(w)), "confirm_price": first(lambda k: F.lead("open", k + 1).over(w))}
+    df = df.withColumns(found)
     return df.withColumn("missed_move", safe_div(F.col("confirm_price") - F.col("next_open"), F.col("next_open"))).drop("_up")
 
 
+def rebound_events(df: DataFrame, most: int = 3, keys=KEYS) -> DataFrame:
+    """Flush rows (``flush``) with their confirmations."""
+    return confirmations(df, most, keys).where(flag(F.col("flush")))
+
+
 def near_misses(df: DataFrame, p: Profile) -> DataFrame:
     """Rows where every long or short gate but the reversal holds."""
     long_side, short_side = _all(_long(p)) & ~F.col("bullish_reversal"), _all(_short(p)) & ~F.col("bearish_reversal")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import flag, median
 from quantloom.functions.tables import written
-from quantloom.operators.events import cluster_events, positive_groups, share_positive, top_share
+from quantloom.operators.events import cluster_events, share_positive
 
 AXES = ("price_z", "rsi", "vol_z", "bb_width")
 GATES = ("weak_trend", "breakout_block", "below_band")
@@ -80,39 +80,42 @@ def expand_cells(events: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
     return signed.join(lists, SIGNATURE).withColumn("cell_id", F.explode("cell_ids")).drop("cell_ids", *SIGNATURE)
 
 
-def split_metrics(firsts: DataFrame, keys: list[str], split: str, value: str, least_train: int, least_validation: int) -> DataFrame:
-    """Counts and medians of cluster-first events before and from ``split`` on, and whether both sides pass."""
-    late = F.col("ts") >= F.lit(split).cast("timestamp")
-    out = firsts.groupBy(*keys).agg(
-        F.count(F.when(~late, 1)).alias("train_clusters"), F.count(F.when(late, 1)).alias("validation_clusters"), median(F.when(~late, F.col(value))).alias("train_excess_median"), median(F.when(late, F.col(value))).alias("validation_excess_median")
-    )
-    ok = lambda side, least: flag((F.col(f"{side}_clusters") >= least) & (F.col(f"{side}_excess_median") > 0))
-    return out.withColumns({"passes_train": ok("train", least_train), "passes_validation": ok("validation", least_validation)})
-
-
 def cell_metrics(rows: DataFrame, keys: list[str], near: str, far: str, gap: str, split: str, least_train: int = 3, least_validation: int = 3) -> DataFrame:
-    """Metrics per cell of (cell, event) rows; ``near`` and ``far`` name the two return columns."""
+    """Metrics per cell of (cell, event) rows; ``near`` and ``far`` name the two return columns. Shares and positive groups
+    by pair and by year come from one pass over both groupings."""
     rows = written(cluster_events(rows, (*keys, "pair"), gap), "cell-rows")
-    firsts = rows.where("is_cluster_first")
+    first, late = F.col("is_cluster_first"), F.col("ts") >= F.lit(split).cast("timestamp")
+    excess = F.col(f"excess_{far}")
     p = lambda c, q: F.percentile(c, F.lit(q))
     main = rows.groupBy(*keys).agg(
         F.count("*").alias("signals"),
-        F.count(F.when(F.col("is_cluster_first"), 1)).alias("clusters"),
+        F.count(F.when(first, 1)).alias("clusters"),
         F.count_distinct("pair").alias("active_pairs"),
         F.count_distinct("year").alias("active_years"),
         F.count_distinct("month").alias("active_months"),
         *(median(f"{kind}{c}").alias(f"{kind}{c}_median") for c in (near, far) for kind in ("", "null_", "excess_")),
-        *(median(F.when(F.col("is_cluster_first"), F.col(f"{kind}{c}"))).alias(f"cluster_{kind}{c}_median") for c in (near, far) for kind in ("", "excess_")),
-        p(F.when(F.col("is_cluster_first"), F.col(f"excess_{far}")), 0.25).alias("cluster_excess_p25"),
+        *(median(F.when(first, F.col(f"{kind}{c}"))).alias(f"cluster_{kind}{c}_median") for c in (near, far) for kind in ("", "excess_")),
+        p(F.when(first, excess), 0.25).alias("cluster_excess_p25"),
         median("mfe").alias("mfe_median"),
         median("mae").alias("mae_median"),
         p("mae", 0.1).alias("mae_p10"),
         *(share_positive(c).alias(f"{c}_win_rate") for c in (near, far)),
+        F.count(F.when(first & ~late, 1)).alias("train_clusters"),
+        F.count(F.when(first & late, 1)).alias("validation_clusters"),
+        median(F.when(first & ~late, excess)).alias("train_excess_median"),
+        median(F.when(first & late, excess)).alias("validation_excess_median"),
+    )
+    ok = lambda side, least: flag((F.col(f"{side}_clusters") >= least) & (F.col(f"{side}_excess_median") > 0))
+    main = main.withColumns({"passes_train": ok("train", least_train), "passes_validation": ok("validation", least_validation)})
+    groups = rows.groupingSets([[*keys, "pair"], [*keys, "year"]], *keys, "pair", "year")
+    groups = groups.agg(F.grouping("year").alias("_by_pair"), F.count("*").alias("_n"), F.count(F.when(first, 1)).alias("_c"), median(F.when(first, excess)).alias("_m"))
+    part = lambda side, value: F.when(F.col("_by_pair") == side, value)
+    share = lambda side, n: F.max(part(side, F.col(n))) / F.nullif(F.sum(part(side, F.col(n))), F.lit(0))
+    shares = groups.groupBy(*keys).agg(
+        *(share(side, n).alias(f"top_{name}_{kind}") for side, name in ((1, "pair"), (0, "year")) for n, kind in (("_n", "share"), ("_c", "cluster_share"))),
+        *(F.count(F.when((F.col("_by_pair") == side) & (F.col("_m") > 0), 1)).alias(f"positive_{name}s") for side, name in ((1, "pair"), (0, "year"))),
     )
-    parts = [top_share(rows, keys, "pair"), top_share(rows, keys, "year"), positive_groups(firsts, keys, "pair", f"excess_{far}"), positive_groups(firsts, keys, "year", f"excess_{far}"), split_metrics(firsts, keys, split, f"excess_{far}", least_train, least_validation)]
-    for part in parts:
-        main = main.join(part, keys)
-    return main
+    return main.join(shares, keys)
 
 
 def surface(events: DataFrame, grid: Grid, near: str, far: str, gap: str, split: str) -> DataFrame:

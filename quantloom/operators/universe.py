@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -11,11 +11,31 @@ def anchors(spark: SparkSession, start: str, end: str, months: int = 3) -> DataF
     return spark.range(1).select(F.explode(F.expr(f"sequence(date'{start}', date'{end}', interval {months} months)")).alias("anchor")).select(F.col("anchor").cast("timestamp_ntz").alias("anchor"))
 
 
-def coverage(bars: DataFrame, anchors: DataFrame, lookback_days: int, post_days: int, bar_minutes: int) -> DataFrame:
+def complete_anchors(spark: SparkSession, start: str, months: int, latest: str) -> DataFrame:
+    """Anchors of windows of ``months`` months, one after another from ``start`` on, that end with month ``latest`` (yyyy-MM) or before."""
+    end = F.add_months(F.lit(f"{latest}-01").cast("date"), 1 - months)
+    anchors = F.when(end >= F.lit(start).cast("date"), F.sequence(F.lit(start).cast("date"), end, F.expr(f"INTERVAL {months} MONTHS")))
+    return spark.range(1).select(F.explode(anchors).alias("anchor")).select(F.col("anchor").cast("timestamp_ntz").alias("anchor"))
+
+
+def near_anchors(first: Column, last: Column, start: str, end: str, months: int) -> Column:
+    """The anchors, every ``months`` months from the month's first ``start`` to ``end``, in the months of ``first`` to ``last``.
+    Counted from the months between, so that no row is held against all anchors."""
+    y, m = int(start[:4]), int(start[5:7])
+    count = ((int(end[:4]) - y) * 12 + int(end[5:7]) - m) // months
+    index = lambda t: (F.year(t) - y) * 12 + F.month(t) - m
+    low = F.greatest(F.ceil(index(first) / months), F.lit(0)).cast("int")
+    high = F.least(F.floor(index(last) / months), F.lit(count)).cast("int")
+    at = lambda k: F.add_months(F.lit(start).cast("date"), k * months).cast("timestamp_ntz")
+    return F.when(low <= high, F.transform(F.sequence(low, high), at))
+
+
+def coverage(bars: DataFrame, start: str, end: str, months: int, lookback_days: int, post_days: int, bar_minutes: int) -> DataFrame:
     """Per (anchor, pair): bars before and after the anchor, their share of the expected, first and last bar, and
-    approximate quote volume before it. Anchors are few and broadcast; each bar meets the anchors near it."""
+    approximate quote volume before it. Each bar is put to the anchors near it."""
     back, post = F.expr(f"INTERVAL {lookback_days} DAYS"), F.expr(f"INTERVAL {post_days} DAYS")
-    rows = bars.join(F.broadcast(anchors), (F.col("ts") >= F.col("anchor") - back) & (F.col("ts") < F.col("anchor") + post))
+    near = near_anchors(F.col("ts") - post, F.col("ts") + back, start, end, months)
+    rows = bars.withColumn("anchor", F.explode(near)).where((F.col("ts") >= F.col("anchor") - back) & (F.col("ts") < F.col("anchor") + post))
     before = F.col("ts") < F.col("anchor")
     expected = lambda days: float(int(days * 1440 / bar_minutes + 1e-9))
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import stamp
 from quantloom.functions.tables import written
-from quantloom.operators import events, gates, ledger, quality, regime, rows, signals, universe
+from quantloom.operators import asof, events, gates, indicators, ledger, quality, regime, rows, signals, universe
 from quantloom.plans import frames
 from quantloom.plans.book import Book
-from quantloom.plans.study import TS, WITH, P
+from quantloom.plans.study import EVENT_CTES, TS, WITH, P, flush_events, nine_places
 from quantloom.sources import bars as source
 
 book = Book()
@@ -75,12 +75,12 @@ book.add(
     SELECT strategy, removed_top, profit_after, trades_after, CASE WHEN trades_after <= 0 OR profit_after <= 0 THEN 'collapses' WHEN (CASE WHEN profit > 0 THEN profit_after / profit ELSE 0 END) < 0.5 OR trades_after / trades < 0.6 THEN 'weakens materially' ELSE 'survives' END AS resilience FROM x""",
     "profit_after:1",
 )
-SUMMARY = ["trades", "profit", "validation_trades", "validation_profit", "mean_hours", "median_hours", "active_pairs", "active_years", "profit_after_top_1", "profit_after_top_5", "profit_after_fee_2x", "profit_after_20bps", "same_candle", "profit_factor"]
+SUMMARY = ["trades", "profit", "validation_trades", "validation_profit", "mean_hours", "median_hours", "active_pairs", "active_years", "profit_after_top_1", "profit_after_top_5", "profit_after_fee_2x", "profit_after_20bps", "profit_after_funding", "same_candle", "profit_factor"]
 LEDGER = f"""{T}, r AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY profit_abs DESC, pair, open_date, close_date, amount) AS r, epoch(close_date - open_date) / 3600 AS hours FROM trades),
 ledger AS (SELECT strategy, count(*) AS trades, sum(profit_abs) AS profit, count(*) FILTER (open_date >= '{SPLIT}') AS validation_trades, sum(profit_abs) FILTER (open_date >= '{SPLIT}') AS validation_profit, avg(hours) AS mean_hours, quantile_cont(hours, 0.5) AS median_hours,
-  count(DISTINCT pair) AS active_pairs, count(DISTINCT year) AS active_years, sum(profit_abs) FILTER (r > 1) AS profit_after_top_1, sum(profit_abs) FILTER (r > 5) AS profit_after_top_5, sum(profit_abs - notional * (fee_open + fee_close)) AS profit_after_fee_2x,
+  count(DISTINCT pair) AS active_pairs, count(DISTINCT year) AS active_years, sum(profit_abs) FILTER (r > 1 OR profit_abs <= 0) AS profit_after_top_1, sum(profit_abs) FILTER (r > 5 OR profit_abs <= 0) AS profit_after_top_5, sum(profit_abs - notional * 0.003) AS profit_after_funding, sum(profit_abs - notional * (fee_open + fee_close)) AS profit_after_fee_2x,
   sum(profit_abs - notional * 0.002) AS profit_after_20bps, count(*) FILTER (open_date = close_date) AS same_candle, sum(profit_abs) FILTER (profit_abs > 0) / sum(-profit_abs) FILTER (profit_abs < 0) AS profit_factor FROM r GROUP BY strategy)"""
-MONEY = "profit:1 validation_profit:1 mean_hours median_hours profit_after_top_1:1 profit_after_top_5:1 profit_after_fee_2x:1 profit_after_20bps:1 profit_factor"
+MONEY = "profit:1 validation_profit:1 mean_hours median_hours profit_after_top_1:1 profit_after_top_5:1 profit_after_fee_2x:1 profit_after_20bps:1 profit_after_funding:1 profit_factor"
 book.add("ledger_summary", lambda s, d: ledger.ledger_summary(trades(s, d), ["strategy"], SPLIT), f"{LEDGER} SELECT strategy, {', '.join(SUMMARY)} FROM ledger", MONEY)
 
 
@@ -104,26 +104,33 @@ book.add(
       concat_ws(', ', CASE WHEN NOT profit > 0 THEN 'profit' END, CASE WHEN NOT ps <= 0.06 THEN 'pair_concentration' END, CASE WHEN NOT ys <= 0.17 THEN 'year_concentration' END, CASE WHEN NOT profit_after_fee_2x > 0 THEN 'fees' END) AS failed_checks FROM x""",
 )
 book.add("value_counts", lambda s, d: ledger.value_counts(trades(s, d), ["strategy"], "pair", 5), f"{T}, n AS (SELECT strategy, pair, count(*) AS n FROM trades GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY n DESC, pair) AS r FROM n) SELECT strategy, string_agg(pair || ':' || n, ', ' ORDER BY r) AS pair_counts FROM r WHERE r <= 5 GROUP BY strategy")
-book.add(
-    "validation_matrix",
-    lambda s, d: ledger.validation_matrix(trades(s, d), universe.anchors(s, "1996-01-01", "2000-01-01", 12), 6, 150).withColumn("anchor", stamp(F.col("anchor"))),
-    f"""{T}, a AS (SELECT unnest(generate_series(TIMESTAMP '1996-01-01', TIMESTAMP '2000-01-01', INTERVAL 12 MONTH)) AS anchor), x AS (SELECT * FROM trades JOIN a ON open_date >= anchor AND open_date < anchor + INTERVAL 6 MONTH),
-    m AS (SELECT anchor, strategy, string_agg(month || '=' || n, ';' ORDER BY month) AS monthly_distribution FROM (SELECT anchor, strategy, month, count(*) AS n FROM x GROUP BY ALL) GROUP BY ALL)
-    SELECT strftime(x.anchor, '%Y-%m-%d %H:%M:%S') AS anchor, x.strategy, count(*) AS trades, count(DISTINCT pair || '|' || strftime(open_date, '%Y-%m-%d %H:%M:%S') || '|' || is_short) AS unique_trades, count(DISTINCT pair) AS pairs, sum(profit_abs) AS profit, monthly_distribution, count(*) >= 150 AS usable_sample
-    FROM x JOIN m ON x.anchor = m.anchor AND x.strategy = m.strategy GROUP BY x.anchor, x.strategy, monthly_distribution""",
-    "profit:2",
-)
+TYPED = T.replace("p_brand AS pair", "p_type AS pair")
 book.add(
     "match_trades",
-    lambda s, d: ledger.match_trades(trades(s, d).withColumn("pair", F.lit("PROMO")).withColumn("open_date", F.date_trunc("day", "open_date")), rows.own(frames.rolling(s, d)).where("price_z < -1").select("pair", "ts", "price_z"), "1 DAY").groupBy("strategy").agg(F.count("*").alias("trades"), F.count("signal_ts").alias("matched")),
-    f"{T}, {frames.TICKS}, {frames.rolling_sql()}, g AS (SELECT ts FROM ind WHERE pair = 'PROMO' AND price_z < -1) SELECT strategy, count(*) AS trades, count(g.ts) AS matched FROM trades LEFT JOIN g ON date_trunc('day', open_date) = g.ts + INTERVAL 1 DAY GROUP BY strategy",
+    lambda s, d: ledger.match_trades(source.trades(s, d, "p_type").withColumn("open_date", F.date_trunc("day", "open_date")), rows.own(frames.rolling(s, d)).where("price_z < -1").select("pair", "ts", "price_z"), "1 DAY")
+    .groupBy("pair", "strategy").agg(F.count("*").alias("trades"), F.count("signal_ts").alias("matched"), F.avg("price_z").alias("mean_price_z")),
+    f"""{TYPED}, {frames.TICKS}, {frames.rolling_sql()}, g AS (SELECT pair, ts, price_z FROM ind WHERE price_z < -1)
+    SELECT trades.pair, strategy, count(*) AS trades, count(g.ts) AS matched, avg(price_z) AS mean_price_z FROM trades LEFT JOIN g ON trades.pair = g.pair AND date_trunc('day', open_date) = g.ts + INTERVAL 1 DAY GROUP BY ALL""",
+    "mean_price_z",
 )
+YEAR = ("1996-01-01 00:00:00", "1997-01-01 00:00:00")
+
+
+def held(s, d):
+    bars = source.bars_day(s, d)
+    return ledger.buy_hold(bars, bars.select("pair").distinct().union(s.sql("select 'NONE'")), *YEAR)
+
+
+HELD = f"""WITH {frames.TICKS}, p AS (SELECT DISTINCT pair FROM bars UNION ALL SELECT 'NONE'),
+e AS (SELECT pair, first(close ORDER BY ts) AS first_close, last(close ORDER BY ts) AS last_close, count(*) AS bars FROM bars WHERE ts >= '1996-01-01' AND ts < '1997-01-01' GROUP BY pair),
+held AS (SELECT p.pair, first_close, last_close, bars, CASE WHEN p.pair = 'NONE' THEN 'missing' WHEN bars IS NULL THEN 'no_data' ELSE 'ok' END AS status, (last_close / first_close - 1) * 100 AS change_pct FROM p LEFT JOIN e USING (pair))"""
+book.add("buy_hold", held, f"{HELD} SELECT * FROM held", "first_close last_close change_pct")
 book.add(
-    "buy_hold",
-    lambda s, d: ledger.buy_hold(source.bars_day(s, d), source.bars_day(s, d).select("pair").distinct().union(s.sql("select 'NONE'")), "1996-01-01 00:00:00", "1997-01-01 00:00:00"),
-    f"""WITH {frames.TICKS}, p AS (SELECT DISTINCT pair FROM bars UNION ALL SELECT 'NONE'), e AS (SELECT pair, first(close ORDER BY ts) AS first_close, last(close ORDER BY ts) AS last_close, count(*) AS bars FROM bars WHERE ts >= '1996-01-01' AND ts < '1997-01-01' GROUP BY pair)
-    SELECT p.pair, first_close, last_close, bars, CASE WHEN p.pair = 'NONE' THEN 'missing' WHEN bars IS NULL THEN 'no_data' ELSE 'ok' END AS status, (last_close / first_close - 1) * 100 AS change_pct FROM p LEFT JOIN e USING (pair)""",
-    "first_close last_close change_pct",
+    "buy_hold_summary",
+    lambda s, d: ledger.buy_hold_summary(held(s, d)),
+    f"""{HELD} SELECT count(*) AS pairs, count(*) FILTER (status = 'ok') AS usable_pairs, avg(change_pct) AS mean_change, quantile_cont(change_pct, 0.5) AS median_change, arg_max(pair, change_pct) AS best_pair,
+    max(change_pct) AS best_change, arg_min(pair, change_pct) AS worst_pair, min(change_pct) AS worst_change FROM held""",
+    "mean_change median_change best_change worst_change",
 )
 book.add("monthly_counts", lambda s, d: trades(s, d).groupBy("pair", "month").agg(F.count("*").alias("trades"), F.sum(F.col("is_short").cast("int")).alias("shorts")), f"{T} SELECT pair, month, count(*) AS trades, CAST(sum(CAST(is_short AS INTEGER)) AS BIGINT) AS shorts FROM trades GROUP BY ALL")
 
@@ -132,7 +139,7 @@ ANCHORS = ("1996-01-01", "2000-10-01")
 
 
 def covered(s, d, least=0.98):
-    return universe.flag_coverage(universe.coverage(source.bars_day(s, d), universe.anchors(s, *ANCHORS), 90, 30, 1440), least)
+    return universe.flag_coverage(universe.coverage(source.bars_day(s, d), *ANCHORS, 3, 90, 30, 1440), least)
 
 
 COVER = f"""WITH {frames.TICKS}, a AS (SELECT unnest(generate_series(TIMESTAMP '{ANCHORS[0]}', TIMESTAMP '{ANCHORS[1]}', INTERVAL 3 MONTH)) AS anchor),
@@ -186,6 +193,53 @@ book.add(
     "mean_forward_6",
 )
 
+MARKET = "PROMO"
+
+
+def market(s, d):
+    """Breadth of every day with the trend and volatility of one market, in terciles."""
+    bars = source.bars_day(s, d)
+    week = frames.weekly(bars.where(F.col("pair") == MARKET))
+    vol = indicators.realized_vol(bars.where(F.col("pair") == MARKET).withColumn("chunk", F.lit(0)), 30, 10)
+    df = regime.market_context(regime.breadth(bars, []), regime.market_trend(week), vol.where("realized_vol is not null").select("ts", "realized_vol"))
+    return written(indicators.bucket_three(df.na.fill(0.0, ["realized_vol"]), "realized_vol", "vol_bucket"), "market-context")
+
+
+MARKET_SQL = f"""mw AS (SELECT *, (ema50 - lag(ema50) OVER (ORDER BY ts)) / nullif(lag(ema50) OVER (ORDER BY ts), 0) AS slope FROM week_rec WHERE pair = '{MARKET}'),
+mt AS (SELECT ts, CASE WHEN ema50 > ema200 AND slope > 0 THEN 'market_up' WHEN ema50 < ema200 AND slope < 0 THEN 'market_down' ELSE 'market_neutral' END AS market_trend FROM mw),
+mr AS (SELECT ts, ln(close / lag(close) OVER (ORDER BY ts)) AS x FROM bars WHERE pair = '{MARKET}'),
+mv AS (SELECT * FROM (SELECT ts, CASE WHEN count(x) OVER w >= 10 THEN stddev_pop(x) OVER w * sqrt(30) END AS realized_vol FROM mr WINDOW w AS (ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) WHERE realized_vol IS NOT NULL),
+mu AS (SELECT ts, count(DISTINCT pair) AS universe FROM bars GROUP BY ts), m1 AS (SELECT mu.*, market_trend FROM mu ASOF LEFT JOIN mt ON mu.ts >= mt.ts), m2 AS (SELECT m1.*, coalesce(realized_vol, 0) AS realized_vol FROM m1 ASOF LEFT JOIN mv ON m1.ts >= mv.ts),
+mc AS (SELECT ts, universe, market_trend, realized_vol, CASE least(floor((row_number() OVER (ORDER BY realized_vol, ts) - 1) * 3 / greatest(count(*) OVER () - 1, 1)), 2) WHEN 0 THEN 'low' WHEN 1 THEN 'mid' ELSE 'high' END AS vol_bucket FROM m2)"""
+WEEKLY = frames.WEEK[: frames.WEEK.index(", week_roll AS")]
+book.add(
+    "market_context",
+    lambda s, d: market(s, d).withColumn("ts", stamp(F.col("ts"))),
+    f"WITH {frames.TICKS}, {WEEKLY}, {MARKET_SQL} SELECT {TS} AS ts, universe, market_trend, realized_vol, vol_bucket FROM mc",
+    "realized_vol",
+)
+
+
+def attributed(s, d, bucket):
+    context = market(s, d).select("ts", bucket)
+    entered = regime.with_context(flush_events(s, d), context)
+    opened = source.trades(s, d, "p_type").withColumn("ts", F.date_trunc("day", "open_date").cast("timestamp_ntz"))
+    opened = asof.asof_join(opened, context, "ts", (), (bucket,), period="month")
+    return regime.attribution(entered, opened.where(F.col(bucket).isNotNull()), bucket, ["forward_6", "forward_12"])
+
+
+for bucket in ("market_trend", "vol_bucket"):
+    book.add(
+        f"attribution_by_{bucket}",
+        lambda s, d, bucket=bucket: attributed(s, d, bucket),
+        f"""{TYPED}, {EVENT_CTES}, {WEEKLY}, {MARKET_SQL}, sg AS (SELECT {bucket} AS bucket, count(*) AS signals, avg(forward_6) AS mean_forward_6, avg(forward_12) AS mean_forward_12 FROM clu LEFT JOIN mc ON clu.ts = mc.ts GROUP BY ALL),
+        td AS (SELECT {bucket} AS bucket, t.pair, t.open_date, t.close_date, profit_abs, CAST(round(profit_abs, 2) AS DECIMAL(18, 2)) AS p FROM trades t ASOF JOIN mc ON date_trunc('day', t.open_date) >= mc.ts),
+        tc AS (SELECT *, sum(p) OVER (PARTITION BY bucket ORDER BY open_date, close_date, pair, p ROWS UNBOUNDED PRECEDING) AS c FROM td), tf AS (SELECT *, c - max(c) OVER (PARTITION BY bucket ORDER BY open_date, close_date, pair, p ROWS UNBOUNDED PRECEDING) AS fall FROM tc),
+        tr AS (SELECT bucket, count(*) AS trades, avg(CAST(profit_abs > 0 AS DOUBLE)) AS win_rate, sum(profit_abs) AS profit, CAST(abs(min(fall)) AS DOUBLE) AS drawdown FROM tf GROUP BY bucket)
+        SELECT bucket, signals, mean_forward_6, mean_forward_12, coalesce(trades, 0) AS trades, coalesce(win_rate, 0) AS win_rate, coalesce(profit, 0) AS profit, coalesce(drawdown, 0) AS drawdown FROM sg LEFT JOIN tr USING (bucket)""",
+        "mean_forward_6 mean_forward_12 win_rate profit:1 drawdown:0",
+    )
+
 # --- trades out of signals
 book.add(
     "fixed_exit_trades",
@@ -212,18 +266,53 @@ book.add(
 )
 
 
-def causal(s, d):
-    from quantloom.operators import indicators
+CUTS = ("1996-01-01", "2000-01-01", 6)
+FLAGS = ["enter_long", "enter_short", "exit_long", "exit_short"]
+
+
+def flagged(ahead):
+    """Bars to entry and exit flags; with ``ahead`` an entry also asks for a higher close five bars later, as no signal may."""
 
     def compute(bars):
-        df = rows.chunked(rows.bar_index(bars), before=20)
-        return rows.own(indicators.bollinger(indicators.rolling_z(df, "close", "price_z"))).withColumns({c: F.round(c, 9) for c in ("price_z", "bb_width")})
+        df = indicators.session_vwap(rows.own(frames.features_of(written(bars, "causal-bars"))))
+        df = signals.exit_signals(nine_places(df), P)
+        df = signals.entry_signals(df, P)
+        if ahead:
+            later = F.lead("close", 5).over(indicators.line(("pair",)))
+            df = df.withColumn("enter_long", F.when(later > F.col("close"), F.col("enter_long")).otherwise(0))
+        return df.select("pair", "ts", *FLAGS)
 
-    cuts = universe.anchors(s, "1997-01-01", "1998-01-01", 6).withColumnRenamed("anchor", "cut")
-    return quality.causality_check(source.bars_day(s, d), cuts, compute, ["price_z", "bb_width"]).withColumn("cut", stamp(F.col("cut")))
+    return compute
 
 
-book.add("causality_check", causal, f"WITH {frames.TICKS}, c AS (SELECT unnest(generate_series(TIMESTAMP '1997-01-01', TIMESTAMP '1998-01-01', INTERVAL 6 MONTH)) AS cut) SELECT strftime(cut, '%Y-%m-%d %H:%M:%S') AS cut, count(*) AS compared, CAST(0 AS BIGINT) AS biased FROM bars JOIN c ON ts <= cut AND ts > cut - INTERVAL 7 DAY GROUP BY cut")
+def causal(s, d):
+    bars, cuts = source.bars_day(s, d), universe.anchors(s, *CUTS).withColumnRenamed("anchor", "cut")
+    out = [quality.causality_check(bars, cuts, flagged(ahead), FLAGS[:2], FLAGS[2:]).withColumn("variant", F.lit(name)) for name, ahead in (("as_written", False), ("five_bars_ahead", True))]
+    return out[0].unionByName(out[1]).withColumn("cut", stamp(F.col("cut")))
+
+
+def flags_sql(cut: bool) -> str:
+    """pair, ts, the entry and exit flags, and the entry that looks ahead."""
+    close = {c: f"round({c}, 9)" for c in ("close", "bb_mid", "ema20", "price_z", "rsi")}
+    vwap = "round((high + low + close) / 3 * volume / nullif(volume, 0), 9)"
+    hit = lambda op, z, r: " OR ".join([*(f"coalesce({close['close']} {op}= {x}, false)" for x in (close["bb_mid"], close["ema20"], vwap)), f"coalesce({close['price_z']} {op} {z}, false)", f"coalesce({close['rsi']} {op} {r}, false)"])
+    rounded = f"SELECT * REPLACE ({', '.join(f'{v} AS {c}' for c, v in close.items())}), lead({close['close']}, 5) OVER (PARTITION BY pair ORDER BY ts) AS later FROM feat"
+    long_side, short_side = frames.entry_sql()
+    return f"""(WITH {frames.features_sql(cut=cut)}, near AS ({rounded}), exits AS (SELECT pair, ts, {hit(">", P.exit_z_long, P.exit_rsi_long)} OR trend_expand_against_long OR NOT active_pair AS xl, {hit("<", P.exit_z_short, P.exit_rsi_short)} OR trend_expand_against_short OR NOT active_pair AS xs FROM feat)
+  SELECT near.pair, near.ts, {long_side} AS el, {short_side} AS es, xl, xs, {long_side} AND coalesce(later > close, false) AS ea FROM near JOIN exits ON near.pair = exits.pair AND near.ts = exits.ts)"""
+
+
+book.add(
+    "causality_check",
+    causal,
+    f"""WITH cuts AS (SELECT unnest(generate_series(TIMESTAMP '{CUTS[0]}', TIMESTAMP '{CUTS[1]}', INTERVAL {CUTS[2]} MONTH)) AS cut),
+    whole AS {flags_sql(False)}, part AS {flags_sql(True)},
+    parted AS (SELECT split_part(pair, '@', 1) AS pair, strptime(split_part(pair, '@', 2), '%Y%m%d') AS cut, ts, el AS el2, es AS es2, xl AS xl2, xs AS xs2, ea AS ea2 FROM part),
+    both_ AS (SELECT * FROM parted JOIN whole USING (pair, ts) WHERE ts > cut - INTERVAL 60 DAY),
+    n AS (SELECT cut, variant, count(*) AS compared, count(*) FILTER ((CASE variant WHEN 'as_written' THEN el ELSE ea END) OR es) AS signals,
+      count(*) FILTER ((CASE variant WHEN 'as_written' THEN el <> el2 ELSE ea <> ea2 END) OR es <> es2) AS biased_entries, count(*) FILTER (xl <> xl2 OR xs <> xs2) AS biased_exits FROM both_, (VALUES ('as_written'), ('five_bars_ahead')) v(variant) GROUP BY cut, variant)
+    SELECT strftime(cut, '%Y-%m-%d %H:%M:%S') AS cut, variant, compared, signals, biased_entries, biased_exits, CASE WHEN signals <= 0 THEN 'LOOKAHEAD_NO_SIGNALS_VERIFIED' WHEN biased_entries > 0 OR biased_exits > 0 THEN 'LOOKAHEAD_BIAS_DETECTED' ELSE 'LOOKAHEAD_CLEAN' END AS decision FROM n""",
+)
 book.add(
     "verify_matrix",
     lambda s, d: quality.verify_matrix(trades(s, d).select("strategy", "month"), trades(s, d).select("strategy").distinct().join(trades(s, d).select("month").distinct()), ["strategy", "month"]),

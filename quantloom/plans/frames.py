@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.functions.tables import written
 from quantloom.operators import asof, indicators, recursive, rows, signals
 from quantloom.sources import bars as source
 
@@ -28,9 +29,8 @@ def weekly(day: DataFrame) -> DataFrame:
     return indicators.slope(week, "ema50", "ema50_slope")
 
 
-def features(spark: SparkSession, sf_dir: str, profile=signals.DAILY, chunk: int = rows.CHUNK_ROWS, after: int = 64) -> DataFrame:
-    """Daily bars with every indicator and gate, still in chunks (keep ``own`` rows at the end)."""
-    day = source.bars_day(spark, sf_dir)
+def features_of(day: DataFrame, profile=signals.DAILY, chunk: int = rows.CHUNK_ROWS, after: int = 64) -> DataFrame:
+    """Bars with every indicator and gate, still in chunks (keep ``own`` rows at the end). ``day`` is read twice."""
     df = asof.attach_informative(day, weekly(day), INFO, "1 DAY", "7 DAYS")
     df = rows.chunked(rows.bar_index(df), chunk, recursive.WARM_UP, after)
     df = recursive.smoothed(df, (20,))
@@ -38,6 +38,11 @@ def features(spark: SparkSession, sf_dir: str, profile=signals.DAILY, chunk: int
     return indicators.gates(indicators.reversals(indicators.bollinger(df, k=BAND)), profile)
 
 
+def features(spark: SparkSession, sf_dir: str, profile=signals.DAILY, chunk: int = rows.CHUNK_ROWS, after: int = 64) -> DataFrame:
+    """Daily bars with every indicator and gate, still in chunks."""
+    return features_of(written(source.bars_day(spark, sf_dir), "daily-bars"), profile, chunk, after)
+
+
 TICKS = """
 ticks AS (
   SELECT p_type AS pair, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS ts, ln(l_extendedprice / l_quantity) AS price, l_quantity AS qty, l_orderkey, l_linenumber
@@ -130,9 +135,15 @@ def gates_sql(p) -> str:
 )"""
 
 
-def features_sql(p=signals.DAILY) -> str:
-    """``feat``: daily bars with every indicator and gate."""
-    return f"""{TICKS}, {WEEK}, {rolling_sql()}, {recursive_sql("rec", "ind")},
+CUT = """, bars AS (
+  SELECT pair || '@' || strftime(cut, '%Y%m%d') AS pair, ts, open, high, low, close, volume FROM all_bars JOIN cuts ON ts <= cut
+)"""
+
+
+def features_sql(p=signals.DAILY, cut: bool = False) -> str:
+    """``feat``: daily bars with every indicator and gate; with ``cut`` of the history up to each row of ``cuts`` (cut)."""
+    ticks = TICKS.replace("), bars AS (", "), all_bars AS (") + CUT if cut else TICKS
+    return f"""{ticks}, {WEEK}, {rolling_sql()}, {recursive_sql("rec", "ind")},
 joined AS (SELECT rec.*, week.* EXCLUDE (pair, seen) FROM rec ASOF LEFT JOIN week ON rec.pair = week.pair AND rec.ts >= week.seen), {gates_sql(p)}"""
 
 

@@ -55,19 +55,22 @@ book.add(
 
 def cooled(s, d):
     t = trades(s, d).withColumn("exit_reason", F.when((F.col("exit_reason") == "F") & (F.col("profit_abs") < 0), "stop_loss").otherwise("roi"))
-    t = t.where("close_date >= '1996-01-01' and close_date < '1996-04-01'").withColumns({"close_date": F.date_trunc("day", "close_date"), "profit_abs": F.round("profit_abs", 0)})
-    at = trades(s, d).where("open_date >= '1996-01-01' and open_date < '1996-04-01'").select("pair", "is_short", F.date_trunc("day", "open_date").alias("ts")).distinct()
+    t = t.withColumns({"close_date": F.date_trunc("day", "close_date"), "profit_abs": F.round("profit_abs", 0)})
+    at = trades(s, d).select("pair", "is_short", F.date_trunc("day", "open_date").alias("ts")).distinct()
     return signals.cooldown_flags(t, at, 86_400, stops=60, stop_bars=3, stop_pause=2, low_bars=10, low_pause=4).withColumn("ts", stamp(F.col("ts")))
 
 
 book.add(
     "cooldown_flags",
     cooled,
-    f"""{T}, t AS (SELECT pair, is_short, date_trunc('day', close_date) AS moment, CASE WHEN exit_reason = 'F' AND profit_abs < 0 THEN 1 ELSE 0 END AS stop, round(profit_abs, 0) AS p FROM trades WHERE close_date >= '1996-01-01' AND close_date < '1996-04-01'),
-    s AS (SELECT DISTINCT pair, is_short, CAST(date_trunc('day', open_date) AS TIMESTAMP) AS ts FROM trades WHERE open_date >= '1996-01-01' AND open_date < '1996-04-01'),
-    sd AS (SELECT is_short, moment, sum(stop) AS n FROM t GROUP BY ALL), side AS (SELECT DISTINCT a.is_short, a.moment FROM sd a WHERE (SELECT sum(b.n) FROM sd b WHERE b.is_short = a.is_short AND b.moment <= a.moment AND b.moment >= a.moment - INTERVAL 2 DAY) >= 60),
-    low AS (SELECT pair, is_short, moment, count(*) OVER w AS n, sum(p) OVER w AS p FROM t WINDOW w AS (PARTITION BY pair, is_short ORDER BY moment RANGE BETWEEN INTERVAL 9 DAY PRECEDING AND CURRENT ROW)), lock AS (SELECT DISTINCT pair, is_short, moment FROM low WHERE n >= 2 AND p <= 0),
-    f AS (SELECT s.*, EXISTS (SELECT 1 FROM side l WHERE l.is_short = s.is_short AND l.moment <= s.ts AND s.ts < l.moment + INTERVAL 2 DAY) AS side_blocked, EXISTS (SELECT 1 FROM lock l WHERE l.pair = s.pair AND l.is_short = s.is_short AND l.moment <= s.ts AND s.ts < l.moment + INTERVAL 4 DAY) AS pair_blocked FROM s)
+    f"""{T}, t AS (SELECT pair, is_short, date_trunc('day', close_date) AS moment, CASE WHEN exit_reason = 'F' AND profit_abs < 0 THEN 1 ELSE 0 END AS stop, round(profit_abs, 0) AS p FROM trades),
+    s AS (SELECT DISTINCT pair, is_short, CAST(date_trunc('day', open_date) AS TIMESTAMP) AS ts FROM trades),
+    sd AS (SELECT is_short, moment, sum(stop) AS n FROM t GROUP BY ALL),
+    reach AS (SELECT is_short, moment, sum(n) OVER (PARTITION BY is_short ORDER BY moment RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW) AS n FROM sd), side AS (SELECT * FROM reach WHERE n >= 60),
+    low AS (SELECT pair, is_short, moment, count(*) OVER w AS n, sum(p) OVER w AS p FROM t WINDOW w AS (PARTITION BY pair, is_short ORDER BY moment RANGE BETWEEN INTERVAL 9 DAY PRECEDING AND CURRENT ROW)),
+    lock AS (SELECT DISTINCT pair, is_short, moment FROM low WHERE n >= 2 AND p <= 0),
+    a AS (SELECT s.*, coalesce(s.ts < l.moment + INTERVAL 2 DAY, false) AS side_blocked FROM s ASOF LEFT JOIN side l ON s.is_short = l.is_short AND s.ts >= l.moment),
+    f AS (SELECT a.*, coalesce(a.ts < l.moment + INTERVAL 4 DAY, false) AS pair_blocked FROM a ASOF LEFT JOIN lock l ON a.pair = l.pair AND a.is_short = l.is_short AND a.ts >= l.moment)
     SELECT pair, is_short, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, side_blocked, pair_blocked, side_blocked OR pair_blocked AS blocked FROM f""",
 )
 EXITS, FEES = ("z0", "rsi50", "mid", "time"), (0.0, 0.0007)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import median, stamp
-from quantloom.functions.tables import written
-from quantloom.operators import compare, events, gates, quality, recursive, regime, rows, signals, surface
+from quantloom.operators import events, gates, quality, recursive, regime, rows, signals
 from quantloom.plans import frames
 from quantloom.plans.book import Book
-from quantloom.plans.research import CELLS, FAR, FIRSTS, GAP, GRID, NEAR, SPLIT, WITH_NULLS, candidates, labelled
+from quantloom.plans.research import FAR, NEAR, WITH_NULLS, candidates
 from quantloom.plans.study import EVENT_CTES, WITH, P, flush_events
 from quantloom.sources import bars as source
 
@@ -54,41 +53,6 @@ book.add(
 )
 
 
-def survivors(s, d):
-    """Canonical cells as candidates; their standing follows from the number of signals."""
-    cells = surface.fingerprints(candidates(s, d), GRID).where("not is_duplicate_signal_set and signals > 0")
-    decision = F.when(F.col("signals") % 3 == 0, "SURVIVES_BASELINES_STRONG").when(F.col("signals") % 3 == 1, "SURVIVES_BASELINES_WEAK").otherwise("FAILS_BASELINES")
-    drop = F.when(F.col("signals") % 2 == 0, "DROP_WEAK_TREND_GATE").otherwise("")
-    return cells.select(F.format_string("C%04d", "cell_id").alias("candidate_id"), decision.alias("candidate_decision"), (F.col("signals") % 7).alias("ci_wins"), (F.col("signals") % 5).alias("point_wins"), F.col("signals").alias("worst_delta_far"), "use_weak_trend", "use_breakout_block", drop.alias("simplifications"))
-
-
-book.add(
-    "selected_candidates",
-    lambda s, d: compare.fixed_definitions(compare.select_candidates(survivors(s, d), 4, 3, "C0001")).select("candidate_id", "place", "fixed_candidate_id", "use_weak_trend", "use_breakout_block", "is_original"),
-    f"""{WITH_NULLS}, {CELLS}, s AS (SELECT printf('C%04d', cell_id) AS candidate_id, CASE signals % 3 WHEN 0 THEN 'SURVIVES_BASELINES_STRONG' WHEN 1 THEN 'SURVIVES_BASELINES_WEAK' ELSE 'FAILS_BASELINES' END AS dec, signals, use_weak_trend AS w, use_breakout_block FROM dup WHERE cell_id = canonical_cell_id AND signals > 0),
-    r AS (SELECT *, row_number() OVER (PARTITION BY dec ORDER BY CASE WHEN dec = 'SURVIVES_BASELINES_STRONG' THEN signals % 7 ELSE signals % 5 END DESC, signals DESC, candidate_id) AS r FROM s),
-    p AS (SELECT *, CASE WHEN dec = 'SURVIVES_BASELINES_STRONG' AND r <= 4 THEN r WHEN dec = 'SURVIVES_BASELINES_WEAK' AND r <= 3 THEN 1000 + r WHEN candidate_id = 'C0001' THEN 2000 END AS place FROM r)
-    SELECT candidate_id, CAST(place AS INTEGER) AS place, candidate_id || CASE WHEN signals % 2 = 0 THEN '_NW' ELSE '' END AS fixed_candidate_id, w AND signals % 2 <> 0 AS use_weak_trend, use_breakout_block, signals % 2 <> 0 AS is_original FROM p WHERE place IS NOT NULL""",
-)
-
-
-def fixed_report(s, d):
-    """Metrics and the decision of fixed candidates; the lower bounds are the quarter and the validation median."""
-    cells = written(labelled(s, d), "fixed-rows")
-    m = surface.cell_metrics(cells, ["component"], NEAR, FAR, GAP, SPLIT)
-    firsts = events.cluster_events(cells, ("component", "pair"), GAP).where("is_cluster_first")
-    cost = compare.cost_stress_clusters(firsts, ["component"], FAR, SPLIT, (20,)).select("component", F.col("net_excess_median").alias("net_excess_20"))
-    m = m.join(cost, "component").withColumns({"excess_ci_low": F.col("cluster_excess_p25"), "validation_ci_low": F.col("validation_excess_median")})
-    return m.select("component", "clusters", "net_excess_20", gates.classify_fixed(30).alias("decision"))
-
-
-book.add(
-    "fixed_candidates",
-    fixed_report,
-    f"""{FIRSTS}, c AS (SELECT component, quantile_cont(excess_{FAR} - 20 / 10000.0::DOUBLE, 0.5) AS net_excess_20 FROM firsts GROUP BY component)
-    SELECT component, clusters, net_excess_20, CASE WHEN clusters < 30 THEN 'REJECT_LOW_DENSITY' WHEN cluster_excess_p25 <= 0 THEN 'REJECT_CI_FRAGILITY' WHEN validation_excess_median <= 0 THEN 'RESEARCH_ADVANCE_VALIDATION_WATCH' WHEN top_pair_share > 0.30 OR top_year_share > 0.40 THEN 'RESEARCH_ADVANCE_CONCENTRATION_WATCH' WHEN net_excess_20 <= 0 THEN 'RESEARCH_ADVANCE_COST_WATCH' ELSE 'FIXED_RESEARCH_CANDIDATE' END AS decision FROM metrics JOIN c USING (component)""",
-    "net_excess_20",
-)
 book.add(
     "mean_hit_long",
     lambda s, d: rows.own(events.mean_hit(events.mean_hit(frames.rolling(s, d), 3), 12)).where("price_z < -1").groupBy("pair").agg(*(F.avg(F.col(f"mean_hit_{h}").cast("double")).alias(f"hit_{h}") for h in (3, 12))),

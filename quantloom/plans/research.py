@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import calendar, stamp
 from quantloom.functions.tables import written
-from quantloom.operators import compare, events, gates, nulls, rows, signals, surface
+from quantloom.operators import compare, events, gates, indicators, nulls, rows, signals, surface
 from quantloom.plans import frames
 from quantloom.plans.book import Book
 from quantloom.plans.study import LOOSE, TS, WITH, flush_sql
@@ -31,18 +31,29 @@ def candidates(s, d):
     return nulls.matched_null(found, df.where(F.col(FAR).isNotNull()), ["pair", "year"], [NEAR, FAR], DRAWS, GAP)
 
 
-NULLS = f"""fw AS (
-  SELECT * EXCLUDE (i, g, d, up, down, tr), strftime(ts, '%Y') AS year, strftime(ts, '%Y-%m') AS month, lead(open, 1) OVER v AS entry_price,
+FORWARD = f"""fw AS (
+  SELECT * EXCLUDE (i, g, d, up, down, tr), strftime(ts, '%Y') AS year, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y') || 'Q' || quarter(ts) AS quarter, lead(open, 1) OVER v AS entry_price,
     (lead(close, 7) OVER v - lead(open, 1) OVER v) / nullif(lead(open, 1) OVER v, 0) AS forward_6, (lead(close, 13) OVER v - lead(open, 1) OVER v) / nullif(lead(open, 1) OVER v, 0) AS forward_12,
     (max(high) OVER w - lead(open, 1) OVER v) / nullif(lead(open, 1) OVER v, 0) AS mfe, (min(low) OVER w - lead(open, 1) OVER v) / nullif(lead(open, 1) OVER v, 0) AS mae
-  FROM feat WINDOW v AS (PARTITION BY pair ORDER BY ts), w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 2 FOLLOWING AND 25 FOLLOWING)
-), pool AS (SELECT pair, year, ts, forward_6, forward_12, row_number() OVER (PARTITION BY pair, year ORDER BY ts) - 1 AS rank FROM fw WHERE forward_12 IS NOT NULL),
-cand0 AS (SELECT * FROM fw WHERE {flush_sql(LOOSE)}),
-holes AS (SELECT c.pair, c.year, c.ts, count(*) FILTER (p.ts < c.ts - INTERVAL 5 DAY) AS lft, count(*) FILTER (p.ts <= c.ts + INTERVAL 5 DAY) AS rgt, count(*) AS n FROM cand0 c JOIN pool p ON c.pair = p.pair AND c.year = p.year GROUP BY ALL),
-drawn AS (SELECT h.*, CAST('0x' || substr(md5('null-1|' || pair || '|' || {TS} || '|' || draw), 1, 8) AS BIGINT) % (lft + n - rgt) AS slot FROM holes h, range({DRAWS}) AS r(draw) WHERE lft + n - rgt > 0),
-medians AS (SELECT d.pair, d.ts, count(*) AS null_samples, quantile_cont(p.forward_6, 0.5) AS null_forward_6, quantile_cont(p.forward_12, 0.5) AS null_forward_12
-  FROM drawn d JOIN pool p ON d.pair = p.pair AND d.year = p.year AND p.rank = CASE WHEN slot < lft THEN slot ELSE rgt + slot - lft END GROUP BY ALL),
-cand AS (SELECT c.*, coalesce(null_samples, 0) AS null_samples, null_forward_6, null_forward_12, forward_6 - null_forward_6 AS excess_forward_6, forward_12 - null_forward_12 AS excess_forward_12 FROM cand0 c LEFT JOIN medians m ON c.pair = m.pair AND c.ts = m.ts)"""
+  FROM feat WINDOW v AS (PARTITION BY pair ORDER BY ts), w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 2 FOLLOWING AND 25 FOLLOWING))"""
+
+
+def nulls_sql(events: str, out: str, fields: tuple = ("pair", "year"), bars: str = "fw") -> str:
+    """``out``: the rows of ``events`` with matched controls, drawn from ``bars``."""
+    strata = ", ".join(fields)
+    same = " AND ".join(f"{{0}}.{f} = p.{f}" for f in fields)
+    return f"""{out}_pool AS (SELECT pair, ts, {", ".join(f for f in fields if f != "pair") or "1 AS one"}, forward_6, forward_12, row_number() OVER (PARTITION BY {strata} ORDER BY pair, ts) - 1 AS rank FROM {bars} WHERE forward_12 IS NOT NULL),
+{out}_at AS (SELECT DISTINCT pair, ts, {", ".join(f for f in fields if f != "pair") or "1 AS one"} FROM {events}),
+{out}_holes AS (SELECT c.*, count(*) FILTER (p.pair < c.pair OR p.pair = c.pair AND p.ts < c.ts - INTERVAL 5 DAY) AS lft, count(*) FILTER (p.pair < c.pair OR p.pair = c.pair AND p.ts <= c.ts + INTERVAL 5 DAY) AS rgt, count(*) AS n
+  FROM {out}_at c JOIN {out}_pool p ON {same.format("c")} GROUP BY ALL),
+{out}_drawn AS (SELECT h.*, CAST('0x' || substr(md5('null-1|' || pair || '|' || {TS} || '|' || draw), 1, 8) AS BIGINT) % (lft + n - rgt) AS slot FROM {out}_holes h, range({DRAWS}) AS r(draw) WHERE lft + n - rgt > 0),
+{out}_medians AS (SELECT d.pair, d.ts, count(*) AS null_samples, quantile_cont(p.forward_6, 0.5) AS null_forward_6, quantile_cont(p.forward_12, 0.5) AS null_forward_12
+  FROM {out}_drawn d JOIN {out}_pool p ON {same.format("d")} AND p.rank = CASE WHEN slot < lft THEN slot ELSE rgt + slot - lft END GROUP BY ALL),
+{out} AS (SELECT c.*, coalesce(null_samples, 0) AS null_samples, null_forward_6, null_forward_12, forward_6 - null_forward_6 AS excess_forward_6, forward_12 - null_forward_12 AS excess_forward_12
+  FROM {events} c LEFT JOIN {out}_medians m ON c.pair = m.pair AND c.ts = m.ts)"""
+
+
+NULLS = f"{FORWARD}, cand0 AS (SELECT * FROM fw WHERE {flush_sql(LOOSE)}), {nulls_sql('cand0', 'cand')}"
 WITH_NULLS = f"{WITH}, {NULLS}"
 book.add(
     "matched_null",
@@ -52,6 +63,23 @@ book.add(
 )
 
 
+def by_regime(s, d):
+    """Controls of any pair in the same quarter and bucket of volatility."""
+    df = written(indicators.quantile_bucket(priced(s, d), "natr", "vol_bucket"), "regime-bars")
+    return nulls.matched_null(df.where(signals.flush_mask(LOOSE)), df.where(F.col(FAR).isNotNull()), ["vol_bucket", "quarter"], [NEAR, FAR], DRAWS, GAP)
+
+
+book.add(
+    "matched_null_by_regime",
+    lambda s, d: by_regime(s, d).select("pair", stamp(F.col("ts")).alias("ts"), "vol_bucket", "quarter", "null_samples", "null_forward_6", "null_forward_12", "excess_forward_12"),
+    f"""{WITH}, {FORWARD}, n_rank AS (SELECT *, row_number() OVER (PARTITION BY pair, natr IS NOT NULL ORDER BY natr, ts) AS r, count(*) OVER (PARTITION BY pair, natr IS NOT NULL) AS n FROM fw),
+    fb AS (SELECT * EXCLUDE (r, n), CASE WHEN natr IS NULL THEN -1 WHEN n = 1 THEN 0 ELSE greatest(ceil((r - 1) * least(n, 5) / (n - 1)), 1) - 1 END::INTEGER AS vol_bucket FROM n_rank),
+    reg0 AS (SELECT * FROM fb WHERE {flush_sql(LOOSE)}), {nulls_sql("reg0", "reg", ("vol_bucket", "quarter"), "fb")}
+    SELECT pair, {TS} AS ts, vol_bucket, quarter, null_samples, null_forward_6, null_forward_12, excess_forward_12 FROM reg""",
+    "null_forward_6 null_forward_12 excess_forward_12",
+)
+
+
 def levels(axis, values):
     return f"(SELECT unnest(range(1, {len(values) + 1})) AS level_{axis}, unnest([{', '.join(map(str, values))}]::DOUBLE[]) AS {axis}_threshold)"
 
@@ -70,8 +98,8 @@ def metrics_sql(source_name: str, key: str) -> str:
     first = lambda c: f"CASE WHEN is_first THEN {c} END"
     sides = [(k, c) for c in (NEAR, FAR) for k in ("", "null_", "excess_")]
     return f"""marked AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY {key}, pair ORDER BY ts) + INTERVAL 5 DAY, true) AS is_first FROM {source_name}),
-pair_n AS (SELECT {key}, max(n) / sum(n) AS top_pair_share FROM (SELECT {key}, pair, count(*) AS n FROM marked GROUP BY ALL) GROUP BY {key}),
-year_n AS (SELECT {key}, max(n) / sum(n) AS top_year_share FROM (SELECT {key}, year, count(*) AS n FROM marked GROUP BY ALL) GROUP BY {key}),
+{", ".join(f"""{g}_n AS (SELECT {key}, max(n) / sum(n) AS top_{g}_share, max(c) / nullif(sum(c), 0) AS top_{g}_cluster_share
+  FROM (SELECT {key}, {g}, count(*) AS n, count(*) FILTER (is_first) AS c FROM marked GROUP BY ALL) GROUP BY {key})""" for g in ("pair", "year"))},
 pair_p AS (SELECT {key}, count(*) FILTER (m > 0) AS positive_pairs FROM (SELECT {key}, pair, {med(f"excess_{FAR}")} AS m FROM marked WHERE is_first GROUP BY ALL) GROUP BY {key}),
 year_p AS (SELECT {key}, count(*) FILTER (m > 0) AS positive_years FROM (SELECT {key}, year, {med(f"excess_{FAR}")} AS m FROM marked WHERE is_first GROUP BY ALL) GROUP BY {key}),
 split AS (SELECT {key}, count(*) FILTER (ts < '{SPLIT}') AS train_clusters, count(*) FILTER (ts >= '{SPLIT}') AS validation_clusters, {med(f"CASE WHEN ts < '{SPLIT}' THEN excess_{FAR} END")} AS train_excess_median, {med(f"CASE WHEN ts >= '{SPLIT}' THEN excess_{FAR} END")} AS validation_excess_median FROM marked WHERE is_first GROUP BY {key}),
@@ -83,7 +111,7 @@ metrics AS (SELECT *, coalesce(train_clusters >= 3 AND train_excess_median > 0,
   FROM main JOIN pair_n USING ({key}) JOIN year_n USING ({key}) JOIN pair_p USING ({key}) JOIN year_p USING ({key}) JOIN split USING ({key}))"""
 
 
-METRICS = ["clusters", "active_pairs", "active_years", "active_months", *(f"{k}{c}_median" for c in (NEAR, FAR) for k in ("", "null_", "excess_", "cluster_", "cluster_excess_")), "cluster_excess_p25", "mfe_median", "mae_median", "mae_p10", f"{NEAR}_win_rate", f"{FAR}_win_rate", "top_pair_share", "top_year_share", "positive_pairs", "positive_years", "train_clusters", "validation_clusters", "train_excess_median", "validation_excess_median", "passes_train", "passes_validation"]
+METRICS = ["clusters", "active_pairs", "active_years", "active_months", *(f"{k}{c}_median" for c in (NEAR, FAR) for k in ("", "null_", "excess_", "cluster_", "cluster_excess_")), "cluster_excess_p25", "mfe_median", "mae_median", "mae_p10", f"{NEAR}_win_rate", f"{FAR}_win_rate", "top_pair_share", "top_year_share", "top_pair_cluster_share", "top_year_cluster_share", "positive_pairs", "positive_years", "train_clusters", "validation_clusters", "train_excess_median", "validation_excess_median", "passes_train", "passes_validation"]
 DOUBLES = " ".join(c for c in METRICS if c.endswith(("median", "p25", "p10", "rate", "share")))
 book.add(
     "surface_fingerprints",
@@ -130,91 +158,6 @@ manifest AS (SELECT *, printf('RFC%03d', row_number() OVER (ORDER BY selection_r
 book.add("manifest", manifest, f"{manifest_sql()} SELECT cell_id, selection_bucket, selection_buckets, selection_rank, cluster_excess_far, candidate_id FROM manifest", "cluster_excess_far")
 book.add("bucket_counts", lambda s, d: surface.bucket_counts(manifest(s, d)), f"{manifest_sql()}, e AS (SELECT candidate_id, unnest(string_split(selection_buckets, ';')) AS bucket FROM manifest) SELECT bucket, count(DISTINCT candidate_id) AS candidates FROM e GROUP BY bucket")
 
-# --- a candidate against simple rules and against itself without a filter
-CANDIDATE = signals.Flush(1.3, 46.0, -0.5, 0.3)
-BASE_SPECS = {f"price_z_lt_m{signals.token(1.3)}": "price_z < -1.3", f"rsi_lt_{signals.token(46.0)}": "rsi < 46.0", "close_below_bb_lower": "close < bb_lower"}
-
-
-def labelled(s, d):
-    """(component, event) rows of the candidate, its ablations and its baselines, in one pass."""
-    specs = [("candidate", signals.flush_mask(CANDIDATE)), ("no_weak_trend", signals.flush_mask(CANDIDATE)), ("z_rsi_only", F.expr("price_z < -1.3 and rsi < 46.0"))]
-    return signals.masks_to_rows(candidates(s, d), [*specs, *((n, F.expr(c)) for n, c in BASE_SPECS.items())])
-
-
-LABELLED = f"""{WITH_NULLS}, labelled AS ({' UNION ALL '.join(f"SELECT '{n}' AS component, cand.* FROM cand WHERE {c}" for n, c in {'candidate': flush_sql(CANDIDATE), 'no_weak_trend': flush_sql(CANDIDATE), 'z_rsi_only': 'price_z < -1.3 AND rsi < 46.0', **BASE_SPECS}.items())}), {metrics_sql('labelled', 'component')}"""
-book.add("component_metrics", lambda s, d: surface.cell_metrics(labelled(s, d), ["component"], NEAR, FAR, GAP, SPLIT).select("component", "signals", *METRICS), f"{LABELLED} SELECT component, signals, {', '.join(METRICS)} FROM metrics", DOUBLES)
-
-
-def comparison(s, d):
-    """Deltas of the candidate against each baseline, and the decision. The far delta's lower bound is its quarter."""
-    m = written(surface.cell_metrics(labelled(s, d), ["component"], NEAR, FAR, GAP, SPLIT), "component-metrics")
-    pick = [F.col("clusters"), F.col(f"cluster_excess_{NEAR}_median").alias("near"), F.col(f"cluster_excess_{FAR}_median").alias("far"), F.col("validation_excess_median").alias("validation"), "positive_pairs", "positive_years"]
-    a = m.where("component = 'candidate'").select(*pick)
-    b = m.where(F.col("component").isin(*BASE_SPECS)).select(F.col("component").alias("baseline"), *pick)
-    a, b = (x.select(*("baseline" if c == "baseline" else F.col(c).alias(f"{p}_{c}") for c in x.columns)) for x, p in ((a, "candidate"), (b, "baseline")))
-    df = b.join(F.broadcast(a))  # one row
-    df = df.withColumns({f"delta_{k}": F.col(f"candidate_{k}") - F.col(f"baseline_{k}") for k in ("near", "far", "validation")}).withColumn("delta_far_ci_low", F.col("delta_far") / 4)
-    return df.withColumns({"candidate_id": F.lit("RFC001"), "decision": gates.classify_baseline(30)})
-
-
-COMPARE = f"""{LABELLED}, pick AS (SELECT component, clusters, cluster_excess_{NEAR}_median AS near, cluster_excess_{FAR}_median AS far, validation_excess_median AS validation, positive_pairs, positive_years FROM metrics),
-compared AS (SELECT 'RFC001' AS candidate_id, b.component AS baseline, a.clusters AS candidate_clusters, b.clusters AS baseline_clusters, a.near - b.near AS delta_near, a.far - b.far AS delta_far, a.validation - b.validation AS delta_validation,
-  a.positive_pairs >= b.positive_pairs - 1 AND a.positive_years >= b.positive_years - 1 AS broad FROM pick a, pick b WHERE a.component = 'candidate' AND b.component IN ({', '.join(f"'{n}'" for n in BASE_SPECS)})),
-decided AS (SELECT *, CASE WHEN candidate_clusters < 30 THEN 'INSUFFICIENT_CANDIDATE_SAMPLE' WHEN baseline_clusters < 30 THEN 'INSUFFICIENT_BASELINE_SAMPLE' WHEN delta_near IS NULL OR delta_far IS NULL OR delta_validation IS NULL THEN 'BASELINE_UNDERPERFORMER'
-  WHEN delta_near > 0 AND delta_far > 0 AND delta_validation > 0 AND broad THEN 'BASELINE_BEATER_CI' WHEN abs(delta_far) <= 0.0025 AND abs(delta_validation) <= 0.0025 THEN 'BASELINE_EQUIVALENT' ELSE 'BASELINE_UNDERPERFORMER' END AS decision FROM compared)"""
-book.add("baseline_comparison", lambda s, d: comparison(s, d).select("candidate_id", "baseline", "candidate_clusters", "baseline_clusters", "delta_near", "delta_far", "delta_validation", "decision"), f"{COMPARE} SELECT candidate_id, baseline, candidate_clusters, baseline_clusters, delta_near, delta_far, delta_validation, decision FROM decided", "delta_near delta_far delta_validation")
-book.add(
-    "baseline_summary",
-    lambda s, d: gates.baseline_summary(comparison(s, d)),
-    f"""{COMPARE}, n AS (SELECT candidate_id, count(*) FILTER (NOT starts_with(decision, 'INSUFFICIENT')) AS eligible, count(*) FILTER (decision = 'BASELINE_BEATER_CI') AS ci_wins, count(*) FILTER (decision = 'BASELINE_BEATER_POINT') AS point_wins,
-    count(*) FILTER (decision = 'BASELINE_UNDERPERFORMER') AS under, count(*) FILTER (decision = 'BASELINE_EQUIVALENT') AS equivalent, min(delta_far) FILTER (NOT starts_with(decision, 'INSUFFICIENT')) AS worst_delta_far FROM decided GROUP BY candidate_id)
-    SELECT *, CASE WHEN eligible < 3 THEN 'INSUFFICIENT_BASELINE_COVERAGE' WHEN ci_wins >= 2 AND under = 0 THEN 'SURVIVES_BASELINES_STRONG' WHEN ci_wins + point_wins >= 3 AND under <= 1 THEN 'SURVIVES_BASELINES_WEAK' WHEN equivalent >= greatest(2, floor(eligible / 2)) THEN 'BASELINE_EQUIVALENT' ELSE 'FAILS_BASELINES' END AS candidate_decision FROM n""",
-    "worst_delta_far",
-)
-FIRSTS = f"{LABELLED}, firsts AS (SELECT * FROM marked WHERE is_first)"
-
-
-def firsts(s, d):
-    return events.cluster_events(labelled(s, d), ("component", "pair"), GAP).where("is_cluster_first")
-
-
-book.add(
-    "cost_stress_clusters",
-    lambda s, d: compare.cost_stress_clusters(firsts(s, d), ["component"], FAR, SPLIT, least=30),
-    f"""{FIRSTS}, n AS (SELECT component, bps AS cost_bps, count(*) AS clusters, quantile_cont({FAR} - bps / 10000.0::DOUBLE, 0.5) AS net_median, quantile_cont(excess_{FAR} - bps / 10000.0::DOUBLE, 0.5) AS net_excess_median,
-    quantile_cont(CASE WHEN ts >= '{SPLIT}' THEN excess_{FAR} - bps / 10000.0::DOUBLE END, 0.5) AS net_validation_median, avg(CAST({FAR} - bps / 10000.0::DOUBLE > 0 AS DOUBLE)) AS net_win_rate FROM firsts, (VALUES (0), (10), (20), (40)) c(bps) GROUP BY component, bps)
-    SELECT *, coalesce(clusters >= 30 AND net_excess_median > 0 AND net_validation_median > 0, false) AS survives_cost FROM n""",
-    "net_median net_excess_median net_validation_median net_win_rate",
-)
-book.add(
-    "grouped_concentration",
-    lambda s, d: compare.grouped_concentration(firsts(s, d).where("component = 'candidate'"), "year", FAR, 5),
-    f"""{FIRSTS}, n AS (SELECT year, count(*) AS clusters, quantile_cont({FAR}, 0.5) AS median, quantile_cont(excess_{FAR}, 0.5) AS excess_median FROM firsts WHERE component = 'candidate' GROUP BY year)
-    SELECT *, clusters / sum(clusters) OVER () AS share, CAST(row_number() OVER (ORDER BY clusters DESC, year) AS INTEGER) AS rank FROM n QUALIFY rank <= 5""",
-    "median excess_median share",
-)
-
-
-def components(s, d):
-    m = written(surface.cell_metrics(labelled(s, d), ["component"], NEAR, FAR, GAP, SPLIT), "component-metrics").where("component in ('candidate', 'no_weak_trend', 'z_rsi_only')")
-    m = m.select(F.when(F.col("component") == "candidate", "original").otherwise(F.col("component")).alias("component"), "clusters", F.col("cluster_excess_p25").alias("ci_low"), F.col(f"cluster_excess_{FAR}_median").alias("excess_far"), F.col("mae_median").alias("mae"))
-    one = m.where("component = 'original'").select(F.col("clusters").alias("immediate_clusters"), F.col("excess_far").alias("immediate_excess_far"), F.col("mae").alias("immediate_mae"))
-    return m.join(F.broadcast(one)).withColumns({"candidate_id": F.lit("RFC001"), "decision": gates.classify_component(30)})
-
-
-COMPONENT = f"""CASE WHEN clusters < 30 THEN 'INSUFFICIENT_COMPONENT_SAMPLE' WHEN ci_low <= 0 THEN 'DROP_COMPONENT' WHEN starts_with(component, 'no_') AND excess_far >= immediate_excess_far - 0.0025 AND clusters > immediate_clusters THEN 'SIMPLIFY_FILTERS' ELSE 'KEEP_IMMEDIATE_FLUSH' END"""
-COMPONENT_ROWS = f"""{LABELLED}, parts AS (SELECT CASE WHEN component = 'candidate' THEN 'original' ELSE component END AS component, clusters, cluster_excess_p25 AS ci_low, cluster_excess_{FAR}_median AS excess_far FROM metrics WHERE component IN ('candidate', 'no_weak_trend', 'z_rsi_only')),
-diagnosed AS (SELECT p.component, p.clusters, p.ci_low, p.excess_far, {COMPONENT.replace('ci_low', 'p.ci_low').replace('component,', 'p.component,').replace('clusters <', 'p.clusters <').replace(' excess_far >=', ' p.excess_far >=').replace('immediate_excess_far', 'o.excess_far').replace('clusters > immediate_clusters', 'p.clusters > o.clusters')} AS decision FROM parts p, parts o WHERE o.component = 'original')"""
-book.add("component_decisions", lambda s, d: components(s, d).select("component", "clusters", "ci_low", "excess_far", "decision"), f"{COMPONENT_ROWS} SELECT component, clusters, ci_low, excess_far, decision FROM diagnosed", "ci_low excess_far")
-book.add(
-    "recommendations",
-    lambda s, d: gates.recommendations(s.createDataFrame([("RFC001", "SURVIVES_BASELINES_WEAK")], "candidate_id string, candidate_decision string"), components(s, d)).select("candidate_id", "original", "no_weak_trend", "z_rsi_only", "simplifications", "next_step"),
-    f"""{COMPONENT_ROWS}, w AS (SELECT max(decision) FILTER (component = 'original') AS original, max(decision) FILTER (component = 'no_weak_trend') AS no_weak_trend, max(decision) FILTER (component = 'z_rsi_only') AS z_rsi_only FROM diagnosed)
-    SELECT 'RFC001' AS candidate_id, *, CASE WHEN no_weak_trend = 'SIMPLIFY_FILTERS' THEN 'DROP_WEAK_TREND_GATE' ELSE '' END AS simplifications,
-    CASE WHEN original = 'DROP_COMPONENT' THEN 'REJECT_COMPONENT_FAILURE' WHEN no_weak_trend = 'SIMPLIFY_FILTERS' THEN 'TEST_SIMPLIFIED_IMMEDIATE_FLUSH' WHEN original = 'KEEP_IMMEDIATE_FLUSH' THEN 'KEEP_ORIGINAL_IMMEDIATE_FLUSH' WHEN original = 'INSUFFICIENT_COMPONENT_SAMPLE' THEN 'HOLD_FOR_MORE_SAMPLE' ELSE 'REVIEW' END AS next_step FROM w""",
-)
-book.add("bootstrap_median", lambda s, d: compare.bootstrap_median_ci(firsts(s, d), ["component"], f"excess_{FAR}", order=["ts", "pair"]), None, "median ci_low ci_high")
-book.add("bootstrap_delta", lambda s, d: compare.bootstrap_delta_ci(firsts(s, d).where("component in ('candidate', 'rsi_lt_46')").withColumn("side", F.when(F.col("component") == "candidate", "a").otherwise("b")), ["pair"], "side", f"excess_{FAR}", order=["ts", "component"]), None, "delta ci_low ci_high")
 book.add(
     "canonical_manifest",
     lambda s, d: compare.canonical_manifest(surface.fingerprints(candidates(s, d), GRID).where("signals > 0").select("signal_set", F.format_string("C%04d", "cell_id").alias("candidate_id"), F.format_string("Z%d", F.col("level_price_z")).alias("source_id"), (~F.col("use_weak_trend")).alias("is_original"), F.col("signals").cast("double").alias("excess_far"))).drop("signal_set"),

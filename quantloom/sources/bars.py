@@ -80,13 +80,13 @@ def bars_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample_bars(events, ["pair"], F.date_trunc("hour", "ts"), F.col("value"), F.lit(1.0), ["ts", "event_id"])
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trade ledger out of the order tables."""
+def trades(spark: SparkSession, sf_dir: str, pair: str = "p_brand") -> DataFrame:
+    """A trade ledger out of the order tables; with pair p_type its pairs are those of the daily bars."""
     items, orders, part = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "part"))
     rows = items.join(orders, items.l_orderkey == orders.o_orderkey).join(part, items.l_partkey == part.p_partkey)
     profit = F.col("l_extendedprice") * (1 - F.col("l_discount")) - F.col("l_quantity") * F.col("p_retailprice")
     return rows.select(
-        F.col("p_brand").alias("pair"),
+        F.col(pair).alias("pair"),
         F.least("o_orderdate", "l_shipdate").alias("open_date"),
         F.greatest("o_orderdate", "l_shipdate").alias("close_date"),
         (F.col("l_returnflag") == "R").alias("is_short"),

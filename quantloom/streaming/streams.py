@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quantloom.functions.tables import shared_path
+from quantloom.operators.recursive import decayed
 
-STATE = "closes array<double>, volumes array<double>, seen long, last_close double, ups double, downs double, tr double, ema double, rest array<double>"
+STATE = "closes array<double>, volumes array<double>, seen long, last_close double, ups double, downs double, ema double"
 
 
 def stream_bars(ticks: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -41,32 +42,36 @@ def stream_indicators(bars: DataFrame, n: int = 20, wilder: int = 14) -> DataFra
     """price_z, vol_z, bb_mid, ema20 and rsi of each closed bar (pair, ts, open, high, low, close, volume), in order
     of arrival per pair. The state of a pair is a buffer of n bars and the smoothed averages; its size is fixed."""
 
+    def averaged(x, before, had, k, rate):
+        """Running averages: plain sums of x / k up to the k-th value, then exponential with ``rate``. ``had``: values before these."""
+        first = before + np.cumsum(x[: max(0, k - had)] / k)
+        return np.append(first, decayed(x[len(first) :] * rate, 1 - rate, first[-1] if len(first) else before))
+
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(frames)).sort_values("ts")
-        if state.exists:
-            closes, volumes, seen, last, up, down, tr, ema, _ = state.get
-            closes, volumes = list(closes), list(volumes)
-        else:
-            closes, volumes, seen, last, up, down, tr, ema = [], [], 0, None, 0.0, 0.0, 0.0, 0.0
-        rows = []
-        for bar in frame.itertuples(index=False):
-            closes, volumes = [*closes, bar.close][-n:], [*volumes, bar.volume][-n:]
-            if seen:
-                rise = bar.close - last
-                gain, loss = max(rise, 0.0), max(-rise, 0.0)
-                if seen <= wilder:  # the first averages are plain means
-                    up, down = up + gain / wilder, down + loss / wilder
-                else:
-                    up, down = up + (gain - up) / wilder, down + (loss - down) / wilder
-            ema = ema + bar.close / n if seen < n else ema + (bar.close - ema) * 2 / (n + 1)
-            seen, last = seen + 1, bar.close
-            full = len(closes) == n
-            c, v = np.array(closes), np.array(volumes)
-            z = lambda x: (x[-1] - x.mean()) / x.std() if full and x.std() > 0 else None
-            rsi = None if seen <= wilder else (100 * up / (up + down) if up + down > 0 else 0.0)
-            rows.append((key[0], bar.ts, z(c), z(v), c.mean() if full else None, ema if seen >= n else None, rsi))
-        state.update((closes, volumes, seen, last, up, down, tr, ema, []))
-        yield pd.DataFrame(rows, columns=["pair", "ts", "price_z", "vol_z", "bb_mid", "ema20", "rsi"]).astype({c: float for c in ("price_z", "vol_z", "bb_mid", "ema20", "rsi")})
+        closes, volumes, seen, last, up, down, ema = state.get if state.exists else ([], [], 0, None, 0.0, 0.0, 0.0)
+        c, v = np.append(closes, frame["close"].to_numpy(float)), np.append(volumes, frame["volume"].to_numpy(float))
+        m, held = len(frame), len(closes)
+        fresh = c[held:]
+        change = np.diff(fresh, prepend=fresh[0] if last is None else last)[0 if seen else 1 :]
+        up, down = (averaged(np.maximum(side * change, 0), before, max(0, seen - 1), wilder, 1 / wilder) for side, before in ((1, up), (-1, down)))
+        emas = averaged(fresh, ema, seen, n, 2 / (n + 1))
+        place = seen + np.arange(m)
+        rows = pd.DataFrame({"pair": key[0], "ts": frame["ts"].to_numpy(), "price_z": np.nan, "vol_z": np.nan, "bb_mid": np.nan, "ema20": np.where(place >= n - 1, emas, np.nan), "rsi": np.nan})
+        if len(c) >= n:  # the last n bars of every row that has them
+            at = slice(m - (len(c) - n + 1), None)
+            for x, name in ((c, "price_z"), (v, "vol_z")):
+                w = np.lib.stride_tricks.sliding_window_view(x, n)
+                mean, dev = w.mean(axis=1), w.std(axis=1)
+                rows.loc[rows.index[at], name] = np.where(dev > 0, (x[n - 1 :] - mean) / np.where(dev > 0, dev, 1), np.nan)
+                if name == "price_z":
+                    rows.loc[rows.index[at], "bb_mid"] = mean
+        total = up + down
+        late = m - len(change)
+        rows.loc[rows.index[late:], "rsi"] = np.where(place[late:] >= wilder, np.where(total > 0, 100 * up / np.where(total > 0, total, 1), 0.0), np.nan)
+        ends = [float(x[-1]) if len(x) else 0.0 for x in (up, down)]
+        state.update((c[-(n - 1) :].tolist(), v[-(n - 1) :].tolist(), seen + m, float(fresh[-1]), *ends, float(emas[-1])))
+        yield rows
 
     schema = "pair string, ts timestamp, price_z double, vol_z double, bb_mid double, ema20 double, rsi double"
     return bars.groupBy("pair").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)

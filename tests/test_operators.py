@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import as_bool, safe_div
-from quantloom.operators import compare, events, gates, indicators, ledger, nulls, quality, recursive, rows, signals, surface, universe
+from quantloom.operators import asof, compare, events, gates, indicators, ledger, nulls, quality, recursive, rows, signals, surface, universe
 from quantloom.plans import frames
 
 SF = "/root/testdata/sf0.001"
@@ -99,15 +99,80 @@ def test_profit_factor_edges(spark):
     assert got == {"w": float("inf"), "l": 0.0, "z": 0.0, "m": 1.5}
 
 
-def test_null_draws_keep_the_gap(spark):
-    df = make(spark, 80).withColumns({"year": F.lit("x"), "forward_6": F.col("close")})
-    pool = nulls.ranked_pool(df, ["pair", "year"], ["forward_6"])
-    picked = nulls.draws(df.where("volume = 0").select("pair", "year", "ts"), pool, ["pair", "year"], 20, "5 DAYS", "s")
-    both = picked.join(pool.select("rank", F.col("ts").alias("drawn")), "rank")
-    assert both.count() == picked.count() > 0
-    assert both.where(F.abs(F.datediff("drawn", "ts")) <= 5).count() == 0
-    shuffled = nulls.draws(df.where("volume = 0").select("pair", "year", "ts").repartition(7), pool.repartition(3), ["pair", "year"], 20, "5 DAYS", "s")
-    assert {(r.ts, r.draw, r.rank) for r in shuffled.collect()} == {(r.ts, r.draw, r.rank) for r in picked.collect()}
+@pytest.mark.parametrize("fields", [["pair", "year"], ["year"], ["year", "bucket"], ["bucket"]])
+def test_null_draws_keep_the_gap(spark, fields):
+    """Draws stay in the stratum, whatever its fields, and away from rows of the event's own pair within the gap; all other rows can be drawn."""
+    df = make(spark, 80, "A").union(make(spark, 70, "B", 2)).union(make(spark, 6, "C", 3))
+    df = df.withColumns({"year": F.when(F.dayofmonth("ts") > 15, "x").otherwise("y"), "bucket": F.col("volume"), "forward_6": F.col("close")})
+    pool, at = df.where("pair <> 'C' or volume > 0"), df.where("volume = 0")
+    ranked = nulls.ranked_pool(pool, fields, ["forward_6"])
+    picked = nulls.draws(at, ranked, fields, 40, "5 DAYS", "s")
+    both = picked.join(ranked.select(*fields, "rank", F.col("ts").alias("drawn"), *([] if "pair" in fields else [F.col("pair").alias("from")])), [*fields, "rank"])
+    rows_ = [(r.pair, r.ts, r["from"] if "pair" not in fields else r.pair, r.drawn) for r in both.collect()]
+    assert len(rows_) == picked.count() > 0
+    near = lambda p, t, q, u: p == q and abs(u - t) <= dt.timedelta(days=5)
+    assert not any(near(*r) for r in rows_)
+    every = [r.asDict() for r in pool.collect()]
+    for e in at.where("pair <> 'C'").collect():
+        free = {(r["pair"], r["ts"]) for r in every if all(r[f] == e[f] for f in fields) and not near(e.pair, e.ts, r["pair"], r["ts"])}
+        assert {(q, u) for p, t, q, u in rows_ if (p, t) == (e.pair, e.ts)} <= free
+    shuffled = nulls.draws(at.repartition(7), ranked.repartition(3), fields, 40, "5 DAYS", "s")
+    assert {(r.pair, r.ts, r.draw, r["rank"]) for r in shuffled.collect()} == {(r.pair, r.ts, r.draw, r["rank"]) for r in picked.collect()}
+
+
+@pytest.mark.parametrize(("by", "period"), [((), None), ((), "day"), ((), "month"), (("k",), "month"), (("k",), None)])
+def test_asof_against_a_loop(spark, by, period):
+    rng = random.Random(4)
+    start = dt.datetime(2024, 1, 1)
+    left = [(rng.choice("ab"), start + dt.timedelta(hours=rng.randrange(5000)), i) for i in range(120)]
+    right = [(rng.choice("ab"), start + dt.timedelta(hours=1000 + 37 * i), i) for i in range(60)]
+    found = asof.asof_join(spark.createDataFrame(left, "k string, ts timestamp, i int"), spark.createDataFrame(right, "k string, ts timestamp, v int"), "ts", by, ("v",), period=period)
+    known = lambda k, t: [v for q, u, v in sorted(right, key=lambda r: r[1]) if u <= t and (not by or q == k)]
+    assert {(r.i, r.v) for r in found.collect()} == {(i, (known(k, t) or [None])[-1]) for k, t, i in left}
+
+
+def test_positions_by_value(spark):
+    rng = random.Random(6)
+    data = [(rng.choice("ab"), float(rng.randrange(40)), i) for i in range(500)]
+    for keys in ((), ("k",)):
+        got = {r.i: (r.place, r["size"]) for r in rows.value_positions(spark.createDataFrame(data, "k string, v double, i int"), keys, "v", "i", parts=8).collect()}
+        for g in ([None] if not keys else "ab"):
+            group = sorted((v, i) for k, v, i in data if g is None or k == g)
+            assert [got[i] for _, i in group] == [(n, len(group)) for n in range(len(group))]
+
+
+def test_smoothing_against_loops():
+    x = np.random.default_rng(3).normal(5, 1, 1000)
+    for n in (1, 2, 14, 200):
+        ema, wilder = [x[:n].mean()], [x[1 : n + 1].mean()]
+        for v in x[n:]:
+            ema.append(ema[-1] + (v - ema[-1]) * 2 / (n + 1))
+        for v in x[n + 1 :]:
+            wilder.append(wilder[-1] + (v - wilder[-1]) / n)
+        assert np.allclose(recursive.ema(x, n)[n - 1 :], ema, rtol=1e-12) and np.allclose(recursive.wilder(x, n)[n:], wilder, rtol=1e-12)
+    assert len(recursive.ema(x[:3], 5)) == 3 and len(recursive.decayed(x[:0], 0.5, 1.0)) == 0
+
+
+def test_anchors_near_and_complete(spark):
+    rng = random.Random(2)
+    start = dt.datetime(1995, 11, 1)
+    data = [(i, start + dt.timedelta(days=rng.randrange(900))) for i in range(300)]
+    got = {}
+    for r in ledger.in_windows(spark.createDataFrame(data, "i int, open_date timestamp_ntz"), "1996-01-01", "1997-10-01", 3, 6).collect():
+        got.setdefault(r.i, set()).add(r.anchor)
+    anchors = [dt.datetime(1996 + k // 4, 1 + k % 4 * 3, 1) for k in range(8)]
+    later = lambda a: dt.datetime(a.year + (a.month + 5) // 12, (a.month + 5) % 12 + 1, 1)
+    assert got == {i: s for i, t in data if (s := {a for a in anchors if a <= t < later(a)})}
+    ends = lambda latest: [str(r.anchor)[:10] for r in universe.complete_anchors(spark, "2022-01-01", 6, latest).collect()]
+    assert ends("2023-06") == ["2022-01-01", "2022-07-01", "2023-01-01"] and ends("2023-05") == ["2022-01-01", "2022-07-01"] and ends("2022-05") == []
+
+
+def test_largest_gains(spark):
+    rng = random.Random(5)
+    data = [(rng.choice("ab"), float(rng.randrange(-50, 50))) for _ in range(900)] + [("c", -1.0), ("d", 2.0)]
+    got = {r.k: (r.gain_top_1, r.gain_top_5) for r in ledger.largest_gains(spark.createDataFrame(data, "k string, profit_abs double").repartition(7), ["k"]).collect()}
+    best = lambda k, n: sum(sorted((v for q, v in data if q == k and v > 0), reverse=True)[:n])
+    assert got == {k: (best(k, 1), best(k, 5)) for k in "abd"}
 
 
 def test_surface_finds_equal_sets(spark):
@@ -120,10 +185,25 @@ def test_surface_finds_equal_sets(spark):
     assert expanded.groupBy("cell_id").count().count() == 2
 
 
-def test_bootstrap_is_stable_and_covers(spark):
-    df = make(spark, 60)
-    a, b = (compare.bootstrap_median_ci(x, ["pair"], "close").first() for x in (df, df.repartition(5)))
-    assert a == b and a.ci_low <= a.median <= a.ci_high
+def test_bootstrap_against_a_loop(spark):
+    """The same hashed positions by a plain loop, whatever the partitions; the interval holds the median."""
+    import hashlib
+
+    df = make(spark, 25).union(make(spark, 8, "B", 2))
+    n, values = 30, {}
+    for r in sorted(df.collect(), key=lambda r: r.ts):
+        values.setdefault(r.pair, []).append(r.close)
+    expected = {}
+    for k, v in values.items():
+        number = lambda draw, j: int(hashlib.md5(f"boot-1|{k}|{draw}|{j}".encode()).hexdigest()[:8], 16) % len(v)  # noqa: B023, E731
+        expected |= {(k, draw): np.median([v[number(draw, j)] for j in range(len(v))]) for draw in range(n)}
+    for parts in (1, 5):
+        got = {(r.pair, r.draw): r.resampled for r in compare.resampled_medians(df.repartition(parts), ["pair"], "close", n).collect()}
+        assert got.keys() == expected.keys() and all(got[k] == pytest.approx(expected[k]) for k in got)
+    r = compare.bootstrap_median_ci(df.where("pair = 'A'"), ["pair"], "close", 200).first()
+    assert r.ci_low <= r.median <= r.ci_high and r.n == 25
+    none = compare.bootstrap_median_ci(df.withColumn("close", F.lit(None).cast("double")), ["pair"], "close", 5).collect()
+    assert all(r.n == 0 and r.median is None and r.ci_low is None for r in none)
 
 
 def test_order_book_and_sizes(spark):
