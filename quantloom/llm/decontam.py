@@ -53,38 +53,41 @@ def plain(words: Column) -> Column:
     return F.when(words.contains("0p"), F.regexp_replace(words, r"(?<![^ ])0p", "")).otherwise(words)
 
 
-SLOT = r"(?<![^ ])0[nup](?![^ ])"
-LITERAL = r"(?<![^ ])(?!0[nup](?![^ ]))[^ ]"
+def form(words: Column) -> Column:
+    """What a window is joined on: (form, aligned). Its template if that has both slots and words; else its own words
+    and values, which need no alignment. A word that starts with 0 is a placeholder, as no other word can."""
+    aligned = mixed(words)
+    return F.struct(F.when(aligned, template(words)).otherwise(words).alias("form"), aligned.alias("aligned"))
 
 
-def forms(window: Column) -> Column:
-    """What a window is joined on: (form, aligned). Its template if that has both slots and words; else its own words
-    and values, which need no alignment. A window with names has a second form, with the names as words."""
+def mixed(words: Column) -> Column:
+    return (words.startswith("0") | words.contains(" 0")) & words.rlike("(?:^| )[^0]")
 
-    def form(words: Column) -> Column:
-        shape = template(words)
-        aligned = F.when(words.contains("0"), shape.rlike(SLOT) & shape.rlike(LITERAL)).otherwise(False)
-        return F.struct(F.when(aligned, shape).otherwise(words).alias("form"), aligned.alias("aligned"))
 
-    return F.when(window.contains("0p"), F.array(form(window), form(plain(window)))).otherwise(F.array(form(window)))
+def form_hash(words: Column) -> Column:
+    """Hash of a window's form, not the same for a template and for words."""
+    return F.when(mixed(words), F.xxhash64(template(words), F.lit(True))).otherwise(F.xxhash64(words, F.lit(False)))
 
 
 def windows(rows: DataFrame, size: Column) -> DataFrame:
-    """Explode ``words`` into all windows of ``size`` words: adds pos, window, form, aligned and the hash of both."""
+    """Explode ``words`` into all windows of ``size`` words: adds pos and window."""
     pattern = F.concat(F.lit(r"(?<![^ ])(?=((?:[^ ]++ ){"), (size - 1).cast("string"), F.lit(r"}[^ ]++))"))
-    rows = rows.select(*(c for c in rows.columns if c != "words"), F.posexplode(F.regexp_extract_all("words", pattern, F.lit(1))).alias("pos", "window"))
-    rows = rows.withColumn("f", F.explode(forms(F.col("window")))).select(*rows.columns, "f.form", "f.aligned")
-    return rows.withColumn("hash", F.xxhash64("form", "aligned"))
+    return rows.select(*(c for c in rows.columns if c != "words"), F.posexplode(F.regexp_extract_all("words", pattern, F.lit(1))).alias("pos", "window"))
+
+
+def either(window: Column, value) -> Column:
+    """``value`` of a window, and of the same with its names as words where it has names."""
+    return F.when(window.contains("0p"), F.array(value(window), value(plain(window)))).otherwise(F.array(value(window)))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_row, item, size, n_windows, hash, item_form, item_aligned, item_window, places): windows to align one by one, the others once for each item with all their places."""
+    """(item_row, item, size, n_windows, hash, form, aligned, item_window, places): windows to align one by one, the others once for each item with all their places."""
     items = benchmark.select(F.monotonically_increasing_id().alias("item_row"), F.col(item_col).alias("item"), valued(text_of(text_col)).alias("words")).where("words <> ''")
     n = F.size(F.split("words", " "))
     items = items.withColumn("size", F.least(n, F.lit(WINDOW))).withColumn("n_windows", F.greatest(n - WINDOW + 1, F.lit(1)))
-    every = windows(items, F.col("size"))
+    every = windows(items, F.col("size")).withColumn("f", F.explode(either(F.col("window"), form))).select("*", "f.form", "f.aligned")
     which = F.when(F.col("aligned"), F.col("pos")).otherwise(-1)
-    held = every.groupBy("item_row", "item", "size", "n_windows", "hash", F.col("form").alias("item_form"), F.col("aligned").alias("item_aligned"), which.alias("which"))
+    held = every.groupBy("item_row", "item", "size", "n_windows", F.xxhash64("form", "aligned").alias("hash"), "form", "aligned", which.alias("which"))
     known = held.agg(F.min("window").alias("item_window"), F.array_sort(F.collect_set("pos")).alias("places"))
     return materialize(known.drop("which"), "leak-windows")
 
@@ -106,9 +109,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), valued(text_of(text_col)).alias("words"))
     rows = rows.withColumn("length", F.explode(F.array(*map(F.lit, sizes))))
     item = ["item_row", "item", "n_windows"]
-    keys = known.select(*item, "hash", "item_form", "item_aligned", "item_window", F.col("places")[0].alias("item_pos"))
+    keys = known.select(*item, "hash", "form", "aligned", "item_window", F.col("places")[0].alias("item_pos"))
     keys = F.broadcast(keys) if known.count() <= BROADCAST_WINDOWS else keys
-    found = windows(rows, F.col("length")).join(keys, "hash").where("form = item_form and aligned = item_aligned")
+    window, same = F.col("window"), F.struct("form", "aligned")
+    found = windows(rows, F.col("length")).withColumn("hash", F.explode(either(window, form_hash))).join(keys, "hash")
+    found = found.where((form(window) == same) | (form(plain(window)) == same))
     lined_only = {"item_pos": F.col("item_pos"), "shift": F.col("pos") - F.col("item_pos"), "window": F.col("window"), "item_window": F.col("item_window")}
     found = found.select("row", "id", *item, "aligned", "hash", *(F.when(F.col("aligned"), c).alias(n) for n, c in lined_only.items()))
     found = materialize(found, "leak-matches")
@@ -122,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     lined = lined.groupBy("id", *item, *(k for k in key if k not in item)).agg(F.collect_set("item_pos").alias("all"), F.collect_set(F.when(same, F.col("item_pos"))).alias("verbatim"))
     lined = lined.join(values, key, "left").withColumn("places", F.when(F.coalesce("clash", F.lit(0)) == 0, F.col("all")).otherwise(F.col("verbatim")))
     single = found.where("not aligned").select("row", "id", *item, "hash").distinct()
-    single = single.join(small_side(known.where("not item_aligned").select("item_row", "hash", "places"), BROADCAST_WINDOWS), ["item_row", "hash"])
+    single = single.join(small_side(known.where("not aligned").select("item_row", "hash", "places"), BROADCAST_WINDOWS), ["item_row", "hash"])
     places = lined.select("row", "id", *item, "places", "slots").union(single.select("row", "id", *item, "places", F.lit(0).cast("long")))
     places = places.groupBy("row", "id", *item).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_matched"), F.coalesce(F.max("slots"), F.lit(0)).alias("n_slots"))
     need = F.least(F.ceil(F.col("n_windows") * SHARE), F.lit(ENOUGH))
