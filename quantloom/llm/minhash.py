@@ -184,13 +184,29 @@ def mixed_buckets(placed: DataFrame) -> DataFrame:
     return materialize(mixed.select("bucket", "size"), "near-mixed")
 
 
+def strangers(signs: np.ndarray, component: np.ndarray, percent: int) -> np.ndarray:
+    """Which members have a member of another component with a signature like theirs."""
+    found = np.zeros(len(signs), bool)
+    for i in range(len(signs) - 1):
+        near = ((signs[i + 1 :] == signs[i]).mean(axis=1) >= agreement(percent)) & (component[i + 1 :] != component[i])
+        if near.any():
+            found[i] = True
+            found[i + 1 :] |= near
+    return found
+
+
 def compared(placed: DataFrame, mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Links across components inside the buckets ``mixed``, block against block."""
+    """Links across components inside the buckets ``mixed``, block against block: signatures first, then the full sets of
+    those whose signature is like one of another component."""
+    key = ["bucket", "p", "q"]
     rows = placed.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "component")
-    rows = rows.join(nodes.select("node", "signature", "text"), "node")
+
+    def involved(frame: pd.DataFrame) -> pd.DataFrame:
+        signs = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), -1)
+        return frame.loc[strangers(signs, frame["component"].to_numpy(), percent), [*key, "node", "component"]]
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
@@ -198,7 +214,11 @@ def compared(placed: DataFrame, mixed: DataFrame, nodes: DataFrame, percent: int
         held = [(n, c, np.frombuffer(s, np.uint32), x) for n, c, s, x in zip(frame["node"], frame["component"], frame["signature"], sets, strict=True)]
         return pd.DataFrame(forest(held, percent), columns=["u", "v"], dtype="int64")
 
-    return materialize(rows.groupBy("bucket", "p", "q").applyInPandas(compare, "u long, v long"), "near-cross")
+    alike = rows.join(nodes.select("node", "signature"), "node").groupBy(*key).applyInPandas(involved, "bucket long, p int, q int, node long, component long")
+    alike = materialize(alike, "near-alike")
+    links = materialize(alike.join(nodes.select("node", "signature", "text"), "node").groupBy(*key).applyInPandas(compare, "u long, v long"), "near-cross")
+    discard(alike)
+    return links
 
 
 def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -285,29 +305,34 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent:
     copies = materialize(words.select("row", "class_hash").join(classes, "class_hash").select("row", "node"), "near-copies")
     others = copies.where("row <> node").select("row")
     one_each = materialize(words.join(small_side(others, 2_000_000), "row", "left_anti").select(F.col("row").alias("node"), "h1", "h2", "signature"), "near-nodes")
+    rows = materialize(signed.select("row", "id", "n"), "near-ids")
+    discard(signed, classes)
 
     banded = materialize(bands(one_each), "near-bands")
     shared = materialize(banded.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1").select("bucket", "least"), "near-buckets")
-    members = materialize(banded.join(shared, "bucket").select("bucket", "node", "least"), "near-members")
+    members = materialize(banded.join(small_side(shared, 2_000_000), "bucket").select("bucket", "node", "least"), "near-members")
+    discard(banded, shared)
     pairs = materialize(members.where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs")
     wanted = materialize(one_each.join(members.select("node").distinct(), "node", "left_semi"), "near-wanted")
+    discard(one_each)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(*_text_handle(text), text.alias("text")).join(small_side(wanted.select("h1", "h2", "node"), 2_000_000), ["h1", "h2"]).select("node", "text")
-    texts = materialize(texts.dropDuplicates(["node"]), "near-texts")
-    nodes = wanted.select("node", "signature").join(texts, "node")
-    nodes = materialize(nodes, "near-members-text")
+    nodes = texts.groupBy("node").agg(F.first("text").alias("text")).join(wanted.select("node", "signature"), "node")
+    nodes = materialize(nodes.select("node", "signature", "text"), "near-members-text")
+    discard(wanted)
 
     links = confirm(pairs, nodes, percent)
+    discard(pairs)
     component = connected_components(links)
     more = cross_links(members.select("bucket", "node"), nodes, component, percent)
     if not more.isEmpty():
         discard(component)
         component = connected_components(links.union(more))
 
-    placed = signed.select("row", "id", "n").join(copies.withColumnRenamed("node", "copy_of"), "row", "left").withColumn("node", F.coalesce("copy_of", "row"))
+    placed = rows.join(copies.withColumnRenamed("node", "copy_of"), "row", "left").withColumn("node", F.coalesce("copy_of", "row"))
     placed = placed.join(component, "node", "left").withColumn("component", F.coalesce("component", "copy_of"))
     placed = materialize(placed.select("row", "id", "n", "component"), "near-rows")
-    discard(signed, classes, copies, one_each, banded, shared, members, pairs, wanted, texts, nodes, links, component)
+    discard(rows, copies, members, nodes, component)
     order = F.struct(F.col("id").isNull().alias("missing"), F.col("id"), F.col("row"))
     least = placed.where("component is not null").groupBy("component").agg(F.min(order).alias("m"))
     least = materialize(least.select("component", F.col("m.id").alias("least_id"), F.col("m.row").alias("least_row")), "near-least")
