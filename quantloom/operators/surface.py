@@ -51,7 +51,7 @@ def with_signature(events: DataFrame, grid: Grid) -> DataFrame:
 
 
 def cell_members(signatures: DataFrame, cells: DataFrame) -> DataFrame:
-    """(cell, signature) pairs; both sides are bounded by the grid."""
+    """(cell, signature) pairs. Both sides are bounded by the grid, whatever the number of events, so the cells can be broadcast."""
     on = F.lit(True)
     for a in AXES:
         on = on & (F.col(f"passed_{a}") >= F.col(f"level_{a}"))

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import stamp
+from quantloom.functions.tables import written
+from quantloom.plans import frames
 from quantloom.plans.book import Book
+from quantloom.plans.study import HOURS, TS
+from quantloom.sources import bars as source
 from quantloom.streaming import streams
 
 book = Book()
@@ -47,3 +51,18 @@ book.add(
     f"""WITH w AS (SELECT event_id % 2 = 1 AS is_short, value, date_trunc('hour', ts) + to_hours(CAST(k + 1 AS INT)) AS until FROM events, range(24) r(k))
     SELECT is_short, strftime(until, '%Y-%m-%d %H:%M:%S') AS "at", count(*) FILTER (value < 5) AS stops, count(*) AS trades, count(*) FILTER (value < 5) >= 3 AS locked FROM w WHERE until <= {PASSED} - INTERVAL 1 HOUR GROUP BY is_short, until""",
 )
+
+
+def hour_stream(s, d):
+    """The hourly bars, written once, as a stream."""
+    bars = written(source.bars_hour(s, d).withColumn("ts", F.col("ts").cast("timestamp")).repartition(1), "hour-bars")  # one file: bars arrive in order
+    return s.readStream.schema(bars.schema).parquet(bars.inputFiles()[0].rpartition("/")[0])
+
+
+STREAMED = ["price_z", "vol_z", "bb_mid", "ema20", "rsi"]
+book.add(
+    "stream_indicators",
+    lambda s, d: streams.emitted(streams.stream_indicators(hour_stream(s, d)), "stream-indicators").select("pair", stamp(F.col("ts")).alias("ts"), *STREAMED),
+    f"WITH {HOURS}, {frames.rolling_sql('hours')}, {frames.recursive_sql('rec', 'ind', (20,))} SELECT pair, {TS} AS ts, {', '.join(STREAMED)} FROM rec",
+    " ".join(STREAMED),
+)
