@@ -93,23 +93,28 @@ def mask_sql() -> dict[str, str]:
 
 def resample_sql(out: str, source: str, key: str, value: str, n: int = RESAMPLES, seed: str = "boot-1", where: str = "true") -> str:
     """``out``: (key, draw, med), the twin of resampled_medians."""
-    return f"""{out}_p AS (SELECT {key}, CAST({value} AS DOUBLE) AS v, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY {key}) AS size FROM {source} WHERE {value} IS NOT NULL AND {where} WINDOW w AS (PARTITION BY {key} ORDER BY ts, pair)),
+    return f"""{out}_p AS (SELECT {key}, CAST({value} AS DOUBLE) AS v, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY {key}) AS size FROM {source}
+      WHERE {value} IS NOT NULL AND {where} WINDOW w AS (PARTITION BY {key} ORDER BY ts, pair)),
 {out}_d AS (SELECT {key}, draw, CAST('0x' || substr(md5(concat_ws('|', '{seed}', {key}, draw, place)), 1, 8) AS BIGINT) % size AS place FROM {out}_p, range({n}) r(draw)),
 {out} AS (SELECT {key}, draw, quantile_cont(v, 0.5) AS med FROM {out}_d JOIN {out}_p USING ({key}, place) GROUP BY {key}, draw)"""
 
 
 WAITS = [", ".join(f"lead({c}, {k}) OVER v AS {c}_{k}" for k in ks) for c, ks in (("bounce", (1, 2, 3)), ("ts", (1, 2, 3)), ("open", (2, 3, 4)))]
 PICK = lambda name, first: f"CASE WHEN bounce_1 THEN {name}_{first} WHEN bounce_2 THEN {name}_{first + 1} WHEN bounce_3 THEN {name}_{first + 2} END"
-LABELLED = f"""{WITH}, {FORWARD}, fw2 AS (SELECT *, coalesce(price_z < -{LOOSE.price_z}, false) OR coalesce(rsi < {LOOSE.rsi}, false) OR coalesce(close < bb_lower, false) AS is_broad FROM fw),
-up AS (SELECT *, coalesce(close > open AND close > bb_lower, false) AS bounce FROM fw), ahead AS (SELECT *, {", ".join(WAITS)} FROM up WINDOW v AS (PARTITION BY pair ORDER BY ts)),
-conf AS (SELECT *, CASE WHEN bounce_1 THEN 1 WHEN bounce_2 THEN 2 WHEN bounce_3 THEN 3 END AS confirm_delay, {PICK("ts", 1)} AS confirm_ts, {PICK("open", 2)} AS confirm_price FROM ahead),
+LABELLED = f"""{WITH}, {FORWARD}, fw2 AS (SELECT *, coalesce(price_z < -{LOOSE.price_z}, false) OR coalesce(rsi < {LOOSE.rsi}, false) OR coalesce(close < bb_lower, false) AS is_broad
+      FROM fw),
+up AS (SELECT *, coalesce(close > open AND close > bb_lower, false) AS bounce FROM fw), ahead AS (SELECT *, {", ".join(WAITS)} FROM up
+      WINDOW v AS (PARTITION BY pair ORDER BY ts)),
+conf AS (SELECT *, CASE WHEN bounce_1 THEN 1 WHEN bounce_2 THEN 2 WHEN bounce_3 THEN 3 END AS confirm_delay, {PICK("ts", 1)} AS confirm_ts,
+      {PICK("open", 2)} AS confirm_price FROM ahead),
 waiting AS ({" UNION ALL ".join(f"SELECT '{k}' AS candidate, pair, confirm_ts, confirm_delay, (confirm_price - entry_price) / nullif(entry_price, 0) AS missed_move FROM conf WHERE confirm_price > 0 AND {flush_sql(f)}" for k, f in CANDIDATES.items())}),
 needed AS (SELECT * FROM fw2 WHERE is_broad OR (pair, ts) IN (SELECT (pair, confirm_ts) FROM waiting)),
 {nulls_sql("needed", "ev")},
 labelled AS ({" UNION ALL ".join(f"SELECT '{n}' AS component, CAST(NULL AS INTEGER) AS confirm_delay, CAST(NULL AS DOUBLE) AS missed_move, ev.* FROM ev WHERE is_broad AND {c}" for n, c in mask_sql().items())}
   {" ".join(f"UNION ALL SELECT candidate || ':rebound_{k}', confirm_delay, missed_move, ev.* FROM waiting JOIN ev ON waiting.pair = ev.pair AND waiting.confirm_ts = ev.ts WHERE confirm_delay <= {k}" for k in (1, 3))}),
 {metrics_sql("labelled", "component")},
-waits AS (SELECT component, quantile_cont(confirm_delay, 0.5) AS confirm_delay_median, quantile_cont(missed_move, 0.5) AS missed_move_median FROM labelled GROUP BY component),
+waits AS (SELECT component, quantile_cont(confirm_delay, 0.5) AS confirm_delay_median, quantile_cont(missed_move, 0.5) AS missed_move_median FROM labelled
+      GROUP BY component),
 firsts AS (SELECT * FROM marked WHERE is_first)"""
 BOOT = f"{LABELLED}, {resample_sql('boot', 'firsts', 'component', f'excess_{FAR}')}, ci AS (SELECT component, quantile_cont(med, 0.025) AS ci_low, quantile_cont(med, 0.975) AS ci_high FROM boot GROUP BY component)"
 WAIT_COLUMNS = ["confirm_delay_median", "missed_move_median"]
@@ -138,8 +143,10 @@ book.add(
     lambda s, d: compare.bootstrap_delta_ci(sided(s, d), ["pair"], "side", f"excess_{FAR}", RESAMPLES),
     f"""{LABELLED}, sided AS (SELECT *, CASE component WHEN '{SIDES["a"]}' THEN 'a' ELSE 'b' END AS side FROM firsts WHERE component IN ('{SIDES["a"]}', '{SIDES["b"]}')),
     {resample_sql('boot', 'sided', 'pair, side', f'excess_{FAR}')},
-    n AS (SELECT pair, count(excess_{FAR}) FILTER (side = 'a') AS n_a, count(excess_{FAR}) FILTER (side = 'b') AS n_b, quantile_cont(excess_{FAR}, 0.5) FILTER (side = 'a') - quantile_cont(excess_{FAR}, 0.5) FILTER (side = 'b') AS delta FROM sided GROUP BY pair),
-    ci AS (SELECT a.pair, quantile_cont(a.med - b.med, 0.025) AS ci_low, quantile_cont(a.med - b.med, 0.975) AS ci_high FROM boot a JOIN boot b ON a.pair = b.pair AND a.draw = b.draw AND a.side = 'a' AND b.side = 'b' GROUP BY a.pair)
+    n AS (SELECT pair, count(excess_{FAR}) FILTER (side = 'a') AS n_a, count(excess_{FAR}) FILTER (side = 'b') AS n_b, quantile_cont(excess_{FAR},
+      0.5) FILTER (side = 'a') - quantile_cont(excess_{FAR}, 0.5) FILTER (side = 'b') AS delta FROM sided GROUP BY pair),
+    ci AS (SELECT a.pair, quantile_cont(a.med - b.med, 0.025) AS ci_low, quantile_cont(a.med - b.med, 0.975) AS ci_high FROM boot a JOIN boot b ON a.pair = b.pair
+      AND a.draw = b.draw AND a.side = 'a' AND b.side = 'b' GROUP BY a.pair)
     SELECT * FROM n LEFT JOIN ci USING (pair)""",
     "delta ci_low ci_high",
 )
@@ -157,21 +164,26 @@ def comparison(s, metrics, resampled):
 
 
 COMPARE = f"""{BOOT}, listed(candidate_id, a, b) AS (VALUES {", ".join(f"('{c}', '{c}:original', '{b}')" for c, b in pairs())}),
-pick AS (SELECT component, clusters, cluster_excess_{NEAR}_median AS near, cluster_excess_{FAR}_median AS far, validation_excess_median AS validation, positive_pairs, positive_years FROM metrics),
+pick AS (SELECT component, clusters, cluster_excess_{NEAR}_median AS near, cluster_excess_{FAR}_median AS far, validation_excess_median AS validation, positive_pairs,
+      positive_years FROM metrics),
 dci AS (SELECT l.a, l.b, quantile_cont(x.med - y.med, 0.025) AS delta_far_ci_low, quantile_cont(x.med - y.med, 0.975) AS delta_far_ci_high
   FROM (SELECT DISTINCT a, b FROM listed) l JOIN boot x ON x.component = l.a JOIN boot y ON y.component = l.b AND y.draw = x.draw GROUP BY ALL),
-compared AS (SELECT candidate_id, split_part(l.b, ':', 2) AS baseline, a.clusters AS candidate_clusters, b.clusters AS baseline_clusters, a.near - b.near AS delta_near, a.far - b.far AS delta_far, a.validation - b.validation AS delta_validation,
+compared AS (SELECT candidate_id, split_part(l.b, ':', 2) AS baseline, a.clusters AS candidate_clusters, b.clusters AS baseline_clusters, a.near - b.near AS delta_near,
+      a.far - b.far AS delta_far, a.validation - b.validation AS delta_validation,
   delta_far_ci_low, delta_far_ci_high, a.positive_pairs >= b.positive_pairs - 1 AND a.positive_years >= b.positive_years - 1 AS broad
   FROM listed l JOIN pick a ON a.component = l.a JOIN pick b ON b.component = l.b LEFT JOIN dci ON dci.a = l.a AND dci.b = l.b),
 judged AS (SELECT *, coalesce(delta_near > 0 AND delta_far > 0 AND delta_validation > 0 AND broad, false) AS beats FROM compared),
 decided AS (SELECT *, CASE WHEN candidate_clusters < {LEAST} THEN 'INSUFFICIENT_CANDIDATE_SAMPLE' WHEN baseline_clusters < {LEAST} THEN 'INSUFFICIENT_BASELINE_SAMPLE'
-  WHEN delta_near IS NULL OR delta_far IS NULL OR delta_validation IS NULL THEN 'BASELINE_UNDERPERFORMER' WHEN beats AND delta_far_ci_low > 0 THEN 'BASELINE_BEATER_CI' WHEN beats THEN 'BASELINE_BEATER_POINT'
+  WHEN delta_near IS NULL OR delta_far IS NULL OR delta_validation IS NULL THEN 'BASELINE_UNDERPERFORMER' WHEN beats AND delta_far_ci_low > 0 THEN 'BASELINE_BEATER_CI'
+    WHEN beats THEN 'BASELINE_BEATER_POINT'
   WHEN abs(delta_far) <= 0.0025 AND abs(delta_validation) <= 0.0025 THEN 'BASELINE_EQUIVALENT' ELSE 'BASELINE_UNDERPERFORMER' END AS decision FROM judged)"""
 COLUMNS = ["candidate_id", "baseline", "candidate_clusters", "baseline_clusters", "delta_near", "delta_far", "delta_validation", "delta_far_ci_low", "delta_far_ci_high", "decision"]
 book.add("baseline_comparison", lambda s, d: comparison(s, *judged(s, d)).select(*COLUMNS), f"{COMPARE} SELECT {', '.join(COLUMNS)} FROM decided", "delta_near delta_far delta_validation delta_far_ci_low delta_far_ci_high")
 COUNTED = ", ".join(f"count(*) FILTER (decision = 'BASELINE_{label}') AS {name}" for label, name in (("BEATER_CI", "ci_wins"), ("BEATER_POINT", "point_wins"), ("UNDERPERFORMER", "under"), ("EQUIVALENT", "equivalent")))
-SUMMARY = f"""{COMPARE}, counted AS (SELECT candidate_id, count(*) FILTER (NOT starts_with(decision, 'INSUFFICIENT')) AS eligible, {COUNTED}, min(delta_far) FILTER (NOT starts_with(decision, 'INSUFFICIENT')) AS worst_delta_far FROM decided GROUP BY candidate_id),
-summary AS (SELECT *, CASE WHEN eligible < 3 THEN 'INSUFFICIENT_BASELINE_COVERAGE' WHEN ci_wins >= 2 AND under = 0 THEN 'SURVIVES_BASELINES_STRONG' WHEN ci_wins + point_wins >= 3 AND under <= 1 THEN 'SURVIVES_BASELINES_WEAK'
+SUMMARY = f"""{COMPARE}, counted AS (SELECT candidate_id, count(*) FILTER (NOT starts_with(decision, 'INSUFFICIENT')) AS eligible, {COUNTED},
+      min(delta_far) FILTER (NOT starts_with(decision, 'INSUFFICIENT')) AS worst_delta_far FROM decided GROUP BY candidate_id),
+summary AS (SELECT *, CASE WHEN eligible < 3 THEN 'INSUFFICIENT_BASELINE_COVERAGE' WHEN ci_wins >= 2 AND under = 0 THEN 'SURVIVES_BASELINES_STRONG'
+      WHEN ci_wins + point_wins >= 3 AND under <= 1 THEN 'SURVIVES_BASELINES_WEAK'
   WHEN equivalent >= greatest(2, floor(eligible / 2)) THEN 'BASELINE_EQUIVALENT' ELSE 'FAILS_BASELINES' END AS candidate_decision FROM counted)"""
 book.add("baseline_summary", lambda s, d: gates.baseline_summary(comparison(s, *judged(s, d))), f"{SUMMARY} SELECT * FROM summary", "worst_delta_far")
 
@@ -186,11 +198,13 @@ def components(metrics, resampled):
 
 
 PARTS = ["candidate_id", "component", "clusters", "ci_low", "excess_far", "mae", *WAIT_COLUMNS, "decision"]
-DIAGNOSED = f"""own AS (SELECT split_part(component, ':', 1) AS candidate_id, split_part(component, ':', 2) AS component, clusters, ci_low, cluster_excess_{FAR}_median AS excess_far, mae_median AS mae, {", ".join(WAIT_COLUMNS)}
+DIAGNOSED = f"""own AS (SELECT split_part(component, ':', 1) AS candidate_id, split_part(component, ':', 2) AS component, clusters, ci_low, cluster_excess_{FAR}_median AS excess_far,
+      mae_median AS mae, {", ".join(WAIT_COLUMNS)}
   FROM metrics JOIN waits USING (component) LEFT JOIN ci USING (component) WHERE component NOT LIKE 'base:%'),
 diagnosed AS (SELECT p.*, CASE WHEN p.clusters < {LEAST} THEN 'INSUFFICIENT_COMPONENT_SAMPLE' WHEN p.ci_low <= 0 THEN 'DROP_COMPONENT'
   WHEN starts_with(p.component, 'rebound') AND p.mae > o.mae AND p.excess_far >= o.excess_far - 0.0025 THEN 'KEEP_REBOUND_CONFIRMATION'
-  WHEN starts_with(p.component, 'no_') AND p.excess_far >= o.excess_far - 0.0025 AND p.clusters > o.clusters THEN 'SIMPLIFY_FILTERS' ELSE 'KEEP_IMMEDIATE_FLUSH' END AS decision
+  WHEN starts_with(p.component, 'no_') AND p.excess_far >= o.excess_far - 0.0025
+    AND p.clusters > o.clusters THEN 'SIMPLIFY_FILTERS' ELSE 'KEEP_IMMEDIATE_FLUSH' END AS decision
   FROM own p JOIN own o ON p.candidate_id = o.candidate_id AND o.component = 'original')"""
 book.add("component_decisions", lambda s, d: components(*judged(s, d)).select(*PARTS), f"{BOOT}, {DIAGNOSED} SELECT {', '.join(PARTS)} FROM diagnosed", "ci_low excess_far mae confirm_delay_median missed_move_median")
 WIDE = ["original", "no_weak_trend", "no_breakout_block", "z_rsi_only", "rebound_1", "rebound_3"]
@@ -202,11 +216,15 @@ def recommended(s, d):
 
 
 RECOMMENDED = f"""{SUMMARY}, {DIAGNOSED}, wide AS (SELECT candidate_id, {", ".join(f"max(decision) FILTER (component = '{c}') AS {c}" for c in WIDE)} FROM diagnosed GROUP BY candidate_id),
-dropped AS (SELECT summary.*, wide.* EXCLUDE (candidate_id), concat_ws(';', CASE WHEN no_weak_trend = 'SIMPLIFY_FILTERS' THEN 'DROP_WEAK_TREND_GATE' END, CASE WHEN no_breakout_block = 'SIMPLIFY_FILTERS' THEN 'DROP_BREAKOUT_BLOCK' END) AS simplifications
+dropped AS (SELECT summary.*, wide.* EXCLUDE (candidate_id), concat_ws(';', CASE WHEN no_weak_trend = 'SIMPLIFY_FILTERS' THEN 'DROP_WEAK_TREND_GATE' END, CASE
+      WHEN no_breakout_block = 'SIMPLIFY_FILTERS' THEN 'DROP_BREAKOUT_BLOCK' END) AS simplifications
   FROM summary LEFT JOIN wide USING (candidate_id)),
-recommended AS (SELECT *, CASE WHEN candidate_decision NOT IN ('SURVIVES_BASELINES_STRONG', 'SURVIVES_BASELINES_WEAK') THEN 'DO_NOT_ADVANCE_BASELINE_GATE' WHEN original = 'DROP_COMPONENT' THEN 'REJECT_COMPONENT_FAILURE'
-  WHEN rebound_1 = 'KEEP_REBOUND_CONFIRMATION' OR rebound_3 = 'KEEP_REBOUND_CONFIRMATION' THEN 'RETEST_REBOUND_CONFIRMATION' WHEN simplifications <> '' THEN 'TEST_SIMPLIFIED_IMMEDIATE_FLUSH'
-  WHEN original = 'KEEP_IMMEDIATE_FLUSH' THEN 'KEEP_ORIGINAL_IMMEDIATE_FLUSH' WHEN original = 'INSUFFICIENT_COMPONENT_SAMPLE' THEN 'HOLD_FOR_MORE_SAMPLE' ELSE 'REVIEW' END AS next_step FROM dropped)"""
+recommended AS (SELECT *, CASE WHEN candidate_decision NOT IN ('SURVIVES_BASELINES_STRONG', 'SURVIVES_BASELINES_WEAK') THEN 'DO_NOT_ADVANCE_BASELINE_GATE'
+      WHEN original = 'DROP_COMPONENT' THEN 'REJECT_COMPONENT_FAILURE'
+  WHEN rebound_1 = 'KEEP_REBOUND_CONFIRMATION' OR rebound_3 = 'KEEP_REBOUND_CONFIRMATION' THEN 'RETEST_REBOUND_CONFIRMATION'
+    WHEN simplifications <> '' THEN 'TEST_SIMPLIFIED_IMMEDIATE_FLUSH'
+  WHEN original = 'KEEP_IMMEDIATE_FLUSH' THEN 'KEEP_ORIGINAL_IMMEDIATE_FLUSH'
+    WHEN original = 'INSUFFICIENT_COMPONENT_SAMPLE' THEN 'HOLD_FOR_MORE_SAMPLE' ELSE 'REVIEW' END AS next_step FROM dropped)"""
 book.add(
     "recommendations",
     lambda s, d: recommended(s, d).select("candidate_id", "candidate_decision", *WIDE, "simplifications", "next_step"),
@@ -226,10 +244,13 @@ book.add(
     "selected_candidates",
     lambda s, d: selected(s, d).select("candidate_id", "place", "fixed_candidate_id", "use_weak_trend", "use_breakout_block", "is_original"),
     f"""{RECOMMENDED}, known(candidate_id, wt, bb) AS (VALUES {GATED}),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY candidate_decision ORDER BY CASE WHEN candidate_decision = 'SURVIVES_BASELINES_STRONG' THEN ci_wins ELSE point_wins END DESC, round(worst_delta_far, 9) DESC, candidate_id) AS r,
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY candidate_decision ORDER BY CASE
+      WHEN candidate_decision = 'SURVIVES_BASELINES_STRONG' THEN ci_wins ELSE point_wins END DESC, round(worst_delta_far, 9) DESC, candidate_id) AS r,
       simplifications LIKE '%DROP_WEAK_TREND_GATE%' AS nw, simplifications LIKE '%DROP_BREAKOUT_BLOCK%' AS nb FROM recommended JOIN known USING (candidate_id)),
-    placed AS (SELECT *, CASE WHEN candidate_decision = 'SURVIVES_BASELINES_STRONG' AND r <= {STRONG} THEN r WHEN candidate_decision = 'SURVIVES_BASELINES_WEAK' AND r <= {WEAK} THEN 1000 + r WHEN candidate_id = '{NEAREST}' THEN 2000 END AS place FROM ranked)
-    SELECT candidate_id, CAST(place AS INTEGER) AS place, candidate_id || CASE WHEN nw THEN '_NW' ELSE '' END || CASE WHEN nb THEN '_NB' ELSE '' END AS fixed_candidate_id, wt AND NOT nw AS use_weak_trend, bb AND NOT nb AS use_breakout_block,
+    placed AS (SELECT *, CASE WHEN candidate_decision = 'SURVIVES_BASELINES_STRONG' AND r <= {STRONG} THEN r WHEN candidate_decision = 'SURVIVES_BASELINES_WEAK'
+      AND r <= {WEAK} THEN 1000 + r WHEN candidate_id = '{NEAREST}' THEN 2000 END AS place FROM ranked)
+    SELECT candidate_id, CAST(place AS INTEGER) AS place, candidate_id || CASE WHEN nw THEN '_NW' ELSE '' END || CASE
+      WHEN nb THEN '_NB' ELSE '' END AS fixed_candidate_id, wt AND NOT nw AS use_weak_trend, bb AND NOT nb AS use_breakout_block,
       NOT nw AND NOT nb AS is_original FROM placed WHERE place IS NOT NULL""",
 )
 
@@ -253,18 +274,23 @@ def fixed_report(s, d):
 book.add(
     "fixed_candidates",
     fixed_report,
-    f"""{BOOT}, {resample_sql("late", "firsts", "component", f"excess_{FAR}", seed="boot-validation", where=f"ts >= '{SPLIT}'")}, late_ci AS (SELECT component, quantile_cont(med, 0.025) AS validation_ci_low FROM late GROUP BY component),
+    f"""{BOOT}, {resample_sql("late", "firsts", "component", f"excess_{FAR}", seed="boot-validation", where=f"ts >= '{SPLIT}'")}, late_ci AS (SELECT component,
+      quantile_cont(med, 0.025) AS validation_ci_low FROM late GROUP BY component),
     cost AS (SELECT component, quantile_cont(excess_{FAR} - 20 / 10000.0::DOUBLE, 0.5) AS net_excess_20 FROM firsts GROUP BY component)
-    SELECT component, clusters, net_excess_20, ci_low AS excess_ci_low, validation_ci_low, CASE WHEN clusters < {LEAST} THEN 'REJECT_LOW_DENSITY' WHEN ci_low <= 0 THEN 'REJECT_CI_FRAGILITY' WHEN validation_ci_low <= 0 THEN 'RESEARCH_ADVANCE_VALIDATION_WATCH'
-      WHEN top_pair_cluster_share > 0.30 OR top_year_cluster_share > 0.40 THEN 'RESEARCH_ADVANCE_CONCENTRATION_WATCH' WHEN net_excess_20 <= 0 THEN 'RESEARCH_ADVANCE_COST_WATCH' ELSE 'FIXED_RESEARCH_CANDIDATE' END AS decision
+    SELECT component, clusters, net_excess_20, ci_low AS excess_ci_low, validation_ci_low, CASE WHEN clusters < {LEAST} THEN 'REJECT_LOW_DENSITY'
+      WHEN ci_low <= 0 THEN 'REJECT_CI_FRAGILITY' WHEN validation_ci_low <= 0 THEN 'RESEARCH_ADVANCE_VALIDATION_WATCH'
+      WHEN top_pair_cluster_share > 0.30 OR top_year_cluster_share > 0.40 THEN 'RESEARCH_ADVANCE_CONCENTRATION_WATCH'
+        WHEN net_excess_20 <= 0 THEN 'RESEARCH_ADVANCE_COST_WATCH' ELSE 'FIXED_RESEARCH_CANDIDATE' END AS decision
     FROM metrics JOIN cost USING (component) LEFT JOIN ci USING (component) LEFT JOIN late_ci USING (component) WHERE component LIKE '%:original'""",
     "net_excess_20 excess_ci_low validation_ci_low",
 )
 book.add(
     "cost_stress_clusters",
     lambda s, d: compare.cost_stress_clusters(originals(evidence(s, d)[1]), ["component"], FAR, SPLIT, least=LEAST),
-    f"""{LABELLED}, n AS (SELECT component, bps AS cost_bps, count(*) AS clusters, quantile_cont({FAR} - bps / 10000.0::DOUBLE, 0.5) AS net_median, quantile_cont(excess_{FAR} - bps / 10000.0::DOUBLE, 0.5) AS net_excess_median,
-      quantile_cont(CASE WHEN ts >= '{SPLIT}' THEN excess_{FAR} - bps / 10000.0::DOUBLE END, 0.5) AS net_validation_median, avg(CAST({FAR} - bps / 10000.0::DOUBLE > 0 AS DOUBLE)) AS net_win_rate
+    f"""{LABELLED}, n AS (SELECT component, bps AS cost_bps, count(*) AS clusters, quantile_cont({FAR} - bps / 10000.0::DOUBLE, 0.5) AS net_median,
+      quantile_cont(excess_{FAR} - bps / 10000.0::DOUBLE, 0.5) AS net_excess_median,
+      quantile_cont(CASE WHEN ts >= '{SPLIT}' THEN excess_{FAR} - bps / 10000.0::DOUBLE END, 0.5) AS net_validation_median,
+        avg(CAST({FAR} - bps / 10000.0::DOUBLE > 0 AS DOUBLE)) AS net_win_rate
       FROM firsts, (VALUES (0), (10), (20), (40)) c(bps) WHERE component LIKE '%:original' GROUP BY component, bps)
     SELECT *, coalesce(clusters >= {LEAST} AND net_excess_median > 0 AND net_validation_median > 0, false) AS survives_cost FROM n""",
     "net_median net_excess_median net_validation_median net_win_rate",
@@ -273,17 +299,21 @@ CONCENTRATED = "RFC002:original"
 book.add(
     "grouped_concentration",
     lambda s, d: compare.grouped_concentration(evidence(s, d)[1].where(F.col("component") == CONCENTRATED), "year", FAR, 5),
-    f"""{LABELLED}, n AS (SELECT year, count(*) AS clusters, quantile_cont({FAR}, 0.5) AS median, quantile_cont(excess_{FAR}, 0.5) AS excess_median FROM firsts WHERE component = '{CONCENTRATED}' GROUP BY year)
+    f"""{LABELLED}, n AS (SELECT year, count(*) AS clusters, quantile_cont({FAR}, 0.5) AS median, quantile_cont(excess_{FAR}, 0.5) AS excess_median FROM firsts
+      WHERE component = '{CONCENTRATED}' GROUP BY year)
     SELECT *, clusters / sum(clusters) OVER () AS share, CAST(row_number() OVER (ORDER BY clusters DESC, year) AS INTEGER) AS rank FROM n QUALIFY rank <= 5""",
     "median excess_median share",
 )
 book.add(
     "removal_concentration",
     lambda s, d: compare.removal_concentration(originals(evidence(s, d)[1]), ["component"], FAR, SPLIT),
-    f"""{LABELLED}, f AS (SELECT * FROM firsts WHERE component LIKE '%:original'), {", ".join(f"r_{g} AS (SELECT component, {g}, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, {g}) AS r FROM f GROUP BY component, {g})" for g in ("pair", "month"))},
-    kept AS (SELECT 'remove_top_1_pair' AS analysis, f.*, r > 1 AS keep FROM f JOIN r_pair USING (component, pair) UNION ALL BY NAME SELECT 'remove_top_3_pairs' AS analysis, f.*, r > 3 AS keep FROM f JOIN r_pair USING (component, pair)
+    f"""{LABELLED}, f AS (SELECT * FROM firsts WHERE component LIKE '%:original'),
+      {", ".join(f"r_{g} AS (SELECT component, {g}, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, {g}) AS r FROM f GROUP BY component, {g})" for g in ("pair", "month"))},
+    kept AS (SELECT 'remove_top_1_pair' AS analysis, f.*, r > 1 AS keep FROM f JOIN r_pair USING (component, pair)
+      UNION ALL BY NAME SELECT 'remove_top_3_pairs' AS analysis, f.*, r > 3 AS keep FROM f JOIN r_pair USING (component, pair)
       UNION ALL BY NAME SELECT 'remove_top_1_month' AS analysis, f.*, r > 1 AS keep FROM f JOIN r_month USING (component, month)),
-    n AS (SELECT component, analysis, count(*) FILTER (keep) AS clusters, count(*) FILTER (keep) / count(*) AS cluster_share, quantile_cont(excess_{FAR}, 0.5) FILTER (keep) AS excess_median, quantile_cont(excess_{FAR}, 0.5) FILTER (keep AND ts >= '{SPLIT}') AS validation_median FROM kept GROUP BY ALL)
+    n AS (SELECT component, analysis, count(*) FILTER (keep) AS clusters, count(*) FILTER (keep) / count(*) AS cluster_share, quantile_cont(excess_{FAR},
+      0.5) FILTER (keep) AS excess_median, quantile_cont(excess_{FAR}, 0.5) FILTER (keep AND ts >= '{SPLIT}') AS validation_median FROM kept GROUP BY ALL)
     SELECT *, CASE WHEN excess_median > 0 AND validation_median > 0 THEN 'survives' ELSE 'weakens' END AS decision FROM n""",
     "cluster_share excess_median validation_median",
 )

@@ -38,7 +38,8 @@ def exported(s, d):
 book.add(
     "trade_exports",
     lambda s, d: exported(s, d).groupBy("strategy", "month", "side").agg(F.count("*").alias("trades"), F.count_distinct("trade_signature").alias("signatures"), F.sum("profit_abs").alias("profit")),
-    f"""{T} SELECT strategy, month, CASE WHEN is_short THEN 'short' ELSE 'long' END AS side, count(*) AS trades, count(DISTINCT pair || '|' || strftime(open_date, '%Y-%m-%d %H:%M:%S') || '|' || is_short) AS signatures,
+    f"""{T} SELECT strategy, month, CASE WHEN is_short THEN 'short' ELSE 'long' END AS side, count(*) AS trades, count(DISTINCT pair || '|' || strftime(open_date,
+      '%Y-%m-%d %H:%M:%S') || '|' || is_short) AS signatures,
     sum(profit_abs) AS profit FROM trades GROUP BY ALL""",
     "profit:1",
 )

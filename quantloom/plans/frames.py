@@ -66,7 +66,8 @@ def rolling_sql(source_name: str = "bars") -> str:
          {full20("close", "avg(close) OVER @")} AS bb_mid, {full20("close", "stddev_pop(close) OVER @")} AS bb_std
   FROM {source_name}
 ), ind AS (
-  SELECT *, bb_mid + {BAND} * bb_std AS bb_upper, bb_mid - {BAND} * bb_std AS bb_lower, ((bb_mid + {BAND} * bb_std) - (bb_mid - {BAND} * bb_std)) / nullif(bb_mid, 0) AS bb_width FROM rolled
+  SELECT *, bb_mid + {BAND} * bb_std AS bb_upper, bb_mid - {BAND} * bb_std AS bb_lower, ((bb_mid + {BAND} * bb_std) - (bb_mid - {BAND} * bb_std)) / nullif(bb_mid,
+    0) AS bb_width FROM rolled
 )"""
 
 
@@ -110,12 +111,15 @@ def recursive_sql(out: str, source_name: str, emas: tuple = (20,), with_adx: boo
 
 WEEK = f"""
 week_bars AS (
-  SELECT pair, CAST(date_trunc('week', ts) AS TIMESTAMP) AS ts, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close, sum(volume) AS volume
+  SELECT pair, CAST(date_trunc('week', ts) AS TIMESTAMP) AS ts, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low, last(close ORDER BY ts) AS close,
+    sum(volume) AS volume
   FROM bars GROUP BY pair, date_trunc('week', ts)
 ), {recursive_sql("week_rec", "week_bars", (50, 200), True)}, week_roll AS (
-  SELECT *, {full20("close", "avg(close) OVER @")} AS mid, {full20("close", "stddev_pop(close) OVER @")} AS dev, lag(ema50) OVER (PARTITION BY pair ORDER BY ts) AS ema50_1 FROM week_rec
+  SELECT *, {full20("close", "avg(close) OVER @")} AS mid, {full20("close", "stddev_pop(close) OVER @")} AS dev, lag(ema50)
+    OVER (PARTITION BY pair ORDER BY ts) AS ema50_1 FROM week_rec
 ), week AS (
-  SELECT pair, ts + INTERVAL 6 DAY AS seen, close AS close_info, mid - {BAND} * dev AS bb_lower_info, mid + {BAND} * dev AS bb_upper_info, ema50 AS ema50_info, ema200 AS ema200_info,
+  SELECT pair, ts + INTERVAL 6 DAY AS seen, close AS close_info, mid - {BAND} * dev AS bb_lower_info, mid + {BAND} * dev AS bb_upper_info, ema50 AS ema50_info,
+    ema200 AS ema200_info,
          (ema50 - ema50_1) / nullif(ema50_1, 0) AS ema50_slope_info, adx AS adx_info FROM week_roll
 )"""
 

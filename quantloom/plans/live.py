@@ -31,17 +31,20 @@ book.add(
     "stream_bars",
     lambda s, d: streams.emitted(streams.stream_bars(ticks(s, d)), "stream-bars").withColumn("ts", stamp(F.col("ts"))),
     f"""WITH e AS (SELECT *, date_trunc('hour', ts) AS hour FROM events),
-    b AS (SELECT event_type AS pair, hour, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume FROM e GROUP BY ALL)
+    b AS (SELECT event_type AS pair, hour, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close,
+      CAST(count(*) AS DOUBLE) AS volume FROM e GROUP BY ALL)
     SELECT pair, strftime(hour, '%Y-%m-%d %H:%M:%S') AS ts, open, high, low, close, volume FROM b WHERE hour + INTERVAL 1 HOUR <= {PASSED} - INTERVAL 2 HOUR""",
     "open high low close",
 )
 book.add(
     "stream_clusters",
     lambda s, d: streams.emitted(streams.stream_clusters(event_stream(s, d).select(F.col("user_id").cast("string").alias("pair"), "ts"), "24 hours"), "stream-clusters").withColumns({c: stamp(F.col(c)) for c in ("cluster_start", "last_ts")}),
-    f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS pair, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 24 HOUR, true) AS opens, event_id FROM events),
+    f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS pair, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 24 HOUR, true) AS opens,
+      event_id FROM events),
     n AS (SELECT *, sum(CAST(opens AS INT)) OVER (PARTITION BY pair ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM e),
     c AS (SELECT pair, no, min(ts) AS a, max(ts) AS z, count(*) AS size FROM n GROUP BY ALL)
-    SELECT pair, strftime(a, '%Y-%m-%d %H:%M:%S') AS cluster_start, strftime(z, '%Y-%m-%d %H:%M:%S') AS last_ts, size FROM c WHERE z + INTERVAL 24 HOUR <= {PASSED} - INTERVAL 1 HOUR""",
+    SELECT pair, strftime(a, '%Y-%m-%d %H:%M:%S') AS cluster_start, strftime(z, '%Y-%m-%d %H:%M:%S') AS last_ts, size FROM c
+      WHERE z + INTERVAL 24 HOUR <= {PASSED} - INTERVAL 1 HOUR""",
 )
 book.add(
     "stream_cooldowns",
@@ -49,7 +52,8 @@ book.add(
         streams.stream_cooldowns(event_stream(s, d).select((F.col("event_id") % 2 == 1).alias("is_short"), F.col("ts").alias("close_date"), F.when(F.col("value") < 5, "stop_loss").otherwise("roi").alias("exit_reason"))), "stream-cooldowns"
     ).withColumn("at", stamp(F.col("at"))),
     f"""WITH w AS (SELECT event_id % 2 = 1 AS is_short, value, date_trunc('hour', ts) + to_hours(CAST(k + 1 AS INT)) AS until FROM events, range(24) r(k))
-    SELECT is_short, strftime(until, '%Y-%m-%d %H:%M:%S') AS "at", count(*) FILTER (value < 5) AS stops, count(*) AS trades, count(*) FILTER (value < 5) >= 3 AS locked FROM w WHERE until <= {PASSED} - INTERVAL 1 HOUR GROUP BY is_short, until""",
+    SELECT is_short, strftime(until, '%Y-%m-%d %H:%M:%S') AS "at", count(*) FILTER (value < 5) AS stops, count(*) AS trades, count(*) FILTER (value < 5) >= 3 AS locked
+      FROM w WHERE until <= {PASSED} - INTERVAL 1 HOUR GROUP BY is_short, until""",
 )
 
 

@@ -28,9 +28,11 @@ book.add(
     lambda s, d: signals.entry_veto(signals.orderbook_features(books(s, d)), 0.5, -0.2, 0.0007).select("l_orderkey", "spread_ratio", "imbalance", "veto"),
     """WITH x AS (SELECT l_orderkey, l_linenumber % 2 = 1 AS bid, l_extendedprice / l_quantity AS price, l_quantity AS qty FROM lineitem),
     r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, bid ORDER BY CASE WHEN bid THEN -price ELSE price END, qty) AS r FROM x),
-    y AS (SELECT l_orderkey, max(price) FILTER (bid AND r = 1) AS b, max(price) FILTER (NOT bid AND r = 1) AS a, coalesce(sum(qty) FILTER (bid AND r <= 5), 0) AS bq, coalesce(sum(qty) FILTER (NOT bid AND r <= 5), 0) AS aq FROM r GROUP BY l_orderkey),
+    y AS (SELECT l_orderkey, max(price) FILTER (bid AND r = 1) AS b, max(price) FILTER (NOT bid AND r = 1) AS a, coalesce(sum(qty) FILTER (bid AND r <= 5), 0) AS bq,
+      coalesce(sum(qty) FILTER (NOT bid AND r <= 5), 0) AS aq FROM r GROUP BY l_orderkey),
     z AS (SELECT l_orderkey, (a - b) / nullif((a + b) / 2, 0) AS spread_ratio, (bq - aq) / nullif(bq + aq, 0) AS imbalance FROM y)
-    SELECT *, CASE WHEN NOT coalesce(spread_ratio <= 0.5, false) THEN 'spread' WHEN NOT coalesce(imbalance >= -0.2, false) THEN 'imbalance' WHEN l_orderkey % 10 / 10000.0::DOUBLE > 0.0007::DOUBLE THEN 'funding' END AS veto FROM z""",
+    SELECT *, CASE WHEN NOT coalesce(spread_ratio <= 0.5, false) THEN 'spread' WHEN NOT coalesce(imbalance >= -0.2, false) THEN 'imbalance'
+      WHEN l_orderkey % 10 / 10000.0::DOUBLE > 0.0007::DOUBLE THEN 'funding' END AS veto FROM z""",
     "spread_ratio imbalance",
 )
 
@@ -46,9 +48,12 @@ SIZES = ["order_amount", "order_valid", "min_stake", "leverage", "risk_stake", "
 book.add(
     "order_sizing",
     lambda s, d: signals.order_sizing(orders(s, d), hot_natr=0.03).select("p_partkey", *SIZES),
-    """WITH o AS (SELECT p_partkey, p_size * 1.37::DOUBLE AS amount, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 0.5::DOUBLE END AS step, p_retailprice AS rate, p_size / 1000.0::DOUBLE AS natr, p_size / 300.0::DOUBLE AS w FROM part),
-    q AS (SELECT *, coalesce(floor(amount / step + 1e-12) * step, amount) AS order_amount, CASE WHEN natr > 0.03 OR w > 0.15 THEN 1.0::DOUBLE ELSE 2.0 END AS leverage FROM o)
-    SELECT p_partkey, order_amount, order_amount >= 1 AND order_amount * rate >= 5000 AS order_valid, greatest(5000, rate) * 1.05 / leverage AS min_stake, leverage, 10000 * 0.005 / (nullif(1.7 * natr, 0) * leverage) AS risk_stake, rate * (1 - 1.7 * natr) AS stop_price, least(greatest(1.2 * natr, 0.008), 0.035) AS roi FROM q""",
+    """WITH o AS (SELECT p_partkey, p_size * 1.37::DOUBLE AS amount, CASE WHEN p_size % 3 = 0 THEN NULL ELSE 0.5::DOUBLE END AS step, p_retailprice AS rate,
+      p_size / 1000.0::DOUBLE AS natr, p_size / 300.0::DOUBLE AS w FROM part),
+    q AS (SELECT *, coalesce(floor(amount / step + 1e-12) * step, amount) AS order_amount, CASE WHEN natr > 0.03 OR w > 0.15 THEN 1.0::DOUBLE ELSE 2.0 END AS leverage
+      FROM o)
+    SELECT p_partkey, order_amount, order_amount >= 1 AND order_amount * rate >= 5000 AS order_valid, greatest(5000, rate) * 1.05 / leverage AS min_stake, leverage,
+      10000 * 0.005 / (nullif(1.7 * natr, 0) * leverage) AS risk_stake, rate * (1 - 1.7 * natr) AS stop_price, least(greatest(1.2 * natr, 0.008), 0.035) AS roi FROM q""",
     "order_amount min_stake leverage risk_stake stop_price roi",
 )
 
@@ -63,28 +68,37 @@ def cooled(s, d):
 book.add(
     "cooldown_flags",
     cooled,
-    f"""{T}, t AS (SELECT pair, is_short, date_trunc('day', close_date) AS moment, CASE WHEN exit_reason = 'F' AND profit_abs < 0 THEN 1 ELSE 0 END AS stop, round(profit_abs, 0) AS p FROM trades),
+    f"""{T}, t AS (SELECT pair, is_short, date_trunc('day', close_date) AS moment, CASE WHEN exit_reason = 'F' AND profit_abs < 0 THEN 1 ELSE 0 END AS stop, round(profit_abs,
+      0) AS p FROM trades),
     s AS (SELECT DISTINCT pair, is_short, CAST(date_trunc('day', open_date) AS TIMESTAMP) AS ts FROM trades),
     sd AS (SELECT is_short, moment, sum(stop) AS n FROM t GROUP BY ALL),
-    reach AS (SELECT is_short, moment, sum(n) OVER (PARTITION BY is_short ORDER BY moment RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW) AS n FROM sd), side AS (SELECT * FROM reach WHERE n >= 60),
-    low AS (SELECT pair, is_short, moment, count(*) OVER w AS n, sum(p) OVER w AS p FROM t WINDOW w AS (PARTITION BY pair, is_short ORDER BY moment RANGE BETWEEN INTERVAL 9 DAY PRECEDING AND CURRENT ROW)),
+    reach AS (SELECT is_short, moment, sum(n) OVER (PARTITION BY is_short ORDER BY moment RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW) AS n FROM sd),
+      side AS (SELECT * FROM reach WHERE n >= 60),
+    low AS (SELECT pair, is_short, moment, count(*) OVER w AS n, sum(p) OVER w AS p FROM t WINDOW w AS (PARTITION BY pair,
+      is_short ORDER BY moment RANGE BETWEEN INTERVAL 9 DAY PRECEDING AND CURRENT ROW)),
     lock AS (SELECT DISTINCT pair, is_short, moment FROM low WHERE n >= 2 AND p <= 0),
     a AS (SELECT s.*, coalesce(s.ts < l.moment + INTERVAL 2 DAY, false) AS side_blocked FROM s ASOF LEFT JOIN side l ON s.is_short = l.is_short AND s.ts >= l.moment),
-    f AS (SELECT a.*, coalesce(a.ts < l.moment + INTERVAL 4 DAY, false) AS pair_blocked FROM a ASOF LEFT JOIN lock l ON a.pair = l.pair AND a.is_short = l.is_short AND a.ts >= l.moment)
+    f AS (SELECT a.*, coalesce(a.ts < l.moment + INTERVAL 4 DAY, false) AS pair_blocked FROM a ASOF LEFT JOIN lock l ON a.pair = l.pair AND a.is_short = l.is_short
+      AND a.ts >= l.moment)
     SELECT pair, is_short, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, side_blocked, pair_blocked, side_blocked OR pair_blocked AS blocked FROM f""",
 )
 EXITS, FEES = ("z0", "rsi50", "mid", "time"), (0.0, 0.0007)
 book.add(
     "experiment_matrix",
     lambda s, d: compare.experiment_matrix(surface.fingerprints(candidates(s, d), GRID).where("signals > 0 and not is_duplicate_signal_set").select(F.format_string("RFC_%d", "cell_id").alias("candidate_id")), EXITS, FEES),
-    f"""{WITH_NULLS}, {CELLS} SELECT 'RFC_' || cell_id AS candidate_id, exit_mode, fee, 'FlushRFC' || cell_id || upper(exit_mode[1]) || exit_mode[2:] AS class_name, false AS collides
-    FROM dup, (VALUES ('z0'), ('rsi50'), ('mid'), ('time')) e(exit_mode), (VALUES (0.0::DOUBLE), (0.0007::DOUBLE)) f(fee) WHERE signals > 0 AND cell_id = canonical_cell_id""",
+    f"""{WITH_NULLS}, {CELLS} SELECT 'RFC_' || cell_id AS candidate_id, exit_mode, fee, 'FlushRFC' || cell_id || upper(exit_mode[1]) || exit_mode[2:] AS class_name,
+      false AS collides
+    FROM dup, (VALUES ('z0'), ('rsi50'), ('mid'), ('time')) e(exit_mode), (VALUES (0.0::DOUBLE), (0.0007::DOUBLE)) f(fee) WHERE signals > 0
+      AND cell_id = canonical_cell_id""",
 )
 book.add(
     "promotion_rows",
     lambda s, d: compare.promotion_rows(trades(s, d), ["strategy", "pair"], "1999-01-01 00:00:00", 60),
-    f"""{T}, n AS (SELECT strategy, pair, count(*) FILTER (open_date < '1999-01-01') AS selection_trades, coalesce(sum(profit_abs) FILTER (open_date < '1999-01-01'), 0) AS selection_profit, count(*) FILTER (open_date >= '1999-01-01') AS holdout_trades, coalesce(sum(profit_abs) FILTER (open_date >= '1999-01-01'), 0) AS holdout_profit FROM trades GROUP BY ALL)
-    SELECT *, CASE WHEN selection_trades < 60 OR holdout_trades < 60 THEN 'insufficient' WHEN selection_profit <= 0 THEN 'rejected_in_selection' WHEN holdout_profit <= 0 THEN 'fails_holdout' ELSE 'stable' END AS verdict FROM n""",
+    f"""{T}, n AS (SELECT strategy, pair, count(*) FILTER (open_date < '1999-01-01') AS selection_trades, coalesce(sum(profit_abs) FILTER (open_date < '1999-01-01'),
+      0) AS selection_profit, count(*) FILTER (open_date >= '1999-01-01') AS holdout_trades, coalesce(sum(profit_abs) FILTER (open_date >= '1999-01-01'),
+        0) AS holdout_profit FROM trades GROUP BY ALL)
+    SELECT *, CASE WHEN selection_trades < 60 OR holdout_trades < 60 THEN 'insufficient' WHEN selection_profit <= 0 THEN 'rejected_in_selection'
+      WHEN holdout_profit <= 0 THEN 'fails_holdout' ELSE 'stable' END AS verdict FROM n""",
     "selection_profit:1 holdout_profit:1",
 )
 book.add(

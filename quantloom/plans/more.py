@@ -21,9 +21,13 @@ book.add(
 book.add(
     "signal_quality",
     lambda s, d: regime.signal_quality(signals.first_failed_gate(rows.own(events.forward_returns(frames.features(s, d), (6,))), P), "first_failed_gate", "forward_6"),
-    f"""{WITH}, f AS (SELECT *, (lead(close, 7) OVER v - lead(open, 1) OVER v) / nullif(lead(open, 1) OVER v, 0) AS forward_6 FROM feat WINDOW v AS (PARTITION BY pair ORDER BY ts)),
-    l AS (SELECT *, CASE WHEN NOT coalesce(rsi < {P.rsi_long}, false) THEN 'rsi' WHEN NOT coalesce(price_z < -{P.price_z}, false) THEN 'price_z' WHEN NOT bullish_reversal THEN 'bullish_reversal' ELSE 'signal' END AS first_failed_gate FROM f WHERE volume > 0 AND active_pair AND weak_trend_regime AND NOT breakout_block_long AND close < bb_lower)
-    SELECT first_failed_gate, count(*) AS rows, count(forward_6) AS complete, avg(forward_6) AS mean_forward_6, avg(CASE WHEN forward_6 IS NOT NULL THEN CAST(forward_6 > 0 AS DOUBLE) END) AS good_share FROM l GROUP BY ALL""",
+    f"""{WITH}, f AS (SELECT *, (lead(close, 7) OVER v - lead(open, 1) OVER v) / nullif(lead(open, 1) OVER v, 0) AS forward_6 FROM feat
+      WINDOW v AS (PARTITION BY pair ORDER BY ts)),
+    l AS (SELECT *, CASE WHEN NOT coalesce(rsi < {P.rsi_long}, false) THEN 'rsi' WHEN NOT coalesce(price_z < -{P.price_z}, false) THEN 'price_z'
+      WHEN NOT bullish_reversal THEN 'bullish_reversal' ELSE 'signal' END AS first_failed_gate FROM f WHERE volume > 0 AND active_pair AND weak_trend_regime
+        AND NOT breakout_block_long AND close < bb_lower)
+    SELECT first_failed_gate, count(*) AS rows, count(forward_6) AS complete, avg(forward_6) AS mean_forward_6, avg(CASE
+      WHEN forward_6 IS NOT NULL THEN CAST(forward_6 > 0 AS DOUBLE) END) AS good_share FROM l GROUP BY ALL""",
     "mean_forward_6 good_share",
 )
 
@@ -39,16 +43,21 @@ book.add(
     "warmup_variance",
     warmups,
     f"""WITH {frames.TICKS}, {frames.recursive_sql('rec', 'bars', (20,))}, ends AS (SELECT pair, max(i) AS last FROM rec GROUP BY pair),
-    cut AS (SELECT rec.pair || '@' || w AS pair, ts, open, high, low, close, volume FROM rec JOIN ends USING (pair), (VALUES (60), (120), (240)) v(w) WHERE i > last - w), {frames.recursive_sql('srt', 'cut', (20,))},
-    f AS (SELECT pair, rsi, natr, ema20 FROM rec JOIN ends USING (pair) WHERE i = last), e2 AS (SELECT pair, max(i) AS last FROM srt GROUP BY pair), g AS (SELECT split_part(srt.pair, '@', 1) AS pair, CAST(split_part(srt.pair, '@', 2) AS INTEGER) AS warmup, rsi, natr, ema20 FROM srt JOIN e2 ON srt.pair = e2.pair AND srt.i = e2.last)
-    SELECT warmup, count(*) AS pairs, max(abs(f.rsi - g.rsi)) AS max_rsi, max(abs(f.natr - g.natr)) AS max_natr, max(abs(f.ema20 - g.ema20)) AS max_ema20 FROM f JOIN g USING (pair) GROUP BY warmup""",
+    cut AS (SELECT rec.pair || '@' || w AS pair, ts, open, high, low, close, volume FROM rec JOIN ends USING (pair), (VALUES (60), (120), (240)) v(w)
+      WHERE i > last - w), {frames.recursive_sql('srt', 'cut', (20,))},
+    f AS (SELECT pair, rsi, natr, ema20 FROM rec JOIN ends USING (pair) WHERE i = last), e2 AS (SELECT pair, max(i) AS last FROM srt GROUP BY pair),
+      g AS (SELECT split_part(srt.pair, '@', 1) AS pair, CAST(split_part(srt.pair, '@', 2) AS INTEGER) AS warmup, rsi, natr, ema20 FROM srt JOIN e2 ON srt.pair = e2.pair
+        AND srt.i = e2.last)
+    SELECT warmup, count(*) AS pairs, max(abs(f.rsi - g.rsi)) AS max_rsi, max(abs(f.natr - g.natr)) AS max_natr, max(abs(f.ema20 - g.ema20)) AS max_ema20 FROM f
+      JOIN g USING (pair) GROUP BY warmup""",
     "max_rsi max_natr max_ema20",
 )
 book.add(
     "study_readout",
     lambda s, d: candidates(s, d).groupBy("pair").agg(*(median(f"{k}{c}").alias(f"{k}{c}_median") for c in (NEAR, FAR) for k in ("", "excess_"))).withColumn("readout", gates.readout(NEAR, FAR)),
     f"""{WITH_NULLS}, m AS (SELECT pair, {', '.join(f'quantile_cont({k}{c}, 0.5) AS {k}{c}_median' for c in (NEAR, FAR) for k in ('', 'excess_'))} FROM cand GROUP BY pair)
-    SELECT *, CASE WHEN {NEAR}_median > 0 AND {FAR}_median > 0 AND excess_{NEAR}_median > 0 AND excess_{FAR}_median > 0 THEN 'raw and excess positive' WHEN {NEAR}_median > 0 AND {FAR}_median > 0 THEN 'raw positive, excess not confirmed' ELSE 'not durable' END AS readout FROM m""",
+    SELECT *, CASE WHEN {NEAR}_median > 0 AND {FAR}_median > 0 AND excess_{NEAR}_median > 0 AND excess_{FAR}_median > 0 THEN 'raw and excess positive'
+      WHEN {NEAR}_median > 0 AND {FAR}_median > 0 THEN 'raw positive, excess not confirmed' ELSE 'not durable' END AS readout FROM m""",
     " ".join(f"{k}{c}_median" for c in (NEAR, FAR) for k in ("", "excess_")),
 )
 
@@ -57,6 +66,7 @@ book.add(
     "mean_hit_long",
     lambda s, d: rows.own(events.mean_hit(events.mean_hit(frames.rolling(s, d), 3), 12)).where("price_z < -1").groupBy("pair").agg(*(F.avg(F.col(f"mean_hit_{h}").cast("double")).alias(f"hit_{h}") for h in (3, 12))),
     f"""WITH {EVENT_CTES}, h AS (SELECT *, {', '.join(f"CASE WHEN count(close) OVER w{k} = {k} AND bb_mid IS NOT NULL THEN CASE WHEN bb_mid >= close THEN max(high) OVER w{k} >= bb_mid ELSE min(low) OVER w{k} <= bb_mid END END AS h{k}" for k in (3, 12))} FROM fwd
-    WINDOW w3 AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), w12 AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING)) SELECT pair, avg(CAST(h3 AS DOUBLE)) AS hit_3, avg(CAST(h12 AS DOUBLE)) AS hit_12 FROM h WHERE price_z < -1 GROUP BY pair""",
+    WINDOW w3 AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), w12 AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING
+      AND 12 FOLLOWING)) SELECT pair, avg(CAST(h3 AS DOUBLE)) AS hit_3, avg(CAST(h12 AS DOUBLE)) AS hit_12 FROM h WHERE price_z < -1 GROUP BY pair""",
     "hit_3 hit_12",
 )

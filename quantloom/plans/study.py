@@ -63,7 +63,8 @@ book.add(
     lambda s, d: out(calendar(indicators.quantile_bucket(indicators.slope(source.bars_day(s, d), "close", "change", ("pair",)), "change", "vol_bucket")), "vol_bucket", "year", "month", "quarter"),
     f"""WITH {frames.TICKS}, x AS (SELECT *, (close - lag(close) OVER v) / nullif(lag(close) OVER v, 0) AS change FROM bars WINDOW v AS (PARTITION BY pair ORDER BY ts)),
     y AS (SELECT *, row_number() OVER (PARTITION BY pair, change IS NOT NULL ORDER BY change, ts) AS r, count(*) OVER (PARTITION BY pair, change IS NOT NULL) AS n FROM x)
-    SELECT pair, {TS} AS ts, CAST(CASE WHEN change IS NULL THEN -1 WHEN n = 1 THEN 0 ELSE greatest(ceil((r - 1) * least(n, 5) / (n - 1)), 1) - 1 END AS INTEGER) AS vol_bucket,
+    SELECT pair, {TS} AS ts, CAST(CASE WHEN change IS NULL THEN -1 WHEN n = 1 THEN 0 ELSE greatest(ceil((r - 1) * least(n, 5) / (n - 1)),
+      1) - 1 END AS INTEGER) AS vol_bucket,
     strftime(ts, '%Y') AS year, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y') || 'Q' || quarter(ts) AS quarter FROM y""",
 )
 book.add(
@@ -104,8 +105,10 @@ book.add(
 book.add(
     "delayed_confirm",
     lambda s, d: out(rows.own(signals.delayed_confirm(frames.features(s, d), P.but(adx_max=60.0, slope_cap=1.0, rsi_long=50.0))).where("enter_long = 1"), "enter_tag"),
-    f"""{WITH}, lagged AS (SELECT *, lag(coalesce(volume > 0 AND active_pair AND weak_trend_regime AND NOT breakout_block_long AND close < bb_lower AND rsi < 50.0 AND price_z < -{P.price_z}, false)) OVER v AS flushed, lag(rsi) OVER v AS r1, lag(price_z) OVER v AS z1 FROM feat WINDOW v AS (PARTITION BY pair ORDER BY ts))
-    SELECT pair, {TS} AS ts, 'delayed_confirm_long' AS enter_tag FROM lagged WHERE flushed AND volume > 0 AND close > open AND close > c1 AND close > bb_lower AND close < bb_mid AND rsi > r1 AND price_z > z1""",
+    f"""{WITH}, lagged AS (SELECT *, lag(coalesce(volume > 0 AND active_pair AND weak_trend_regime AND NOT breakout_block_long AND close < bb_lower AND rsi < 50.0
+      AND price_z < -{P.price_z}, false)) OVER v AS flushed, lag(rsi) OVER v AS r1, lag(price_z) OVER v AS z1 FROM feat WINDOW v AS (PARTITION BY pair ORDER BY ts))
+    SELECT pair, {TS} AS ts, 'delayed_confirm_long' AS enter_tag FROM lagged WHERE flushed AND volume > 0 AND close > open AND close > c1 AND close > bb_lower
+      AND close < bb_mid AND rsi > r1 AND price_z > z1""",
 )
 EXIT_INPUTS = ("close", "bb_mid", "ema20", "vwap", "price_z", "rsi")
 
@@ -119,8 +122,10 @@ VWAP = f"(SELECT * REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in EXIT_INP
 book.add(
     "exit_signals",
     lambda s, d: out(signals.exit_signals(nine_places(indicators.session_vwap(rows.own(frames.features(s, d)))), P), "exit_long", "exit_short", "exit_tag"),
-    f"""{WITH}, x AS (SELECT *, coalesce(close >= bb_mid, false) OR coalesce(close >= ema20, false) OR coalesce(close >= vwap, false) OR coalesce(price_z > {P.exit_z_long}, false) OR coalesce(rsi > {P.exit_rsi_long}, false) AS lh,
-      coalesce(close <= bb_mid, false) OR coalesce(close <= ema20, false) OR coalesce(close <= vwap, false) OR coalesce(price_z < {P.exit_z_short}, false) OR coalesce(rsi < {P.exit_rsi_short}, false) AS sh FROM {VWAP}),
+    f"""{WITH}, x AS (SELECT *, coalesce(close >= bb_mid, false) OR coalesce(close >= ema20, false) OR coalesce(close >= vwap, false) OR coalesce(price_z > {P.exit_z_long},
+      false) OR coalesce(rsi > {P.exit_rsi_long}, false) AS lh,
+      coalesce(close <= bb_mid, false) OR coalesce(close <= ema20, false) OR coalesce(close <= vwap, false) OR coalesce(price_z < {P.exit_z_short},
+        false) OR coalesce(rsi < {P.exit_rsi_short}, false) AS sh FROM {VWAP}),
     y AS (SELECT *, CASE WHEN lh THEN 'mean_hit' WHEN trend_expand_against_long THEN 'trend_expand' WHEN NOT active_pair THEN 'vol_decay' ELSE '' END AS lr,
       CASE WHEN sh THEN 'mean_hit' WHEN trend_expand_against_short THEN 'trend_expand' WHEN NOT active_pair THEN 'vol_decay' ELSE '' END AS sr FROM x)
     SELECT pair, {TS} AS ts, CAST(lr <> '' AS INTEGER) AS exit_long, CAST(sr <> '' AS INTEGER) AS exit_short, CASE WHEN sr <> '' THEN sr ELSE lr END AS exit_tag FROM y""",
@@ -161,7 +166,8 @@ book.add(
     "rebound_events",
     lambda s, d: out(rows.own(signals.rebound_events(frames.features(s, d).withColumn("flush", signals.flush_mask(LOOSE)))), "confirm_delay", "confirm_price", "next_open", "missed_move"),
     f"""{WITH}, u AS (SELECT *, coalesce(close > open AND close > bb_lower, false) AS bounce FROM feat),
-    l AS (SELECT *, lead(open, 1) OVER v AS next_open, CASE WHEN lead(bounce, 1) OVER v THEN 1 WHEN lead(bounce, 2) OVER v THEN 2 WHEN lead(bounce, 3) OVER v THEN 3 END AS confirm_delay,
+    l AS (SELECT *, lead(open, 1) OVER v AS next_open, CASE WHEN lead(bounce, 1) OVER v THEN 1 WHEN lead(bounce, 2) OVER v THEN 2 WHEN lead(bounce, 3)
+      OVER v THEN 3 END AS confirm_delay,
       lead(open, 2) OVER v AS o2, lead(open, 3) OVER v AS o3, lead(open, 4) OVER v AS o4 FROM u WINDOW v AS (PARTITION BY pair ORDER BY ts)),
     m AS (SELECT *, CASE confirm_delay WHEN 1 THEN o2 WHEN 2 THEN o3 WHEN 3 THEN o4 END AS confirm_price FROM l WHERE {flush_sql(LOOSE)})
     SELECT pair, {TS} AS ts, confirm_delay, confirm_price, next_open, (confirm_price - next_open) / nullif(next_open, 0) AS missed_move FROM m""",
@@ -181,7 +187,8 @@ book.add(
     "event_features",
     lambda s, d: out(rows.own(signals.event_features(frames.features(s, d))).where(signals.flush_mask(LOOSE)), "flush_score", "band_extension", "candle_rebound", "previous_rebound", "rebound_score", "mid_distance"),
     f"""{WITH}, x AS (SELECT *, (close - open) / nullif(open, 0) AS candle_rebound, (close - c1) / nullif(c1, 0) AS previous_rebound FROM feat WHERE {flush_sql(LOOSE)})
-    SELECT pair, {TS} AS ts, greatest(-price_z, 0) AS flush_score, greatest((bb_lower - close) / nullif(close, 0), 0) AS band_extension, candle_rebound, previous_rebound, greatest(candle_rebound, previous_rebound, 0) AS rebound_score, (bb_mid - close) / nullif(close, 0) AS mid_distance FROM x""",
+    SELECT pair, {TS} AS ts, greatest(-price_z, 0) AS flush_score, greatest((bb_lower - close) / nullif(close, 0), 0) AS band_extension, candle_rebound,
+      previous_rebound, greatest(candle_rebound, previous_rebound, 0) AS rebound_score, (bb_mid - close) / nullif(close, 0) AS mid_distance FROM x""",
     "flush_score band_extension candle_rebound previous_rebound rebound_score mid_distance",
 )
 book.add(
@@ -224,7 +231,8 @@ book.add(
 RETURNS = [f"forward_{k}" for k in (1, 3, 6, 12)]
 FORWARD = ", ".join(f"(lead(close, {k + 1}) OVER v - lead(open, 1) OVER v) / nullif(lead(open, 1) OVER v, 0) AS forward_{k}" for k in (1, 3, 6, 12))
 EVENT_CTES = f"""{frames.TICKS}, {frames.rolling_sql()}, fwd AS (SELECT *, lead(open, 1) OVER v AS entry_price, {FORWARD} FROM ind WINDOW v AS (PARTITION BY pair ORDER BY ts)),
-ev AS (SELECT * FROM fwd WHERE price_z < -1.5 AND bb_width > 0.02), brk AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY pair ORDER BY ts) + INTERVAL 5 DAY, true) AS is_cluster_first FROM ev),
+ev AS (SELECT * FROM fwd WHERE price_z < -1.5 AND bb_width > 0.02), brk AS (SELECT *, coalesce(ts > lag(ts) OVER (PARTITION BY pair ORDER BY ts) + INTERVAL 5 DAY,
+      true) AS is_cluster_first FROM ev),
 clu AS (SELECT *, sum(CAST(is_cluster_first AS INTEGER)) OVER (PARTITION BY pair ORDER BY ts) AS cluster_no FROM brk)"""
 
 
@@ -262,9 +270,11 @@ book.add(
     f"WITH {EVENT_CTES} SELECT pair, {TS} AS ts, CASE WHEN count(close) OVER w = 6 AND bb_mid IS NOT NULL THEN CASE WHEN bb_mid >= close THEN max(high) OVER w >= bb_mid ELSE min(low) OVER w <= bb_mid END END AS mean_hit_6 FROM fwd WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)",
 )
 SHORT_RETURNS = [f"ret_{k}" for k in (1, 3, 6, 12, 24)]
-SIDES = f"""{ENTRIES}, nxt AS (SELECT *, {', '.join(f'lead(close, {k}) OVER v AS f{k}' for k in (1, 3, 6, 12, 24))}, max(high) OVER r AS hi, min(low) OVER r AS lo FROM sig WINDOW v AS (PARTITION BY pair ORDER BY ts), r AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 48 FOLLOWING)),
+SIDES = f"""{ENTRIES}, nxt AS (SELECT *, {', '.join(f'lead(close, {k}) OVER v AS f{k}' for k in (1, 3, 6, 12, 24))}, max(high) OVER r AS hi, min(low) OVER r AS lo FROM sig
+      WINDOW v AS (PARTITION BY pair ORDER BY ts), r AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 48 FOLLOWING)),
 sides AS (SELECT *, 'long' AS side, 1 AS sign FROM nxt WHERE is_long UNION ALL SELECT *, 'short', -1 FROM nxt WHERE is_short),
-short_events AS (SELECT pair, ts, side, price_z, rsi, {', '.join(f'sign * (f{k} / close - 1) AS ret_{k}' for k in (1, 3, 6, 12, 24))}, CASE WHEN side = 'long' THEN hi / close - 1 ELSE close / lo - 1 END AS mfe, CASE WHEN side = 'long' THEN lo / close - 1 ELSE close / hi - 1 END AS mae FROM sides)"""
+short_events AS (SELECT pair, ts, side, price_z, rsi, {', '.join(f'sign * (f{k} / close - 1) AS ret_{k}' for k in (1, 3, 6, 12, 24))}, CASE
+      WHEN side = 'long' THEN hi / close - 1 ELSE close / lo - 1 END AS mfe, CASE WHEN side = 'long' THEN lo / close - 1 ELSE close / hi - 1 END AS mae FROM sides)"""
 
 
 def short_events(s, d):

@@ -42,8 +42,10 @@ book.add(
     "validation_matrix",
     lambda s, d: ledger.validation_matrix(windowed(s, d), KEYS, 150).withColumn("anchor", stamp(F.col("anchor"))),
     f"""{X}, m AS ({counted("anchor, strategy", "month")}), p AS ({counted("anchor, strategy", "pair", top=8)}),
-    n AS (SELECT anchor, strategy, count(*) AS trades, count(DISTINCT signature) AS unique_trades, count(DISTINCT pair) AS pairs, sum(profit_abs) AS profit, count(*) FILTER (NOT is_short) AS long_trades, count(*) FILTER (is_short) AS short_trades FROM x GROUP BY ALL)
-    SELECT strftime(anchor, '%Y-%m-%d %H:%M:%S') AS anchor, strategy, trades, unique_trades, pairs, profit, long_trades, short_trades, m.text AS monthly_distribution, p.text AS pair_contribution, trades >= 150 AS usable_sample
+    n AS (SELECT anchor, strategy, count(*) AS trades, count(DISTINCT signature) AS unique_trades, count(DISTINCT pair) AS pairs, sum(profit_abs) AS profit,
+      count(*) FILTER (NOT is_short) AS long_trades, count(*) FILTER (is_short) AS short_trades FROM x GROUP BY ALL)
+    SELECT strftime(anchor, '%Y-%m-%d %H:%M:%S') AS anchor, strategy, trades, unique_trades, pairs, profit, long_trades, short_trades, m.text AS monthly_distribution,
+      p.text AS pair_contribution, trades >= 150 AS usable_sample
     FROM n JOIN m USING (anchor, strategy) JOIN p USING (anchor, strategy)""",
     "profit:2",
 )
@@ -56,10 +58,14 @@ book.add(
 book.add(
     "promotion_windows",
     lambda s, d: ledger.promotion_windows(windowed(s, d), KEYS, CUTOFF, 800),
-    f"""{X}, y AS (SELECT *, CASE WHEN late THEN 'promotion_holdout' ELSE 'candidate_selection_reference' END AS evidence_role, CASE WHEN late THEN strftime(anchor, '%Y-%m-%d %H:%M:%S') ELSE 'selection' END AS "window" FROM x),
-    f AS ({falls('anchor, strategy, evidence_role, "window"', "y")}), g AS (SELECT strategy, evidence_role, "window", max(max_drawdown) AS max_drawdown FROM f GROUP BY ALL), m AS ({counted('strategy, evidence_role, "window"', "month", "y")}),
-    n AS (SELECT strategy, evidence_role, "window", count(DISTINCT anchor) AS windows, count(*) AS trades, count(DISTINCT signature) AS unique_trades, sum(profit_abs) AS profit FROM y GROUP BY ALL)
-    SELECT n.*, g.max_drawdown, m.text AS monthly_distribution, trades >= 800 AS sample_large_enough FROM n JOIN g USING (strategy, evidence_role, "window") JOIN m USING (strategy, evidence_role, "window")""",
+    f"""{X}, y AS (SELECT *, CASE WHEN late THEN 'promotion_holdout' ELSE 'candidate_selection_reference' END AS evidence_role, CASE WHEN late THEN strftime(anchor,
+      '%Y-%m-%d %H:%M:%S') ELSE 'selection' END AS "window" FROM x),
+    f AS ({falls('anchor, strategy, evidence_role, "window"', "y")}), g AS (SELECT strategy, evidence_role, "window", max(max_drawdown) AS max_drawdown FROM f
+      GROUP BY ALL), m AS ({counted('strategy, evidence_role, "window"', "month", "y")}),
+    n AS (SELECT strategy, evidence_role, "window", count(DISTINCT anchor) AS windows, count(*) AS trades, count(DISTINCT signature) AS unique_trades,
+      sum(profit_abs) AS profit FROM y GROUP BY ALL)
+    SELECT n.*, g.max_drawdown, m.text AS monthly_distribution, trades >= 800 AS sample_large_enough FROM n JOIN g USING (strategy, evidence_role, "window")
+      JOIN m USING (strategy, evidence_role, "window")""",
     "profit:1 max_drawdown:0",
 )
 CASES = {"selection_reference": "NOT late", "remove_best_month": "NOT late AND rm > 1", "remove_best_two_months": "NOT late AND rm > 2", "remove_best_anchor_window": "NOT late AND ra > 1", "promotion_holdouts_only": "late"}
@@ -73,9 +79,12 @@ book.add(
     "time_stress",
     stressed,
     f"""{X}, {", ".join(f"r{g[0]} AS (SELECT strategy, {g}, row_number() OVER (PARTITION BY strategy ORDER BY round(sum(profit_abs), 6) DESC, {g}) AS r{g[0]} FROM x WHERE NOT late GROUP BY strategy, {g})" for g in ("month", "anchor"))},
-    y AS (SELECT x.*, rm, ra FROM x LEFT JOIN rm USING (strategy, month) LEFT JOIN ra USING (strategy, anchor)), z AS ({" UNION ALL ".join(f"SELECT '{n}' AS scenario, y.* FROM y WHERE {c}" for n, c in CASES.items())}),
-    zf AS (SELECT * FROM z WHERE NOT late), f AS ({falls("strategy, scenario", "zf")}), n AS (SELECT strategy, scenario, count(*) AS trades, sum(profit_abs) AS profit FROM z GROUP BY ALL)
-    SELECT n.*, coalesce(max_drawdown, 0) AS max_drawdown, CASE WHEN trades <= 0 OR profit <= 0 THEN 'collapses' WHEN trades < 2000 OR profit < 1000000 THEN 'weakens materially' ELSE 'survives' END AS status FROM n LEFT JOIN f USING (strategy, scenario)""",
+    y AS (SELECT x.*, rm, ra FROM x LEFT JOIN rm USING (strategy, month) LEFT JOIN ra USING (strategy, anchor)),
+      z AS ({" UNION ALL ".join(f"SELECT '{n}' AS scenario, y.* FROM y WHERE {c}" for n, c in CASES.items())}),
+    zf AS (SELECT * FROM z WHERE NOT late), f AS ({falls("strategy, scenario", "zf")}), n AS (SELECT strategy, scenario, count(*) AS trades, sum(profit_abs) AS profit
+      FROM z GROUP BY ALL)
+    SELECT n.*, coalesce(max_drawdown, 0) AS max_drawdown, CASE WHEN trades <= 0 OR profit <= 0 THEN 'collapses'
+      WHEN trades < 2000 OR profit < 1000000 THEN 'weakens materially' ELSE 'survives' END AS status FROM n LEFT JOIN f USING (strategy, scenario)""",
     "profit:1 max_drawdown:0",
 )
 FEE, SLIP, BALANCE = 0.0007, 0.0005, 50_000_000.0
@@ -99,10 +108,14 @@ book.add(
     "strict_gate",
     strict,
     f"""{X}, y AS (SELECT *, {STRESS.format(f=FEE, s=SLIP)} AS sp FROM x), f AS ({falls("anchor, strategy", "y")}), e AS (SELECT DISTINCT q.anchor, r.strategy FROM x q, x r),
-    per AS (SELECT anchor, strategy, count(*) AS n, sum(sp) AS p FROM y GROUP BY ALL), w AS (SELECT e.*, n, p, max_drawdown, row_number() OVER (PARTITION BY strategy, n IS NULL ORDER BY anchor DESC) AS back FROM e LEFT JOIN per USING (anchor, strategy) LEFT JOIN f USING (anchor, strategy)),
-    v AS (SELECT strategy, count(*) FILTER (n IS NULL) AS missing_windows, count(*) FILTER (n >= 150) AS usable_windows, count(*) FILTER (n IS NOT NULL AND back <= 2 AND p > 0) AS latest_positive_windows, coalesce(max(max_drawdown), 0) / {BALANCE} * 100 AS max_drawdown_pct FROM w GROUP BY strategy),
-    t AS (SELECT strategy, count(*) AS total_trades, sum(sp) AS stressed_profit, avg(sp) AS avg_stressed_trade, sum(sp) FILTER (sp > 0) / sum(-sp) FILTER (sp < 0) AS profit_factor_stressed FROM y GROUP BY strategy), {SHARES},
-    g AS (SELECT * FROM v JOIN t USING (strategy) JOIN sm USING (strategy) JOIN sp USING (strategy)), h AS (SELECT *, concat_ws(', ', {", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{n}' END" for n, c in CHECKS.items())}) AS failed_checks FROM g)
+    per AS (SELECT anchor, strategy, count(*) AS n, sum(sp) AS p FROM y GROUP BY ALL), w AS (SELECT e.*, n, p, max_drawdown, row_number() OVER (PARTITION BY strategy,
+      n IS NULL ORDER BY anchor DESC) AS back FROM e LEFT JOIN per USING (anchor, strategy) LEFT JOIN f USING (anchor, strategy)),
+    v AS (SELECT strategy, count(*) FILTER (n IS NULL) AS missing_windows, count(*) FILTER (n >= 150) AS usable_windows, count(*) FILTER (n IS NOT NULL AND back <= 2
+      AND p > 0) AS latest_positive_windows, coalesce(max(max_drawdown), 0) / {BALANCE} * 100 AS max_drawdown_pct FROM w GROUP BY strategy),
+    t AS (SELECT strategy, count(*) AS total_trades, sum(sp) AS stressed_profit, avg(sp) AS avg_stressed_trade,
+      sum(sp) FILTER (sp > 0) / sum(-sp) FILTER (sp < 0) AS profit_factor_stressed FROM y GROUP BY strategy), {SHARES},
+    g AS (SELECT * FROM v JOIN t USING (strategy) JOIN sm USING (strategy) JOIN sp USING (strategy)), h AS (SELECT *, concat_ws(', ',
+      {", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{n}' END" for n, c in CHECKS.items())}) AS failed_checks FROM g)
     SELECT *, CASE WHEN failed_checks = '' THEN 'PROMOTE_PENDING_BIAS' ELSE 'PARK' END AS decision FROM h""",
     "max_drawdown_pct stressed_profit:1 avg_stressed_trade:4 profit_factor_stressed max_month_profit_share max_pair_profit_share",
 )
@@ -120,6 +133,8 @@ book.add(
     "stability_verdict",
     lambda s, d: gates.stability(profiles(s, d), "strategy"),
     f"""{T}, q AS ({" UNION ALL ".join(f"SELECT '{n}' AS label, strategy, count(*) AS trades, sum({STRESS.format(f=f, s=p)}) AS profit FROM trades GROUP BY strategy" for n, f, p in CASES_COST)}),
-    b AS (SELECT strategy, trades AS bt, profit AS bp FROM q WHERE label = 'baseline'), n AS (SELECT strategy, count(*) FILTER (label <> 'baseline') AS profiles, count(*) FILTER (label <> 'baseline' AND (profit <= 0 OR trades < greatest(5, floor(bt * 0.6)) OR profit < bp * 0.6)) AS weak_profiles FROM q JOIN b USING (strategy) GROUP BY strategy)
+    b AS (SELECT strategy, trades AS bt, profit AS bp FROM q WHERE label = 'baseline'), n AS (SELECT strategy, count(*) FILTER (label <> 'baseline') AS profiles,
+      count(*) FILTER (label <> 'baseline' AND (profit <= 0 OR trades < greatest(5, floor(bt * 0.6)) OR profit < bp * 0.6)) AS weak_profiles FROM q
+        JOIN b USING (strategy) GROUP BY strategy)
     SELECT *, CASE WHEN profiles = 0 THEN 'insufficient_data' WHEN weak_profiles > 0 THEN 'fragile' ELSE 'stable' END AS verdict FROM n""",
 )
