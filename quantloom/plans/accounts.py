@@ -96,7 +96,7 @@ ledger AS (SELECT strategy, count(*) AS trades, sum(profit_abs) AS profit, count
   sum(profit_abs - notional * 0.002) AS profit_after_20bps, count(*) FILTER (open_date = close_date) AS same_candle,
     sum(profit_abs) FILTER (profit_abs > 0) / sum(-profit_abs) FILTER (profit_abs < 0) AS profit_factor FROM r GROUP BY strategy)"""
 MONEY = "profit:1 validation_profit:1 mean_hours median_hours profit_after_top_1:1 profit_after_top_5:1 profit_after_fee_2x:1 profit_after_20bps:1 profit_after_funding:1 profit_factor"
-book.add("ledger_summary", lambda s, d: ledger.ledger_summary(trades(s, d), ["strategy"], SPLIT), f"{LEDGER} SELECT strategy, {', '.join(SUMMARY)} FROM ledger", MONEY)
+book.add("ledger_summary", lambda s, d: ledger.ledger_summary(written(trades(s, d), "ledger-trades"), ["strategy"], SPLIT), f"{LEDGER} SELECT strategy, {', '.join(SUMMARY)} FROM ledger", MONEY)
 
 
 def gate(s, d):
