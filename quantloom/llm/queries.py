@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quantloom.llm import decontam, exact_dedup, lm_scoring, minhash, mixing, pii, quality, secrets, token_counts, token_output
+from quantloom.llm import bpe_chunks, clusters, decontam, exact_dedup, lm_scoring, minhash, mixing, pii, quality, resampling, secrets, token_counts, token_output
 
 QUERIES = {
     "op1_pseudo_likelihood": lm_scoring.op1_pseudo_likelihood,
@@ -15,8 +15,12 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_secrets": secrets.op10_secrets,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_centroids": clusters.op12_centroids,
+    "op13_chunk_bpe": bpe_chunks.op13_chunk_bpe,
 }
 ORACLES = {
     "op3_source_mix": mixing.OP3_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
+    "op12_centroids": clusters.OP12_SQL,
 }
