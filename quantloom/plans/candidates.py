@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import calendar, flag
 from quantloom.functions.tables import written
-from quantloom.operators import compare, events, gates, nulls, rows, signals, surface
+from quantloom.operators import compare, events, gates, nulls, removals, rows, signals, surface
 from quantloom.plans import frames
 from quantloom.plans.book import Book
 from quantloom.plans.research import DOUBLES, DRAWS, FAR, FORWARD, GAP, METRICS, NEAR, SPLIT, metrics_sql, nulls_sql
@@ -317,3 +317,13 @@ book.add(
     SELECT *, CASE WHEN excess_median > 0 AND validation_median > 0 THEN 'survives' ELSE 'weakens' END AS decision FROM n""",
     "cluster_share excess_median validation_median",
 )
+book.add(
+    "leave_one_pair_out",
+    lambda s, d: removals.leave_one_out_medians(originals(evidence(s, d)[1]), ["component"], "pair", FAR, SPLIT),
+    f"""{LABELLED}, f AS (SELECT * FROM firsts WHERE component LIKE '%:original'), p AS (SELECT DISTINCT component, pair FROM f),
+    n AS (SELECT p.component, p.pair, count(*) FILTER (f.pair <> p.pair) AS clusters, count(*) FILTER (f.pair <> p.pair) / count(*) AS cluster_share,
+      quantile_cont(excess_{FAR}, 0.5) FILTER (f.pair <> p.pair) AS excess_median, quantile_cont({FAR}, 0.5) FILTER (f.pair <> p.pair) AS forward_median,
+      quantile_cont(excess_{FAR}, 0.5) FILTER (f.pair <> p.pair AND ts >= '{SPLIT}') AS validation_median FROM p JOIN f ON f.component = p.component GROUP BY ALL)
+    SELECT *, CASE WHEN excess_median > 0 AND validation_median > 0 THEN 'survives' ELSE 'weakens' END AS decision FROM n""",
+    "cluster_share excess_median forward_median validation_median",
+)

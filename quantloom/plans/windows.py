@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import stamp
 from quantloom.functions.tables import written
-from quantloom.operators import gates, ledger
+from quantloom.operators import gates, ledger, removals
 from quantloom.plans.accounts import STRESS, T, trades
 from quantloom.plans.book import Book
 
@@ -138,3 +138,58 @@ book.add(
         JOIN b USING (strategy) GROUP BY strategy)
     SELECT *, CASE WHEN profiles = 0 THEN 'insufficient_data' WHEN weak_profiles > 0 THEN 'fragile' ELSE 'stable' END AS verdict FROM n""",
 )
+
+
+# --- drawdown after removals
+def cents(df):
+    """Profit in whole cents. Prices have two places and rates two, so no profit lies on the border that is cut at."""
+    return df.withColumn("profit_abs", F.floor(100 * F.col("profit_abs") + 0.503).cast("decimal(18,0)"))
+
+
+def without(df, removed_by):
+    """Trades, profit and drawdown after each removal, against the whole."""
+    df = removals.removal_drawdowns(df, KEYS, removed_by)
+    money = ("profit_after", "drawdown_after", "profit", "max_drawdown")
+    df = df.withColumns({c: F.col(c).cast("double") / 100 for c in money})
+    status = gates.resilience(F.col("profit_after"), F.col("trades_after"), F.col("profit"), F.col("trades"))
+    return df.select("strategy", "removed", "trades_after", "profit_after", "drawdown_after", (F.col("drawdown_after") / F.col("max_drawdown")).alias("drawdown_share"), status.alias("status"))
+
+
+def without_sql(source: str, names: str) -> str:
+    """``source``: trades with p; ``names``: (strategy, removed, r...) and a test ``gone`` of each trade."""
+    w = "PARTITION BY strategy, removed ORDER BY open_date, close_date, pair, p ROWS UNBOUNDED PRECEDING"
+    return f"""c AS (SELECT {source}.strategy, removed, pair, open_date, close_date, p FROM {source} JOIN ({names}) n ON {source}.strategy = n.strategy AND NOT (gone)
+      UNION ALL SELECT strategy, '', pair, open_date, close_date, p FROM {source}),
+    f AS (SELECT strategy, removed, count(*) AS n, sum(p) AS total, abs(min(fall)) AS fall FROM (SELECT *, c - max(c) OVER ({w}) AS fall FROM (SELECT *, sum(p) OVER ({w}) AS c FROM c))
+      GROUP BY ALL),
+    h AS (SELECT k.strategy, k.removed, coalesce(f.n, 0) AS trades_after, coalesce(f.total, 0)::DOUBLE / 100 AS profit_after, coalesce(f.fall, 0)::DOUBLE / 100 AS drawdown_after, b.n AS trades,
+      b.total::DOUBLE / 100 AS profit, b.fall::DOUBLE / 100 AS max_drawdown FROM (SELECT DISTINCT strategy, removed FROM ({names})) k LEFT JOIN f ON k.strategy = f.strategy AND k.removed = f.removed
+      JOIN f b ON b.strategy = k.strategy AND b.removed = '')
+    SELECT strategy, removed, trades_after, profit_after, drawdown_after, drawdown_after / max_drawdown AS drawdown_share, CASE WHEN trades_after <= 0 OR profit_after <= 0 THEN 'collapses'
+      WHEN (CASE WHEN profit > 0 THEN profit_after / profit ELSE 0 END) < 0.5 OR trades_after / trades < 0.6 THEN 'weakens materially' ELSE 'survives' END AS status FROM h"""
+
+
+CENTS = "CAST(floor(100 * profit_abs + 0.503) AS DECIMAL(18, 0)) AS p"
+ROUNDED = "profit_after:2 drawdown_after:2 drawdown_share"
+for group in ("pair", "month"):
+    book.add(
+        f"drawdown_without_{group}",
+        lambda s, d, group=group: without(cents(trades(s, d)), F.array(group)),
+        f"{T}, t AS (SELECT *, {CENTS} FROM trades), {without_sql('t', f'SELECT DISTINCT strategy, {group} AS removed, {group} AS r FROM trades').replace('(gone)', f't.{group} = n.r')}",
+        ROUNDED,
+    )
+book.add(
+    "drawdown_without_anchor",
+    lambda s, d: without(cents(windowed(s, d)), F.array(stamp(F.col("anchor")))),
+    f"{X}, t AS (SELECT * EXCLUDE (anchor), strftime(anchor, '%Y-%m-%d %H:%M:%S') AS anchor, {CENTS} FROM x), "
+    f"{without_sql('t', 'SELECT DISTINCT strategy, anchor AS removed, anchor AS r FROM t').replace('(gone)', 't.anchor = n.r')}",
+    ROUNDED,
+)
+book.add(
+    "drawdown_without_top_pairs",
+    lambda s, d: without(removals.top_labels(cents(trades(s, d)), KEYS, "pair"), F.col("top_labels")),
+    f"""{T}, q AS (SELECT *, {CENTS} FROM trades), g AS (SELECT strategy, pair, row_number() OVER (PARTITION BY strategy ORDER BY sum(p) DESC, pair) AS r FROM q GROUP BY strategy, pair),
+    t AS (SELECT q.*, g.r FROM q JOIN g USING (strategy, pair)),
+    {without_sql('t', "SELECT DISTINCT strategy, 'top_' || k AS removed, k FROM trades, (VALUES (1), (3), (5)) v(k)").replace('(gone)', 't.r <= n.k')}""",
+    ROUNDED,
+)
