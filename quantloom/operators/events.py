@@ -73,14 +73,27 @@ def mean_hit(df: DataFrame, horizon: int, target: str = "bb_mid", keys=KEYS) ->
     return df.withColumn(f"mean_hit_{horizon}", F.when(complete, touched))
 
 
-def cluster_events(events: DataFrame, keys=("pair",), gap: str = "72 hours", ts: str = "ts") -> DataFrame:
-    """Clusters of events no more than ``gap`` apart: cluster_no per key, start, size and whether the event is first."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    fresh = F.coalesce(F.col(ts) > F.lag(ts).over(w) + F.expr(f"INTERVAL {gap}"), F.lit(True))
-    out = events.withColumn("_new", fresh.cast("int")).withColumn("cluster_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    group = Window.partitionBy(*keys, "cluster_no")
-    out = out.withColumns({"cluster_start": F.min(ts).over(group), "cluster_size": F.count("*").over(group)})
-    return out.withColumn("is_cluster_first", F.col("_new") == 1).drop("_new")
+def cluster_events(events: DataFrame, keys=("pair",), gap: str = "72 hours", ts: str = "ts", period: str = "year", sizes: bool = True) -> DataFrame:
+    """Clusters of events no more than ``gap`` apart: cluster_no per key, whether the event is first and, with ``sizes``, the
+    cluster's start and size. Events are put in line inside a ``period``; periods are joined by their first and last events, and
+    numbers, starts and sizes are added up over them, so that no history is ordered as a whole."""
+    part = [*keys, "_part"]
+    w = Window.partitionBy(*part).orderBy(ts)
+    apart = lambda later, earlier: F.col(later) > earlier + F.expr(f"INTERVAL {gap}")
+    out = events.withColumn("_part", F.date_trunc(period, ts)).withColumn("_new", apart(ts, F.lag(ts).over(w)).cast("int"))  # null: the period's first
+    out = out.withColumn("_inner", F.coalesce(F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    ends = out.groupBy(*part).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.max("_inner").alias("_n"))
+    periods = Window.partitionBy(*keys).orderBy("_part")  # a row a period
+    ends = ends.withColumn("_border", F.coalesce(apart("_first", F.lag("_last").over(periods)), F.lit(True)).cast("int"))
+    begun = F.sum(F.col("_n") + F.col("_border")).over(periods.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    out = out.join(ends.select(*part, "_border", begun.alias("_begun")), part)
+    out = out.withColumns({"cluster_no": F.col("_begun") + F.col("_inner"), "is_cluster_first": F.coalesce("_new", "_border") == 1}).drop("_new", "_inner", "_border", "_begun")
+    if sizes:
+        pieces = out.groupBy(*part, "cluster_no").agg(F.min(ts).alias("cluster_start"), F.count("*").alias("cluster_size"))
+        cluster = Window.partitionBy(*keys, "cluster_no")  # a row a period
+        whole = {"cluster_start": F.min("cluster_start").over(cluster), "cluster_size": F.sum("cluster_size").over(cluster)}
+        out = out.join(pieces.withColumns(whole), [*part, "cluster_no"])
+    return out.drop("_part")
 
 
 def share_positive(column: str) -> Column:

@@ -52,6 +52,14 @@ def chunked(indexed: DataFrame, rows: int = CHUNK_ROWS, before: int = 0, after:
     return spread.withColumn("own", F.floor(F.col("bar_idx") / rows) == F.col("chunk"))
 
 
+def sliced(df: DataFrame, at: str, reach: int, width: int) -> DataFrame:
+    """``_slice`` of each row by its number ``at`` and ``_own``; a slice also holds copies of the rows up to ``reach`` before it
+    (_own = false). Range windows over the slice that look back no further are exact."""
+    first, last = F.floor(F.col(at) / width), F.floor((F.col(at) + reach) / width)
+    spread = df.withColumn("_slice", F.explode(F.sequence(first, last)))
+    return spread.withColumn("_own", F.col("_slice") == first)
+
+
 KEYS = ("pair", "chunk")
 
 

@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import flag, safe_div
+from quantloom.functions.tables import written
+from quantloom.operators import chains
 from quantloom.operators.indicators import line
-from quantloom.operators.rows import KEYS
+from quantloom.operators.rows import KEYS, sliced
 
 
 @dataclass(frozen=True)
@@ -232,30 +234,20 @@ def profile_sweep(df: DataFrame, profiles: list[Profile], spark=None) -> DataFra
     return masks_to_rows(df, specs, "profile")
 
 
-def fixed_exit_trades(df: DataFrame, mode: str, hold: int, keys=("pair",)) -> DataFrame:
+def fixed_exit_trades(df: DataFrame, mode: str, hold: int, size: int = chains.SIZE) -> DataFrame:
     """Signals (``enter_long``) to trades: in at the next open, out at the open after the first exit flag or after
-    ``hold`` bars; one open trade per pair. The exit bar is a window; only picking trades that do not overlap
-    is sequential, over signal rows."""
-    import pandas as pd
-
-    w = line(keys)
+    ``hold`` bars; one open trade per pair. ``df``: bars in chunks that hold copies of at least ``hold`` + 1 bars after
+    them. A signal whose exit bar is not there yet makes no trade."""
+    w = line()
     flagged = F.when(exit_mode_flag(mode), F.col("bar_idx"))
     df = df.withColumn("exit_flag_idx", F.min(flagged).over(w.rowsBetween(1, hold)))
-    df = df.withColumns({"entry_idx": F.col("bar_idx") + 1, "entry_price": F.lead("open", 1).over(w)})
+    df = df.withColumns({"entry_idx": F.col("bar_idx") + 1, "entry_price": F.lead("open", 1).over(w)}).where("own")
     exit_idx = F.coalesce(F.col("exit_flag_idx") + 1, F.col("bar_idx") + hold + 1)
-    signals = df.where("enter_long = 1").withColumn("exit_idx", exit_idx).select(*keys, "ts", "bar_idx", "entry_idx", "entry_price", "exit_idx")
-    prices = df.select(*keys, F.col("bar_idx").alias("exit_idx"), F.col("open").alias("exit_price"))
-    signals = signals.join(prices, [*keys, "exit_idx"])
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, free, rows = frame.sort_values("bar_idx"), -1, []
-        for i, (start, stop) in enumerate(zip(frame["entry_idx"], frame["exit_idx"], strict=True)):
-            if start >= free:
-                rows.append(i)
-                free = stop
-        return frame.iloc[rows]
-
-    picked = signals.groupBy(*keys).applyInPandas(pick, signals.schema)
+    signals = df.where("enter_long = 1").withColumn("exit_idx", exit_idx).select("pair", "ts", "bar_idx", "entry_idx", "entry_price", "exit_idx")
+    prices = df.select("pair", F.col("bar_idx").alias("exit_idx"), F.col("open").alias("exit_price"))
+    signals = written(signals.join(prices, ["pair", "exit_idx"]), "exit-signals")
+    spans = signals.select("pair", F.col("bar_idx").alias("at"), (F.col("exit_idx") - 1).alias("free"))
+    picked = signals.join(chains.pick_disjoint(spans, ["pair"], size).withColumnRenamed("at", "bar_idx"), ["pair", "bar_idx"])
     return picked.withColumn("profit_ratio", safe_div(F.col("exit_price") - F.col("entry_price"), F.col("entry_price")))
 
 
@@ -295,23 +287,27 @@ def order_sizing(df: DataFrame, risk: float = 0.005, buffer: float = 1.05, stop_
     )
 
 
-def cooldown_flags(trades: DataFrame, signals: DataFrame, bar_seconds: int, stops: int = 3, stop_bars: int = 24, stop_pause: int = 8, low_trades: int = 2, low_bars: int = 48, low_pause: int = 12) -> DataFrame:
+def cooldown_flags(trades: DataFrame, signals: DataFrame, bar_seconds: int, stops: int = 3, stop_bars: int = 24, stop_pause: int = 8, low_trades: int = 2, low_bars: int = 48, low_pause: int = 12, slice_bars: int = 1000) -> DataFrame:
     """Signals (pair, is_short, ts) with ``blocked``: the side after too many stops anywhere, or the pair's side
-    after recent trades that brought nothing. Trades: pair, is_short, close_date, exit_reason, profit_abs."""
+    after recent trades that brought nothing. Trades: pair, is_short, close_date, exit_reason, profit_abs.
+
+    Counts reach back a fixed time and so do locks, so both are found in slices of ``slice_bars`` that also hold copies of the rows
+    shortly before them: the tasks grow with time, whatever the sides."""
     at = F.col("close_date").cast("timestamp").cast("long")
-    reach = lambda *k, bars: Window.partitionBy(*k).orderBy("at").rangeBetween(-(bars - 1) * bar_seconds, 0)
+    reach = lambda *k, bars: Window.partitionBy(*k, "_slice").orderBy("at").rangeBetween(-(bars - 1) * bar_seconds, 0)
+    cut = lambda df, bars: sliced(df, "at", bars * bar_seconds, max(slice_bars, bars) * bar_seconds)
     closed = trades.withColumn("at", at)
-    stopped = closed.groupBy("is_short", "at").agg(F.count(F.when(F.col("exit_reason") == "stop_loss", 1)).alias("n"), F.sum(F.lit(0)).alias("z"))
-    side = stopped.withColumn("n", F.sum("n").over(reach("is_short", bars=stop_bars))).where(F.col("n") >= stops).select(F.col("is_short"), F.col("at"), (F.col("at") + stop_pause * bar_seconds).alias("until"))
-    low = closed.withColumns({"n": F.count("*").over(reach("pair", "is_short", bars=low_bars)), "p": F.sum("profit_abs").over(reach("pair", "is_short", bars=low_bars))})
-    pair = low.where((F.col("n") >= low_trades) & (F.col("p") <= 0)).select("pair", "is_short", "at", (F.col("at") + low_pause * bar_seconds).alias("until"))
-    # the latest lock at or before the signal decides, as later locks end later
+    stopped = closed.groupBy("is_short", "at").agg(F.count_if(F.col("exit_reason") == "stop_loss").alias("n"))
+    side = cut(stopped, stop_bars).withColumn("n", F.sum("n").over(reach("is_short", bars=stop_bars))).where(F.col("_own") & (F.col("n") >= stops))
+    moments = closed.groupBy("pair", "is_short", "at").agg(F.count("*").alias("n"), F.sum("profit_abs").alias("p"))
+    low = cut(moments, low_bars).withColumns({c: F.sum(c).over(reach("pair", "is_short", bars=low_bars)) for c in ("n", "p")})
+    pair = low.where(F.col("_own") & (F.col("n") >= low_trades) & (F.col("p") <= 0))
     s = signals.withColumn("at", F.col("ts").cast("timestamp").cast("long"))
 
-    def latest(left: DataFrame, locks: DataFrame, keys: list[str], out: str) -> DataFrame:
-        both = left.withColumns({"_side": F.lit(1), "until": F.lit(None).cast("long")}).unionByName(locks.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-        until = F.max("until").over(Window.partitionBy(*keys).orderBy("at", "_side").rowsBetween(Window.unboundedPreceding, 0))
-        return both.withColumn(out, flag(until > F.col("at"))).where("_side = 1").drop("_side", "until")
+    def locked(left: DataFrame, locks: DataFrame, keys: list[str], pause: int, out: str) -> DataFrame:
+        both = left.withColumn("_side", F.lit(1)).unionByName(locks.select(*keys, "at", F.lit(0).alias("_side")), allowMissingColumns=True)
+        recent = Window.partitionBy(*keys, "_slice").orderBy("at").rangeBetween(-pause * bar_seconds + 1, 0)
+        return cut(both, pause).withColumn(out, F.min("_side").over(recent) == 0).where("_own and _side = 1").drop("_side", "_slice", "_own")
 
-    s = latest(latest(s, side, ["is_short"], "side_blocked"), pair, ["pair", "is_short"], "pair_blocked")
+    s = locked(locked(s, side, ["is_short"], stop_pause, "side_blocked"), pair, ["pair", "is_short"], low_pause, "pair_blocked")
     return s.withColumn("blocked", F.col("side_blocked") | F.col("pair_blocked")).drop("at")

@@ -83,7 +83,11 @@ def expand_cells(events: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
 def cell_metrics(rows: DataFrame, keys: list[str], near: str, far: str, gap: str, split: str, least_train: int = 3, least_validation: int = 3) -> DataFrame:
     """Metrics per cell of (cell, event) rows; ``near`` and ``far`` name the two return columns. Shares and positive groups
     by pair and by year come from one pass over both groupings."""
-    rows = written(cluster_events(rows, (*keys, "pair"), gap), "cell-rows")
+    return clustered_metrics(written(cluster_events(rows, (*keys, "pair"), gap, sizes=False), "cell-rows"), keys, near, far, split, least_train, least_validation)
+
+
+def clustered_metrics(rows: DataFrame, keys: list[str], near: str, far: str, split: str, least_train: int = 3, least_validation: int = 3) -> DataFrame:
+    """``cell_metrics`` of rows that know which of them is first in its cluster."""
     first, late = F.col("is_cluster_first"), F.col("ts") >= F.lit(split).cast("timestamp")
     excess = F.col(f"excess_{far}")
     p = lambda c, q: F.percentile(c, F.lit(q))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.functions.columns import stamp
+from quantloom.functions.columns import flag, stamp
 from quantloom.functions.tables import written
 from quantloom.operators import asof, events, gates, indicators, ledger, quality, regime, rows, signals, universe
 from quantloom.plans import frames
@@ -292,20 +292,38 @@ for bucket in ("market_trend", "vol_bucket"):
     )
 
 # --- trades out of signals
-book.add(
-    "fixed_exit_trades",
-    lambda s, d: signals.fixed_exit_trades(rows.own(frames.rolling(s, d)).withColumn("enter_long", (F.col("price_z") < -1.3).cast("int")).withColumn("rsi", F.lit(0.0)), "z0", 10).select("pair", "bar_idx", "exit_idx", "entry_price", "exit_price", "profit_ratio"),
-    f"""WITH RECURSIVE {frames.TICKS}, {frames.rolling_sql()}, x AS (SELECT *, lead(open, 1) OVER v AS entry_price, min(CASE WHEN price_z >= 0 THEN bar_idx END)
-      OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS f FROM ind WINDOW v AS (PARTITION BY pair ORDER BY ts)),
-    g AS (SELECT x.pair, x.bar_idx, x.entry_price, coalesce(x.f + 1, x.bar_idx + 11) AS exit_idx FROM x WHERE price_z < -1.3), e AS (SELECT g.*, y.open AS exit_price
-      FROM g JOIN ind y ON y.pair = g.pair AND y.bar_idx = g.exit_idx),
+HOLD, EXIT_COLUMNS = 10, ["pair", "bar_idx", "exit_idx", "entry_price", "exit_price", "profit_ratio"]
+
+
+def fixed_exits(bars, mode):
+    entered = bars.withColumn("enter_long", flag(F.col("price_z") < -1.3).cast("int"))
+    return signals.fixed_exit_trades(entered, mode, HOLD).select(*EXIT_COLUMNS)
+
+
+def fixed_exits_sql(bars: str, name: str, leaves: str) -> str:
+    """``bars``: CTEs that end with ``name``; ``leaves``: the exit test."""
+    return f"""WITH RECURSIVE {bars}, x AS (SELECT *, lead(open, 1) OVER v AS entry_price, min(CASE WHEN {leaves} THEN bar_idx END)
+      OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND {HOLD} FOLLOWING) AS f FROM {name} WINDOW v AS (PARTITION BY pair ORDER BY ts)),
+    g AS (SELECT x.pair, x.bar_idx, x.entry_price, coalesce(x.f + 1, x.bar_idx + {HOLD + 1}) AS exit_idx FROM x WHERE price_z < -1.3), e AS (SELECT g.*, y.open AS exit_price
+      FROM g JOIN {name} y ON y.pair = g.pair AND y.bar_idx = g.exit_idx),
     nxt AS (SELECT a.pair, a.bar_idx, a.exit_idx, a.entry_price, a.exit_price, (SELECT min(b.bar_idx) FROM e b WHERE b.pair = a.pair
       AND b.bar_idx + 1 >= a.exit_idx) AS follows FROM e a),
     walk AS (SELECT * FROM nxt WHERE (pair, bar_idx) IN (SELECT (pair, min(bar_idx)) FROM e GROUP BY pair) UNION ALL SELECT n.* FROM walk w JOIN nxt n ON n.pair = w.pair
       AND n.bar_idx = w.follows)
-    SELECT pair, bar_idx, exit_idx, entry_price, exit_price, (exit_price - entry_price) / nullif(entry_price, 0) AS profit_ratio FROM walk""",
-    "entry_price exit_price profit_ratio",
-)
+    SELECT pair, bar_idx, exit_idx, entry_price, exit_price, (exit_price - entry_price) / nullif(entry_price, 0) AS profit_ratio FROM walk"""
+
+
+RATES = "entry_price exit_price profit_ratio"
+book.add("fixed_exit_trades", lambda s, d: fixed_exits(frames.rolling(s, d), "z0"), fixed_exits_sql(f"{frames.TICKS}, {frames.rolling_sql()}", "ind", "price_z >= 0"), RATES)
+#: Exit tests on bars with every indicator; rounded, as the test of a level must not hang on the last digits.
+LEAVES = {"z0": "round(price_z, 9) >= 0", "rsi50": "round(rsi, 9) >= 50", "mid": "round(close, 9) >= round(bb_mid, 9)", "time": "false"}
+for mode, leaves in LEAVES.items():
+    book.add(
+        f"fixed_exit_trades_{mode}",
+        lambda s, d, mode=mode: fixed_exits(frames.features(s, d).withColumns({c: F.round(c, 9) for c in ("price_z", "rsi", "close", "bb_mid")}), mode),
+        fixed_exits_sql(frames.features_sql(), "feat", leaves),
+        RATES,
+    )
 
 # --- text and checks
 book.add(

@@ -59,13 +59,17 @@ def labelled(s, d):
     return at_once.unionByName(after, allowMissingColumns=True)
 
 
+def firsts_of(s, d):
+    """Cluster-first events of every component, written."""
+    return written(events.cluster_events(labelled(s, d), ("component", "pair"), GAP, sizes=False).where("is_cluster_first"), "candidate-firsts")
+
+
 def evidence(s, d):
     """Metrics of every component and its cluster-first events, both written."""
-    found = written(labelled(s, d), "candidate-rows")
-    metrics = surface.cell_metrics(found, ["component"], NEAR, FAR, GAP, SPLIT)
+    found = written(events.cluster_events(labelled(s, d), ("component", "pair"), GAP, sizes=False), "candidate-rows")
+    metrics = surface.clustered_metrics(found, ["component"], NEAR, FAR, SPLIT)
     waits = found.groupBy("component").agg(F.percentile("confirm_delay", F.lit(0.5)).alias("confirm_delay_median"), F.percentile("missed_move", F.lit(0.5)).alias("missed_move_median"))
-    firsts = events.cluster_events(found, ("component", "pair"), GAP).where("is_cluster_first")
-    return written(metrics.join(waits, "component"), "candidate-metrics"), written(firsts, "candidate-firsts")
+    return written(metrics.join(waits, "component"), "candidate-metrics"), found.where("is_cluster_first")
 
 
 def drawn(firsts, seed="boot-1"):
@@ -126,7 +130,7 @@ book.add(
 )
 book.add(
     "bootstrap_median",
-    lambda s, d: compare.bootstrap_median_ci(evidence(s, d)[1], ["component"], f"excess_{FAR}", RESAMPLES),
+    lambda s, d: compare.bootstrap_median_ci(firsts_of(s, d), ["component"], f"excess_{FAR}", RESAMPLES),
     f"{BOOT}, n AS (SELECT component, count(excess_{FAR}) AS n, quantile_cont(excess_{FAR}, 0.5) AS median FROM firsts GROUP BY component) SELECT * FROM n LEFT JOIN ci USING (component)",
     "median ci_low ci_high",
 )
@@ -135,7 +139,7 @@ SIDES = {"a": "RFC002:original", "b": "base:close_below_bb_lower"}
 
 def sided(s, d):
     side = F.when(F.col("component") == SIDES["a"], "a").when(F.col("component") == SIDES["b"], "b")
-    return evidence(s, d)[1].withColumn("side", side).where("side is not null")
+    return firsts_of(s, d).withColumn("side", side).where("side is not null")
 
 
 book.add(
@@ -286,7 +290,7 @@ book.add(
 )
 book.add(
     "cost_stress_clusters",
-    lambda s, d: compare.cost_stress_clusters(originals(evidence(s, d)[1]), ["component"], FAR, SPLIT, least=LEAST),
+    lambda s, d: compare.cost_stress_clusters(originals(firsts_of(s, d)), ["component"], FAR, SPLIT, least=LEAST),
     f"""{LABELLED}, n AS (SELECT component, bps AS cost_bps, count(*) AS clusters, quantile_cont({FAR} - bps / 10000.0::DOUBLE, 0.5) AS net_median,
       quantile_cont(excess_{FAR} - bps / 10000.0::DOUBLE, 0.5) AS net_excess_median,
       quantile_cont(CASE WHEN ts >= '{SPLIT}' THEN excess_{FAR} - bps / 10000.0::DOUBLE END, 0.5) AS net_validation_median,
@@ -298,7 +302,7 @@ book.add(
 CONCENTRATED = "RFC002:original"
 book.add(
     "grouped_concentration",
-    lambda s, d: compare.grouped_concentration(evidence(s, d)[1].where(F.col("component") == CONCENTRATED), "year", FAR, 5),
+    lambda s, d: compare.grouped_concentration(firsts_of(s, d).where(F.col("component") == CONCENTRATED), "year", FAR, 5),
     f"""{LABELLED}, n AS (SELECT year, count(*) AS clusters, quantile_cont({FAR}, 0.5) AS median, quantile_cont(excess_{FAR}, 0.5) AS excess_median FROM firsts
       WHERE component = '{CONCENTRATED}' GROUP BY year)
     SELECT *, clusters / sum(clusters) OVER () AS share, CAST(row_number() OVER (ORDER BY clusters DESC, year) AS INTEGER) AS rank FROM n QUALIFY rank <= 5""",
@@ -306,7 +310,7 @@ book.add(
 )
 book.add(
     "removal_concentration",
-    lambda s, d: compare.removal_concentration(originals(evidence(s, d)[1]), ["component"], FAR, SPLIT),
+    lambda s, d: compare.removal_concentration(originals(firsts_of(s, d)), ["component"], FAR, SPLIT),
     f"""{LABELLED}, f AS (SELECT * FROM firsts WHERE component LIKE '%:original'),
       {", ".join(f"r_{g} AS (SELECT component, {g}, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, {g}) AS r FROM f GROUP BY component, {g})" for g in ("pair", "month"))},
     kept AS (SELECT 'remove_top_1_pair' AS analysis, f.*, r > 1 AS keep FROM f JOIN r_pair USING (component, pair)
@@ -319,7 +323,7 @@ book.add(
 )
 book.add(
     "leave_one_pair_out",
-    lambda s, d: removals.leave_one_out_medians(originals(evidence(s, d)[1]), ["component"], "pair", FAR, SPLIT),
+    lambda s, d: removals.leave_one_out_medians(originals(firsts_of(s, d)), ["component"], "pair", FAR, SPLIT),
     f"""{LABELLED}, f AS (SELECT * FROM firsts WHERE component LIKE '%:original'), p AS (SELECT DISTINCT component, pair FROM f),
     n AS (SELECT p.component, p.pair, count(*) FILTER (f.pair <> p.pair) AS clusters, count(*) FILTER (f.pair <> p.pair) / count(*) AS cluster_share,
       quantile_cont(excess_{FAR}, 0.5) FILTER (f.pair <> p.pair) AS excess_median, quantile_cont({FAR}, 0.5) FILTER (f.pair <> p.pair) AS forward_median,
