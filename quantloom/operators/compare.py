@@ -65,11 +65,13 @@ def cost_stress_clusters(firsts: DataFrame, keys: list[str], far: str, split: st
     return out.withColumn("survives_cost", flag((F.col("clusters") >= least) & (F.col("net_excess_median") > 0) & (F.col("net_validation_median") > 0)))
 
 
-def grouped_concentration(firsts: DataFrame, column: str, far: str, n: int = 8) -> DataFrame:
-    """The n largest values of ``column`` by clusters, with share and medians."""
-    groups = firsts.groupBy(column).agg(F.count("*").alias("clusters"), median(far).alias("median"), median(f"excess_{far}").alias("excess_median"))
-    groups = groups.withColumn("share", F.col("clusters") / F.sum("clusters").over(Window.partitionBy()))
-    return groups.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("clusters"), column))).where(F.col("rank") <= n)
+def grouped_concentration(firsts: DataFrame, keys: list[str], columns: tuple, far: str, n: int = 8) -> DataFrame:
+    """Per key the n largest values of each of ``columns`` by clusters, with share and medians; one pass for all columns."""
+    rows = firsts.select(*keys, far, f"excess_{far}", F.inline(F.array(*(F.struct(F.lit(c).alias("grouped_by"), F.col(c).cast("string").alias("value")) for c in columns))))
+    groups = rows.groupBy(*keys, "grouped_by", "value").agg(F.count("*").alias("clusters"), median(far).alias("median"), median(f"excess_{far}").alias("excess_median"))
+    of = Window.partitionBy(*keys, "grouped_by")  # a row a value
+    groups = groups.withColumn("share", F.col("clusters") / F.sum("clusters").over(of))
+    return groups.withColumn("rank", F.row_number().over(of.orderBy(F.desc("clusters"), "value"))).where(F.col("rank") <= n)
 
 
 def removal_concentration(firsts: DataFrame, keys: list[str], far: str, split: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import flag
@@ -182,7 +182,7 @@ SURVIVORS = ("SURVIVES_BASELINES_STRONG", "SURVIVES_BASELINES_WEAK")
 
 
 def recommendations(summary: DataFrame, components: DataFrame) -> DataFrame:
-    """One row per candidate: component decisions as columns, simplifications and the next step."""
+    """One row per candidate: component decisions as columns, simplifications, the next step and why."""
     names = ["original", "no_weak_trend", "no_breakout_block", "z_rsi_only", "rebound_1", "rebound_3"]
     wide = components.groupBy("candidate_id").pivot("component", names).agg(F.first("decision"))
     c = F.col
@@ -197,6 +197,31 @@ def recommendations(summary: DataFrame, components: DataFrame) -> DataFrame:
             (c("original") == "KEEP_IMMEDIATE_FLUSH", "KEEP_ORIGINAL_IMMEDIATE_FLUSH"),
             (c("original") == "INSUFFICIENT_COMPONENT_SAMPLE", "HOLD_FOR_MORE_SAMPLE"),
         ],
-        "REVIEW",
+        "NO_RESEARCH_ADVANCE",
     )
-    return summary.join(wide, "candidate_id", "left").withColumn("simplifications", drop).withColumn("next_step", step)
+    out = summary.join(wide, "candidate_id", "left").withColumn("simplifications", drop).withColumn("next_step", step)
+    return out.withColumn("rationale", F.create_map(*(F.lit(x) for pair in RATIONALE.items() for x in pair))[F.col("next_step")])
+
+
+#: Next steps in the order of the ranking, with the reason that is given for each (fixed values).
+RATIONALE = {
+    "TEST_SIMPLIFIED_IMMEDIATE_FLUSH": "Dropping a filter kept the edge of the immediate flush with at least the same sample.",
+    "KEEP_ORIGINAL_IMMEDIATE_FLUSH": "The immediate flush holds; waiting for a rebound or testing price_z and rsi alone adds nothing.",
+    "RETEST_REBOUND_CONFIRMATION": "A rebound confirmation holds in the component diagnostics.",
+    "HOLD_FOR_MORE_SAMPLE": "The immediate flush has too few clusters in the component diagnostics.",
+    "DO_NOT_ADVANCE_BASELINE_GATE": "The candidate does not hold against its baselines.",
+    "REJECT_COMPONENT_FAILURE": "The immediate flush fails the component diagnostics.",
+    "NO_RESEARCH_ADVANCE": "No component gives a decision to act on.",
+}
+#: Decisions against the baselines in the order of the ranking (fixed values).
+BASELINE_ORDER = ("SURVIVES_BASELINES_STRONG", "SURVIVES_BASELINES_WEAK", "BASELINE_EQUIVALENT", "INSUFFICIENT_BASELINE_COVERAGE", "FAILS_BASELINES")
+
+
+def ranked_recommendations(recommended: DataFrame, components: DataFrame) -> DataFrame:
+    """Adds ``rank``: by the decision against baselines, the next step, wins with confidence, then the immediate entry's lower bound, excess
+    and clusters; unknown values and labels come last. A row a candidate."""
+    c = F.col
+    at_once = components.where("component = 'original'").select("candidate_id", *(c(k).alias(f"_{k}") for k in ("ci_low", "excess_far", "clusters")))
+    place = lambda column, names: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), c(column)), F.lit(0)), F.lit(99))
+    order = [place("candidate_decision", BASELINE_ORDER), place("next_step", RATIONALE), F.desc("ci_wins"), F.desc_nulls_last("_ci_low"), F.desc_nulls_last("_excess_far"), F.desc_nulls_last("_clusters"), "candidate_id"]
+    return recommended.join(at_once, "candidate_id", "left").withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_ci_low", "_excess_far", "_clusters")

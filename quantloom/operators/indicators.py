@@ -88,15 +88,16 @@ def quantile_bucket(df: DataFrame, column: str, out: str, q: int = 5, keys=("pai
 
 
 def bucket_three(df: DataFrame, column: str, out: str, keys: tuple = (), order: str = "ts") -> DataFrame:
-    """Terciles low, mid and high by rank; with fewer than three distinct values, high above the median."""
-    known = df.where(F.col(column).isNotNull())
-    ends = known.withColumn("_all", F.lit(1)).groupBy(*keys, "_all").agg(F.min(column).alias("_low"), F.max(column).alias("_high"), F.percentile(column, F.lit(0.5)).alias("_median"))
+    """Terciles low, mid and high by rank; with fewer than three distinct values, high above the median. The median of two
+    values is told by how many rows have the lower one."""
+    known, c = df.where(F.col(column).isNotNull()), F.col(column)
+    ends = known.withColumn("_all", F.lit(1)).groupBy(*keys, "_all").agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
     ranked = value_positions(known, keys, column, order, "_r", "_size").withColumn("_all", F.lit(1))
     ranked = ranked.join(ends, [*keys, "_all"])
-    inner = ranked.where((F.col(column) > F.col("_low")) & (F.col(column) < F.col("_high"))).groupBy(*keys, "_all").agg(F.lit(True).alias("_inner"))
-    ranked = ranked.join(inner, [*keys, "_all"], "left")
+    facts = ranked.groupBy(*keys, "_all").agg(F.bool_or((c > F.col("_low")) & (c < F.col("_high"))).alias("_inner"), F.count_if(c == F.col("_low")).alias("_lows"))
+    ranked = ranked.join(facts, [*keys, "_all"])
     third = F.least(F.floor(F.col("_r") * 3 / F.greatest(F.col("_size") - 1, F.lit(1))), F.lit(2))
     by_rank = F.element_at(F.array(*map(F.lit, ("low", "mid", "high"))), (third + 1).cast("int"))
-    half = F.when(F.col(column) > F.col("_median"), "high").otherwise("low")
-    ranked = ranked.withColumn(out, F.when(flag(F.col("_inner")), by_rank).otherwise(half)).drop("_r", "_size", "_all", "_low", "_high", "_median", "_inner")
+    above = (c > F.col("_low")) & (F.col("_lows") > F.floor((F.col("_size") - 1) / 2))
+    ranked = ranked.withColumn(out, F.when(F.col("_inner"), by_rank).when(above, "high").otherwise("low")).drop("_r", "_size", "_all", "_low", "_high", "_inner", "_lows")
     return ranked.unionByName(df.where(F.col(column).isNull()).withColumn(out, F.lit(None).cast("string")))

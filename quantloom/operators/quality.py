@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators.gates import lookahead
@@ -58,6 +58,17 @@ def hidden_unicode(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(F.col(id_col), F.explode(F.array(*counts)).alias("c")).select(id_col, "c.*").where("n > 0")
 
 
+def hidden_positions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, position, code_point) of every hidden code point and bare carriage return, positions in code points from 0. One split at
+    them gives the lengths between; positions are their running sums, over the hits of a text alone."""
+    t, pattern = F.col(text_col), f"[{''.join(map(chr, HIDDEN))}]|\r(?!\n)"
+    rows = df.where(t.rlike(pattern)).select(id_col, F.monotonically_increasing_id().alias("_row"), F.split(t, pattern, -1).alias("_parts"), F.regexp_extract_all(t, F.lit(pattern), 0).alias("_hits"))
+    found = F.transform("_hits", lambda h, k: F.struct(k.alias("_k"), F.length(F.element_at("_parts", k + 1)).alias("_gap"), F.ascii(h).alias("code_point")))
+    hits = rows.select(id_col, "_row", F.inline(found))
+    before = F.sum("_gap").over(Window.partitionBy("_row").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    return hits.select(id_col, (before + F.col("_k")).alias("position"), "code_point")
+
+
 def line_matches(df: DataFrame, id_col: str, text_col: str, rules: list[tuple[str, str, str]]) -> DataFrame:
     """(id, rule, line_no, allowed) for rules (name, pattern, allowed context): matching lines, numbered from 1."""
     any_rule = "|".join(f"(?:{p})" for _, p, _ in rules)

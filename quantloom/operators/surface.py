@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.columns import flag, median
+from quantloom.functions.columns import flag
 from quantloom.functions.tables import written
+from quantloom.operators import quantiles
 from quantloom.operators.events import cluster_events, share_positive
 
 AXES = ("price_z", "rsi", "vol_z", "bb_width")
@@ -86,33 +87,44 @@ def cell_metrics(rows: DataFrame, keys: list[str], near: str, far: str, gap: str
     return clustered_metrics(written(cluster_events(rows, (*keys, "pair"), gap, sizes=False), "cell-rows"), keys, near, far, split, least_train, least_validation)
 
 
-def clustered_metrics(rows: DataFrame, keys: list[str], near: str, far: str, split: str, least_train: int = 3, least_validation: int = 3) -> DataFrame:
-    """``cell_metrics`` of rows that know which of them is first in its cluster."""
+def clustered_metrics(rows: DataFrame, keys: list[str], near: str, far: str, split: str, least_train: int = 3, least_validation: int = 3, buffered: int = quantiles.BUFFERED_ROWS) -> DataFrame:
+    """``cell_metrics`` of rows that know which of them is first in its cluster. Where a cell has more than ``buffered`` rows, medians
+    and other quantiles are found by ranges of values instead of in one buffer a cell; the results are the same."""
     first, late = F.col("is_cluster_first"), F.col("ts") >= F.lit(split).cast("timestamp")
     excess = F.col(f"excess_{far}")
-    p = lambda c, q: F.percentile(c, F.lit(q))
+    measures = {f"{kind}{c}_median": (F.col(f"{kind}{c}"), 0.5) for c in (near, far) for kind in ("", "null_", "excess_")}
+    measures |= {f"cluster_{kind}{c}_median": (F.when(first, F.col(f"{kind}{c}")), 0.5) for c in (near, far) for kind in ("", "excess_")}
+    measures |= {
+        "cluster_excess_p25": (F.when(first, excess), 0.25),
+        "mfe_median": (F.col("mfe"), 0.5),
+        "mae_median": (F.col("mae"), 0.5),
+        "mae_p10": (F.col("mae"), 0.1),
+        "train_excess_median": (F.when(first & ~late, excess), 0.5),
+        "validation_excess_median": (F.when(first & late, excess), 0.5),
+    }
+    large = quantiles.largest_group(rows, keys) > buffered
+    in_place = lambda found: [] if large else [F.percentile(v, F.lit(q)).alias(name) for name, (v, q) in found.items()]
     main = rows.groupBy(*keys).agg(
         F.count("*").alias("signals"),
         F.count(F.when(first, 1)).alias("clusters"),
-        F.count_distinct("pair").alias("active_pairs"),
-        F.count_distinct("year").alias("active_years"),
-        F.count_distinct("month").alias("active_months"),
-        *(median(f"{kind}{c}").alias(f"{kind}{c}_median") for c in (near, far) for kind in ("", "null_", "excess_")),
-        *(median(F.when(first, F.col(f"{kind}{c}"))).alias(f"cluster_{kind}{c}_median") for c in (near, far) for kind in ("", "excess_")),
-        p(F.when(first, excess), 0.25).alias("cluster_excess_p25"),
-        median("mfe").alias("mfe_median"),
-        median("mae").alias("mae_median"),
-        p("mae", 0.1).alias("mae_p10"),
+        *(F.count_distinct(c).alias(f"active_{c}s") for c in ("pair", "year", "month")),
+        *in_place(measures),
         *(share_positive(c).alias(f"{c}_win_rate") for c in (near, far)),
         F.count(F.when(first & ~late, 1)).alias("train_clusters"),
         F.count(F.when(first & late, 1)).alias("validation_clusters"),
-        median(F.when(first & ~late, excess)).alias("train_excess_median"),
-        median(F.when(first & late, excess)).alias("validation_excess_median"),
     )
+    if large:
+        main = main.join(quantiles.quantiles_by_range(rows, keys, measures), keys)
     ok = lambda side, least: flag((F.col(f"{side}_clusters") >= least) & (F.col(f"{side}_excess_median") > 0))
     main = main.withColumns({"passes_train": ok("train", least_train), "passes_validation": ok("validation", least_validation)})
+    middle = {"_m": (F.when(first, excess), 0.5)}
     groups = rows.groupingSets([[*keys, "pair"], [*keys, "year"]], *keys, "pair", "year")
-    groups = groups.agg(F.grouping("year").alias("_by_pair"), F.count("*").alias("_n"), F.count(F.when(first, 1)).alias("_c"), median(F.when(first, excess)).alias("_m"))
+    groups = groups.agg(F.grouping("year").alias("_by_pair"), F.count("*").alias("_n"), F.count(F.when(first, 1)).alias("_c"), *in_place(middle))
+    if large:
+        found = [quantiles.quantiles_by_range(rows, [*keys, g], middle).withColumn("_by_pair", F.lit(k)) for k, g in ((1, "pair"), (0, "year"))]
+        medians = found[0].unionByName(found[1], allowMissingColumns=True)
+        value = lambda df: F.coalesce(df["pair"], df["year"])
+        groups = groups.withColumn("_g", value(groups)).join(medians.select(*keys, "_by_pair", value(medians).alias("_g"), "_m"), [*keys, "_by_pair", "_g"], "left")
     part = lambda side, value: F.when(F.col("_by_pair") == side, value)
     share = lambda side, n: F.max(part(side, F.col(n))) / F.nullif(F.sum(part(side, F.col(n))), F.lit(0))
     shares = groups.groupBy(*keys).agg(

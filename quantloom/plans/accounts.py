@@ -331,6 +331,14 @@ book.add(
     lambda s, d: quality.hidden_unicode(s.read.parquet(f"{d}/documents.parquet").withColumn("text", F.concat("text", F.when(F.col("doc_id") % 7 == 0, F.lit("​‮\r")).otherwise(""))), "doc_id", "text"),
     "WITH t AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN chr(8203) || chr(8238) || chr(13) ELSE '' END AS text FROM documents), p AS (SELECT unnest([" + ", ".join(map(str, quality.HIDDEN)) + "]) AS code_point), c AS (SELECT doc_id, code_point, length(text) - length(replace(text, chr(code_point), '')) AS n FROM t, p UNION ALL SELECT doc_id, 13, length(replace(text, chr(13) || chr(10), '')) - length(replace(replace(text, chr(13) || chr(10), ''), chr(13), '')) FROM t) SELECT doc_id, CAST(code_point AS INTEGER) AS code_point, CAST(n AS INTEGER) AS n FROM c WHERE n > 0",
 )
+MARKED = "coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN chr(8203) || chr(8238) || chr(13) ELSE '' END"
+book.add(
+    "hidden_positions",
+    lambda s, d: quality.hidden_positions(s.read.parquet(f"{d}/documents.parquet").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 7 == 0, F.lit("\u200b\u202e\r")).otherwise(""))), "doc_id", "text"),
+    f"""WITH t AS (SELECT doc_id, {MARKED} AS text FROM documents), c AS (SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(list_append(string_split(text, '')[2:], '')) AS after,
+      generate_subscripts(string_split(text, ''), 1) - 1 AS position FROM t WHERE text <> '')
+    SELECT doc_id, position, unicode(c) AS code_point FROM c WHERE unicode(c) IN ({", ".join(map(str, quality.HIDDEN))}) OR (c = chr(13) AND after <> chr(10))""",
+)
 RULES = [("shout", "!!", "nothing"), ("table", r"\|", r"^\|"), ("tail", "the$", "of the$")]
 book.add(
     "line_matches",

@@ -228,12 +228,35 @@ recommended AS (SELECT *, CASE WHEN candidate_decision NOT IN ('SURVIVES_BASELIN
   WHEN rebound_1 = 'KEEP_REBOUND_CONFIRMATION' OR rebound_3 = 'KEEP_REBOUND_CONFIRMATION' THEN 'RETEST_REBOUND_CONFIRMATION'
     WHEN simplifications <> '' THEN 'TEST_SIMPLIFIED_IMMEDIATE_FLUSH'
   WHEN original = 'KEEP_IMMEDIATE_FLUSH' THEN 'KEEP_ORIGINAL_IMMEDIATE_FLUSH'
-    WHEN original = 'INSUFFICIENT_COMPONENT_SAMPLE' THEN 'HOLD_FOR_MORE_SAMPLE' ELSE 'REVIEW' END AS next_step FROM dropped)"""
+    WHEN original = 'INSUFFICIENT_COMPONENT_SAMPLE' THEN 'HOLD_FOR_MORE_SAMPLE' ELSE 'NO_RESEARCH_ADVANCE' END AS next_step FROM dropped)"""
 book.add(
     "recommendations",
     lambda s, d: recommended(s, d).select("candidate_id", "candidate_decision", *WIDE, "simplifications", "next_step"),
     f"{RECOMMENDED} SELECT candidate_id, candidate_decision, {', '.join(WIDE)}, simplifications, next_step FROM recommended",
 )
+
+
+def ranked(s, d):
+    """Candidates in the order in which to go on with them, with the reason; the deciding numbers rounded, so that their last digits do not decide."""
+    found = judged(s, d)
+    parts = components(*found).withColumns({c: F.round(c, 9) for c in ("ci_low", "excess_far")})
+    return gates.ranked_recommendations(gates.recommendations(gates.baseline_summary(comparison(s, *found)), parts), parts)
+
+
+def order_sql(column: str, names) -> str:
+    places = " ".join(f"WHEN '{n}' THEN {k}" for k, n in enumerate(names))
+    return f"CASE {column} {places} ELSE 99 END"
+
+
+WHY = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in gates.RATIONALE.items())
+book.add(
+    "ranked_recommendations",
+    lambda s, d: ranked(s, d).select("candidate_id", "candidate_decision", "next_step", "rationale", "rank"),
+    f"""{RECOMMENDED} SELECT candidate_id, candidate_decision, next_step, CASE next_step {WHY} END AS rationale, CAST(row_number() OVER (ORDER BY
+      {order_sql("candidate_decision", gates.BASELINE_ORDER)}, {order_sql("next_step", gates.RATIONALE)}, ci_wins DESC, round(o.ci_low, 9) DESC NULLS LAST, round(o.excess_far, 9) DESC NULLS LAST,
+      o.clusters DESC NULLS LAST, candidate_id) AS INTEGER) AS rank
+    FROM recommended r LEFT JOIN (SELECT candidate_id, ci_low, excess_far, clusters FROM diagnosed WHERE component = 'original') o USING (candidate_id)""",
+)
 STRONG, WEAK, NEAREST = 2, 2, "RFC006"
 GATED = ", ".join(f"('{k}', {str(f.weak_trend).lower()}, {str(f.breakout_block).lower()})" for k, f in CANDIDATES.items())
 
@@ -299,13 +322,13 @@ book.add(
     SELECT *, coalesce(clusters >= {LEAST} AND net_excess_median > 0 AND net_validation_median > 0, false) AS survives_cost FROM n""",
     "net_median net_excess_median net_validation_median net_win_rate",
 )
-CONCENTRATED = "RFC002:original"
+GROUPED = ("pair", "year", "month")
 book.add(
     "grouped_concentration",
-    lambda s, d: compare.grouped_concentration(firsts_of(s, d).where(F.col("component") == CONCENTRATED), "year", FAR, 5),
-    f"""{LABELLED}, n AS (SELECT year, count(*) AS clusters, quantile_cont({FAR}, 0.5) AS median, quantile_cont(excess_{FAR}, 0.5) AS excess_median FROM firsts
-      WHERE component = '{CONCENTRATED}' GROUP BY year)
-    SELECT *, clusters / sum(clusters) OVER () AS share, CAST(row_number() OVER (ORDER BY clusters DESC, year) AS INTEGER) AS rank FROM n QUALIFY rank <= 5""",
+    lambda s, d: compare.grouped_concentration(originals(firsts_of(s, d)), ["component"], GROUPED, FAR, 5),
+    f"""{LABELLED}, n AS ({" UNION ALL ".join(f"SELECT component, '{g}' AS grouped_by, {g} AS value, count(*) AS clusters, quantile_cont({FAR}, 0.5) AS median, quantile_cont(excess_{FAR}, 0.5) AS excess_median FROM firsts WHERE component LIKE '%:original' GROUP BY component, {g}" for g in GROUPED)})
+    SELECT *, clusters / sum(clusters) OVER (PARTITION BY component, grouped_by) AS share, CAST(row_number()
+      OVER (PARTITION BY component, grouped_by ORDER BY clusters DESC, value) AS INTEGER) AS rank FROM n QUALIFY rank <= 5""",
     "median excess_median share",
 )
 book.add(
