@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import stamp
-from quantloom.functions.tables import written
+from quantloom.functions.tables import shared_path, written
 from quantloom.plans import frames
 from quantloom.plans.book import Book
 from quantloom.plans.study import HOURS, TS
@@ -57,16 +58,55 @@ book.add(
 )
 
 
+def hour_bars(s, d):
+    return source.bars_hour(s, d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def hour_stream(s, d):
-    """The hourly bars, written once, as a stream."""
-    bars = written(source.bars_hour(s, d).withColumn("ts", F.col("ts").cast("timestamp")).repartition(1), "hour-bars")  # one file: bars arrive in order
+    """The hourly bars, written once in as many files as there are tasks, as a stream: in no order."""
+    bars = written(hour_bars(s, d).repartition("ts"), "hour-bars")
     return s.readStream.schema(bars.schema).parquet(bars.inputFiles()[0].rpartition("/")[0])
 
 
 STREAMED = ["price_z", "vol_z", "bb_mid", "ema20", "rsi"]
+INDICATED = f"WITH {HOURS}, {frames.rolling_sql('hours')}, {frames.recursive_sql('rec', 'ind', (20,))} SELECT pair, {TS} AS ts, {', '.join(STREAMED)} FROM rec"
+
+
+def indicated(s, stream, name):
+    streams.on_rocks(s)
+    return streams.emitted(stream, name).select("pair", stamp(F.col("ts")).alias("ts"), *STREAMED)
+
+
 book.add(
     "stream_indicators",
-    lambda s, d: streams.emitted(streams.stream_indicators(hour_stream(s, d)), "stream-indicators").select("pair", stamp(F.col("ts")).alias("ts"), *STREAMED),
-    f"WITH {HOURS}, {frames.rolling_sql('hours')}, {frames.recursive_sql('rec', 'ind', (20,))} SELECT pair, {TS} AS ts, {', '.join(STREAMED)} FROM rec",
+    lambda s, d: indicated(s, streams.stream_indicators(hour_stream(s, d)), "stream-indicators"),
+    f"{INDICATED} WHERE ts <= (SELECT max(ts) FROM hours) - INTERVAL 2 HOUR",
     " ".join(STREAMED),
 )
+book.add(
+    "stream_tick_indicators",
+    lambda s, d: indicated(s, streams.stream_indicators(streams.stream_bars(ticks(s, d), closed=True), late=None), "stream-tick-indicators"),
+    f"{INDICATED} WHERE ts + INTERVAL 1 HOUR <= {PASSED} - INTERVAL 2 HOUR",
+    " ".join(STREAMED),
+)
+
+
+def late_bars(s, d):
+    """Bars of even hours, then, when the stream is started again where it stopped, those of odd hours: how many come too late a batch."""
+    streams.on_rocks(s)
+    path, bars = shared_path(s, "late-bars"), hour_bars(s, d)
+    halves = F.hour("ts") % 2
+    return streams.late_rows(
+        s,
+        lambda: streams.stream_indicators(s.readStream.schema(bars.schema).parquet(f"{path}/bars")),
+        [lambda k=k: bars.where(halves == k).write.mode("append").parquet(f"{path}/bars") for k in (0, 1)],
+        path,
+    )
+
+
+book.add(
+    "stream_late_rows",
+    lambda s, d: late_bars(s, d).where("input_rows > 0").select(F.dense_rank().over(Window.orderBy("batch")).cast("long").alias("start"), "input_rows", "late_rows"),
+    f"""WITH {HOURS}, e AS (SELECT CAST(hour(ts) % 2 AS BIGINT) + 1 AS start, ts FROM hours)
+    SELECT start, count(*) AS input_rows, count(*) FILTER (start = 2 AND ts <= (SELECT max(ts) FROM e WHERE start = 1) - INTERVAL 2 HOUR) AS late_rows FROM e GROUP BY start""",
+)

@@ -1,5 +1,6 @@
 """Streams against their batch forms; readers and writers round trip."""
 
+import datetime as dt
 import json
 import zipfile
 
@@ -50,19 +51,73 @@ def test_cooldowns(spark, tmp_path):
     assert any(r.locked for r in rows) and max(r.stops for r in rows) == 4
 
 
-def test_indicators(spark, tmp_path):
-    path = str(tmp_path / "b")
-    bars = source.bars_hour(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
-    half = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
-    bars.where(half).coalesce(1).write.parquet(path)
-    bars.where(~half).coalesce(1).write.mode("append").parquet(path)
-    halves = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(path)  # the state is carried over
-    table = streams.run_available(streams.stream_indicators(halves), "s_ind", str(tmp_path / "c"))
-    got = {(r.pair, r.ts): r.rsi for r in table.collect()}
+def same_as_batch(got, bars):
     batch = recursive.smoothed(bars.withColumn("chunk", F.lit(0)), (20,))
-    full = {(r.pair, r.ts): r.rsi for r in batch.collect()}
-    assert got.keys() == full.keys()
-    assert all((got[k] is None) == (v is None) and (v is None or got[k] == pytest.approx(v)) for k, v in full.items())
+    full = {(r.pair, r.ts): (r.rsi, r.ema20) for r in batch.collect()}
+    assert got and got.keys() <= full.keys()
+    for k, v in got.items():
+        assert all((x is None) == (y is None) and (x is None or x == pytest.approx(y)) for x, y in zip(v, full[k], strict=True)), k
+    return full
+
+
+def indicators_of(df):
+    return {(r.pair, r.ts): (r.rsi, r.ema20) for r in df.collect()}
+
+
+@pytest.fixture(scope="module")
+def hours(spark):
+    streams.on_rocks(spark)
+    return source.bars_hour(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def sentinel(spark, bars):
+    """A bar long after all others, which lets the watermark pass them."""
+    return spark.createDataFrame([("end", 1.0)], "pair string, x double").select("pair", F.lit("2030-01-01").cast("timestamp").alias("ts"), *(F.col("x").alias(c) for c in bars.columns[2:]))
+
+
+def test_indicators_out_of_order_and_over_files(spark, hours, tmp_path):
+    path = str(tmp_path / "b")
+    hours.repartition(5, "volume").write.parquet(path)
+    got = indicators_of(streams.emitted(streams.stream_indicators(stream(spark, path)), "t-ind"))
+    full = same_as_batch(got, hours)
+    last = max(ts for _, ts in full)
+    assert got.keys() == {k for k in full if k[1] <= last - dt.timedelta(hours=2)}
+
+
+def test_indicators_after_a_restart(spark, hours, tmp_path):
+    """Rows come in batches that overlap in time; the stream stops and goes on with its state, waiting rows included."""
+    path, out = str(tmp_path / "b"), str(tmp_path / "o")
+    part = (F.dayofmonth("ts") + F.hour("ts") % 5) / 12
+    for k in (0, 1, 2, 3):
+        rows = hours.where(F.floor(part) == k) if k < 3 else sentinel(spark, hours)
+        rows.write.mode("append").parquet(path)
+        query = streams.stream_indicators(stream(spark, path), "5 days").writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-c").trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = indicators_of(spark.read.parquet(out).where("pair != 'end'"))
+    assert got.keys() == same_as_batch(got, hours).keys()
+
+
+def test_indicators_start_from_a_table(spark, hours, tmp_path):
+    path, border = str(tmp_path / "b"), F.lit("2024-01-20").cast("timestamp")
+    hours.where(F.col("ts") >= border).unionByName(sentinel(spark, hours)).write.parquet(path)
+    states = streams.indicator_states(hours.where(F.col("ts") < border))
+    got = indicators_of(streams.emitted(streams.stream_indicators(stream(spark, path), initial=states), "t-init").where("pair != 'end'"))
+    full = same_as_batch(got, hours)
+    assert got.keys() == {k for k in full if k[1] >= dt.datetime(2024, 1, 20)} and all(v[0] is not None for v in got.values())
+
+
+def test_ticks_to_indicators_in_one_stream(spark, hours, ticks, tmp_path):
+    got = indicators_of(streams.emitted(streams.stream_indicators(streams.stream_bars(stream(spark, ticks), closed=True), late=None), "t-chain"))
+    full = same_as_batch(got, hours)
+    assert len(full) - len(got) < 40
+
+
+def test_late_rows_are_counted(spark, hours, tmp_path):
+    path, last = str(tmp_path / "l"), max(r.ts for r in hours.select("ts").collect())
+    late = spark.createDataFrame([("A", last - dt.timedelta(hours=h), 1.0) for h in (0, 1, 2, 3, 30)], "pair string, ts timestamp, x double").select("pair", "ts", *(F.col("x").alias(c) for c in hours.columns[2:]))
+    arrivals = [lambda rows=rows: rows.write.mode("append").parquet(f"{path}/in") for rows in (hours, late)]
+    found = streams.late_rows(spark, lambda: streams.stream_indicators(spark.readStream.schema(hours.schema).parquet(f"{path}/in")), arrivals, path).where("input_rows > 0")
+    assert [(r.input_rows, r.late_rows) for r in found.orderBy("batch").collect()] == [(hours.count(), 0), (5, 3)]
 
 
 def test_pairs_and_trades(spark, tmp_path):
