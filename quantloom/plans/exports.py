@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import stamp
 from quantloom.functions.tables import shared_path
 from quantloom.operators import ledger, universe
+from quantloom.plans import frames
 from quantloom.plans.accounts import COVER, T, covered, trades
 from quantloom.plans.book import Book
-from quantloom.sources import files
+from quantloom.sources import bar_files, bars, files
 
 book = Book()
 
@@ -27,12 +28,14 @@ book.add("pair_lists", pair_lists, f"{COVER} SELECT pair, count(DISTINCT anchor)
 
 
 def exported(s, d):
-    """Exports of the ledger, one for each strategy, pair and month, as a backtest writes them, flattened again."""
+    """Exports of the ledger, one for each strategy, pair and month, written as a backtest writes them and read back from the files."""
     t = trades(s, d)
     one = F.struct("pair", stamp(F.col("open_date")).alias("open_date"), stamp(F.col("close_date")).alias("close_date"), "is_short", "profit_abs", "amount", "exit_reason")
     texts = t.groupBy("strategy", "pair", "month").agg(F.collect_list(one).alias("trades"))
     value = F.to_json(F.struct(F.create_map("strategy", F.struct("trades")).alias("strategy")))
-    return files.flatten_trades(texts.select(value.alias("value")))
+    path = shared_path(s, "exports")
+    texts.select(value.alias("value")).write.text(path)
+    return files.read_trades(s, path)
 
 
 book.add(
@@ -45,6 +48,26 @@ book.add(
 )
 
 
+NAMED = "upper(regexp_replace(pair, '[^A-Za-z0-9]', '', 'g')) || '/USD:USD'"
+
+
+def bar_file_bars(s, d):
+    """Daily bars written as Feather files and read back: all pairs after the first year, chosen by time and timeframe."""
+    path = shared_path(s, "bar-files")
+    pair = F.concat(F.upper(F.regexp_replace("pair", "[^A-Za-z0-9]", "")), F.lit("/USD:USD"))
+    bar_files.write_bar_files(bars.bars_day(s, d).withColumns({"pair": pair, "ts": F.col("ts").cast("timestamp")}), path, "1d")
+    found = bar_files.read_bar_files(s, path).where((F.col("timeframe") == "1d") & (F.col("ts") >= F.lit("1996-01-01").cast("timestamp")))
+    return found.select("pair", stamp(F.col("ts")).alias("ts"), "open", "high", "low", "close", "volume")
+
+
+book.add(
+    "bar_files",
+    bar_file_bars,
+    f"WITH {frames.TICKS} SELECT {NAMED} AS pair, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, open, high, low, close, volume FROM bars WHERE ts >= '1996-01-01'",
+    "open high low close",
+)
+
+
 def checked_table(s, d):
     """Contributions as a text table, read back with its columns checked and its flag read."""
     path = shared_path(s, "contributions")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import as_bool
+from quantloom.sources import trade_files
 
 TRADE = (
     "struct<pair:string,open_date:string,close_date:string,is_short:boolean,profit_abs:double,profit_ratio:double,amount:double,open_rate:double,close_rate:double,"
@@ -25,32 +26,19 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trades(spark: SparkSession, path: str, strategy: str | None = None) -> DataFrame:
-    """Flat trades out of backtest exports (.json, or .zip with one JSON inside), with signature, month, year and side."""
-    return flatten_trades(_export_texts(spark, path), strategy)
-
-
-def _export_texts(spark: SparkSession, path: str) -> DataFrame:
-    import pyarrow as pa
-
-    def unpack(batches):
-        import io
-        import zipfile
-
-        for batch in batches:
-            texts = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if name.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        content = z.read(next(n for n in sorted(z.namelist()) if n.endswith(".json")))
-                texts.append(content.decode())
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unpack, "value string")
+    """Flat trades out of the backtest exports at a path (.json, .txt, or .zip with one JSON inside), with signature, month, year and
+    side. Files of any size: a task reads its file as a stream."""
+    trade_files.register(spark)
+    return typed_trades(spark.read.format("trade_files").load(path), strategy)
 
 
 def flatten_trades(texts: DataFrame, strategy: str | None = None) -> DataFrame:
+    """The same out of exports that are strings of a table."""
     parsed = texts.select(F.from_json("value", f"struct<strategy:map<string,struct<trades:array<{TRADE}>>>>").alias("j"))
-    rows = parsed.select(F.explode("j.strategy").alias("strategy", "s")).select("strategy", F.explode("s.trades").alias("t")).select("strategy", "t.*")
+    return typed_trades(parsed.select(F.explode("j.strategy").alias("strategy", "s")).select("strategy", F.explode("s.trades").alias("t")).select("strategy", "t.*"), strategy)
+
+
+def typed_trades(rows: DataFrame, strategy: str | None = None) -> DataFrame:
     if strategy:
         rows = rows.where(F.col("strategy") == strategy)
     rows = rows.withColumns({"open_date": F.to_timestamp("open_date"), "close_date": F.to_timestamp("close_date"), "is_short": F.coalesce("is_short", F.lit(False))})
