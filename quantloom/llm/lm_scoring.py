@@ -2,12 +2,14 @@
 
 Every word is predicted from the two words before it and the two after it. The vocabulary is counted over
 the whole corpus: its most frequent words have numbers of their own, all others share hashed ones, so no
-word is dropped. The network (embeddings, one hidden layer, a softmax over word classes and one within the
+word is dropped. A shared number's probability is split over its words by their counts: a word's probability is its number's, times
+the word's share of the number. (KNOWN words have their count at hand; the rarer ones of a number share what is left of it
+alike, so that the shares of a number add up to 1.) The network (embeddings, one hidden layer, a softmax over word classes and one within the
 class) starts at the corpus's word frequencies and is trained in numpy. Documents are dealt to shards of a
 fixed number of words, whatever the partitions of the input; every shard descends on its own windows and the
 parameters are averaged between rounds, weighed by windows. The rounds share out the positions of every
 document, so each word of the corpus is a training target once. A document's score is the sum of the
-log-probabilities of all its words. As the network has seen the document itself, ``n_own`` says how many
+log-probabilities of all its words. A step that leaves the finite numbers ends the job. As the network has seen the document itself, ``n_own`` says how many
 distinct words of it no other document holds: words whose probability nothing else in the corpus supports.
 
 What is moved: one count per distinct word and task, the word numbers once, and one parameter update per
@@ -39,6 +41,8 @@ ROUNDS, BATCH = 2, 2048
 #: Rates of the summed gradients of embeddings and members, and of the mean gradients of what every window touches.
 RATES = {"embed": 0.1, "of_member": 0.1, "hidden": 1.6, "of_class": 6.4}
 SEED = 11
+#: Words with shared numbers whose counts every task holds.
+KNOWN = 1 << 19
 #: Words of a shard, and windows that are shuffled together.
 SHARD_WORDS, MIXED = 2_000_000, 1_000_000
 #: Shards whose updates are added in one step, and parts that an update is cut into.
@@ -73,6 +77,19 @@ def word_counts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return counts.groupBy("word").agg(F.sum("times").alias("times"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+def known_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and times of the words above the lowest level of frequency over which there are at most ``most``."""
+    level = F.floor(16 * F.log2("times"))
+    above, least = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level):  # 16 rows a doubling
+        above += r.n
+        if above > most:
+            break
+        least = r.level
+    rows = counts.where(level >= least if least is not None else F.lit(False)).select("word", "times").toArrow()
+    return rows.column("word").to_numpy().view(np.uint64), rows.column("times").to_numpy()
+
+
 def head(counts: DataFrame, most: int) -> list:
     """The most frequent words of a written table. Heads of FAN partitions at a time are merged, so that no task reads all of them."""
 
@@ -92,20 +109,35 @@ def head(counts: DataFrame, most: int) -> list:
 
 
 class Vocabulary:
-    """Hashes of the most frequent words, most frequent first; how often each word number occurs; and all words."""
+    """Hashes of the most frequent words, most frequent first; how often each word number occurs; all words; and the logarithm of
+    the share that a word has of its shared number."""
 
-    def __init__(self, counts: DataFrame):
+    def __init__(self, counts: DataFrame, known: int = KNOWN):
         rows = head(counts, WORDS - SHARED)
         self.frequent = np.array([r.word for r in rows], np.int64).view(np.uint64)
-        by_number, rare = np.zeros(WORDS, np.int64), np.zeros(SHARED, np.int64)
-        for r in counts.groupBy(F.col("word").bitwiseAND(SHARED - 1).alias("low")).agg(F.sum("times").alias("n")).collect():  # SHARED rows
-            rare[r.low] = r.n
+        by_number, rare, words = np.zeros(WORDS, np.int64), np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
+        for r in counts.groupBy(F.col("word").bitwiseAND(SHARED - 1).alias("low")).agg(F.sum("times").alias("n"), F.count("*").alias("words")).collect():  # SHARED rows
+            rare[r.low], words[r.low] = r.n, r.words
         self.total = int(rare.sum())
         times = np.array([r.times for r in rows], np.int64)
-        np.subtract.at(rare, (self.frequent % np.uint64(SHARED)).astype(np.int64), times)
+        number = (self.frequent % np.uint64(SHARED)).astype(np.int64)
+        np.subtract.at(rare, number, times)
+        np.subtract.at(words, number, 1)
         by_number[: len(times)], by_number[WORDS - SHARED :] = times, rare
         self.counts = np.zeros(WORDS, np.int64)
         self.counts[dealt(np.arange(WORDS))] = by_number
+        hashes, often = known_words(counts, known + WORDS - SHARED)
+        own = ~np.isin(hashes, self.frequent)
+        order = np.argsort(hashes[own])
+        self.known, often = hashes[own][order], often[own][order]
+        number = (self.known % np.uint64(SHARED)).astype(np.int64)
+        whole = np.log(np.maximum(rare, 1))
+        self.known_share = (np.log(often) - whole[number]).astype(np.float32)
+        left, others = rare - np.bincount(number, often, SHARED), words - np.bincount(number, minlength=SHARED)
+        self.other_share = (np.log(np.where(others > 0, left / np.maximum(others, 1), 1.0)) - whole).astype(np.float32)
+
+    def parts(self) -> tuple:
+        return self.frequent, self.known, self.known_share, self.other_share
 
 
 def dealt(number: np.ndarray) -> np.ndarray:
@@ -114,36 +146,49 @@ def dealt(number: np.ndarray) -> np.ndarray:
 
 
 class Numbering:
-    """Word hashes to word numbers."""
+    """Word hashes to word numbers and to the logarithms of the words' shares of them."""
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, known: np.ndarray, known_share: np.ndarray, other_share: np.ndarray):
         order = np.argsort(frequent)
-        self.known, self.number = frequent[order], order.astype(np.int64)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        number = WORDS - SHARED + (hashes % np.uint64(SHARED)).astype(np.int64)
+        self.frequent, self.number = frequent[order], order.astype(np.int64)
+        self.known, self.known_share, self.other_share = known, known_share, other_share
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number, share = np.empty(len(hashes), np.int64), np.zeros(len(hashes), np.float32)
+        rest = np.arange(len(hashes))
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+            held = self.frequent[at] == hashes
+            number[held], rest = self.number[at[held]], np.flatnonzero(~held)
+        rare = hashes[rest]
+        low = (rare % np.uint64(SHARED)).astype(np.int64)
+        number[rest], share[rest] = WORDS - SHARED + low, self.other_share[low]
         if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-            number = np.where(self.known[at] == hashes, self.number[at], number)
-        return dealt(number).astype(np.uint16)
+            at = np.minimum(np.searchsorted(self.known, rare), len(self.known) - 1)
+            held = self.known[at] == rare
+            share[rest[held]] = self.known_share[at[held]]
+        return dealt(number).astype(np.uint16), share
 
 
 def numbered(docs: DataFrame, vocabulary: Vocabulary, id_col="doc_id", text_col="text", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(shard, row, id, handle, words): the word numbers of every text, two bytes each, ordered by shard and row."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary.frequent)
+    """(shard, row, id, handle, words, share): the word numbers of every text, two bytes each, and the sum of the logarithms of its words'
+    shares, ordered by shard and row."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary.parts())
     shards = shard_count(vocabulary, shard_words)
 
     def number(batches):
-        give = Numbering(sent.value)
+        give = Numbering(*sent.value)
         for batch in batches:
             for part in slices(batch, 3):
                 hashes, counts = word_hashes(*text_bytes(part.column(3)))
-                words, ends = give(hashes).tobytes(), np.cumsum(counts) * 2
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([words[a:b] for a, b in zip(ends - counts * 2, ends, strict=True)], pa.binary())], ["row", "id", "handle", "words"])
+                found, share = give(hashes)
+                words, ends = found.tobytes(), np.cumsum(counts) * 2
+                shares = np.bincount(np.repeat(np.arange(len(counts)), counts), share, len(counts)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([words[a:b] for a, b in zip(ends - counts * 2, ends, strict=True)], pa.binary()), pa.array(shares)], ["row", "id", "handle", "words", "share"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), _handle(id_col, text_col), _text(text_col))
-    rows = rows.mapInArrow(number, f"row long, id {docs.schema[id_col].dataType.simpleString()}, handle long, words binary")
-    rows = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), "row", "id", "handle", "words")
+    rows = rows.mapInArrow(number, f"row long, id {docs.schema[id_col].dataType.simpleString()}, handle long, words binary, share double")
+    rows = rows.select(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), "row", "id", "handle", "words", "share")
     return rows.repartition(max(min(shards, 1000), -(-shards // FAN)), "shard").sortWithinPartitions("shard", "row")
 
 
@@ -294,7 +339,9 @@ def train(words: DataFrame, net: dict[str, np.ndarray], shards: int, rounds: int
                     descend(net, target[order], context[order])
                     weight += len(target)
                 update = flat(net) - sent.value
-                if weight and np.isfinite(update).all():
+                if not np.isfinite(update).all():
+                    raise FloatingPointError(f"shard {shard}: descent left the finite numbers; lower RATES")
+                if weight:
                     parts = [p.tobytes() for p in np.array_split(update, BLOCKS)]
                     yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([shard] * BLOCKS, pa.int64()), pa.array([weight] * BLOCKS, pa.int64()), pa.array(parts, pa.binary())], ["block", "shard", "weight", "update"])
 
@@ -311,7 +358,7 @@ def train(words: DataFrame, net: dict[str, np.ndarray], shards: int, rounds: int
 
 
 def score(words: DataFrame, net: dict[str, np.ndarray]) -> DataFrame:
-    """(id, handle, n_words, log_prob) of every row of (id, handle, words)."""
+    """(id, handle, n_words, log_prob) of every row of (id, handle, words, share)."""
     sent = words.sparkSession.sparkContext.broadcast(flat(net))
 
     def score_here(batches):
@@ -323,9 +370,9 @@ def score(words: DataFrame, net: dict[str, np.ndarray]) -> DataFrame:
                 counts = np.array([len(t) // 2 for t in texts], np.int64)
                 p = [log_probabilities(net, *piece).astype(np.float64) for piece in windows(texts)]
                 sums = np.bincount(np.repeat(np.arange(len(texts)), counts), np.concatenate([np.zeros(0), *p]), len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(counts), pa.array(sums.astype(np.float64))], ["id", "handle", "n_words", "log_prob"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(counts), pa.array(sums + part.column(3).to_numpy())], ["id", "handle", "n_words", "log_prob"])
 
-    return words.select("id", "handle", "words").mapInArrow(score_here, f"id {words.schema['id'].dataType.simpleString()}, handle long, n_words long, log_prob double")
+    return words.select("id", "handle", "words", "share").mapInArrow(score_here, f"id {words.schema['id'].dataType.simpleString()}, handle long, n_words long, log_prob double")
 
 
 def pseudo_likelihood(docs: DataFrame, id_col="doc_id", text_col="text", shard_words: int = SHARD_WORDS) -> DataFrame:
