@@ -73,4 +73,6 @@ def span_digest(spans: DataFrame, rules: list[Rule], id_col: str, more: list[Col
     out = spans.groupBy("row").agg(
         F.first("id").alias(id_col), *counts, F.collect_list(F.when(F.col("valid") & is_base, entry)).alias("b"), F.collect_list(F.when(F.col("valid"), entry)).alias("a"), *more
     )
-    return out.withColumn("base_sha256", F.sha2(joined("b").cast("binary"), 256)).withColumn("spans", joined("a")).drop("row", "a", "b")
+    out = out.withColumn("base_sha256", F.sha2(joined("b").cast("binary"), 256)).withColumn("spans", joined("a")).drop("row", "a", "b")
+    first = [id_col, *(f"n_{r.kind}" for r in rules if r.base), "base_sha256", "spans"]
+    return out.select(*first, *(c for c in out.columns if c not in first))
