@@ -40,6 +40,7 @@ SIDE, WIDTH, HIDDEN = 2, 16, 32
 ROUNDS, BATCH = 2, 2048
 #: Rates of the summed gradients of embeddings and members, and of the mean gradients of what every window touches.
 RATES = {"embed": 0.1, "of_member": 0.1, "hidden": 1.6, "of_class": 6.4}
+LONGEST_STEP = np.float32(1)
 SEED = 11
 #: Words with shared numbers whose counts every task holds.
 KNOWN = 1 << 19
@@ -265,12 +266,15 @@ def log_probabilities(net: dict, target: np.ndarray, context: np.ndarray) -> np.
     for a in range(0, len(target), 2 * BATCH):
         order, _, _, group, member, outer, inner, _ = _by_class(net, target[a : a + 2 * BATCH], context[a : a + 2 * BATCH])
         at = np.arange(len(order))
+        for outputs in (outer, inner):
+            outputs -= outputs.max(axis=1)[:, None]
         out[a + order] = outer[at, group] - np.log(np.exp(outer) @ _ONES[:CLASSES]) + inner[at, member] - np.log(np.exp(inner) @ _ONES[:MEMBERS])
     return out
 
 
 def _missed(outputs: np.ndarray, truth: np.ndarray) -> np.ndarray:
     """Softmax less the truth, in place."""
+    outputs -= outputs.max(axis=1)[:, None]
     np.exp(outputs, out=outputs)
     outputs /= (outputs @ _ONES[: outputs.shape[1]])[:, None]
     outputs[np.arange(len(truth)), truth] -= 1
@@ -293,14 +297,22 @@ def gradients(net: dict, target: np.ndarray, context: np.ndarray) -> dict[str, n
     return out
 
 
+def clipped(step: np.ndarray, axis) -> np.ndarray:
+    """``step``, shortened where its length along ``axis`` is over LONGEST_STEP."""
+    length = np.sqrt((step * step).sum(axis=axis, keepdims=True))
+    return step * (LONGEST_STEP / np.maximum(length, LONGEST_STEP))
+
+
 def descend(net: dict, target: np.ndarray, context: np.ndarray) -> None:
     """One pass of minibatch gradient descent over the windows, in place. What every window touches takes
     the mean gradient; a member or an embedding takes the sum over the few windows that hold it. A last
-    batch of fewer windows takes a step that is shorter in proportion."""
+    batch of fewer windows takes a step that is shorter in proportion. No word's step, and no layer's, is longer than
+    LONGEST_STEP, however often a text repeats the word."""
     for a in range(0, len(target), BATCH):
         found = gradients(net, target[a : a + BATCH], context[a : a + BATCH])
         for k, rate in RATES.items():
-            net[k] -= np.float32(rate / (1 if k in ("embed", "of_member") else BATCH)) * found[k]
+            step = np.float32(rate / (1 if k in ("embed", "of_member") else BATCH)) * found[k]
+            net[k] -= clipped(step, {"embed": 1, "of_member": 1}.get(k))
 
 
 def shards_of(batches):

@@ -128,6 +128,19 @@ def test_order_of_words_counts(spark, held_out, share, gain):
     assert mean(real) > mean(mixed) + gain and np.mean([real[d][0] > mixed[d][0] for d in real]) > share
 
 
+def test_repeated_words_do_not_break_descent():
+    """Texts of one word, and of words in turns, beside others: every number stays finite and the words become likely."""
+    rng = np.random.default_rng(6)
+    texts = [np.full(60_000, 7, np.uint16).tobytes(), np.tile(np.arange(3, dtype=np.uint16), 30_000).tobytes(), *some_texts(4, [300] * 40)]
+    net = lm.initial(np.ones(lm.WORDS))
+    target, context = every(texts)
+    order = rng.permutation(len(target))
+    for part in (np.arange(len(target)), order):
+        lm.descend(net, target[part], context[part])
+        assert all(np.isfinite(v).all() for v in net.values())
+    assert lm.log_probabilities(net, *every(texts[:1])).mean() > -1 and np.isfinite(lm.log_probabilities(net, target, context)).all()
+
+
 def test_many_shards_learn_too(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     vocabulary, words, net = trained(docs, 4000)  # about 100 shards: two steps of adding
