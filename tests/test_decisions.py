@@ -70,12 +70,13 @@ def test_recommendations(spark):
         "TEST_SIMPLIFIED_IMMEDIATE_FLUSH": ("SURVIVES_BASELINES_WEAK", {"original": "KEEP_IMMEDIATE_FLUSH", "no_weak_trend": "SIMPLIFY_FILTERS", "no_breakout_block": "SIMPLIFY_FILTERS"}),
         "KEEP_ORIGINAL_IMMEDIATE_FLUSH": ("SURVIVES_BASELINES_STRONG", {"original": "KEEP_IMMEDIATE_FLUSH"}),
         "HOLD_FOR_MORE_SAMPLE": ("SURVIVES_BASELINES_STRONG", {"original": "INSUFFICIENT_COMPONENT_SAMPLE"}),
-        "REVIEW": ("SURVIVES_BASELINES_STRONG", {}),
+        "NO_RESEARCH_ADVANCE": ("SURVIVES_BASELINES_STRONG", {}),
     }
     summary = spark.createDataFrame([(k, v) for k, (v, _) in steps.items()], "candidate_id string, candidate_decision string")
     parts = spark.createDataFrame([(k, c, v) for k, (_, p) in steps.items() for c, v in p.items()], "candidate_id string, component string, decision string")
     rows = {r.candidate_id: r for r in gates.recommendations(summary, parts).collect()}
     assert {k: r.next_step for k, r in rows.items()} == {k: k for k in steps}
+    assert {k: r.rationale for k, r in rows.items()} == gates.RATIONALE
     assert rows["TEST_SIMPLIFIED_IMMEDIATE_FLUSH"].simplifications == "DROP_WEAK_TREND_GATE;DROP_BREAKOUT_BLOCK"
 
 
