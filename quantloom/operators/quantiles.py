@@ -16,8 +16,10 @@ from quantloom.functions.tables import written
 BUFFERED_ROWS = 1_000_000
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+def largest_group(df: DataFrame, keys: list[str], enough: int = 0) -> int:
+    """Rows of the largest group of a written table, or of the whole table where that has no more than ``enough``."""
+    rows = df.count()  # from the files' footers
+    return rows if rows <= enough else df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def quantiles_by_range(df: DataFrame, keys: list[str], measures: dict[str, tuple[Column, float]]) -> DataFrame:

@@ -102,7 +102,7 @@ def clustered_metrics(rows: DataFrame, keys: list[str], near: str, far: str, spl
         "train_excess_median": (F.when(first & ~late, excess), 0.5),
         "validation_excess_median": (F.when(first & late, excess), 0.5),
     }
-    large = quantiles.largest_group(rows, keys) > buffered
+    large = quantiles.largest_group(rows, keys, buffered) > buffered
     in_place = lambda found: [] if large else [F.percentile(v, F.lit(q)).alias(name) for name, (v, q) in found.items()]
     main = rows.groupBy(*keys).agg(
         F.count("*").alias("signals"),

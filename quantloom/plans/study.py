@@ -236,17 +236,17 @@ ev AS (SELECT * FROM fwd WHERE price_z < -1.5 AND bb_width > 0.02), brk AS (SELE
 clu AS (SELECT *, sum(CAST(is_cluster_first AS INTEGER)) OVER (PARTITION BY pair ORDER BY ts) AS cluster_no FROM brk)"""
 
 
-def flush_events(s, d):
+def flush_events(s, d, sizes=False):
     """Flush events on daily bars, with forward returns and five-day clusters."""
     df = events.forward_returns(frames.rolling(s, d), (1, 3, 6, 12))
     df = rows.own(df).where("price_z < -1.5 and bb_width > 0.02")
-    return events.cluster_events(df, ("pair",), "5 DAYS")
+    return events.cluster_events(df, ("pair",), "5 DAYS", sizes=sizes)
 
 
 book.add("forward_returns", lambda s, d: out(rows.own(events.forward_returns(frames.rolling(s, d), (1, 3, 6, 12))), "entry_price", *RETURNS), f"WITH {EVENT_CTES} SELECT pair, {TS} AS ts, entry_price, {', '.join(RETURNS)} FROM fwd", "entry_price " + " ".join(RETURNS))
 book.add(
     "cluster_events",
-    lambda s, d: out(flush_events(s, d), "cluster_no", stamp(F.col("cluster_start")).alias("cluster_start"), "cluster_size", "is_cluster_first"),
+    lambda s, d: out(flush_events(s, d, sizes=True), "cluster_no", stamp(F.col("cluster_start")).alias("cluster_start"), "cluster_size", "is_cluster_first"),
     f"WITH {EVENT_CTES} SELECT pair, {TS} AS ts, CAST(cluster_no AS BIGINT) AS cluster_no, strftime(min(ts) OVER c, '%Y-%m-%d %H:%M:%S') AS cluster_start, count(*) OVER c AS cluster_size, is_cluster_first FROM clu WINDOW c AS (PARTITION BY pair, cluster_no)",
 )
 SUMMARY = ", ".join(f"avg({c}) AS {c}_mean, quantile_cont({c}, 0.5) AS {c}_median, avg(CASE WHEN {c} IS NOT NULL THEN CAST({c} > 0 AS DOUBLE) END) AS {c}_win_rate" for c in RETURNS)
