@@ -88,7 +88,7 @@ def test_exports_of_files_and_archives(spark, tmp_path):
 
 
 def test_a_large_export_takes_little_memory(tmp_path):
-    """200 MB in one export, most of it trades, some of it to be stepped over."""
+    """Over 150 MB in one export, most of it trades, some of it to be stepped over."""
     path, n = tmp_path / "big.json", 700_000
     one = json.dumps({"pair": "P/USD:USD", "open_date": "2024-01-31 23:55:00+00:00", "profit_abs": 1.0, "note": "x" * 160})
     with path.open("w") as f:
