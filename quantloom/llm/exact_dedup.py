@@ -4,7 +4,8 @@ Texts are read once and reduced to SHA-256 digests of their white-space-normalis
 marks every digest's slots in a pair of bitmaps ("seen", "seen again"); the bitmaps are merged by
 segment on the executors. Pass two asks the merged "seen again" bitmap: a digest with a slot that was
 seen only once is unique and passes straight through; only the others are grouped by digest. False
-positives cost a little shuffling and change no result.
+positives cost a little shuffling and change no result. More digests than a bitmap of ``MAX_BITS`` serves are first
+written by range of their last bytes, and the ranges pass one after the other, each with its own bitmap.
 
 Defined cases: null text counts as empty; very long texts are hashed whole; rows with equal texts and equal ids keep the first row; a
 null id sorts after every other id; an empty table gives an empty result; other columns are ignored.
@@ -12,17 +13,19 @@ null id sorts after every other id; an empty table gives an empty result; other
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import SPACE, materialize, text_of
+from quantloom.llm.common import SPACE, discard, materialize, scratch_path, text_of
 
 BITS_PER_ROW = 12
 SLOTS = 4
 SEGMENT_BITS = 1 << 17
-#: Bound of the broadcast bitmap (128 MB). Beyond about 90 million rows it only gets fuller: more rows shuffle.
+#: Bound of one range's broadcast bitmap (128 MB, about 90 million digests).
 MAX_BITS = 1 << 30
 FLUSH_ROWS = 1_000_000
 
@@ -118,11 +121,32 @@ def flag_repeated(shas: DataFrame, bits: int, bitmap: np.ndarray) -> DataFrame:
     return shas.mapInArrow(ask, schema + ", maybe boolean")
 
 
+def in_ranges(shas: DataFrame, ranges: int) -> list[DataFrame]:
+    """The digests in ``ranges`` parts by their last 28 bits, equal ones in the same part; slots come from the first 16 bytes. No shuffle:
+    every task writes a file a range."""
+    part = F.conv(F.substring(F.hex("sha"), -7, 7), 16, 10).cast("long") % ranges
+    path = scratch_path(shas.sparkSession, "exact-ranges")
+    shas.withColumn("part", part.cast("int")).write.partitionBy("part").parquet(path)
+    whole = shas.sparkSession.read.parquet(path)
+    return [whole.where(F.col("part") == k).drop("part") for k in range(ranges)]
+
+
+def flagged_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, sha, maybe) of every row; ``maybe`` is false only for digests that occur once."""
+    shas = materialize(digests(docs, id_col, text_col), "exact-digests")
+    rows = shas.count()
+    ranges = -(-rows * BITS_PER_ROW // MAX_BITS) if rows else 1
+    bits = filter_bits(-(-rows // ranges))
+    if ranges == 1:
+        return materialize(flag_repeated(shas, bits, repeated_bitmap(shas, bits)), "exact-flagged")
+    parts = in_ranges(shas, ranges)
+    discard(shas)
+    return reduce(DataFrame.unionByName, [materialize(flag_repeated(p, bits, repeated_bitmap(p, bits)), "exact-flagged") for p in parts])
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256."""
-    shas = materialize(digests(docs, id_col, text_col), "exact-digests")
-    bits = filter_bits(shas.count())
-    flagged = materialize(flag_repeated(shas, bits, repeated_bitmap(shas, bits)), "exact-flagged")
+    flagged = flagged_digests(docs, id_col, text_col)
     maybe = flagged.where("maybe").select("row", "id", "sha")
     order = F.struct(F.col("id").isNull().alias("missing"), F.col("id"), F.col("row"))
     groups = maybe.groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")

@@ -46,6 +46,25 @@ def test_exact_duplicates_small_filter_stays_exact(spark, monkeypatch):
     assert rows.where("group_size = 2").count() == 20_000
 
 
+def test_exact_duplicates_in_ranges(spark, monkeypatch):
+    """A bitmap far too small for all rows: ranges pass one by one, unique digests pass straight through, one text has a third of the rows."""
+    docs = spark.range(90_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'hot', cast(id % 45000 as string)) as text")
+    whole = sorted(map(str, exact_dedup.exact_duplicates(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "MAX_BITS", exact_dedup.SEGMENT_BITS)
+    read, plain = [], exact_dedup.repeated_bitmap
+
+    def counting(shas, bits):
+        read.append((shas.count(), shas.select("sha").distinct().count(), bits))
+        return plain(shas, bits)
+
+    monkeypatch.setattr(exact_dedup, "repeated_bitmap", counting)
+    assert sorted(map(str, exact_dedup.exact_duplicates(docs).collect())) == whole
+    assert len(read) == 9 and sum(n for n, _, _ in read) == 90_000 and sum(n for _, n, _ in read) == 30_001
+    assert all(bits == exact_dedup.SEGMENT_BITS for *_, bits in read)
+    alone = spark.range(60_000).selectExpr("id as doc_id", "cast(id as string) as text")
+    assert exact_dedup.flagged_digests(alone).where("maybe").count() < 6_000
+
+
 def test_exact_duplicates_of_nothing_and_of_clashing_columns(docs):
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
     names = ["row", "id", "sha", "maybe", "g_sha", "n", "keep_id", "kept"]
