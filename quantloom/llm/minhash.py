@@ -10,7 +10,8 @@
    that share a passage, say) is first cut finer, without losing a link: two sets of the wanted similarity always
    share one of the rarest shingles of each, so its members meet again by those. What has its frequent shingles
    in common and no rare one is never compared. Only if more than a block of texts in different components
-   share a rare shingle are they compared block against block; no task holds more than two blocks.
+   share a rare shingle are they compared block against block; no task holds more than two blocks. Groups whose full
+   sets are compared are bounded in bytes of text as well as in members, so that only a single text can exceed the bound.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; very long texts are read
 whole, their sets in pieces; rows with equal sets are linked whatever their ids; null ids sort last; an empty
@@ -38,6 +39,8 @@ PERCENT, QUERY_PERCENT = 80, 85
 BLOCK = 256
 #: Pairs whose full sets are compared in one task's group.
 CELL = 64
+#: Bytes of text that such a group, or a group of a bucket, is meant to hold.
+GROUP_BYTES = 32 << 20
 #: A shingle counts as frequent from so many texts on, and so many frequent shingles are told to the tasks at most.
 FREQUENT, MOST_FREQUENT = 64, 200_000
 
@@ -116,14 +119,14 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def confirm(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (u, v) that are links: signatures first, then full sets. ``nodes``: (node, signature, text).
-    A text u that is in many pairs is sent once for every ``CELL`` of them."""
+    """The pairs (u, v) that are links: signatures first, then full sets. ``nodes``: (node, signature, bytes, text).
+    A text u that is in many pairs is sent once for every ``CELL`` of them, or ``GROUP_BYTES`` of their texts."""
 
     def compare_signatures(batches):
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for k in (2, 3))
-                yield batch.filter(pa.array((a == b).mean(axis=-1) >= agreement(percent))).select([0, 1])
+                yield batch.filter(pa.array((a == b).mean(axis=-1) >= agreement(percent))).select([0, 1, 4, 5])
 
     def compare_sets(first: pa.Table, second: pa.Table) -> pa.Table:
         left, out = {}, []
@@ -136,12 +139,14 @@ def confirm(pairs: DataFrame, nodes: DataFrame, percent: int = PERCENT) -> DataF
                 out += [(u, v) for u, v, x in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), sets, strict=True) if linked(left[u], x, percent)]
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
-    left = nodes.select(F.col("node").alias("u"), F.col("signature").alias("a"))
-    right = nodes.select(F.col("node").alias("v"), F.col("signature").alias("b"))
-    likely = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    likely = materialize(likely.mapInArrow(compare_signatures, "u long, v long"), "near-likely")
-    cells = max(1, likely.count() // CELL)
-    parts = likely.groupBy("u").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    left = nodes.select(F.col("node").alias("u"), F.col("signature").alias("a"), F.col("bytes").alias("u_bytes"))
+    right = nodes.select(F.col("node").alias("v"), F.col("signature").alias("b"), F.col("bytes").alias("v_bytes"))
+    likely = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", "u_bytes", "v_bytes")
+    likely = materialize(likely.mapInArrow(compare_signatures, "u long, v long, u_bytes long, v_bytes long"), "near-likely")
+    load = F.ceil(F.greatest(F.count("*") / CELL, F.sum("v_bytes") / GROUP_BYTES))
+    parts = likely.groupBy("u").agg(load.alias("parts"))
+    whole = likely.agg(F.count("*").alias("n"), F.sum(F.col("u_bytes") + F.col("v_bytes")).alias("bytes")).first()
+    cells = max(1, whole.n // CELL, (whole.bytes or 0) // GROUP_BYTES)
     placed = likely.join(parts, "u").withColumn("cell", F.pmod(F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("parts"))), F.lit(cells)))
     placed = materialize(placed.select("cell", "u", "v"), "near-cells")
     text = nodes.select("node", "text")
@@ -216,7 +221,12 @@ def compared(placed: DataFrame, mixed: DataFrame, nodes: DataFrame, percent: int
 
     alike = rows.join(nodes.select("node", "signature"), "node").groupBy(*key).applyInPandas(involved, "bucket long, p int, q int, node long, component long")
     alike = materialize(alike, "near-alike")
-    links = materialize(alike.join(nodes.select("node", "signature", "text"), "node").groupBy(*key).applyInPandas(compare, "u long, v long"), "near-cross")
+    sized = alike.join(nodes.select("node", "bytes"), "node").groupBy(*key).agg(F.ceil(2 * F.sum("bytes") / GROUP_BYTES).alias("cuts"))
+    cut = alike.join(sized, key).withColumn("cuts", F.when(F.col("cuts") <= 2, 1).otherwise(F.col("cuts")))
+    mine = F.pmod(F.xxhash64("node", F.lit(8)), F.col("cuts"))
+    cut = cut.withColumn("mine", mine).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    cut = cut.select(*key, F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "node", "component")
+    links = materialize(cut.join(nodes.select("node", "signature", "text"), "node").groupBy(*key, "i", "j").applyInPandas(compare, "u long, v long"), "near-cross")
     discard(alike)
     return links
 
@@ -318,7 +328,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", percent:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(*_text_handle(text), text.alias("text")).join(small_side(wanted.select("h1", "h2", "node"), 2_000_000), ["h1", "h2"]).select("node", "text")
     nodes = texts.groupBy("node").agg(F.first("text").alias("text")).join(wanted.select("node", "signature"), "node")
-    nodes = materialize(nodes.select("node", "signature", "text"), "near-members-text")
+    nodes = materialize(nodes.select("node", "signature", F.octet_length("text").cast("long").alias("bytes"), "text"), "near-members-text")
     discard(wanted)
 
     links = confirm(pairs, nodes, percent)

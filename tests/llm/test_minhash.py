@@ -121,6 +121,34 @@ def test_rare_shingles_lose_no_link(spark, monkeypatch, percent):
     assert found == brute(rows, percent)
 
 
+def test_groups_bounded_in_bytes(spark, monkeypatch):
+    """Groups cut by bytes in both comparisons: the same components, and no group of several texts far above the bound."""
+    rows = corpus(21, 12, 40) + [(9001, "w " * 40_000), (9002, " ".join(f"long{k}" for k in range(30_000)))]
+    rows.append((9003, rows[-1][1] + " end"))
+    monkeypatch.setattr(minhash, "GROUP_BYTES", 4_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert found == brute(rows)
+
+
+def test_bucket_of_long_texts_is_cut(spark, monkeypatch):
+    """Sixty texts of 20 KB in one bucket, each in its own component, in groups of at most 128 KB: every link is found."""
+    monkeypatch.setattr(minhash, "GROUP_BYTES", 128 << 10)
+    base = [[f"t{g}w{k}" for k in range(2_500)] for g in range(6)]
+    texts = [" ".join([*base[i % 6][:-1], f"last{i}"]) for i in range(60)]
+    nodes = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    signed = minhash.signatures(nodes).selectExpr("id as node", "signature").join(nodes.selectExpr("doc_id as node", "cast(octet_length(text) as long) as bytes", "text"), "node")
+    placed = nodes.selectExpr("cast(1 as long) as bucket", "doc_id as node", "doc_id as component")
+    mixed = spark.createDataFrame([(1, 60)], "bucket long, size long")
+    links = minhash.compared(placed, mixed, minhash.materialize(signed, "t"), 80).collect()
+    parts = {i: {i} for i in range(60)}
+    for r in links:
+        merged = parts[r.u] | parts[r.v]
+        for x in merged:
+            parts[x] = merged
+    assert {frozenset(p) for p in parts.values()} == {frozenset(range(g, 60, 6)) for g in range(6)}
+
+
 def test_documents_keep_columns_and_one_row_each(spark):
     rows = [(1, "a b c d e f", 5, "x"), (1, "a b c d e f", 5, "x"), (2, "A b c d e f", 6, None), (None, "z z z", 7, "y"), (4, None, 8, "y"), (5, "", 8, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, first long, `row` string")
