@@ -25,8 +25,8 @@ from quantloom.llm.common import materialize, table
 from quantloom.llm.shingles import mix
 
 BITS, WIDTH = 16, 8
-#: Bound of the training sample, in documents and in bytes of text a document may have to be in it.
-MOST, LONGEST = 3000, 40_000
+#: Bound of the training sample, in documents. A document has at most one share for each of the 2 ** BITS buckets, however long it is.
+MOST = 3000
 FOLDS = 5
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE = 8, 32, 0.4
@@ -92,7 +92,7 @@ def counted(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.n
     cuts = np.searchsorted(key >> BITS, np.arange(len(offsets)))
     out = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        out.append(((key[a:b] & ((1 << BITS) - 1)).astype(np.int32), (times[a:b] / max(1, times[a:b].sum())).astype(np.float32)))
+        out.append(((key[a:b] & ((1 << BITS) - 1)).astype(np.uint16), (times[a:b] / max(1, times[a:b].sum())).astype(np.float32)))
     return out
 
 
@@ -137,19 +137,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
     known = known.groupBy(F.col(id_col).alias("known")).agg(F.min(label_col).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("known"), "known").limit(most)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("known"), text.alias("text")).where(F.octet_length("text") <= LONGEST).join(F.broadcast(sample), "known")
+    rows = docs.select(F.col(id_col).alias("known"), text.alias("text")).join(F.broadcast(sample), "known")
     rows = rows.groupBy("known", "y").agg(F.min("text").alias("text"))  # one row an id, however often it repeats
 
     def count(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 found = counted(*text_bytes(part.column(1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([s.astype(np.float16).tobytes() for _, s in found], pa.binary())], ["id", "y", "index", "share"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([i.tobytes() for i, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())], ["id", "y", "index", "share"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     counts = rows.select("known", "text", "y").mapInArrow(count, f"id {id_type}, y int, index binary, share binary")
     found = sorted((r.id, r.y, bytes(r["index"]), bytes(r.share)) for r in materialize(counts, "quality-sample").collect())  # bounded by ``most``
-    return [(np.frombuffer(i, np.int32), np.frombuffer(s, np.float16).astype(np.float32), y) for _, y, i, s in found]
+    return [(np.frombuffer(i, np.uint16).astype(np.int32), np.frombuffer(s, np.float32), y) for _, y, i, s in found]
 
 
 def fold(id_column):

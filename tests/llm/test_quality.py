@@ -105,6 +105,16 @@ def test_training_against_plain_loops(monkeypatch):
     assert np.allclose(weights, vectors @ (output[:, 1] - output[:, 0]), atol=2e-3)
 
 
+def test_long_labelled_texts_are_learned_from(spark):
+    known = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:40]
+    long = {i: ("calm quiet prose " if i % 2 else "cash now win ") * 40_000 + f"{i}" for i in known[:6]}
+    docs = spark.createDataFrame([(i, long.get(i, "calm quiet prose" if i % 2 else "cash now win")) for i in known], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in known], "doc_id long, quality int")
+    rows = quality.training_rows(docs, labels)
+    assert len(rows) == len(known) and all(abs(share.sum() - 1) < 1e-3 for _, share, _ in rows)
+    assert all(r.predicted == r.doc_id % 2 for r in quality.quality_scores(docs, labels).collect())
+
+
 def test_a_labelled_id_on_many_rows_is_learned_from_once(spark):
     known = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
     docs = spark.createDataFrame([(known, f"text {i % 7}") for i in range(500)] + [(None, "text")], "doc_id long, text string")
