@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import flag
 from quantloom.operators.asof import asof_join
-from quantloom.operators.ledger import max_drawdown
+from quantloom.operators.ledger import match_trades, max_drawdown
 
 
 def breadth(df: DataFrame, flags: list[str], ts: str = "ts") -> DataFrame:
@@ -38,6 +38,32 @@ def signal_quality(rows: DataFrame, label: str, column: str) -> DataFrame:
     return rows.groupBy(label).agg(F.count("*").alias("rows"), F.count(column).alias("complete"), F.avg(column).alias(f"mean_{column}"), F.avg(F.when(F.col(column).isNotNull(), (F.col(column) > 0).cast("double"))).alias("good_share"))
 
 
+def quality_classes(setups: DataFrame, trades: DataFrame, bar: str, near: str, hit: str, columns: list[str], keys: tuple = ("strategy",)) -> DataFrame:
+    """Per class what prices did afterwards: signals, setups that missed by their last gates, those of them that would have been good
+    (``near`` above 0, or ``hit``), all with keys "ALL", and per key the trades that were really made, with the returns of the signal one
+    ``bar`` before them, profit and win rate. ``setups``: pair, ts, first_failed_gate and the ``columns``; null returns count in rows only."""
+    missed = F.col("first_failed_gate") != "signal"
+    classes = F.array_compact(F.array(F.when(~missed, "raw_signal"), F.when(missed, "near_miss"), F.when(missed & good_outcome(near, hit), "good_near_miss")))
+    values, nothing = [F.col(c).cast("double").alias(c) for c in columns], F.lit(None).cast("double").alias("profit_abs")
+    stacked = setups.select(*(F.lit("ALL").alias(k) for k in keys), F.explode(classes).alias("class"), *values, nothing)
+    signals = setups.where(~missed).select("pair", "ts", *columns)
+    made = match_trades(trades.select("pair", "open_date", "profit_abs", *keys), signals, bar)
+    realized = made.select(*keys, F.lit("realized_trade").alias("class"), *values, F.col("profit_abs").cast("double").alias("profit_abs"))
+    means = [F.avg(c).alias(f"mean_{c}") for c in columns]
+    won = F.avg(F.when(F.col("profit_abs").isNotNull(), (F.col("profit_abs") > 0).cast("double"))).alias("win_rate")
+    return stacked.unionByName(realized).groupBy(*keys, "class").agg(F.count("*").alias("rows"), F.count(columns[0]).alias("complete"), *means, F.sum("profit_abs").alias("profit"), won)
+
+
+def good_outcome(near: str, hit: str) -> Column:
+    return flag(F.col(near) > 0) | flag(F.col(hit))
+
+
+def gate_blockers(setups: DataFrame, near: str, hit: str) -> DataFrame:
+    """Per gate that kept a good setup from being a signal: rows, mean return, and the share that came back to the mean."""
+    blocked = setups.where((F.col("first_failed_gate") != "signal") & good_outcome(near, hit))
+    return blocked.groupBy("first_failed_gate").agg(F.count("*").alias("rows"), F.avg(near).alias(f"mean_{near}"), F.avg(F.col(hit).cast("double")).alias("hit_share"))
+
+
 def market_trend(bars: DataFrame) -> DataFrame:
     """(ts, market_trend) of one market's bars with ema50, ema200 and ema50_slope: up and down need the order and the slope."""
     c = F.col

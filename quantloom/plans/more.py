@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import median, stamp
+from quantloom.functions.tables import written
 from quantloom.operators import events, gates, quality, recursive, regime, rows, signals
 from quantloom.plans import frames
 from quantloom.plans.book import Book
@@ -32,6 +33,53 @@ book.add(
 )
 
 
+AFTER = ["forward_3", "forward_6", "forward_12", "mfe", "mae", "mean_hit_6", "natr", "bb_width", "rsi", "price_z"]
+
+
+def setups(s, d):
+    """Bars where the structural long gates hold, with the gate that failed first and what prices did afterwards."""
+    df = events.mean_hit(events.excursions(events.forward_returns(frames.features(s, d), (3, 6, 12)), 12), 6)
+    return signals.first_failed_gate(rows.own(df), P).select("pair", "ts", "first_failed_gate", *AFTER)
+
+
+def classes(s, d):
+    made = source.trades(s, d, "p_type").where(~F.col("is_short")).withColumn("open_date", F.date_trunc("day", "open_date"))
+    return regime.quality_classes(written(setups(s, d), "setups"), made, "1 DAY", "forward_6", "mean_hit_6", AFTER)
+
+
+SETUPS = f"""{WITH}, o AS (SELECT *, lead(open, 1) OVER v AS entry, {", ".join(f"lead(close, {k + 1}) OVER v AS c{k}" for k in (3, 6, 12))},
+      max(high) OVER far AS hi, min(low) OVER far AS lo, CASE WHEN count(close) OVER six = 6 AND bb_mid IS NOT NULL THEN CASE
+        WHEN bb_mid >= close THEN max(high) OVER six >= bb_mid ELSE min(low) OVER six <= bb_mid END END AS mean_hit_6 FROM feat
+      WINDOW v AS (PARTITION BY pair ORDER BY ts), far AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 2 FOLLOWING AND 13 FOLLOWING),
+        six AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING)),
+    setups AS (SELECT pair, ts, {", ".join(f"(c{k} - entry) / nullif(entry, 0) AS forward_{k}" for k in (3, 6, 12))}, (hi - entry) / nullif(entry, 0) AS mfe,
+      (lo - entry) / nullif(entry, 0) AS mae, CAST(mean_hit_6 AS DOUBLE) AS mean_hit_6, natr, bb_width, rsi, price_z,
+      CASE WHEN NOT coalesce(rsi < {P.rsi_long}, false) THEN 'rsi' WHEN NOT coalesce(price_z < -{P.price_z}, false) THEN 'price_z'
+        WHEN NOT bullish_reversal THEN 'bullish_reversal' ELSE 'signal' END AS first_failed_gate
+      FROM o WHERE volume > 0 AND active_pair AND weak_trend_regime AND NOT breakout_block_long AND close < bb_lower)"""
+GOOD = "first_failed_gate <> 'signal' AND (coalesce(forward_6 > 0, false) OR coalesce(mean_hit_6 = 1, false))"
+book.add(
+    "signal_quality_classes",
+    classes,
+    f"""{SETUPS}, t AS (SELECT p_type AS pair, o_orderpriority AS strategy, date_trunc('day', least(o_orderdate, l_shipdate)) AS open_date,
+      l_extendedprice * (1 - l_discount) - l_quantity * p_retailprice AS profit_abs FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+      WHERE l_returnflag <> 'R'),
+    x AS (SELECT 'ALL' AS strategy, unnest(CASE WHEN first_failed_gate = 'signal' THEN ['raw_signal'] WHEN {GOOD} THEN ['near_miss', 'good_near_miss']
+        ELSE ['near_miss'] END) AS class, {", ".join(AFTER)}, CAST(NULL AS DOUBLE) AS profit_abs FROM setups
+      UNION ALL SELECT strategy, 'realized_trade', {", ".join(f"g.{c}" for c in AFTER)}, profit_abs FROM t
+      LEFT JOIN (FROM setups WHERE first_failed_gate = 'signal') g ON t.pair = g.pair AND t.open_date = g.ts + INTERVAL 1 DAY)
+    SELECT strategy, class, count(*) AS rows, count(forward_3) AS complete, {", ".join(f"avg({c}) AS mean_{c}" for c in AFTER)}, sum(profit_abs) AS profit,
+      avg(CASE WHEN profit_abs IS NOT NULL THEN CAST(profit_abs > 0 AS DOUBLE) END) AS win_rate FROM x GROUP BY strategy, class""",
+    " ".join(f"mean_{c}" for c in AFTER) + " profit:1 win_rate",
+)
+book.add(
+    "good_near_miss_blockers",
+    lambda s, d: regime.gate_blockers(setups(s, d), "forward_6", "mean_hit_6"),
+    f"{SETUPS} SELECT first_failed_gate, count(*) AS rows, avg(forward_6) AS mean_forward_6, avg(mean_hit_6) AS hit_share FROM setups WHERE {GOOD} GROUP BY first_failed_gate",
+    "mean_forward_6 hit_share",
+)
+
+
 def warmups(s, d):
     def compute(bars):
         return recursive.smoothed(bars.withColumn("chunk", F.lit(0)), (20,))
