@@ -12,15 +12,24 @@ from quantloom.operators.gates import lookahead
 #: Invisible and direction-changing code points that are reported (fixed values).
 HIDDEN = (0x00AD, 0x061C, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0x2066, 0x2067, 0x2068, 0x2069, 0xFEFF)
 
+#: Cuts of one causality check; their dates are part of its plan.
+MOST_CUTS = 1_000
 
-def causality_check(bars: DataFrame, cuts: DataFrame, compute: Callable[[DataFrame], DataFrame], entries: list[str], exits: list[str], days: int = 60) -> DataFrame:
+
+def causality_check(bars: DataFrame, cuts: DataFrame, compute: Callable[[DataFrame], DataFrame], entries: list[str], exits: list[str], days: int = 60, margin: str | None = None) -> DataFrame:
     """Recompute entry and exit flags on history that ends at each cut and compare them with the full run.
     ``cuts``: (cut). Per cut, over its last ``days`` days: rows compared, entry signals of the full run, rows whose entries or
-    exits differ, and the decision. A cut's copy of the bars gets its own pair name, so all cuts run in one job."""
+    exits differ, and the decision. A cut's copy of the bars gets its own pair name, so all cuts run in one job. With ``margin`` (an
+    interval) a copy holds only the compared days and the margin before them, so that the rows grow with the cuts, not with cuts
+    times history; it must be as long as ``compute`` looks back, else a shorter memory shows as a difference."""
     flags = [*entries, *exits]
     full = compute(bars).select("pair", "ts", *flags)
-    ends = F.sort_array(F.lit([r.cut for r in cuts.collect()]))  # a few dates
-    copies = bars.withColumn("cut", F.explode(F.filter(ends, lambda c: c >= F.col("ts"))))
+    dates = [r.cut for r in cuts.limit(MOST_CUTS + 1).collect()]
+    if len(dates) > MOST_CUTS:
+        raise ValueError(f"more than {MOST_CUTS} cuts; check them in parts")
+    from_cut = lambda c: c - F.expr(f"INTERVAL {days} DAYS") - F.expr(f"INTERVAL {margin}")
+    held = lambda c: (c >= F.col("ts")) & (F.col("ts") > from_cut(c)) if margin else c >= F.col("ts")
+    copies = bars.withColumn("cut", F.explode(F.filter(F.sort_array(F.lit(dates)), held)))
     short = compute(copies.withColumn("pair", F.concat_ws("@", "pair", F.date_format("cut", "yyyyMMdd"))).drop("cut"))
     short = short.withColumns({"cut": F.to_date(F.substring_index("pair", "@", -1), "yyyyMMdd").cast("timestamp_ntz"), "pair": F.substring_index("pair", "@", 1)})
     short = short.select("pair", "ts", "cut", *(F.col(c).alias(f"short_{c}") for c in flags))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_ROWS = 50_000
+#: Rows of a range of values, and the most ranges of a group.
+PART_ROWS, MOST_PARTS = 100_000, 2_048
 
 
 def bar_index(bars: DataFrame, period: str = "month") -> DataFrame:
@@ -28,14 +30,18 @@ def positions(df: DataFrame, keys: list[str], order: tuple = ("ts",), place: str
     return parts.withColumn(place, at).join(offsets, [*keys, "_part"]).withColumn(place, F.col("_before") + F.col(place)).drop("_part", "_before")
 
 
-def value_positions(df: DataFrame, keys: tuple, column: str, tie: str, place: str = "place", size: str = "size", parts: int = 64) -> DataFrame:
+def value_positions(df: DataFrame, keys: tuple, column: str, tie: str, place: str = "place", size: str = "size", part_rows: int = PART_ROWS) -> DataFrame:
     """The position of each row in its group by (column, tie), from 0, and the group's size. Rows are counted per range
-    between approximate quantiles and ranked inside a range, so that no group is ordered as a whole."""
+    between approximate quantiles and ranked inside a range, so that no group is ordered as a whole. The number of ranges grows with
+    the group, one for ``part_rows`` rows, up to MOST_PARTS. Equal values share a range."""
     whole = [*keys, "_all"]
     df = df.withColumn("_all", F.lit(1))
-    cuts = df.groupBy(*whole).agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 1000).alias("_cuts"))
+    marks = F.percentile_approx(column, [k / MOST_PARTS for k in range(1, MOST_PARTS)], 4 * MOST_PARTS)
+    cuts = df.groupBy(*whole).agg(marks.alias("_cuts"), F.count(column).alias("_n"))
+    step = F.greatest(F.lit(1), F.floor(MOST_PARTS * part_rows / F.greatest("_n", F.lit(1))))
+    cuts = cuts.select(*whole, F.array_distinct(F.filter("_cuts", lambda c, k: (k + 1) % step == 0)).alias("_cuts"))
     df = df.join(F.broadcast(cuts), whole) if not keys else df.join(cuts, whole)
-    df = df.withColumn("_part", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(column)))).drop("_cuts")
+    df = df.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(column)))).drop("_cuts")
     group = Window.partitionBy(*whole)
     before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = df.groupBy(*whole, "_part").agg(F.count("*").alias("_n")).select(*whole, "_part", before.alias("_before"), F.sum("_n").over(group).alias(size))

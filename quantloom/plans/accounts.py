@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import flag, stamp
 from quantloom.functions.tables import written
-from quantloom.operators import asof, events, gates, indicators, ledger, quality, regime, rows, signals, universe
+from quantloom.operators import asof, events, gates, indicators, ledger, quality, recursive, regime, rows, signals, universe
 from quantloom.plans import frames
 from quantloom.plans.book import Book
 from quantloom.plans.study import EVENT_CTES, TS, WITH, P, flush_events, nine_places
@@ -348,6 +348,7 @@ book.add(
 
 
 CUTS = ("1996-01-01", "2000-01-01", 6)
+MARGIN = f"{recursive.WARM_UP} DAYS"
 FLAGS = ["enter_long", "enter_short", "exit_long", "exit_short"]
 
 
@@ -368,7 +369,7 @@ def flagged(ahead):
 
 def causal(s, d):
     bars, cuts = source.bars_day(s, d), universe.anchors(s, *CUTS).withColumnRenamed("anchor", "cut")
-    out = [quality.causality_check(bars, cuts, flagged(ahead), FLAGS[:2], FLAGS[2:]).withColumn("variant", F.lit(name)) for name, ahead in (("as_written", False), ("five_bars_ahead", True))]
+    out = [quality.causality_check(bars, cuts, flagged(ahead), FLAGS[:2], FLAGS[2:], margin=MARGIN).withColumn("variant", F.lit(name)) for name, ahead in (("as_written", False), ("five_bars_ahead", True))]
     return out[0].unionByName(out[1]).withColumn("cut", stamp(F.col("cut")))
 
 

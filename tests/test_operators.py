@@ -8,10 +8,11 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import as_bool, safe_div
-from quantloom.operators import asof, compare, events, gates, indicators, ledger, nulls, quality, recursive, rows, signals, surface, universe
+from quantloom.operators import asof, compare, events, gates, indicators, ledger, nulls, quality, recursive, regime, rows, signals, surface, universe
 from quantloom.plans import frames
 
 SF = "/root/testdata/sf0.001"
@@ -120,6 +121,15 @@ def test_null_draws_keep_the_gap(spark, fields):
     assert {(r.pair, r.ts, r.draw, r["rank"]) for r in shuffled.collect()} == {(r.pair, r.ts, r.draw, r["rank"]) for r in picked.collect()}
 
 
+def test_asof_keeps_rows_without_key_or_time(spark):
+    start = dt.datetime(2024, 1, 1)
+    left = [("a", None, 1), (None, start, 2), (None, start + dt.timedelta(days=70), 3), ("a", start + dt.timedelta(days=400), 4)]
+    right = [("a", start, 10), (None, start, 20), (None, None, 30)]
+    for period in (None, "month", "year"):
+        found = asof.asof_join(spark.createDataFrame(left, "k string, ts timestamp, i int"), spark.createDataFrame(right, "k string, ts timestamp, v int"), "ts", ("k",), ("v",), period=period)
+        assert {(r.i, r.v) for r in found.collect()} == {(1, None), (2, 20), (3, 20), (4, 10)}
+
+
 @pytest.mark.parametrize(("by", "period"), [((), None), ((), "day"), ((), "month"), (("k",), "month"), (("k",), None)])
 def test_asof_against_a_loop(spark, by, period):
     rng = random.Random(4)
@@ -134,8 +144,8 @@ def test_asof_against_a_loop(spark, by, period):
 def test_positions_by_value(spark):
     rng = random.Random(6)
     data = [(rng.choice("ab"), float(rng.randrange(40)), i) for i in range(500)]
-    for keys in ((), ("k",)):
-        got = {r.i: (r.place, r["size"]) for r in rows.value_positions(spark.createDataFrame(data, "k string, v double, i int"), keys, "v", "i", parts=8).collect()}
+    for keys, part_rows in (((), 60), (("k",), 20), (("k",), 1000), ((), 1)):
+        got = {r.i: (r.place, r["size"]) for r in rows.value_positions(spark.createDataFrame(data, "k string, v double, i int"), keys, "v", "i", part_rows=part_rows).collect()}
         for g in ([None] if not keys else "ab"):
             group = sorted((v, i) for k, v, i in data if g is None or k == g)
             assert [got[i] for _, i in group] == [(n, len(group)) for n in range(len(group))]
@@ -212,6 +222,46 @@ def test_order_book_and_sizes(spark):
     assert got[0].imbalance == pytest.approx(1 / 3) and got[0].veto is None and got[1].spread_ratio is None and got[1].veto == "spread"
 
 
+def test_signal_classes_by_hand(spark):
+    day = lambda k: dt.datetime(2024, 1, k)
+    setups = [("a", day(1), "signal", 0.5, True), ("a", day(2), "rsi", 0.1, False), ("a", day(3), "rsi", -0.1, True), ("b", day(1), "price_z", -0.2, False), ("b", day(2), "price_z", None, None), ("b", day(3), "signal", None, False)]
+    trades = [("a", day(2), 4.0, "s"), ("a", day(2), -1.0, "s"), ("a", day(3), 2.0, "s"), ("b", day(4), None, "t")]
+    setups = spark.createDataFrame(setups, "pair string, ts timestamp, first_failed_gate string, ret double, hit boolean")
+    trades = spark.createDataFrame(trades, "pair string, open_date timestamp, profit_abs double, strategy string")
+    found = {(r.strategy, r["class"]): (r.rows, r.complete, r.mean_ret, r.mean_hit, r.profit, r.win_rate) for r in regime.quality_classes(setups, trades, "1 DAY", "ret", "hit", ["ret", "hit"]).collect()}
+    assert found[("ALL", "raw_signal")] == (2, 1, 0.5, 0.5, None, None)
+    assert found[("ALL", "near_miss")][:2] == (4, 3) and found[("ALL", "near_miss")][3] == pytest.approx(1 / 3)
+    assert found[("ALL", "good_near_miss")] == (2, 2, 0.0, 0.5, None, None)
+    assert found[("s", "realized_trade")] == (3, 2, 0.5, 1.0, 5.0, pytest.approx(2 / 3))
+    assert found[("t", "realized_trade")] == (1, 0, None, 0.0, None, None) and len(found) == 5
+    assert [tuple(r) for r in regime.gate_blockers(setups, "ret", "hit").collect()] == [("rsi", 2, 0.0, 0.5)]
+    assert regime.quality_classes(setups.limit(0), trades.limit(0), "1 DAY", "ret", "hit", ["ret", "hit"]).count() == 0
+
+
+def test_causality_on_a_margin(spark):
+    """A mean of ten bars: a margin of ten days gives the whole history's answer and reads days times cuts; a shorter one does not."""
+    rng, start = random.Random(3), dt.datetime(2020, 1, 1)
+    bars = spark.createDataFrame([(p, start + dt.timedelta(days=k), rng.random()) for p in "ab" for k in range(900)], "pair string, ts timestamp_ntz, close double")
+    cuts = spark.createDataFrame([(start + dt.timedelta(days=k),) for k in range(400, 900, 50)], "cut timestamp_ntz")
+    read = []
+
+    def compute(ahead):
+        def run(df):
+            read.append(df.count())
+            w = Window.partitionBy("pair").orderBy("ts").rowsBetween(-9, ahead)
+            return df.select("pair", "ts", (F.avg("close").over(w) < 0.5).cast("int").alias("enter"), F.lit(0).alias("leave"))
+
+        return run
+
+    check = lambda ahead, margin: sorted(map(tuple, quality.causality_check(bars, cuts, compute(ahead), ["enter"], ["leave"], 20, margin).collect()))
+    whole = check(0, None)
+    assert read == [1800, 2 * sum(range(401, 900, 50))] and {r[1] for r in whole} == {40} and {r[-1] for r in whole} == {"LOOKAHEAD_CLEAN"}
+    read.clear()
+    assert check(0, "10 DAYS") == whole and read == [1800, 10 * 2 * 30]
+    assert any(r[3] for r in check(0, "1 DAYS"))
+    assert check(3, "10 DAYS") == check(3, None) and any(r[3] for r in check(3, "10 DAYS"))
+
+
 def test_hidden_unicode_and_lines(spark):
     df = spark.createDataFrame([(1, "a​b​\r\n\r"), (2, "plain\r\n"), (3, None)], "id int, t string")
     assert {(r.id, r.code_point, r.n) for r in quality.hidden_unicode(df, "id", "t").collect()} == {(1, 0x200B, 2), (1, 13, 1)}
