@@ -9,8 +9,11 @@
    only a spanning forest of confirmed links leaves a comparison. A bucket of more than ``BLOCK`` members (texts
    that share a passage, say) is first cut finer, without losing a link: two sets of the wanted similarity always
    share one of the rarest shingles of each, so its members meet again by those. What has its frequent shingles
-   in common and no rare one is never compared. Only if more than a block of texts in different components
-   share a rare shingle are they compared block against block; no task holds more than two blocks. Groups whose full
+   in common and no rare one is never compared. The shorter text of a pair has it among fewer of its shingles than the longer
+   one, so two texts that have it only as the longer one of a pair are not compared. If texts in different components still
+   share a rare shingle in large numbers (texts put together from passages, say), they are cut again, by the shingles that
+   are rare among them, as often as that at least halves the comparisons. Then they are compared block against block; no task
+   holds more than two blocks. Groups whose full
    sets are compared are bounded in bytes of text as well as in members, so that only a single text can exceed the bound.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; very long texts are read
@@ -41,6 +44,8 @@ BLOCK = 256
 CELL = 64
 #: Bytes of text that such a group, or a group of a bucket, is meant to hold.
 GROUP_BYTES = 32 << 20
+#: A bucket of more comparisons than those of a bucket of so many members is cut again.
+CROWD = 16 * BLOCK
 #: A shingle counts as frequent from so many texts on, and so many frequent shingles are told to the tasks at most.
 FREQUENT, MOST_FREQUENT = 64, 200_000
 
@@ -189,11 +194,26 @@ def mixed_buckets(placed: DataFrame) -> DataFrame:
     return materialize(mixed.select("bucket", "size"), "near-mixed")
 
 
-def strangers(signs: np.ndarray, component: np.ndarray, percent: int) -> np.ndarray:
-    """Which members have a member of another component with a signature like theirs."""
+def merged(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (bucket, node, component, short) of the buckets that lie in several components, one bucket for each set of members,
+    and (bucket, size, shorts). A member is short if it is so in any bucket of those members; buckets without one are left out."""
+    fingerprint = F.xxhash64("node")
+    groups = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"), F.sum(F.shiftright(fingerprint, 20)).alias("f1"), F.bit_xor(fingerprint).alias("f2")).where("a <> b")
+    groups = materialize(groups.drop("a", "b"), "near-groups")
+    first = groups.groupBy("size", "f1", "f2").agg(F.min("bucket").alias("first"))
+    one = materialize(groups.join(first, ["size", "f1", "f2"]).select("bucket", "first"), "near-same")
+    rows = placed.join(one, "bucket").groupBy(F.col("first").alias("bucket"), "node", "component").agg(F.max("short").alias("short"))
+    rows = materialize(rows, "near-merged")
+    sizes = materialize(rows.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("short").alias("shorts")).where("shorts > 0"), "near-sizes")
+    discard(groups, one)
+    return rows, sizes
+
+
+def strangers(signs: np.ndarray, component: np.ndarray, short: np.ndarray, percent: int) -> np.ndarray:
+    """Which members have a member of another component with a signature like theirs, one of the two being short."""
     found = np.zeros(len(signs), bool)
     for i in range(len(signs) - 1):
-        near = ((signs[i + 1 :] == signs[i]).mean(axis=1) >= agreement(percent)) & (component[i + 1 :] != component[i])
+        near = ((signs[i + 1 :] == signs[i]).mean(axis=1) >= agreement(percent)) & (component[i + 1 :] != component[i]) & (short[i + 1 :] | short[i])
         if near.any():
             found[i] = True
             found[i + 1 :] |= near
@@ -202,16 +222,22 @@ def strangers(signs: np.ndarray, component: np.ndarray, percent: int) -> np.ndar
 
 def compared(placed: DataFrame, mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links across components inside the buckets ``mixed``, block against block: signatures first, then the full sets of
-    those whose signature is like one of another component."""
+    those whose signature is like one of another component. Blocks of members that are not short meet only blocks of short ones."""
     key = ["bucket", "p", "q"]
-    rows = placed.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "component")
+    if "short" not in placed.columns:
+        placed, mixed = placed.withColumn("short", F.lit(True)), mixed.withColumn("shorts", F.col("size"))
+    one = F.col("size") <= BLOCK
+    rows = placed.join(mixed, "bucket").withColumn("first", F.when(one, 1).otherwise(F.ceil(F.col("shorts") / BLOCK)).cast("int"))
+    rows = rows.withColumn("rest", F.when(one, 0).otherwise(F.ceil((F.col("size") - F.col("shorts")) / BLOCK)).cast("int"))
+    front, draw = F.col("short") | (F.col("rest") == 0), F.xxhash64("node", F.lit(7))
+    block = F.when(front, F.pmod(draw, F.col("first"))).otherwise(F.col("first") + F.pmod(draw, F.greatest("rest", F.lit(1)))).cast("int")
+    last = F.when(front, F.col("first") + F.col("rest")).otherwise(F.col("first")) - 1
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "component", "short")
 
     def involved(frame: pd.DataFrame) -> pd.DataFrame:
         signs = np.frombuffer(b"".join(frame["signature"]), np.uint32).reshape(len(frame), -1)
-        return frame.loc[strangers(signs, frame["component"].to_numpy(), percent), [*key, "node", "component"]]
+        return frame.loc[strangers(signs, frame["component"].to_numpy(), frame["short"].to_numpy(bool), percent), [*key, "node", "component"]]
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
@@ -268,18 +294,86 @@ def rarest(shingles: np.ndarray, frequent: np.ndarray, times: np.ndarray, percen
     return shingles[np.lexsort((shingles, often))[: len(shingles) - need + 1]]
 
 
+def short_length(n, percent: int):
+    """Among how many of the first shingles of a set of ``n`` any similar set of as many or more shingles must share one."""
+    return n + 1 + -(2 * percent * n) // (100 + percent)
+
+
 def by_rare_shingles(texts: DataFrame, percent: int) -> DataFrame:
-    """(bucket, node): every text of (node, text) under each of its rarest shingles."""
+    """(bucket, node, short): every text of (node, text) under each of its rarest shingles; short: those shared with similar texts that are no shorter."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
     def give(batches):
         for batch in batches:
             for part in slices(batch, 1, 1_000_000):
-                rare = [rarest(x, *sent.value, percent) for x in shingle_sets(*text_bytes(part.column(1)))]
+                sets = shingle_sets(*text_bytes(part.column(1)))
+                rare = [rarest(x, *sent.value, percent) for x in sets]
+                short = [np.arange(len(r)) < short_length(len(x), percent) for r, x in zip(rare, sets, strict=True)]
                 columns = [np.concatenate([np.zeros(0, np.uint64), *rare]).view(np.int64), np.repeat(np.asarray(part.column(0)), [len(x) for x in rare])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "node"])
+                columns.append(np.concatenate([np.zeros(0, bool), *short]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "node", "short"])
+
+    return texts.select("node", "text").mapInArrow(give, "bucket long, node long, short boolean")
 
-    return texts.select("node", "text").mapInArrow(give, "bucket long, node long")
+
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(node, n, shingle): every shingle of every text of (node, text), n being the size of its set."""
+
+    def give(batches):
+        for batch in batches:
+            for part in slices(batch, 1, 1_000_000):
+                sets = shingle_sets(*text_bytes(part.column(1)))
+                n = np.array([len(x) for x in sets], np.int64)
+                columns = [np.repeat(np.asarray(part.column(0)), n), np.repeat(n, n), np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "n", "shingle"])
+
+    return texts.select("node", "text").mapInArrow(give, "node long, n long, shingle long")
+
+
+def cut_again(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(parent, bucket, node, component, short): the rows (bucket, node, component) under those of their shingles that the
+    fewest members of the same bucket have. Shingles without another member take their place in the order and give no row."""
+    # files of shingles that many texts share are small for their rows, so no join here may go by file sizes
+    rows = materialize(shingle_rows(texts.join(members.select("node").distinct(), "node", "left_semi")), "near-shingles")
+    wide = members.select("bucket", "node", "component").join(rows.hint("merge"), "node")
+    times = materialize(wide.groupBy("bucket", "shingle").agg(F.count("*").alias("times")).where("times > 1"), "near-times")
+    order = Window.partitionBy("bucket", "node").orderBy(F.coalesce("times", F.lit(1)), "shingle")
+    ranked = wide.join(times.hint("merge"), ["bucket", "shingle"], "left").withColumn("place", F.row_number().over(order))
+    size, n = F.lit(percent) * F.col("n"), F.col("n")
+    ranked = ranked.where(F.col("times").isNotNull() & (F.col("place") <= n + 1 - F.ceil(size / 100)))
+    short = F.col("place") <= n + 1 - F.ceil(2 * size / (100 + percent))
+    ranked = ranked.select(F.col("bucket").alias("parent"), F.xxhash64("bucket", "shingle").alias("bucket"), "node", "component", short.alias("short"))
+    ranked = materialize(ranked, "near-again")
+    discard(rows, times)
+    return ranked
+
+
+def crowd_links(rows: DataFrame, sizes: DataFrame, texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Links across components inside the buckets of ``merged``; crowded ones are cut again while that at least halves their comparisons."""
+    found = []
+    cost = F.col("size").cast("double") * F.col("shorts")
+    while True:
+        parents = materialize(sizes.where(cost > float(CROWD) ** 2), "near-parents")
+        if parents.isEmpty():
+            found.append(compared(rows, sizes, nodes, percent))
+            break
+        children = cut_again(rows.join(parents.select("bucket"), "bucket"), texts, percent)
+        after, after_sizes = merged(children)
+        of = materialize(after_sizes.join(children.select("bucket", "parent").distinct(), "bucket"), "near-of")
+        spent = of.groupBy(F.col("parent").alias("bucket")).agg(F.sum(cost).alias("spent"))
+        better = parents.join(spent, "bucket", "left").where(2 * F.coalesce("spent", F.lit(0.0)) <= cost).select("bucket")
+        better = materialize(better, "near-better")
+        found.append(compared(rows, sizes.join(better, "bucket", "left_anti"), nodes, percent))
+        kept = materialize(of.join(better.withColumnRenamed("bucket", "parent"), "parent", "left_semi").select("bucket", "size", "shorts"), "near-kept")
+        discard(rows, sizes, parents, children, after_sizes, of, better)
+        rows, sizes = after, kept
+        if sizes.isEmpty():
+            break
+    discard(rows, sizes)
+    links = found[0]
+    for more in found[1:]:
+        links = links.union(more)
+    return links
 
 
 def cross_links(members: DataFrame, nodes: DataFrame, component: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -287,7 +381,7 @@ def cross_links(members: DataFrame, nodes: DataFrame, component: DataFrame, perc
 
     def place(rows):
         rows = rows.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        return materialize(rows.select("bucket", "node", "component"), "near-placed")
+        return materialize(rows.select("bucket", "node", "component", *(c for c in rows.columns if c == "short")), "near-placed")
 
     placed = place(members)
     mixed = mixed_buckets(placed)
@@ -297,9 +391,8 @@ def cross_links(members: DataFrame, nodes: DataFrame, component: DataFrame, perc
         crowd = placed.join(large.select("bucket"), "bucket").select("node").distinct()
         texts = materialize(nodes.select("node", "text").join(crowd, "node", "left_semi"), "near-crowd")
         finer = place(by_rare_shingles(texts, percent))
-        smaller = mixed_buckets(finer)
-        more = compared(finer, smaller, nodes, percent)
-        discard(texts, finer, smaller)
+        more = crowd_links(*merged(finer), texts, nodes, percent)
+        discard(texts, finer)
         links = links.union(more)
     discard(placed, mixed)
     return links

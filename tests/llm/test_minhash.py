@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.llm import minhash
 from quantloom.llm.components import connected_components
@@ -121,6 +122,55 @@ def test_rare_shingles_lose_no_link(spark, monkeypatch, percent):
     assert found == brute(rows, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_cutting_again_loses_no_link(spark, monkeypatch, percent):
+    """Every bucket counts as crowded and is cut again while that helps; similar pairs meet where one of them is short."""
+    for name, value in (("BLOCK", 1), ("CROWD", 1), ("FREQUENT", 2), ("MOST_FREQUENT", 40)):
+        monkeypatch.setattr(minhash, name, value)
+    rows = corpus(12, 25, 12) + [(9001, None), (9002, "one two"), (9003, "ONE two")]
+    sets = {d: shingles(t) for d, t in rows if t}
+    similar = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = minhash.materialize(docs.where("text is not null").selectExpr("doc_id as node", "text"), "t")
+    whole = minhash.materialize(nodes.selectExpr("cast(7 as long) as bucket", "node", "node as component"), "t")
+    for placed in (minhash.by_rare_shingles(nodes, percent), minhash.cut_again(whole, nodes, percent)):
+        met = set()
+        for r in placed.groupBy("bucket").agg(F.collect_list(F.struct("node", "short")).alias("members")).collect():
+            met |= {(min(a, b), max(a, b)) for a, short in r.members if short for b, _ in r.members if a != b}
+        assert similar <= met
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, percent=percent).collect()}
+    assert found == brute(rows, percent)
+
+
+def test_texts_of_passages_are_cut_again(spark, monkeypatch):
+    """20,000 texts of a common passage and two out of ten each, with few words of their own: those with the same three
+    are similar, the others are not, though thousands share every shingle that is not a text's own."""
+    passage = lambda name, size: " ".join(f"{name}w{j}" for j in range(size))
+    text = lambda i, a, b: f"{passage('u', 112)} {passage(f'a{a}', 34)} {passage(f'b{b}', 34)} {passage(f'own{i}', 14)}"
+    groups = [(i // 10 % 10, i % 10) for i in range(20_000)]
+    nodes = spark.createDataFrame([(i, text(i, a, b)) for i, (a, b) in enumerate(groups)], "node long, text string").repartition(8)
+    nodes = minhash.materialize(nodes, "t")
+    signed = minhash.signatures(nodes, "node").selectExpr("id as node", "signature").join(nodes.selectExpr("node", "cast(octet_length(text) as long) as bytes", "text"), "node")
+    costs, cuts, plain, again = [], [], minhash.compared, minhash.cut_again
+
+    def counting(placed, mixed, nodes, percent):
+        costs.append(mixed.selectExpr(f"coalesce(max(size * {'shorts' if 'shorts' in mixed.columns else 'size'}), 0)").first()[0])
+        return plain(placed, mixed, nodes, percent)
+
+    def cutting(members, texts, percent):
+        cuts.append(members.groupBy("bucket").count().selectExpr("max(count)").first()[0])
+        return again(members, texts, percent)
+
+    monkeypatch.setattr(minhash, "compared", counting)
+    monkeypatch.setattr(minhash, "cut_again", cutting)
+    monkeypatch.setattr(minhash, "CROWD", 1_000)
+    component = nodes.selectExpr("node", "node % 100 as component")
+    members = nodes.selectExpr("cast(1 as long) as bucket", "node")
+    assert minhash.cross_links(members, minhash.materialize(signed, "t"), component).count() == 0
+    assert len(cuts) == 1 and cuts[0] >= 2_000
+    assert max(costs) <= 1_000**2
+
+
 def test_groups_bounded_in_bytes(spark, monkeypatch):
     """Groups cut by bytes in both comparisons: the same components, and no group of several texts far above the bound."""
     rows = corpus(21, 12, 40) + [(9001, "w " * 40_000), (9002, " ".join(f"long{k}" for k in range(30_000)))]
