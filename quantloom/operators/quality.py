@@ -79,10 +79,11 @@ def hidden_positions(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def line_matches(df: DataFrame, id_col: str, text_col: str, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """(id, rule, line_no, allowed) for rules (name, pattern, allowed context): matching lines, numbered from 1."""
-    any_rule = "|".join(f"(?:{p})" for _, p, _ in rules)
-    lines = df.where(F.col(text_col).rlike(any_rule)).select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(n).alias("rule"), F.col("line").rlike(ok).alias("allowed"))) for n, p, ok in rules)))
+    """(id, rule, line_no, allowed) for rules (name, pattern, allowed context): matching lines, numbered from 1. Patterns are
+    held against each line alone; "\\n" is the only end of a line, so that ``$`` stands behind a carriage return."""
+    found = lambda p: F.col("line").rlike(f"(?d){p}")
+    lines = df.select(F.col(id_col), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    hits = F.array_compact(F.array(*(F.when(found(p), F.struct(F.lit(n).alias("rule"), found(ok).alias("allowed"))) for n, p, ok in rules)))
     return lines.withColumn("h", F.explode(hits)).select(id_col, "h.rule", (F.col("pos") + 1).alias("line_no"), "h.allowed")
 
 

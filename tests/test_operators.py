@@ -269,6 +269,12 @@ def test_hidden_unicode_and_lines(spark):
     assert [(r.line_no, r.allowed) for r in lines] == [(2, False), (3, True)]
 
 
+def test_rules_hold_for_each_line_alone(spark):
+    texts = [(1, "see the\nend"), (2, "the\r\nend"), (3, "of the\n\nx"), (4, "the\u2028"), (5, None), (6, "")]
+    lines = quality.line_matches(spark.createDataFrame(texts, "id int, t string"), "id", "t", [("tail", "the$", "of the$"), ("more", "the.$", "^$")])
+    assert sorted(map(tuple, lines.collect())) == [(1, "tail", 1, False), (2, "more", 1, False), (3, "tail", 1, True), (4, "more", 1, False)]
+
+
 def test_universe_reasons(spark):
     rows_ = [("a", "A", True, 5.0, dt.datetime(2020, 1, 1)), ("b", "é", False, 5.0, None), ("c", "é", True, 0.0, None), ("d", "D", True, 0.0, dt.datetime(2020, 1, 1)), ("e", "E", True, 9.0, None)]
     got = {r.pair: (r.exclusion_reason, r.chosen) for r in universe.candidate_universe(spark.createDataFrame(rows_, "pair string, base string, active boolean, quote_volume double, onboard_date timestamp"), 5, "2021-01-01").collect()}
