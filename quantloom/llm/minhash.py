@@ -9,7 +9,8 @@
    only a spanning forest of confirmed links leaves a comparison. A bucket of more than ``BLOCK`` members (texts
    that share a passage, say) is first cut finer, without losing a link: two sets of the wanted similarity always
    share one of the rarest shingles of each, so its members meet again by those. What has its frequent shingles
-   in common and no rare one is never compared. The shorter text of a pair has it among fewer of its shingles than the longer
+   in common and no rare one is never compared. Cut buckets with many members in common (near copies share many rare shingles) are
+   made one again where that takes fewer comparisons, so that their pairs meet once. The shorter text of a pair has it among fewer of its shingles than the longer
    one, so two texts that have it only as the longer one of a pair are not compared. If texts in different components still
    share a rare shingle in large numbers (texts put together from passages, say), they are cut again, by the shingles that
    are rare among them, as often as that at least halves the comparisons. Then they are compared block against block; no task
@@ -348,11 +349,36 @@ def cut_again(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return ranked
 
 
+def overlapping(rows: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and sizes like those of ``merged``, in which large buckets with many members in common are one wherever that takes
+    fewer comparisons than they take apart: similar texts share many rare shingles and would else meet again in every bucket of them."""
+    large = materialize(sizes.where(F.col("size") > BLOCK), "near-large")
+    if large.isEmpty():
+        discard(large)
+        return rows, sizes
+    held = materialize(rows.join(large.select("bucket"), "bucket"), "near-held")
+    times = held.groupBy("node").agg(F.struct(F.count("*"), F.xxhash64("node"), F.col("node")).alias("often"))
+    marks = materialize(held.join(times, "node").groupBy("bucket").agg(F.max("often").alias("mark")).select("bucket", F.col("mark.node").alias("mark")), "near-marks")
+    both = held.join(marks, "bucket").groupBy("mark", "node", "component").agg(F.max("short").alias("short"))
+    after = both.groupBy("mark").agg(F.count("*").alias("size"), F.count_if("short").alias("shorts"))
+    cost = F.col("size").cast("double") * F.col("shorts")
+    apart = large.join(marks, "bucket").groupBy("mark").agg(F.sum(cost).alias("apart"), F.count("*").alias("n"), F.min("bucket").alias("first"))
+    one = materialize(after.join(apart, "mark").where((F.col("n") > 1) & (cost <= F.col("apart"))), "near-one")
+    gone = materialize(marks.join(one.select("mark", "first"), "mark"), "near-gone-buckets")
+    left = rows.join(gone.select("bucket"), "bucket", "left_anti")
+    found = both.join(one.select("mark", F.col("first").alias("bucket")), "mark").select("bucket", "node", "component", "short")
+    found = materialize(left.unionByName(found), "near-overlapping")
+    found_sizes = materialize(sizes.join(gone.select("bucket"), "bucket", "left_anti").unionByName(one.select(F.col("first").alias("bucket"), "size", "shorts")), "near-sizes")
+    discard(rows, sizes, large, held, marks, one, gone)
+    return found, found_sizes
+
+
 def crowd_links(rows: DataFrame, sizes: DataFrame, texts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links across components inside the buckets of ``merged``; crowded ones are cut again while that at least halves their comparisons."""
     found = []
     cost = F.col("size").cast("double") * F.col("shorts")
     while True:
+        rows, sizes = overlapping(rows, sizes)
         parents = materialize(sizes.where(cost > float(CROWD) ** 2), "near-parents")
         if parents.isEmpty():
             found.append(compared(rows, sizes, nodes, percent))

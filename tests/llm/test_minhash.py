@@ -171,6 +171,29 @@ def test_texts_of_passages_are_cut_again(spark, monkeypatch):
     assert max(costs) <= 1_000**2
 
 
+def test_near_copies_meet_once_not_in_every_shared_bucket(spark, monkeypatch):
+    """Forty texts in two families of near copies, in twelve buckets of 38 each and one of other texts: one comparison of the forty, all links found."""
+    base = [[f"t{g}w{k}" for k in range(200)] for g in range(2)]
+    texts = [" ".join([*base[i % 2][:-1], f"last{i}"]) for i in range(40)] + [f"other{i} " * 9 for i in range(20)]
+    nodes = minhash.materialize(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), "t")
+    signed = minhash.signatures(nodes, "node").selectExpr("id as node", "signature").join(nodes.selectExpr("node", "cast(octet_length(text) as long) as bytes", "text"), "node")
+    held = [(b, i, i, i % 3 > 0) for b in range(12) for i in range(40) if i not in (b, b + 20)] + [(99, i, i, True) for i in range(40, 60)]
+    rows = spark.createDataFrame(held, "bucket long, node long, component long, short boolean")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.count_if("short").alias("shorts"))
+    costs, plain = [], minhash.compared
+
+    def counting(placed, mixed, nodes, percent):
+        costs.append(sorted((r.size, r.n) for r in placed.join(mixed.select("bucket", "size"), "bucket").groupBy("bucket", "size").agg(F.count("*").alias("n")).collect()))
+        return plain(placed, mixed, nodes, percent)
+
+    monkeypatch.setattr(minhash, "compared", counting)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    links = minhash.crowd_links(minhash.materialize(rows, "t"), minhash.materialize(sizes, "t"), nodes, minhash.materialize(signed, "t"), 80)
+    found = connected_components(links)
+    assert {(r.component, r.n) for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 20), (1, 20)}
+    assert costs == [[(20, 20), (40, 40)]]
+
+
 def test_groups_bounded_in_bytes(spark, monkeypatch):
     """Groups cut by bytes in both comparisons: the same components, and no group of several texts far above the bound."""
     rows = corpus(21, 12, 40) + [(9001, "w " * 40_000), (9002, " ".join(f"long{k}" for k in range(30_000)))]
