@@ -292,14 +292,14 @@ def cooldown_flags(trades: DataFrame, signals: DataFrame, bar_seconds: int, stop
     after recent trades that brought nothing. Trades: pair, is_short, close_date, exit_reason, profit_abs.
 
     Counts reach back a fixed time and so do locks, so both are found in slices of ``slice_bars`` that also hold copies of the rows
-    shortly before them: the tasks grow with time, whatever the sides."""
+    shortly before them: the tasks grow with time, whatever the sides. The trades are read once, into a row a pair, side and time."""
     at = F.col("close_date").cast("timestamp").cast("long")
     reach = lambda *k, bars: Window.partitionBy(*k, "_slice").orderBy("at").rangeBetween(-(bars - 1) * bar_seconds, 0)
     cut = lambda df, bars: sliced(df, "at", bars * bar_seconds, max(slice_bars, bars) * bar_seconds)
-    closed = trades.withColumn("at", at)
-    stopped = closed.groupBy("is_short", "at").agg(F.count_if(F.col("exit_reason") == "stop_loss").alias("n"))
+    moments = trades.groupBy("pair", "is_short", at.alias("at")).agg(F.count("*").alias("n"), F.sum("profit_abs").alias("p"), F.count_if(F.col("exit_reason") == "stop_loss").alias("stops"))
+    moments = written(moments, "cooldown-moments")
+    stopped = moments.groupBy("is_short", "at").agg(F.sum("stops").alias("n"))
     side = cut(stopped, stop_bars).withColumn("n", F.sum("n").over(reach("is_short", bars=stop_bars))).where(F.col("_own") & (F.col("n") >= stops))
-    moments = closed.groupBy("pair", "is_short", "at").agg(F.count("*").alias("n"), F.sum("profit_abs").alias("p"))
     low = cut(moments, low_bars).withColumns({c: F.sum(c).over(reach("pair", "is_short", bars=low_bars)) for c in ("n", "p")})
     pair = low.where(F.col("_own") & (F.col("n") >= low_trades) & (F.col("p") <= 0))
     s = signals.withColumn("at", F.col("ts").cast("timestamp").cast("long"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import stamp
+from quantloom.functions.tables import written
 from quantloom.operators import compare, signals, surface
 from quantloom.plans.accounts import T, trades
 from quantloom.plans.book import Book
@@ -59,10 +60,12 @@ book.add(
 
 
 def cooled(s, d):
-    t = trades(s, d).withColumn("exit_reason", F.when((F.col("exit_reason") == "F") & (F.col("profit_abs") < 0), "stop_loss").otherwise("roi"))
-    t = t.withColumns({"close_date": F.date_trunc("day", "close_date"), "profit_abs": F.round("profit_abs", 0)})
-    at = trades(s, d).select("pair", "is_short", F.date_trunc("day", "open_date").alias("ts")).distinct()
-    return signals.cooldown_flags(t, at, 86_400, stops=60, stop_bars=3, stop_pause=2, low_bars=10, low_pause=4).withColumn("ts", stamp(F.col("ts")))
+    stopped = (F.col("exit_reason") == "F") & (F.col("profit_abs") < 0)
+    day = lambda c: F.date_trunc("day", c)
+    t = trades(s, d).select("pair", "is_short", day("open_date").alias("ts"), day("close_date").alias("close_date"), F.when(stopped, "stop_loss").otherwise("roi").alias("exit_reason"), F.round("profit_abs", 0).alias("profit_abs"))
+    t = written(t, "cooldown-trades")
+    at = t.select("pair", "is_short", "ts").distinct()
+    return signals.cooldown_flags(t.drop("ts"), at, 86_400, stops=60, stop_bars=3, stop_pause=2, low_bars=10, low_pause=4).withColumn("ts", stamp(F.col("ts")))
 
 
 book.add(

@@ -95,3 +95,19 @@ def test_cooldowns_in_slices(spark, slice_bars):
     got = {(r.pair, r.is_short, r.ts): (r.side_blocked, r.pair_blocked, r.blocked) for r in df.collect()}
     want = {a: blocked(*a) for a in asked}
     assert got == want and {v[2] for v in want.values()} == {True, False}
+
+
+def test_cooldowns_read_the_trades_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [("P", k % 2 == 0, start + dt.timedelta(hours=k), "stop_loss", -1.0) for k in range(30)]
+    trades = spark.createDataFrame(rows, "pair string, is_short boolean, close_date timestamp, exit_reason string, profit_abs double")
+    asked = spark.createDataFrame([("P", True, start + dt.timedelta(hours=31))], "pair string, is_short boolean, ts timestamp")
+    got = signals.cooldown_flags(trades.mapInArrow(seen, trades.schema), asked, 3600).collect()
+    assert [r.blocked for r in got] == [True] and read.value == 30
