@@ -269,8 +269,10 @@ book.add(
 def attributed(s, d, bucket):
     context = market(s, d).select("ts", bucket)
     entered = regime.with_context(flush_events(s, d), context)
-    opened = source.trades(s, d, "p_type").withColumn("ts", F.date_trunc("day", "open_date").cast("timestamp_ntz"))
-    opened = asof.asof_join(opened, context, "ts", (), (bucket,), period="month")
+    opened = source.trades(s, d, "p_type").select(F.date_trunc("day", "open_date").cast("timestamp_ntz").alias("ts"), "open_date", "close_date", "pair", "profit_abs")
+    opened = written(opened, "attributed-trades")
+    days = asof.asof_join(opened.select("ts").distinct(), context, "ts", (), (bucket,), period="month")
+    opened = opened.join(F.broadcast(written(days, "attributed-days")), "ts")  # a row a day
     return regime.attribution(entered, opened.where(F.col(bucket).isNotNull()), bucket, ["forward_6", "forward_12"])
 
 

@@ -111,3 +111,16 @@ def test_cooldowns_read_the_trades_once(spark):
     asked = spark.createDataFrame([("P", True, start + dt.timedelta(hours=31))], "pair string, is_short boolean, ts timestamp")
     got = signals.cooldown_flags(trades.mapInArrow(seen, trades.schema), asked, 3600).collect()
     assert [r.blocked for r in got] == [True] and read.value == 30
+
+
+def test_attribution_joins_its_trades_once(spark, monkeypatch):
+    from quantloom.plans import accounts
+
+    kept = {}
+    monkeypatch.setattr(accounts.regime, "attribution", lambda entered, trades, *_: kept.update(trades=trades))
+    day = spark.sql("select timestamp_ntz'1995-01-01' as ts, 'up' as market_trend")
+    monkeypatch.setattr(accounts, "market", lambda s, d: day)
+    monkeypatch.setattr(accounts, "flush_events", lambda s, d: day.select("ts"))
+    accounts.attributed(spark, "/root/testdata/sf0.001", "market_trend")
+    assert kept["trades"].count() > 0
+    assert all("/attributed-" in f for f in kept["trades"].inputFiles())
