@@ -34,12 +34,14 @@ UNITS = "km|m|cm|mm|mi|miles?|feet|ft|inch(?:es)?|kg|g|mg|lbs?|pounds?|tons?|l|m
 
 
 def valued(text: Column) -> Column:
-    """Lower-cased words with placeholders that carry their values, one blank apart."""
-    text = F.regexp_replace(text, r"\x20*+[\s\p{Z}&&[^\x20]][\s\p{Z}]*+|\x20{2,}+", " ")
-    text = F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", "q")
-    text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])([0-9]+(?:q[0-9]+)*+)", " 0n$1 ")
-    text = F.regexp_replace(text, rf"(0n[0-9q]++ )\s*+((?i:{UNITS}))(?!\p{{L}})", "$1 0u$2 ")
-    text = F.regexp_replace(text, r"(?<=[\p{Ll},;]\x20)(\p{Lu}\p{Ll}++)", "0p$1")
+    """Lower-cased words with placeholders that carry their values, one blank apart. A pattern tests the character that decides
+    first and looks behind it afterwards; texts without digits skip the patterns of numbers."""
+    text = F.regexp_replace(text, r"[\s\p{Z}&&[^\x20]][\s\p{Z}]*+|\x20[\s\p{Z}]++", " ")
+    numbers = F.regexp_replace(text, r"([.,])(?<=[0-9][.,])(?=[0-9])", "q")
+    numbers = F.regexp_replace(numbers, r"(?<![\p{L}\p{N}])([0-9]+(?:q[0-9]+)*+)", " 0n$1 ")
+    numbers = F.regexp_replace(numbers, rf"(0n[0-9q]++ )\s*+((?i:{UNITS}))(?!\p{{L}})", "$1 0u$2 ")
+    text = F.when(text.rlike("[0-9]"), numbers).otherwise(text)
+    text = F.regexp_replace(text, r"(?=\p{Lu})(?<=[\p{Ll},;]\x20)(\p{Lu}\p{Ll}++)", "0p$1")
     return F.lower(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")))
 
 
@@ -70,8 +72,8 @@ def form_hash(words: Column) -> Column:
 
 
 def windows(rows: DataFrame, size: Column) -> DataFrame:
-    """Explode ``words`` into all windows of ``size`` words: adds pos and window."""
-    pattern = F.concat(F.lit(r"(?<![^ ])(?=((?:[^ ]++ ){"), (size - 1).cast("string"), F.lit(r"}[^ ]++))"))
+    """Explode ``words`` into all windows of ``size`` words: adds pos and window. Each match looks ahead over its window and steps over one word."""
+    pattern = F.concat(F.lit(r"(?<![^ ])(?=("), F.repeat(F.lit("[^ ]++ "), size - 1), F.lit(r"[^ ]++))[^ ]++ ?"))
     return rows.select(*(c for c in rows.columns if c != "words"), F.posexplode(F.regexp_extract_all("words", pattern, F.lit(1))).alias("pos", "window"))
 
 

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quantloom.llm import decontam
 
 ITEMS = [
@@ -145,3 +147,20 @@ def test_long_tables_stay_small(spark):
     known = decontam.benchmark_windows(bench, "item_id", "text")
     assert known.count() <= 1 + 83
     assert {(r.doc_id, r.item_id) for r in decontam.contamination(docs, bench).collect()} == {(1, 1), (2, 2)}
+
+
+def test_windows_are_those_of_whole_words(spark):
+    words = ["\U00010428b", "c", "a\U00010428\U00010429", "dd", "\U0002070e", "e", "\U00010428", "f", "gg", "\U00010428h"]
+    rows = spark.createDataFrame([(" ".join(words),), ("",), ("one",)], "words string")
+    for size in (1, 2, 8, 10):
+        got = decontam.windows(rows, F.lit(size)).collect()
+        expected = [(k, " ".join(words[k : k + size])) for k in range(len(words) - size + 1)]
+        assert sorted((r.pos, r.window) for r in got) == sorted(expected + ([(0, "one")] if size == 1 else []))
+
+
+def test_placeholders(spark):
+    texts = ["He ran 3,5 km.\n\nThen  Mary, Bob; Eve had 1.000,5 Miles 7.", "x, \U00010400\U00010428 a", "no Numbers\there .,", "1,,2 x1.2 7km"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string").select("k", decontam.valued(F.col("text")).alias("v"))
+    assert [r.v for r in rows.orderBy("k").collect()] == [
+        "he ran 0n3q5 0ukm then 0pmary 0pbob 0peve had 0n1q000q5 0umiles 0n7", "x 0p\U00010428\U00010428 a", "no 0pnumbers here", "0n1 0n2 x1q2 0n7 0ukm",
+    ]
