@@ -3,6 +3,7 @@
 import random
 import statistics
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,38 @@ def test_drawdown_edges(spark):
     assert found(spark, hot) == plain(hot)
 
 
+@pytest.mark.parametrize(("block", "most"), [(1, 3), (7, 1), (64, 5), (1024, 16384)])
+def test_drawdowns_of_short_runs(spark, block, most):
+    rows = ledger(300, 2)
+    rows = [(*r[:5], [*r[5], f"own-{k % 60}", None]) for k, r in enumerate(rows)]
+    assert found(spark, rows, block=block, most=most) == plain(rows)
+
+
+def test_trades_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = ledger(500, 3)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).mapInArrow(count, SCHEMA)
+    removals.removal_drawdowns(df, ["run"], F.col("by")).collect()
+    assert seen.value == len(rows)
+
+
+@pytest.mark.parametrize(("kind", "unit"), [("decimal(18,2)", Decimal(10**14)), ("decimal(38,2)", Decimal(10**30))])
+def test_drawdowns_of_large_sums(spark, kind, unit):
+    rows = ledger(200, 4)
+    large = [(*r[:4], int(r[4]) * unit, r[5]) for r in rows]
+    df = spark.createDataFrame(large, SCHEMA.replace("profit_abs double", f"profit_abs {kind}"))
+    names = ("trades_after", "profit_after", "drawdown_after", "trades", "profit", "max_drawdown")
+    out = removals.removal_drawdowns(df, ["run"], F.col("by"), block=32).collect()
+    got = {(r.run, r.removed): tuple(r[n] if k % 3 == 0 else r[n] / unit for k, n in enumerate(names)) for r in out}
+    assert got == plain(rows)
+
+
 def test_top_labels(spark):
     rows = [("a", p, datetime(2024, 1, 1), datetime(2024, 1, 1), v, []) for p, v in (("P", 9.0), ("Q", 5.0), ("R", 1.0), ("Q", 2.0))]
     out = removals.top_labels(spark.createDataFrame(rows, SCHEMA), ["run"], "pair", (1, 2)).collect()
