@@ -187,7 +187,7 @@ book.add(
 )
 book.add(
     "drawdown_without_top_pairs",
-    lambda s, d: without(removals.top_labels(cents(trades(s, d)), KEYS, "pair"), F.col("top_labels")),
+    lambda s, d: without(removals.top_labels(written(cents(trades(s, d)).select(*KEYS, "pair", "open_date", "close_date", "profit_abs"), "removal-trades"), KEYS, "pair"), F.col("top_labels")),
     f"""{T}, q AS (SELECT *, {CENTS} FROM trades), g AS (SELECT strategy, pair, row_number() OVER (PARTITION BY strategy ORDER BY sum(p) DESC, pair) AS r FROM q GROUP BY strategy, pair),
     t AS (SELECT q.*, g.r FROM q JOIN g USING (strategy, pair)),
     {without_sql('t', "SELECT DISTINCT strategy, 'top_' || k AS removed, k FROM trades, (VALUES (1), (3), (5)) v(k)").replace('(gone)', 't.r <= n.k')}""",
