@@ -28,13 +28,13 @@ book.add("pair_lists", pair_lists, f"{COVER} SELECT pair, count(DISTINCT anchor)
 
 
 def exported(s, d):
-    """Exports of the ledger, one for each strategy, pair and month, written as a backtest writes them and read back from the files."""
+    """Exports of the ledger, one for each strategy, pair and month, written as a backtest writes them, packed, and read back from the files."""
     t = trades(s, d)
     one = F.struct("pair", stamp(F.col("open_date")).alias("open_date"), stamp(F.col("close_date")).alias("close_date"), "is_short", "profit_abs", "amount", "exit_reason")
     texts = t.groupBy("strategy", "pair", "month").agg(F.collect_list(one).alias("trades"))
     value = F.to_json(F.struct(F.create_map("strategy", F.struct("trades")).alias("strategy")))
     path = shared_path(s, "exports")
-    texts.select(value.alias("value")).write.text(path)
+    texts.select(value.alias("value")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
     return files.read_trades(s, path)
 
 

@@ -26,7 +26,7 @@ def read_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_trades(spark: SparkSession, path: str, strategy: str | None = None) -> DataFrame:
-    """Flat trades out of the backtest exports at a path (.json, .txt, or .zip with one JSON inside), with signature, month, year and
+    """Flat trades out of the backtest exports at a path (.json or .txt, plain or as .gz, or .zip with one JSON inside), with signature, month, year and
     side. Files of any size: a task reads its file as a stream."""
     trade_files.register(spark)
     return typed_trades(spark.read.format("trade_files").load(path), strategy)

@@ -87,6 +87,14 @@ def test_exports_of_files_and_archives(spark, tmp_path):
     assert files.read_trades(spark, str(tmp_path / "a.json")).count() == 13
 
 
+def test_packed_exports(spark, tmp_path):
+    lines = spark.createDataFrame([(json.dumps(export(12)),), (json.dumps(export(30, 1)),)], "value string")
+    lines.coalesce(1).write.option("compression", "gzip").text(str(tmp_path / "lines"))
+    assert [p.name[-7:] for p in (tmp_path / "lines").glob("part-*")] == [".txt.gz"]
+    assert files.read_trades(spark, str(tmp_path / "lines")).count() == 44
+    assert files.read_trades(spark, str(tmp_path / "lines"), "F").count() == 2
+
+
 def test_a_large_export_takes_little_memory(tmp_path):
     """Over 150 MB in one export, most of it trades, some of it to be stepped over."""
     path, n = tmp_path / "big.json", 700_000
